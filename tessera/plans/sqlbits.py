@@ -81,3 +81,22 @@ def polarity_label(e: str, cut: float, inclusive: bool) -> str:
     ge, le = (">=", "<=") if inclusive else (">", "<")
     return (f"CASE WHEN {e} {ge} {cut} THEN 'positive' WHEN {e} {le} -{cut} THEN 'negative' "
             f"ELSE 'neutral' END")
+
+
+def unicode_regex(pattern: str) -> str:
+    """Translate a ``\\b``/``\\w`` regex to RE2 with Java ``(?U)`` meaning:
+    word characters are letters, digits, marks and underscore."""
+    w = _W[1:-1]
+    alts = []
+    for a in pattern.split("|"):
+        pre = suf = ""
+        if a.startswith(r"\b"):
+            a, pre = a[2:], f"(^|[^{w}])"
+        if a.endswith(r"\b"):
+            a, suf = a[:-2], f"($|[^{w}])"
+        alts.append(pre + a.replace(r"\w", f"[{w}]") + suf)
+    return "|".join(alts)
+
+
+def regex_match(e: str, pattern: str) -> str:
+    return f"regexp_matches({e}, {q(unicode_regex(pattern))})"
