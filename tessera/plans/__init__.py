@@ -1,3 +1,3 @@
 """Registered queries: each pairs a Spark plan with its DuckDB twin."""
 
-from tessera.plans import q_filters, q_profile, q_rows, q_text, q_trends  # noqa: F401
+from tessera.plans import q_filters, q_profile, q_rows, q_text, q_trends, q_vectors  # noqa: F401
