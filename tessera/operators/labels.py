@@ -73,6 +73,14 @@ def top_label(scores: Column, names: list[str], threshold: float = 0.5,
                     F.when(ok, best["score"]).otherwise(F.lit(0.0)).alias("score"))
 
 
+def label_where(df: DataFrame, cond: Column, scores: Column, names: list[str],
+                threshold: float = 0.5, prefix: str = "secondary") -> DataFrame:
+    """Top label for rows meeting ``cond``; (UNSURE, 0.0) for the others."""
+    t = top_label(scores, names, threshold)
+    return df.withColumn(f"{prefix}_label", F.when(cond, t["label"]).otherwise(F.lit(UNSURE))) \
+             .withColumn(f"{prefix}_score", F.when(cond, t["score"]).otherwise(F.lit(0.0)))
+
+
 def primary_from_top(label: Column) -> Column:
     """Map a primary candidate label to TECHNICAL / NON_TECHNICAL (UNSURE kept)."""
     return (F.when(label == UNSURE, F.lit(UNSURE))
