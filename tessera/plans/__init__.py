@@ -1,3 +1,4 @@
 """Registered queries: each pairs a Spark plan with its DuckDB twin."""
 
-from tessera.plans import q_filters, q_labels, q_profile, q_rows, q_text, q_trends, q_vectors  # noqa: F401
+from tessera.plans import (q_filters, q_labels, q_models, q_profile, q_rows, q_text,  # noqa: F401
+                           q_trends, q_vectors)
