@@ -139,14 +139,17 @@ def lda_topics(df: DataFrame, id_col: str, text_col: str, k: int = 8, max_iter:
                                            max_df).collect()]  # at most max_terms
     counts = term_counts(df.select(id_col, text_col), text_col, vocab, stop_words).select(id_col, "features")
     if stage_key:
-        counts = stage_table(counts, "bow", stage_key, str(len(vocab)))
+        counts = stage_table(counts, "bow", stage_key, str(k), "|".join(vocab))
     lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=1.0,
               featuresCol="features", checkpointInterval=10)
     model = lda.fit(counts)
     dist = vector_to_array(F.col("topicDistribution"))
+    # A document without vocabulary words gets an all-zero vector from Spark;
+    # the uniform prior (topic 0 at 1/k) is what the original reports.
+    empty = F.array_max(dist) <= 0
     docs = model.transform(counts).select(
-        id_col, vf.argmax(dist).cast("int").alias("dominant_topic"),
-        F.array_max(dist).alias("dominant_topic_prob"))
+        id_col, F.when(empty, F.lit(0)).otherwise(vf.argmax(dist)).cast("int").alias("dominant_topic"),
+        F.when(empty, F.lit(1.0 / k)).otherwise(F.array_max(dist)).alias("dominant_topic_prob"))
     return model, vocab, docs
 
 
