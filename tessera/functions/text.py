@@ -43,8 +43,10 @@ def word_count(c: ColumnOrName) -> Column:
 
 
 def words(c: ColumnOrName) -> Column:
-    """``text.split()`` as an array (no empty strings)."""
-    return F.filter(F.split(strip_ws(c), r"(?U)\s+"), lambda w: w != "")
+    """``text.split()`` as an array.  Splitting on whitespace runs leaves an
+    empty string only at either end (or for blank text); ``array_remove``
+    drops those without a lambda or a second regex pass."""
+    return F.array_remove(F.split(_c(c), r"(?U)\s+"), "")
 
 
 def combined_text(title: ColumnOrName, body: ColumnOrName, max_chars: int | None) -> Column:
@@ -93,17 +95,28 @@ def occurrences(text: Column, needle: str) -> Column:
             F.lit(len(needle))).cast("int")
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``body``.
+
+    Filters get no common-subexpression elimination, so a predicate that
+    tests one derived string (say ``lower(text)``) against many keywords
+    would recompute it per keyword; binding it through a one-element
+    ``transform`` computes it once.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def keyword_occurrences(text: ColumnOrName, keywords: list[str]) -> Column:
     """Sum over keywords of non-overlapping occurrences in the lower-cased text."""
-    low = F.lower(_c(text))
-    return sum((occurrences(low, k.lower()) for k in keywords), F.lit(0))
+    return let(F.lower(_c(text)),
+               lambda low: sum((occurrences(low, k.lower()) for k in keywords), F.lit(0)))
 
 
 def keyword_distinct(text: ColumnOrName, keywords: list[str]) -> Column:
     """Number of distinct keywords contained in the lower-cased text."""
-    low = F.lower(_c(text))
     uniq = list(dict.fromkeys(k.lower() for k in keywords))
-    return sum((low.contains(k).cast("int") for k in uniq), F.lit(0))
+    return let(F.lower(_c(text)),
+               lambda low: sum((low.contains(k).cast("int") for k in uniq), F.lit(0)))
 
 
 def word_regex(word: str) -> str:
@@ -112,15 +125,17 @@ def word_regex(word: str) -> str:
 
 def stem_hits(text: ColumnOrName, stems: list[str], exact: list[str]) -> Column:
     """Distinct stems found: substring match, whole-word match for ``exact``."""
-    low = F.lower(_c(text))
     exact_set = {e.lower() for e in exact}
-    hits = []
-    for s in dict.fromkeys(k.lower() for k in stems):
-        if s in exact_set:
-            hits.append((low.contains(s) & low.rlike(word_regex(s))).cast("int"))
-        else:
-            hits.append(low.contains(s).cast("int"))
-    return sum(hits, F.lit(0))
+
+    def count(low: Column) -> Column:
+        hits = []
+        for s in dict.fromkeys(k.lower() for k in stems):
+            hit = low.contains(s)
+            if s in exact_set:
+                hit = hit & low.rlike(word_regex(s))
+            hits.append(hit.cast("int"))
+        return sum(hits, F.lit(0))
+    return let(F.lower(_c(text)), count)
 
 
 def polarity_label(score: ColumnOrName, cut: float = 0.05, inclusive: bool = True,

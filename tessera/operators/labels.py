@@ -92,6 +92,13 @@ def _chunks(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     return df.select(id_col, F.posexplode(tx.chunk_words(text_col, size)).alias("chunk_no", "ws"))
 
 
+def _word_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, pos, word) per whitespace word, lower-cased; a document without
+    words keeps one row with null pos/word so it is not lost."""
+    return df.select(id_col, F.posexplode_outer(tx.words(text_col)).alias("pos", "w")).select(
+        id_col, "pos", F.lower("w").alias("word"))
+
+
 def chunked_lexicon_sentiment(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame,
                               size: int = 300, cut: float = 0.05,
                               max_lexicon_rows: int = 1_000_000) -> DataFrame:
@@ -101,39 +108,42 @@ def chunked_lexicon_sentiment(df: DataFrame, id_col: str, text_col: str, lexicon
     chunk score = s / sqrt(s^2 + alpha), s = sum of weights of the chunk's
     (lower-cased) words; chunks without hits score 0 and still count in the
     average.  Blank text is neutral with score null.
+
+    Words are joined to the lexicon map-side (broadcast, size-checked); the
+    chunk number is ``pos div size``.  All words of a document sit in one
+    task, so the partial aggregation per (id, chunk) leaves one row per
+    chunk for the shuffle, and a second aggregation averages per document.
     """
     lex = checked_broadcast(lexicon.select(F.lower("word").alias("word"),
                                            F.col("weight").cast("double").alias("weight")),
                             max_lexicon_rows)
-    base = df.select(id_col, F.size(tx.chunk_words(text_col, size)).alias("n_chunks"))
-    words = _chunks(df, id_col, text_col, size).select(
-        id_col, "chunk_no", F.explode("ws").alias("w")).select(id_col, "chunk_no",
-                                                               F.lower("w").alias("word"))
-    sums = words.join(lex, "word").groupBy(id_col, "chunk_no").agg(F.sum("weight").alias("s"))
-    per_doc = sums.groupBy(id_col).agg(
-        F.sum(F.col("s") / F.sqrt(F.col("s") * F.col("s") + F.lit(COMPOUND_ALPHA))).alias("tot"))
-    out = base.join(per_doc, id_col, "left")
-    score = F.when(F.col("n_chunks") > 0, F.coalesce("tot", F.lit(0.0)) / F.col("n_chunks"))
-    return out.select(id_col, score.alias("score"),
-                      F.when(score.isNull(), F.lit("neutral"))
-                       .otherwise(tx.polarity_label(score, cut, inclusive=True)).alias("label"))
+    words = _word_rows(df, id_col, text_col).withColumn("chunk_no", F.floor(F.col("pos") / size))
+    sums = words.join(lex, "word", "left").groupBy(id_col, "chunk_no").agg(
+        F.sum(F.coalesce("weight", F.lit(0.0))).alias("s"), F.count("pos").alias("n"))
+    chunk = F.when(F.col("n") > 0, F.col("s") / F.sqrt(F.col("s") * F.col("s") + F.lit(COMPOUND_ALPHA)))
+    score = F.avg(chunk)
+    out = sums.groupBy(id_col).agg(score.alias("score"))
+    return out.select(id_col, "score",
+                      F.when(F.col("score").isNull(), F.lit("neutral"))
+                       .otherwise(tx.polarity_label("score", cut, inclusive=True)).alias("label"))
 
 
 def lexicon_polarity(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame,
                      cut: float = 0.05, max_lexicon_rows: int = 1_000_000) -> DataFrame:
     """Polarity and subjectivity as the mean weights of the matched words, label
-    with a strict cut-off; no hits or blank text give (0, 0, neutral)."""
+    with a strict cut-off; no hits or blank text give (0, 0, neutral).
+
+    One pass: words left-joined to the broadcast lexicon, averaged per
+    document (``avg`` skips words without an entry)."""
     lex = checked_broadcast(lexicon.select(F.lower("word").alias("word"),
                                            F.col("polarity").cast("double").alias("polarity"),
                                            F.col("subjectivity").cast("double").alias("subjectivity")),
                             max_lexicon_rows)
-    words = df.select(id_col, F.explode(tx.words(text_col)).alias("w")).select(
-        id_col, F.lower("w").alias("word"))
-    agg = words.join(lex, "word").groupBy(id_col).agg(F.avg("polarity").alias("p"),
-                                                      F.avg("subjectivity").alias("q"))
-    out = df.select(id_col).join(agg, id_col, "left")
+    words = _word_rows(df, id_col, text_col)
+    agg = words.join(lex, "word", "left").groupBy(id_col).agg(F.avg("polarity").alias("p"),
+                                                              F.avg("subjectivity").alias("q"))
     pol = F.coalesce("p", F.lit(0.0))
-    return out.select(id_col, pol.alias("tb_polarity"),
+    return agg.select(id_col, pol.alias("tb_polarity"),
                       F.coalesce("q", F.lit(0.0)).alias("tb_subjectivity"),
                       tx.polarity_label(pol, cut, inclusive=False).alias("tb_sentiment"))
 
