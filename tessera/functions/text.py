@@ -106,6 +106,18 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def compute_once(df, **cols: Column):
+    """Add computed columns that later filters read without re-evaluating.
+
+    A filter on a projected column is pushed below the projection with the
+    expression substituted, so an expensive score used both as a predicate
+    and as output runs twice.  Produced by a one-row ``inline`` (a
+    Generate), the columns are computed once and the filter stays above.
+    """
+    names = list(cols)
+    return df.select("*", F.inline(F.array(F.struct(*[cols[n].alias(n) for n in names]))))
+
+
 def keyword_occurrences(text: ColumnOrName, keywords: list[str]) -> Column:
     """Sum over keywords of non-overlapping occurrences in the lower-cased text."""
     return let(F.lower(_c(text)),

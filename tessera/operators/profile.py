@@ -40,21 +40,31 @@ def iqr(df: DataFrame, value: Column) -> DataFrame:
 def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
     """Equal-width histogram over [min, max] with the last bin closed, like
     ``numpy.histogram``; every bin is returned, empty ones with 0.  A constant
-    column puts everything in bin 0."""
+    column puts everything in bin 0.
+
+    The input is scanned once: rows collapse to (value, count) pairs
+    (partial aggregation), which are checkpointed -- few rows for integer
+    measures such as word counts -- and both the bounds and the bins are
+    computed from that small table.
+    """
     v = value.cast("double")
-    lo, hi = df.agg(F.min(v), F.max(v)).first()
     spark = df.sparkSession
+    counted = (df.select(v.alias("v")).where(F.col("v").isNotNull())
+                 .groupBy("v").agg(F.count(F.lit(1)).alias("c"))).persist()
+    vc = counted.checkpoint()  # the checkpoint job reads the persisted rows
+    counted.unpersist()
+    lo, hi = vc.agg(F.min("v"), F.max("v")).first()
     if lo is None:
         return spark.range(0).select(F.col("id").cast("int").alias("bin"),
                                      F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"),
                                      F.lit(0).cast("bigint").alias("n"))
     width = (hi - lo) / bins
     if hi > lo:
-        b = F.least(F.floor((v - F.lit(lo)) * F.lit(float(bins)) / F.lit(hi - lo)),
+        b = F.least(F.floor((F.col("v") - F.lit(lo)) * F.lit(float(bins)) / F.lit(hi - lo)),
                     F.lit(bins - 1)).cast("int")
     else:
         b = F.lit(0)
-    counts = df.where(v.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = vc.groupBy(b.alias("bin")).agg(F.sum("c").alias("n"))
     edges = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (edges.join(counts, "bin", "left")
                  .select("bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lo"),

@@ -79,9 +79,9 @@ WHERE {S.stem_hits(_STEM_TEXT, PROBE_STEMS, PROBE_EXACT)} >= 3""")
 def q_keyword_stem_filter(spark, sf):
     p = posts(spark, sf)
     t = F.concat(F.coalesce("title", F.lit("None")), F.lit(" "), F.coalesce("body_text", F.lit("None")))
-    hits = tx.stem_hits(t, PROBE_STEMS, PROBE_EXACT)
-    return p.where(fl.stem_filter(F.col("title"), F.col("body_text"), stems=PROBE_STEMS,
-                                  exact=PROBE_EXACT)).select("id", hits.alias("hits"))
+    scored = tx.compute_once(p.select("id", "title", "body_text"),
+                             hits=tx.stem_hits(t, PROBE_STEMS, PROBE_EXACT))
+    return scored.where(F.col("hits") >= 3).select("id", "hits")
 
 
 @register("drop_bad_dates", _P + """
