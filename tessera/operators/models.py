@@ -117,7 +117,10 @@ def vocabulary(df: DataFrame, id_col: str, text_col: str, stop_words: list[str]
         stop_words = StopWordsRemover.loadDefaultStopWords("english")
     n_docs = df.count()
     t = df.select(id_col, F.explode(tokens(F.col(text_col), stop_words)).alias("term"))
-    g = t.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(id_col).alias("docs"))
+    # (term, document) pairs first -- every task pre-combines its own
+    # documents -- then per term: total count and document frequency.
+    per_doc = t.groupBy("term", id_col).agg(F.count(F.lit(1)).alias("c"))
+    g = per_doc.groupBy("term").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("docs"))
     keep = g.where((F.col("docs") >= min_df) & (F.col("docs") <= F.lit(max_df * n_docs)))
     return keep.orderBy(F.desc("n"), F.asc("term")).limit(max_terms)
 

@@ -84,39 +84,63 @@ _CAND = T.StructType([
 ])
 
 
+# Scores held at once per task: batch rows x queries (doubles), ~128 MB.
+MAX_SCORE_CELLS = 16_000_000
+
+
+def _topk_rows(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Row indices of the k best scores (ties: smaller id first)."""
+    n = len(s)
+    if n > k:
+        kth = np.partition(s, n - k)[n - k]          # k-th largest value
+        cand = np.nonzero(s >= kth)[0]               # keeps every tie at the boundary
+    else:
+        cand = np.arange(n)
+    order = np.lexsort((ids[cand], -s[cand]))[:k]
+    return cand[order]
+
+
 def _scorer(qids: np.ndarray, qmat: np.ndarray, k: int, width: int):
-    """mapInPandas body: per partition keep the best k per (query, corpus)."""
+    """mapInPandas body: per partition keep the best k per (query, corpus).
+
+    Each Arrow batch is scored against at most ``MAX_SCORE_CELLS / rows``
+    queries at a time, so memory per task stays bounded whatever the query
+    block size; only k rows per (query, corpus) survive the partition.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[tuple[int, str], pd.DataFrame] = {}
+        best: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]] = {}
         for pdf in batches:
             if pdf.empty:
                 continue
+            col = pdf["vec"].to_numpy()
+            ok = np.fromiter((v is not None and len(v) == width for v in col), bool, len(col))
             vecs = np.zeros((len(pdf), width), dtype=np.float64)
-            for i, v in enumerate(pdf["vec"].to_numpy()):
-                if v is not None and len(v) == width:
-                    vecs[i] = v
+            if ok.any():
+                vecs[ok] = np.stack(col[ok]).astype(np.float64)
             norms = np.linalg.norm(vecs, axis=1)
-            safe = np.where(norms == 0, 1.0, norms)
-            sims = (vecs / safe[:, None]) @ qmat.T
-            sims[norms == 0, :] = 0.0
+            unit = vecs / np.where(norms == 0, 1.0, norms)[:, None]   # zero vector stays zero
             ids = pdf["id"].to_numpy(dtype=np.int64)
             corpora = pdf["corpus"].to_numpy()
-            for c in np.unique(corpora):
-                rows = np.nonzero(corpora == c)[0]
-                for j, qid in enumerate(qids):
-                    s = sims[rows, j]
-                    order = np.lexsort((ids[rows], -s))[:k]
-                    cand = pd.DataFrame({"query_id": np.int64(qid), "corpus": c,
-                                         "id": ids[rows][order], "cosine": s[order]})
-                    key = (int(qid), c)
-                    if key in best:
-                        m = pd.concat([best[key], cand])
-                        m = m.iloc[np.lexsort((m["id"].to_numpy(), -m["cosine"].to_numpy()))[:k]]
-                        best[key] = m
-                    else:
-                        best[key] = cand
+            groups = [(c, np.nonzero(corpora == c)[0]) for c in np.unique(corpora)]
+            step = max(1, MAX_SCORE_CELLS // max(len(pdf), 1))
+            for q0 in range(0, len(qids), step):
+                sims = unit @ qmat[q0:q0 + step].T
+                for j in range(sims.shape[1]):
+                    qid = int(qids[q0 + j])
+                    for c, rows in groups:
+                        s, i = sims[rows, j], ids[rows]
+                        key = (qid, c)
+                        if key in best:
+                            s, i = np.concatenate([best[key][0], s]), np.concatenate([best[key][1], i])
+                        keep = _topk_rows(s, i, k)
+                        best[key] = (s[keep], i[keep])
         if best:
-            yield pd.concat(best.values(), ignore_index=True)
+            yield pd.DataFrame({
+                "query_id": np.concatenate([np.full(len(v[1]), q, dtype=np.int64) for (q, _), v in best.items()]),
+                "corpus": np.concatenate([np.full(len(v[1]), c, dtype=object) for (_, c), v in best.items()]),
+                "id": np.concatenate([v[1] for v in best.values()]),
+                "cosine": np.concatenate([v[0] for v in best.values()]),
+            })
     return run
 
 
