@@ -171,3 +171,14 @@ def chunk_vote_sentiment(chunk_scores: DataFrame, id_col: str, docs: DataFrame |
     return out.select(id_col, "roberta_label", "roberta_scores",
                       F.col("roberta_scores.positive").alias("roberta_pos_score"),
                       F.col("roberta_scores.negative").alias("roberta_neg_score"))
+
+
+def query_sentiment(queries: DataFrame, id_col: str, text_col: str, lexicon: DataFrame,
+                    max_chars: int = 1000) -> DataFrame:
+    """Polarity, subjectivity and label of each query's first ``max_chars``
+    characters (the same scorer as ``lexicon_polarity``)."""
+    q = queries.select(id_col, F.substring(F.col(text_col), 1, max_chars).alias("_q"))
+    r = lexicon_polarity(q, id_col, "_q", lexicon)
+    return r.select(id_col, F.col("tb_polarity").alias("query_polarity"),
+                    F.col("tb_subjectivity").alias("query_subjectivity"),
+                    F.col("tb_sentiment").alias("query_sentiment_label"))

@@ -171,8 +171,9 @@ def similarity_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *, id_col
 
     Returns (query_id, corpus, rank, id, cosine, similarity) where
     ``similarity = (cosine + 1) / 2``; rows whose similarity is exactly 0 are
-    dropped after ranking (so fewer than k may come back).  A null or
-    wrong-width corpus vector counts as the zero vector (similarity 0.5).
+    dropped after ranking (so fewer than k may come back).  Rows without a
+    vector are skipped; a wrong-width vector counts as the zero vector
+    (similarity 0.5).
     Ties rank the smaller id first.
     """
     if k < 1:
@@ -180,8 +181,11 @@ def similarity_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *, id_col
     spark = corpus.sparkSession
     q = queries.select(F.col(query_id_col).cast("long").alias("query_id"),
                        F.col(query_vec_col).cast("array<double>").alias("qv"))
-    c = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(corpus_col).alias("corpus"),
-                      F.col(vec_col).cast("array<double>").alias("vec"))
+    # Rows without a vector are not searchable; a vector of the wrong width
+    # is scored as the zero vector (similarity 0.5).
+    c = corpus.where(F.col(vec_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"), F.col(corpus_col).alias("corpus"),
+        F.col(vec_col).cast("array<double>").alias("vec"))
     results = []
     for block in _query_blocks(q, max_query_block):
         rows = block.collect()  # bounded by max_query_block
@@ -205,3 +209,14 @@ def similarity_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *, id_col
     sim = (F.col("cosine") + 1) / 2
     return top.select("query_id", "corpus", "rank", "id", "cosine", sim.alias("similarity")) \
               .where(F.col("similarity") != 0)
+
+
+def check_search_params(text: str | None, top_k: int, min_chars: int = 50, max_k: int = 50) -> None:
+    """Validate a search request: non-blank text of at least ``min_chars``
+    characters and ``1 <= top_k <= max_k``; raises ``ValueError``."""
+    if text is None or not text.strip():
+        raise ValueError("query text is empty")
+    if len(text.strip()) < min_chars:
+        raise ValueError(f"query text must have at least {min_chars} characters")
+    if not isinstance(top_k, int) or isinstance(top_k, bool) or not 1 <= top_k <= max_k:
+        raise ValueError(f"top_k must be an integer in 1..{max_k}")

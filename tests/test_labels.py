@@ -65,3 +65,12 @@ def test_lexicon_polarity_defaults(spark):
     df = spark.createDataFrame([(1, "Great and bad"), (2, "nothing here"), (3, None)], "id long, t string")
     got = {r.id: (round(r.tb_polarity, 6), r.tb_sentiment) for r in lb.lexicon_polarity(df, "id", "t", lex).collect()}
     assert got == {1: (0.1, "positive"), 2: (0.0, "neutral"), 3: (0.0, "neutral")}
+
+
+def test_query_sentiment_reads_first_1000_chars(spark):
+    lex = spark.createDataFrame([("great", 0.6, 0.75), ("awful", -0.9, 1.0)],
+                                "word string, polarity double, subjectivity double")
+    text = "great " + "x" * 1000 + " awful"  # 'awful' lies beyond the first 1000 characters
+    q = spark.createDataFrame([(1, text)], "id long, q string")
+    r = lb.query_sentiment(q, "id", "q", lex).first()
+    assert (r.query_polarity, r.query_sentiment_label) == (0.6, "positive")

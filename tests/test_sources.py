@@ -78,3 +78,29 @@ def test_staged_posts_view_row_count(spark):
     p = posts(spark, "/root/testdata/sf0.001")
     assert p.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     assert p.where(F.col("pos_score").isNull()).count() > 0
+
+
+def test_side_csv_inferred(spark, tmpdir_fresh):
+    path = os.path.join(tmpdir_fresh, "side.csv")
+    with open(path, "w") as f:
+        f.write("company,laid_off,date\nacme,10,2023-01-02\nbeta,,2023-02-03\n")
+    df = readers.read_side_csv(spark, path)
+    assert dict(df.dtypes)["laid_off"] == "int" and df.count() == 2
+
+
+def test_store_vectors_and_multi_table_run(spark, tmpdir_fresh):
+    from tessera.operators import batch, models
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "id long, text string")
+
+    def job(name):
+        if name == "missing":
+            raise ValueError("no such table")
+        out = os.path.join(tmpdir_fresh, name)
+        sinks.write_table(models.embed_batches(docs, "text", models.hashing_encoder(8), 8), out)
+        return sinks.row_count(spark, out)
+
+    r = {x.table: (x.ok, x.rows, x.error) for x in batch.run_for_tables(spark, ["posts", "missing"], job).collect()}
+    assert r["posts"] == (True, 2, None)
+    assert r["missing"][0] is False and "no such table" in r["missing"][2]
+    stored = spark.read.parquet(os.path.join(tmpdir_fresh, "posts"))
+    assert dict(stored.dtypes)["embedding"] == "array<float>"

@@ -30,10 +30,26 @@ def test_topk_semantics(spark):
     q = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, embedding array<double>")
     out = vo.similarity_topk(_corpus(spark, rows), q, k=10).orderBy("corpus", "rank").collect()
     got = [(r.corpus, r.rank, r.id, round(r.similarity, 6)) for r in out]
-    assert got == [("a", 1, 1, 1.0), ("a", 2, 2, 1.0), ("a", 3, 3, 0.5), ("a", 4, 5, 0.5),
+    # id 5 has no vector: not searchable
+    assert got == [("a", 1, 1, 1.0), ("a", 2, 2, 1.0), ("a", 3, 3, 0.5),
                    ("b", 1, 6, round((1 / np.sqrt(2) + 1) / 2, 6))]
 
 
+def test_wrong_width_is_zero_vector(spark):
+    rows = [(1, "a", [1.0, 0.0, 5.0]), (2, "a", [0.0, -1.0])]
+    q = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, embedding array<double>")
+    got = [(r.id, r.similarity) for r in vo.similarity_topk(_corpus(spark, rows), q, k=5).orderBy("rank").collect()]
+    assert got == [(1, 0.5), (2, 0.5)]
+
+
+def test_search_params():
+    import pytest
+    vo.check_search_params("x" * 50, 3)
+    for text, k in [("", 3), ("   ", 3), ("short", 3), ("x" * 60, 0), ("x" * 60, 51), ("x" * 60, True)]:
+        with pytest.raises(ValueError):
+            vo.check_search_params(text, k)
+
+
 def test_topk_matches_brute_force_and_partitioning(spark):
     rng = np.random.default_rng(7)
     vecs = rng.normal(size=(300, 8)).astype(np.float32)
