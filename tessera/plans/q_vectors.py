@@ -14,7 +14,7 @@ from tessera.operators import joins
 from tessera.operators import vectors as vo
 from tessera.plans.registry import register
 from tessera.schemas import DEV_TOPICS, NEWS_TOPICS
-from tessera.sources.tables import table
+from tessera.sources.tables import POSTS_SQL, posts, table
 
 THEME_THRESHOLD = 0.4
 TOP_K = 3
@@ -172,3 +172,17 @@ def q_similarity_topk_batch(spark, sf):
         F.col("label").cast("long").alias("query_id"), F.col("centroid").alias("embedding"))
     top = vo.similarity_topk(e, cents, TOP_K, id_col="vec_id")
     return _attach(top, e)
+
+
+@register("similarity_results", _topk_sql("queries AS (SELECT CAST(label AS BIGINT) AS query_id, c AS qv FROM cvec)")
+          .replace("WITH ", "WITH " + POSTS_SQL + ", ", 1)
+          .replace("coalesce(t.keywords, CAST(r.label AS VARCHAR)) AS topic_name",
+                   "coalesce(t.keywords, CAST(r.label AS VARCHAR)) AS topic_name, p.title, p.secondary_label")
+          .replace("FROM r LEFT JOIN topic_dim t", "FROM r LEFT JOIN posts p ON p.id = r.id LEFT JOIN topic_dim t"))
+def q_similarity_results(spark, sf):
+    """Search hits as result records: rank, similarity and topic name plus the
+    hit's title and secondary label (a left join of the k hits per query)."""
+    top = q_similarity_topk_batch(spark, sf)
+    fields = posts(spark, sf).select("id", "title", "secondary_label")
+    return top.join(fields, "id", "left").select(
+        "query_id", "corpus", "rank", "id", "similarity", "topic_name", "title", "secondary_label")
