@@ -115,7 +115,11 @@ def q_chunk_words(spark, sf):
                      F.array_join("ws", " ").alias("chunk"))
 
 
-@register("scores_to_json")
+@register("scores_to_json", _P + """
+SELECT id, CASE WHEN pos_score IS NULL THEN NULL
+  ELSE CAST(to_json({'positive': pos_score, 'neutral': 0.0::DOUBLE, 'negative': neg_score}) AS VARCHAR)
+  END AS roberta_scores
+FROM posts""")
 def q_scores_to_json(spark, sf):
     p = posts(spark, sf)
     sc = labels.scores_struct(F.col("pos_score"), F.lit(0.0), F.col("neg_score"),
