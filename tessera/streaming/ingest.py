@@ -106,32 +106,78 @@ def quota_stream(stream: DataFrame, sink: str, ckpt: str, group: str, order: lis
     return sink
 
 
+def _bucket(keys: list[str], n_buckets: int):
+    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(n_buckets)).cast("int")
+
+
+def _manifest(table_root: str) -> str:
+    # A leading underscore keeps Spark's Parquet reader of the table away from it.
+    return f"{table_root}/_manifest"
+
+
+def _current_versions(spark: SparkSession, table_root: str, before_batch: int | None = None) -> dict[int, int]:
+    """bucket -> newest version committed by batches before ``before_batch``
+    (one small row per bucket)."""
+    try:
+        m = spark.read.parquet(_manifest(table_root))
+    except Exception:  # nothing committed yet
+        return {}
+    if before_batch is not None:
+        m = m.where(F.col("batch") < before_batch)
+    return {r["bucket"]: r["v"] for r in m.groupBy("bucket").agg(F.max(VERSION_COL).alias("v")).collect()}
+
+
+def _version_paths(table_root: str, versions: dict[int, int]) -> list[str]:
+    return [f"{table_root}/bucket={b}/{VERSION_COL}={v}" for b, v in sorted(versions.items())]
+
+
 def upsert_stream(stream: DataFrame, initial: DataFrame, table_root: str, ckpt: str,
-                  keys: list[str], order_col: str) -> str:
-    """Micro-batch upsert into a versioned Parquet table.
-
-    Batch ``b`` merges its rows into the newest version older than ``b`` (or
-    ``initial``) and writes version ``b`` as ``table_root/table_version=b``; readers
-    take the highest version.  Rows carry ``order_col`` (``initial`` too), and
-    per key the largest ``order_col`` wins -- an update on ties -- so the result
-    does not depend on how rows were cut into batches, and a replayed batch
-    rewrites the same version.
+                  keys: list[str], order_col: str, n_buckets: int = 64) -> str:
+    """Micro-batch upsert into a bucketed, versioned Parquet table
+    (copy-on-write per bucket).
+
+    Rows live under ``table_root/bucket=<hash(keys) mod n>/table_version=<v>``
+    and a manifest records which version of each bucket is current.  Batch
+    ``b`` reads only the current files of the buckets its rows hash to,
+    merges (per key the largest ``order_col`` wins, an update on ties), writes
+    those buckets as version ``b + 1`` and appends its manifest entries under
+    ``batch=b``.  Untouched buckets are never rewritten.  A replayed batch
+    recomputes from the versions committed before it and overwrites the same
+    partitions and manifest entries, so retries do not change the result.
     """
     spark = stream.sparkSession
     cols = initial.columns
     if order_col not in cols:
         raise ValueError(f"initial rows need the order column {order_col!r}")
+    bucket = _bucket(keys, n_buckets)
+
+    def write_version(rows: DataFrame, version: int, batch_id: int, touched: list[int]) -> None:
+        (rows.withColumn("bucket", bucket).withColumn(VERSION_COL, F.lit(version))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("bucket", VERSION_COL).parquet(table_root))
+        # Manifest last: a batch whose data write failed commits nothing.
+        (spark.createDataFrame([(b, version) for b in touched], f"bucket int, {VERSION_COL} int")
+              .coalesce(1).write.mode("overwrite").parquet(f"{_manifest(table_root)}/batch={batch_id}"))
+
+    def buckets_of(rows: DataFrame) -> list[int]:
+        return [r["b"] for r in rows.select(bucket.alias("b")).distinct().collect()]  # <= n_buckets
+
+    if not _current_versions(spark, table_root):
+        write_version(initial, 0, -1, buckets_of(initial))
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
-        try:
-            versions = spark.read.parquet(table_root).where(F.col(VERSION_COL) < batch_id)
-            last = versions.agg(F.max(VERSION_COL)).first()[0]
-        except Exception:  # first batch: no table yet
-            last = None
-        current = initial if last is None else versions.where(F.col(VERSION_COL) == last).select(*cols)
-        both = current.withColumn("_src", F.lit(0)).unionByName(df.select(*cols).withColumn("_src", F.lit(1)))
+        upd = df.select(*cols).persist()  # read twice: bucket list and merge
+        hit = buckets_of(upd)
+        current = _current_versions(spark, table_root, batch_id)
+        paths = _version_paths(table_root, {b: v for b, v in current.items() if b in hit})
+        both = upd.withColumn("_src", F.lit(1))
+        if paths:
+            old = spark.read.option("basePath", table_root).parquet(*paths).select(*cols)
+            both = old.withColumn("_src", F.lit(0)).unionByName(both)
         merged = dedup.keep_last(both, keys, [order_col, "_src"]).select(*cols)
-        merged.write.mode("overwrite").parquet(f"{table_root}/{VERSION_COL}={batch_id}")
+        if hit:
+            write_version(merged, batch_id + 1, batch_id, hit)
+        upd.unpersist()
 
     (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
            .trigger(availableNow=True).start().awaitTermination())
@@ -139,6 +185,6 @@ def upsert_stream(stream: DataFrame, initial: DataFrame, table_root: str, ckpt:
 
 
 def read_latest_version(spark: SparkSession, table_root: str) -> DataFrame:
-    t = spark.read.parquet(table_root)
-    last = t.agg(F.max(VERSION_COL)).first()[0]
-    return t.where(F.col(VERSION_COL) == last).drop(VERSION_COL)
+    """The current rows: for each bucket only its newest committed version's files."""
+    paths = _version_paths(table_root, _current_versions(spark, table_root))
+    return spark.read.option("basePath", table_root).parquet(*paths).drop("bucket", VERSION_COL)
