@@ -158,7 +158,7 @@ def chunk_vote_sentiment(chunk_scores: DataFrame, id_col: str, docs: DataFrame |
         F.sum(F.when(F.col("label") == l, F.col("score")).otherwise(F.lit(0.0))).alias(f"_{l}")
         for l in labels])
     tot = sum((F.col(f"_{l}") for l in labels), F.lit(0.0))
-    normed = sums.select(id_col, *[(F.col(f"_{l}") / tot).alias(l) for l in labels])
+    normed = sums.select(id_col, *[F.try_divide(F.col(f"_{l}"), tot).alias(l) for l in labels])
     best = F.greatest(*[F.col(l) for l in labels])
     lab = F.when(F.col(labels[0]) == best, F.lit(labels[0]))
     for l in labels[1:]:

@@ -80,7 +80,7 @@ def null_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     long = wide.select("_n", F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("missing")) for c in cols])).alias("x"))
     return long.select("x.column", "x.missing",
-                       (F.col("x.missing") / F.col("_n") * 100.0).alias("percent"))
+                       (F.try_divide(F.col("x.missing"), F.col("_n")) * 100.0).alias("percent"))
 
 
 def null_matrix(df: DataFrame, order: list[str], n: int = 100, cols: list[str] | None = None) -> DataFrame:

@@ -99,8 +99,8 @@ def sentiment_all_topics(per_topic: DataFrame) -> DataFrame:
     s = per_topic.agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
     tot = F.col("positive") + F.col("negative")
     return s.select("positive", "negative",
-                    (F.col("positive") * 100.0 / tot).alias("positive_share"),
-                    (F.col("negative") * 100.0 / tot).alias("negative_share"))
+                    F.try_divide(F.col("positive") * 100.0, tot).alias("positive_share"),
+                    F.try_divide(F.col("negative") * 100.0, tot).alias("negative_share"))
 
 
 def topic_share_by_month(df: DataFrame, date_col: str, topic_col: str, n_topics: int = 8,

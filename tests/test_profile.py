@@ -58,3 +58,16 @@ def test_tag_counts_fill_zero_and_top_ties(spark):
 def test_duplicate_profile(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",)], "k string")
     assert pf.duplicate_profile(df, "k").first().asDict() == {"rows": 3, "distinct_keys": 2, "duplicates": 1}
+
+
+def test_empty_inputs_do_not_fail(spark):
+    from tessera.operators import labels as lb
+    from tessera.operators import trends
+    empty = spark.createDataFrame([], "a int, b string")
+    assert [(r.column, r.missing, r.percent) for r in pf.null_profile(empty).collect()] == [
+        ("a", 0, None), ("b", 0, None)]
+    assert pf.histogram(empty, F.col("a"), 4).count() == 0
+    zero = spark.createDataFrame([(1, 0, "positive", 0.0)], "id long, chunk_no int, label string, score double")
+    assert lb.chunk_vote_sentiment(zero, "id").first().roberta_label is None
+    per = spark.createDataFrame([(0, 0.0, 0.0)], "t int, positive double, negative double")
+    assert trends.sentiment_all_topics(per).first().positive_share is None
