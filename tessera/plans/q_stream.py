@@ -35,9 +35,25 @@ def q_stream_ingest(spark, sf):
     return spark.read.parquet(sink).select("id")
 
 
-@register("stream_dedup", with_ctes(POSTS_SQL) + """
-SELECT DISTINCT CAST(year(published_on) AS INTEGER) AS year, substring(body_text, 1, 50) AS prefix FROM posts""")
+_DEDUP_KEYS_SQL = with_ctes(POSTS_SQL) + """
+SELECT DISTINCT CAST(year(published_on) AS INTEGER) AS year, substring(body_text, 1, 50) AS prefix FROM posts"""
+
+
+@register("stream_dedup", _DEDUP_KEYS_SQL)
 def q_stream_dedup(spark, sf):
+    """Exact prefix dedup over several micro-batches: every (year, prefix) key
+    survives exactly once (which copy depends on arrival, first seen wins)."""
+    src = _source(spark, sf, max_files_per_trigger=2).select(
+        "id", F.col("year").cast("int").alias("year"), "published_at",
+        F.substring("text", 1, 50).alias("prefix"))
+    sink, ck = st.fresh_dirs(spark, "dedup_exact")
+    st.dedup_stream_exact(src, sink, ck, ["year", "prefix"], ["published_at", "id"], prune_col="year")
+    return spark.read.parquet(sink).select("year", "prefix")
+
+
+@register("stream_dedup_watermark", _DEDUP_KEYS_SQL)
+def q_stream_dedup_watermark(spark, sf):
+    """Watermark-bounded dedup state; which copy survives depends on arrival."""
     s = st.dedup_prefix_stream(_source(spark, sf), "text", "year", "published_at")
     sink, ck = st.fresh_dirs(spark, "dedup")
     st.run_available_now(s.select("year", "prefix", "id"), sink, ck)

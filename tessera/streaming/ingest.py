@@ -72,6 +72,44 @@ def dedup_prefix_stream(stream: DataFrame, text: str, group: str, event_time: st
                   .dropDuplicatesWithinWatermark([group, "prefix"]))
 
 
+def dedup_stream_exact(stream: DataFrame, sink: str, ckpt: str, keys: list[str], order: list[str],
+                       prune_col: str | None = None) -> str:
+    """Keep the first row per key across micro-batches, exactly and without
+    a watermark.
+
+    Each batch first collapses its own copies with ``keep_first`` (an
+    aggregation, so a group of copies is pre-combined in every task before
+    the shuffle), then drops keys seen by earlier batches with a left anti
+    join against the key table ``sink/_keys`` -- read only for the values
+    of ``prune_col`` (e.g. the year) present in the batch.  Output rows go to
+    ``sink/batch=<id>`` and new keys to ``sink/_keys/batch=<id>``; a replayed
+    batch compares against earlier batches only and overwrites its own
+    partitions.
+    """
+    spark = stream.sparkSession
+    key_root = f"{sink}/_keys"
+
+    def per_batch(df: DataFrame, batch_id: int) -> None:
+        first = dedup.keep_first(df, keys, order).persist()
+        try:
+            seen = spark.read.parquet(key_root).where(F.col("batch") < batch_id)
+            if prune_col:
+                present = [r[0] for r in first.select(prune_col).distinct().collect()]  # few values
+                seen = seen.where(F.col(prune_col).isin(present))
+            fresh = first.join(seen.select(*keys), keys, "left_anti")
+        except Exception:  # first batch: no keys yet
+            fresh = first
+        fresh = fresh.persist()
+        fresh.write.mode("overwrite").parquet(_batch_part(sink, batch_id))
+        fresh.select(*keys).write.mode("overwrite").parquet(f"{key_root}/batch={batch_id}")
+        fresh.unpersist()
+        first.unpersist()
+
+    (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
+           .trigger(availableNow=True).start().awaitTermination())
+    return sink
+
+
 def _batch_part(path: str, batch_id: int) -> str:
     return f"{path}/batch={batch_id}"
 
