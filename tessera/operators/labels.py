@@ -95,8 +95,8 @@ def _chunks(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
 def _word_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, pos, word) per whitespace word, lower-cased; a document without
     words keeps one row with null pos/word so it is not lost."""
-    return df.select(id_col, F.posexplode_outer(tx.words(text_col)).alias("pos", "w")).select(
-        id_col, "pos", F.lower("w").alias("word"))
+    # Lower-casing the text once is cheaper than lower-casing every word row.
+    return df.select(id_col, F.posexplode_outer(tx.words(F.lower(F.col(text_col)))).alias("pos", "word"))
 
 
 def chunked_lexicon_sentiment(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame,
@@ -117,7 +117,7 @@ def chunked_lexicon_sentiment(df: DataFrame, id_col: str, text_col: str, lexicon
     lex = checked_broadcast(lexicon.select(F.lower("word").alias("word"),
                                            F.col("weight").cast("double").alias("weight")),
                             max_lexicon_rows)
-    words = _word_rows(df, id_col, text_col).withColumn("chunk_no", F.floor(F.col("pos") / size))
+    words = _word_rows(df, id_col, text_col).withColumn("chunk_no", F.expr(f"pos div {int(size)}"))
     sums = words.join(lex, "word", "left").groupBy(id_col, "chunk_no").agg(
         F.sum(F.coalesce("weight", F.lit(0.0))).alias("s"), F.count("pos").alias("n"))
     chunk = F.when(F.col("n") > 0, F.col("s") / F.sqrt(F.col("s") * F.col("s") + F.lit(COMPOUND_ALPHA)))
