@@ -87,6 +87,16 @@ def semi_filter(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFram
     return df.join(keys.select(*cols).distinct(), on=cols, how="left_semi")
 
 
+def keep_keys(df: DataFrame, keys: DataFrame, col: str, max_keys: int = 10_000) -> DataFrame:
+    """Keep rows whose ``col`` is in ``keys``.  Up to ``max_keys`` distinct
+    keys are fetched and applied as an ``IN`` list, which Parquet can use to
+    skip row groups; beyond that bound it falls back to a left semi join."""
+    ids = [r[0] for r in keys.select(col).distinct().limit(max_keys + 1).collect()]
+    if len(ids) <= max_keys:
+        return df.where(F.col(col).isin(ids)) if ids else df.limit(0)
+    return df.join(keys.select(col).distinct(), col, "left_semi")
+
+
 def funnel(df: DataFrame, pred: Column) -> DataFrame:
     """Before / kept / removed counts of a filter in one pass."""
     return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(pred).alias("kept")) \

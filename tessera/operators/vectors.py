@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.functions import vectors as vf
-from tessera.operators.joins import checked_broadcast
+from tessera.operators.filters import keep_keys
 
 MAX_QUERY_BLOCK = 20_000
 
@@ -72,8 +72,7 @@ def theme_filter(df: DataFrame, cluster_col: str, vec_col: str, theme: list[floa
     """Rows of clusters whose centroid is at least ``threshold`` similar to
     the theme (left semi join against the selected cluster ids)."""
     ranked = rank_by_theme(centroids(df, cluster_col, vec_col), cluster_col, theme, threshold)
-    keep = checked_broadcast(ranked.where("selected").select(cluster_col), max_clusters)
-    return df.join(keep, cluster_col, "left_semi")
+    return keep_keys(df, ranked.where("selected"), cluster_col, max_clusters)
 
 
 _CAND = T.StructType([

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as vf
 from tessera.operators import joins
+from tessera.operators.filters import keep_keys
 from tessera.operators import vectors as vo
 from tessera.plans.registry import register
 from tessera.schemas import DEV_TOPICS, NEWS_TOPICS
@@ -106,8 +107,7 @@ def q_cluster_semi_filter(spark, sf):
     ranked = vo.rank_by_theme(vo.centroids(e, "label", "embedding"), "label", theme, THEME_THRESHOLD)
     rows = e.select("vec_id", "label").join(
         table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "n_chars"), "vec_id")
-    keep = joins.checked_broadcast(ranked.where("selected").select("label"), 10_000)
-    return rows.join(keep, "label", "left_semi").select("vec_id", "label", "n_chars")
+    return keep_keys(rows, ranked.where("selected"), "label", 10_000).select("vec_id", "label", "n_chars")
 
 
 @register("invalid_vector_guard", f"""
