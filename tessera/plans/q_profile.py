@@ -175,3 +175,11 @@ def _tag_rows(spark, sf):
     p = posts(spark, sf).where(F.col("published_at").isNotNull() & F.col("tags").isNotNull())
     return p.select(F.year("published_at").alias("year_released"),
                     F.explode(tx.split_tags("tags")).alias("tag"))
+
+
+@register("tag_counts_by_year_wide", _P + _TAGS + """
+, f AS (SELECT year_released, tag FROM tags WHERE tag IN (SELECT tag FROM top))
+PIVOT f ON tag USING count(*) GROUP BY year_released""")
+def q_tag_counts_by_year_wide(spark, sf):
+    """One column per top tag (pivot on the k fetched tag values), zeros filled."""
+    return topk.counts_by_top(_tag_rows(spark, sf), "year_released", "tag", 8, wide=True)
