@@ -64,8 +64,7 @@ FROM embeddings, theme""")
 def q_cosine_similarity(spark, sf):
     e = table(spark, sf, "embeddings")
     theme = vo.mean_vector(e, "embedding")
-    return e.select("vec_id", F.round(vf.cosine("embedding", F.array(*[F.lit(x) for x in theme])), 6)
-                    .alias("cosine"))
+    return e.select("vec_id", F.round(vf.cosine_to("embedding", theme), 6).alias("cosine"))
 
 
 @register("theme_ranked_clusters", f"""
@@ -121,8 +120,7 @@ def q_invalid_vector_guard(spark, sf):
     e = table(spark, sf, "embeddings")
     theme = vo.mean_vector(e, "embedding")
     broken = F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
-    g = vf.guard_vector(broken, len(theme))
-    sim = (vf.cosine(g, F.array(*[F.lit(x) for x in theme])) + 1) / 2
+    sim = (vf.cosine_to(broken, theme) + 1) / 2  # wrong width -> zero vector -> 0.5
     return e.select("vec_id", F.round(sim, 6).alias("similarity"))
 
 

@@ -100,3 +100,13 @@ def test_argmax_first_wins(spark):
     df = spark.createDataFrame([([0.2, 0.5, 0.5],)], "a array<double>")
     assert df.select(vf.argmax("a")).first()[0] == 1
     assert df.select(F.array_max("a")).first()[0] == 0.5
+
+
+def test_cosine_to_matches_expression(spark):
+    df = spark.createDataFrame([([1.0, 0.0],), ([3.0, 4.0],), ([0.0, 0.0],), (None,), ([1.0],)],
+                               "v array<double>")
+    q = [0.6, 0.8]
+    got = [r[0] for r in df.select(vf.cosine_to("v", q)).collect()]
+    assert [round(x, 12) for x in got] == [0.6, 1.0, 0.0, 0.0, 0.0]
+    ref = [r[0] for r in df.select(vf.cosine(vf.guard_vector("v", 2), F.array(F.lit(0.6), F.lit(0.8)))).collect()]
+    assert [round(x, 12) for x in ref] == [round(x, 12) for x in got]
