@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import text as tx
 from tessera.operators.joins import checked_broadcast
@@ -33,11 +32,19 @@ def scores_struct(pos: Column, neu: Column, neg: Column, null_when: Column | Non
 
 def label_distribution(df: DataFrame, label_col: str) -> DataFrame:
     """``value_counts(dropna=False)`` with percent of total, rounded half-even
-    to 2 decimals.  The total is a window over the (few) label groups only."""
-    g = df.groupBy(F.col(label_col).alias(label_col)).agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(Window.partitionBy())
-    return g.select(label_col, "count",
-                    F.bround(F.col("count") / total * 100.0, 2).alias("percent"))
+    to 2 decimals.
+
+    The input is scanned once: the grouped counts are checkpointed and the
+    total is summed from them as a scalar, so no step gathers the groups
+    into one task whatever the column's cardinality.
+    """
+    counted = df.groupBy(F.col(label_col).alias(label_col)).agg(
+        F.count(F.lit(1)).alias("count")).persist()
+    g = counted.checkpoint()
+    counted.unpersist()
+    total = g.agg(F.sum("count")).first()[0] or 0
+    pct = F.bround(F.col("count") / F.lit(float(total)) * 100.0, 2) if total else F.lit(None).cast("double")
+    return g.select(label_col, "count", pct.alias("percent"))
 
 
 def crosstab(df: DataFrame, scorer_cols: dict[str, str],
