@@ -57,3 +57,14 @@ def test_constraints(spark):
                                "id long, title string, url string")
     r = dedup.check_constraints(df, ["id"], ["title", "url"]).first().asDict()
     assert r == {"rows": 3, "null_key": 1, "null_title": 1, "null_url": 1, "duplicate_keys": 1}
+
+
+def test_upsert_hot_key_many_versions(spark):
+    base = spark.createDataFrame([(k, f"b{k}") for k in range(20)], "id long, title string")
+    upd = spark.createDataFrame([(0, f"v{s}", s) for s in range(5000)] + [(7, "x", 1)],
+                                "id long, title string, seq int").repartition(8)
+    out = dedup.upsert_latest(base, upd, ["id"], "seq")
+    got = {r.id: r.title for r in out.collect()}
+    assert len(got) == 20 and got[0] == "v4999" and got[7] == "x" and got[3] == "b3"
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max" in plan  # versions of the hot key are combined in every task first
