@@ -99,15 +99,16 @@ def _topk_rows(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return cand[order]
 
 
-def _scorer(qids: np.ndarray, qmat: np.ndarray, k: int, width: int):
+def _scorer(qids: np.ndarray, qmat: np.ndarray, k: int, width: int, carry: list[str]):
     """mapInPandas body: per partition keep the best k per (query, corpus).
 
     Each Arrow batch is scored against at most ``MAX_SCORE_CELLS / rows``
     queries at a time, so memory per task stays bounded whatever the query
-    block size; only k rows per (query, corpus) survive the partition.
+    block size; only k rows per (query, corpus) survive the partition, with
+    the ``carry`` columns of those rows.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]] = {}
+        best: dict[tuple[int, str], tuple[np.ndarray, np.ndarray, pd.DataFrame]] = {}
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -119,6 +120,7 @@ def _scorer(qids: np.ndarray, qmat: np.ndarray, k: int, width: int):
             norms = np.linalg.norm(vecs, axis=1)
             unit = vecs / np.where(norms == 0, 1.0, norms)[:, None]   # zero vector stays zero
             ids = pdf["id"].to_numpy(dtype=np.int64)
+            extra = pdf[carry].reset_index(drop=True)
             corpora = pdf["corpus"].to_numpy()
             groups = [(c, np.nonzero(corpora == c)[0]) for c in np.unique(corpora)]
             step = max(1, MAX_SCORE_CELLS // max(len(pdf), 1))
@@ -127,19 +129,33 @@ def _scorer(qids: np.ndarray, qmat: np.ndarray, k: int, width: int):
                 for j in range(sims.shape[1]):
                     qid = int(qids[q0 + j])
                     for c, rows in groups:
-                        s, i = sims[rows, j], ids[rows]
                         key = (qid, c)
-                        if key in best:
-                            s, i = np.concatenate([best[key][0], s]), np.concatenate([best[key][1], i])
+                        prev = best.get(key)
+                        s = sims[rows, j] if prev is None else np.concatenate([prev[0], sims[rows, j]])
+                        i = ids[rows] if prev is None else np.concatenate([prev[1], ids[rows]])
                         keep = _topk_rows(s, i, k)
-                        best[key] = (s[keep], i[keep])
+                        n_prev = 0 if prev is None else len(prev[1])
+                        parts = []
+                        if prev is not None:
+                            parts.append(prev[2].iloc[keep[keep < n_prev]])
+                        parts.append(extra.iloc[rows[keep[keep >= n_prev] - n_prev]])
+                        kept_extra = pd.concat(parts, ignore_index=True)
+                        # keep order: previous winners first, then new ones -> reorder to match
+                        order = np.concatenate([keep[keep < n_prev], keep[keep >= n_prev]])
+                        s_k, i_k = s[order], i[order]
+                        best[key] = (s_k, i_k, kept_extra)
         if best:
-            yield pd.DataFrame({
+            out = pd.DataFrame({
                 "query_id": np.concatenate([np.full(len(v[1]), q, dtype=np.int64) for (q, _), v in best.items()]),
                 "corpus": np.concatenate([np.full(len(v[1]), c, dtype=object) for (_, c), v in best.items()]),
                 "id": np.concatenate([v[1] for v in best.values()]),
                 "cosine": np.concatenate([v[0] for v in best.values()]),
             })
+            if carry:
+                ex = pd.concat([v[2] for v in best.values()], ignore_index=True)
+                for cname in carry:
+                    out[cname] = ex[cname].to_numpy()
+            yield out
     return run
 
 
@@ -165,7 +181,8 @@ def _query_blocks(queries: DataFrame, max_block: int) -> list[DataFrame]:
 def similarity_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *, id_col: str = "id",
                     vec_col: str = "embedding", corpus_col: str = "corpus",
                     query_id_col: str = "query_id", query_vec_col: str = "embedding",
-                    width: int | None = None, max_query_block: int = MAX_QUERY_BLOCK) -> DataFrame:
+                    width: int | None = None, max_query_block: int = MAX_QUERY_BLOCK,
+                    carry: list[str] | None = None) -> DataFrame:
     """Exact top-``k`` corpus rows per (query, corpus) by cosine similarity.
 
     Returns (query_id, corpus, rank, id, cosine, similarity) where
@@ -173,7 +190,8 @@ def similarity_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *, id_col
     dropped after ranking (so fewer than k may come back).  Rows without a
     vector are skipped; a wrong-width vector counts as the zero vector
     (similarity 0.5).
-    Ties rank the smaller id first.
+    Ties rank the smaller id first.  ``carry`` names corpus columns returned
+    with each hit (so the corpus is read once).
     """
     if k < 1:
         raise ValueError("k must be >= 1")
@@ -182,9 +200,11 @@ def similarity_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *, id_col
                        F.col(query_vec_col).cast("array<double>").alias("qv"))
     # Rows without a vector are not searchable; a vector of the wrong width
     # is scored as the zero vector (similarity 0.5).
+    carry = list(carry or [])
     c = corpus.where(F.col(vec_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(corpus_col).alias("corpus"),
-        F.col(vec_col).cast("array<double>").alias("vec"))
+        F.col(vec_col).cast("array<double>").alias("vec"), *carry)
+    schema = T.StructType(_CAND.fields + [c.schema[n] for n in carry])
     results = []
     for block in _query_blocks(q, max_query_block):
         rows = block.collect()  # bounded by max_query_block
@@ -196,17 +216,18 @@ def similarity_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *, id_col
         qn = np.linalg.norm(qmat, axis=1)
         qmat = qmat / np.where(qn == 0, 1.0, qn)[:, None]
         qids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-        results.append(c.mapInPandas(_scorer(qids, qmat, k, w), _CAND))
+        results.append(c.mapInPandas(_scorer(qids, qmat, k, w, carry), schema))
     if not results:
-        return spark.createDataFrame([], _CAND).withColumn("rank", F.lit(1)).withColumn(
-            "similarity", F.lit(0.0))
+        empty = spark.createDataFrame([], schema)
+        return empty.select("query_id", "corpus", F.lit(1).alias("rank"), "id", "cosine",
+                            F.lit(0.0).alias("similarity"), *carry)
     cand = results[0]
     for r in results[1:]:
         cand = cand.unionByName(r)
     w = Window.partitionBy("query_id", "corpus").orderBy(F.desc("cosine"), F.asc("id"))
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     sim = (F.col("cosine") + 1) / 2
-    return top.select("query_id", "corpus", "rank", "id", "cosine", sim.alias("similarity")) \
+    return top.select("query_id", "corpus", "rank", "id", "cosine", sim.alias("similarity"), *carry) \
               .where(F.col("similarity") != 0)
 
 

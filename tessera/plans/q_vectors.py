@@ -145,9 +145,7 @@ WHERE r.rank <= {TOP_K} AND (r.cosine + 1) / 2 <> 0"""
 
 
 def _attach(top, e):
-    labels = e.select(F.col("vec_id").alias("id"), "label")
-    t = top.join(labels, "id")  # k rows per (query, corpus) against a key lookup
-    named = joins.topic_name(t, "corpus", "label")
+    named = joins.topic_name(top, "corpus", "label")  # label came with each hit
     return named.select("query_id", "corpus", "rank", "id", F.round("similarity", 6).alias("similarity"),
                         "topic_name")
 
@@ -158,7 +156,7 @@ def q_similarity_topk(spark, sf):
     theme = vo.mean_vector(e, "embedding")
     q = spark.range(1).select(F.col("id").alias("query_id"),
                               F.array(*[F.lit(x) for x in theme]).alias("embedding"))
-    top = vo.similarity_topk(e, q, TOP_K, id_col="vec_id")
+    top = vo.similarity_topk(e, q, TOP_K, id_col="vec_id", carry=["label"])
     return _attach(top, e)
 
 
@@ -168,7 +166,7 @@ def q_similarity_topk_batch(spark, sf):
     e = _emb(spark, sf)
     cents = vo.centroids(e, "label", "embedding").select(
         F.col("label").cast("long").alias("query_id"), F.col("centroid").alias("embedding"))
-    top = vo.similarity_topk(e, cents, TOP_K, id_col="vec_id")
+    top = vo.similarity_topk(e, cents, TOP_K, id_col="vec_id", carry=["label"])
     return _attach(top, e)
 
 

@@ -110,3 +110,13 @@ def test_cosine_to_matches_expression(spark):
     assert [round(x, 12) for x in got] == [0.6, 1.0, 0.0, 0.0, 0.0]
     ref = [r[0] for r in df.select(vf.cosine(vf.guard_vector("v", 2), F.array(F.lit(0.6), F.lit(0.8)))).collect()]
     assert [round(x, 12) for x in ref] == [round(x, 12) for x in got]
+
+
+def test_topk_carries_columns(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "ab"[i % 2], rng.normal(size=4).astype(np.float32).tolist(), f"t{i}") for i in range(200)]
+    corpus = spark.createDataFrame(rows, "id long, corpus string, embedding array<float>, title string")
+    q = spark.createDataFrame([(1, rng.normal(size=4).tolist()), (2, rng.normal(size=4).tolist())],
+                              "query_id long, embedding array<double>")
+    out = vo.similarity_topk(corpus.repartition(3), q, 4, carry=["title"], max_query_block=1).collect()
+    assert len(out) == 2 * 2 * 4 and all(r.title == f"t{r.id}" for r in out)
