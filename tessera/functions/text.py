@@ -177,3 +177,14 @@ def split_tags(c: ColumnOrName, sep: str = ",") -> Column:
     """Comma-separated tags, trimmed, blanks dropped."""
     return F.filter(F.transform(F.split(_c(c), re.escape(sep)), lambda t: F.trim(t)),
                     lambda t: t != "")
+
+
+def parse_tags(c: ColumnOrName) -> Column:
+    """Tags stored either as a JSON array (``["ai","ml"]``) or as
+    comma-separated text; JSON is parsed as JSON so brackets and quotes never
+    end up inside tags.  Blank tags are dropped."""
+    col = _c(c)
+    as_json = F.from_json(col, "array<string>")
+    parsed = F.when(F.trim(col).startswith("[") & as_json.isNotNull(),
+                    F.filter(F.transform(as_json, lambda t: F.trim(t)), lambda t: t != ""))
+    return parsed.otherwise(split_tags(col))

@@ -105,3 +105,9 @@ def test_stem_filter_exact_words(spark):
 
 def test_split_tags(spark):
     assert _one(spark, tx.split_tags("s"), "ai, ml,,") == ["ai", "ml"]
+
+
+def test_parse_tags_json_and_csv(spark):
+    df = spark.createDataFrame([('["ai","ml"]',), ("ai, ml,,",), ('[" ai ", ""]',), (None,)], "s string")
+    got = [r[0] for r in df.select(tx.parse_tags("s")).collect()]
+    assert got == [["ai", "ml"], ["ai", "ml"], ["ai"], None]
