@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.session import checkpoint_dir
 from tessera.operators.joins import checked_broadcast
 from tessera.schemas import SENTIMENT_LABELS, UNSURE
 
@@ -40,6 +41,7 @@ def label_distribution(df: DataFrame, label_col: str) -> DataFrame:
     """
     counted = df.groupBy(F.col(label_col).alias(label_col)).agg(
         F.count(F.lit(1)).alias("count")).persist()
+    checkpoint_dir(df.sparkSession)
     g = counted.checkpoint()
     counted.unpersist()
     total = g.agg(F.sum("count")).first()[0] or 0

@@ -12,13 +12,14 @@ def spark():
     from pyspark.sql import SparkSession
 
     from tessera.session import BASE_CONF
+    from tessera.session import checkpoint_dir
     b = (SparkSession.builder.master("local[4]").appName("tessera-tests")
-         .config("spark.sql.shuffle.partitions", "4")
-         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp")))
+         .config("spark.sql.shuffle.partitions", "4"))
     for k, v in BASE_CONF.items():
         b = b.config(k, v)
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
+    checkpoint_dir(s)  # the configured shared folder; a fresh local one only if unset
     yield s
     s.stop()
 
