@@ -183,3 +183,13 @@ PIVOT f ON tag USING count(*) GROUP BY year_released""")
 def q_tag_counts_by_year_wide(spark, sf):
     """One column per top tag (pivot on the k fetched tag values), zeros filled."""
     return topk.counts_by_top(_tag_rows(spark, sf), "year_released", "tag", 8, wide=True)
+
+
+@register("events_per_week", """
+WITH c AS (SELECT CAST(date_trunc('week', ts) AS DATE) + 6 AS week, count(*) AS n
+           FROM events WHERE ts IS NOT NULL GROUP BY 1),
+w AS (SELECT CAST(unnest(generate_series(min(week), max(week), INTERVAL 7 DAY)) AS DATE) AS week FROM c)
+SELECT w.week, coalesce(c.n, 0) AS n FROM w LEFT JOIN c ON c.week = w.week""")
+def q_events_per_week(spark, sf):
+    """Weekly counts on a ``timestamp_ntz`` column (weeks ending Sunday)."""
+    return pf.weekly_counts(table(spark, sf, "events"), "ts")
