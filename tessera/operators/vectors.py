@@ -87,28 +87,31 @@ _CAND = T.StructType([
 MAX_SCORE_CELLS = 16_000_000
 
 
-def _topk_rows(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Row indices of the k best scores (ties: smaller id first)."""
-    n = len(s)
-    if n > k:
-        kth = np.partition(s, n - k)[n - k]          # k-th largest value
-        cand = np.nonzero(s >= kth)[0]               # keeps every tie at the boundary
-    else:
-        cand = np.arange(n)
-    order = np.lexsort((ids[cand], -s[cand]))[:k]
-    return cand[order]
+def _select(col: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int, n_cols: int) -> np.ndarray:
+    """Indices of the best k entries per query column: by score descending,
+    ties by smaller id (one lexsort for all queries)."""
+    order = np.lexsort((ids, -score, col))
+    cs = col[order]
+    starts = np.searchsorted(cs, np.arange(n_cols))
+    rank = np.arange(len(order)) - starts[cs]
+    return order[rank < k]
 
 
 def _scorer(qids: np.ndarray, qmat: np.ndarray, k: int, width: int, carry: list[str]):
     """mapInPandas body: per partition keep the best k per (query, corpus).
 
     Each Arrow batch is scored against at most ``MAX_SCORE_CELLS / rows``
-    queries at a time, so memory per task stays bounded whatever the query
-    block size; only k rows per (query, corpus) survive the partition, with
-    the ``carry`` columns of those rows.
+    queries at a time (bounded memory per task).  Per query the k-th best
+    score is found with ``np.partition``; every row at or above it (ties
+    included) is a candidate, and one lexsort over (query, -score, id) keeps
+    the exact top k per query -- also when merging with earlier batches.
+    Only k rows per (query, corpus) leave the partition, with their
+    ``carry`` columns.
     """
+    n_q = len(qids)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[tuple[int, str], tuple[np.ndarray, np.ndarray, pd.DataFrame]] = {}
+        state: dict[str, dict[str, np.ndarray]] = {}
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -120,41 +123,37 @@ def _scorer(qids: np.ndarray, qmat: np.ndarray, k: int, width: int, carry: list[
             norms = np.linalg.norm(vecs, axis=1)
             unit = vecs / np.where(norms == 0, 1.0, norms)[:, None]   # zero vector stays zero
             ids = pdf["id"].to_numpy(dtype=np.int64)
-            extra = pdf[carry].reset_index(drop=True)
+            extra = {c: pdf[c].to_numpy() for c in carry}
             corpora = pdf["corpus"].to_numpy()
-            groups = [(c, np.nonzero(corpora == c)[0]) for c in np.unique(corpora)]
             step = max(1, MAX_SCORE_CELLS // max(len(pdf), 1))
-            for q0 in range(0, len(qids), step):
-                sims = unit @ qmat[q0:q0 + step].T
-                for j in range(sims.shape[1]):
-                    qid = int(qids[q0 + j])
-                    for c, rows in groups:
-                        key = (qid, c)
-                        prev = best.get(key)
-                        s = sims[rows, j] if prev is None else np.concatenate([prev[0], sims[rows, j]])
-                        i = ids[rows] if prev is None else np.concatenate([prev[1], ids[rows]])
-                        keep = _topk_rows(s, i, k)
-                        n_prev = 0 if prev is None else len(prev[1])
-                        parts = []
-                        if prev is not None:
-                            parts.append(prev[2].iloc[keep[keep < n_prev]])
-                        parts.append(extra.iloc[rows[keep[keep >= n_prev] - n_prev]])
-                        kept_extra = pd.concat(parts, ignore_index=True)
-                        # keep order: previous winners first, then new ones -> reorder to match
-                        order = np.concatenate([keep[keep < n_prev], keep[keep >= n_prev]])
-                        s_k, i_k = s[order], i[order]
-                        best[key] = (s_k, i_k, kept_extra)
-        if best:
+            for c in np.unique(corpora):
+                rows = np.nonzero(corpora == c)[0]
+                u, rid = unit[rows], ids[rows]
+                for q0 in range(0, n_q, step):
+                    sims = u @ qmat[q0:q0 + step].T                    # (rows, queries)
+                    n = len(rows)
+                    if n > k:
+                        kth = np.partition(sims, n - k, axis=0)[n - k]  # k-th best per query
+                        r_i, c_i = np.nonzero(sims >= kth[None, :])
+                    else:
+                        r_i, c_i = np.nonzero(np.ones_like(sims, dtype=bool))
+                    cand = {"col": c_i + q0, "score": sims[r_i, c_i], "id": rid[r_i]}
+                    for name in carry:
+                        cand[name] = extra[name][rows][r_i]
+                    prev = state.get(c)
+                    if prev is not None:
+                        cand = {f: np.concatenate([prev[f], cand[f]]) for f in cand}
+                    keep = _select(cand["col"], cand["score"], cand["id"], k, n_q)
+                    state[c] = {f: v[keep] for f, v in cand.items()}
+        if state:
             out = pd.DataFrame({
-                "query_id": np.concatenate([np.full(len(v[1]), q, dtype=np.int64) for (q, _), v in best.items()]),
-                "corpus": np.concatenate([np.full(len(v[1]), c, dtype=object) for (_, c), v in best.items()]),
-                "id": np.concatenate([v[1] for v in best.values()]),
-                "cosine": np.concatenate([v[0] for v in best.values()]),
+                "query_id": np.concatenate([qids[v["col"]] for v in state.values()]),
+                "corpus": np.concatenate([np.full(len(v["id"]), c, dtype=object) for c, v in state.items()]),
+                "id": np.concatenate([v["id"] for v in state.values()]),
+                "cosine": np.concatenate([v["score"] for v in state.values()]),
             })
-            if carry:
-                ex = pd.concat([v[2] for v in best.values()], ignore_index=True)
-                for cname in carry:
-                    out[cname] = ex[cname].to_numpy()
+            for name in carry:
+                out[name] = np.concatenate([v[name] for v in state.values()])
             yield out
     return run
 

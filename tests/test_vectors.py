@@ -120,3 +120,28 @@ def test_topk_carries_columns(spark):
                               "query_id long, embedding array<double>")
     out = vo.similarity_topk(corpus.repartition(3), q, 4, carry=["title"], max_query_block=1).collect()
     assert len(out) == 2 * 2 * 4 and all(r.title == f"t{r.id}" for r in out)
+
+
+def test_topk_with_many_copies_and_queries(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(400, 6))
+    base[::3] = base[0]                      # a third of the rows are copies of one vector
+    rows = [(i, "ab"[i % 2], base[i].astype(np.float32).tolist()) for i in range(400)]
+    qs = rng.normal(size=(40, 6))
+    qs[0] = base[0]                          # a query that ties with every copy
+    q = spark.createDataFrame([(j, qs[j].tolist()) for j in range(40)], "query_id long, embedding array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")  # many batches per task
+    try:
+        got = sorted((r.query_id, r.corpus, r.rank, r.id)
+                     for r in vo.similarity_topk(_corpus(spark, rows).repartition(3), q, 5).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    v = np.array([r[2] for r in rows], dtype=np.float64)
+    vn = v / np.linalg.norm(v, axis=1)[:, None]
+    want = []
+    for j in range(40):
+        cos = vn @ (qs[j] / np.linalg.norm(qs[j]))
+        for c in "ab":
+            cand = sorted((-cos[i], i) for i in range(400) if "ab"[i % 2] == c)
+            want += [(j, c, n + 1, i) for n, (_, i) in enumerate(cand[:5])]
+    assert got == sorted(want)
