@@ -2,8 +2,7 @@
 
 Fits are actions; their inputs are staged as Parquet under the checkpoint
 folder first so an iterative fit re-reads a short lineage after an
-executor loss, and LDA checkpoints its state periodically (the session's
-checkpoint folder).  Inference outside the JVM goes through
+executor loss.  Inference outside the JVM goes through
 ``predict_batch_udf`` (Arrow batches, model built once per worker).
 """
 
@@ -151,7 +150,7 @@ def lda_topics(df: DataFrame, id_col: str, text_col: str, k: int = 8, max_iter:
     if stage_key:
         counts = stage_table(counts, "bow", stage_key, str(k), "|".join(vocab))
     lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=subsampling_rate,
-              featuresCol="features", checkpointInterval=10)
+              featuresCol="features")
     model = lda.fit(counts)
     dist = vector_to_array(F.col("topicDistribution"))
     # A document without vocabulary words gets an all-zero vector from Spark;
