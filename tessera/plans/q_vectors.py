@@ -182,3 +182,44 @@ def q_similarity_results(spark, sf):
     fields = posts(spark, sf).select("id", "title", "secondary_label")
     return top.join(fields, "id", "left").select(
         "query_id", "corpus", "rank", "id", "similarity", "topic_name", "title", "secondary_label")
+
+
+def _records_sql() -> str:
+    from tessera.plans import sqlbits as S
+    from tessera.plans.q_labels import _LEX_SQL
+    base = (_topk_sql("queries AS (SELECT CAST(label AS BIGINT) AS query_id, c AS qv FROM cvec)")
+            .replace("WITH ", "WITH " + POSTS_SQL + ", " + _LEX_SQL + ", ", 1))
+    extra = f""",
+hits AS (SELECT DISTINCT id FROM r WHERE rank <= {TOP_K}),
+ww AS (SELECT doc_id, lower(unnest({S.words('text')})) AS word FROM documents WHERE doc_id IN (SELECT id FROM hits)),
+a AS (SELECT doc_id, avg(polarity) AS p, avg(subjectivity) AS q FROM ww JOIN lex USING (word) GROUP BY doc_id),
+pol AS (SELECT d.doc_id, coalesce(a.p, 0.0) AS p, coalesce(a.q, 0.0) AS q
+        FROM documents d LEFT JOIN a USING (doc_id) WHERE d.doc_id IN (SELECT id FROM hits))
+SELECT r.query_id"""
+    out = base.replace("\nSELECT r.query_id", extra, 1)
+    out = out.replace("coalesce(t.keywords, CAST(r.label AS VARCHAR)) AS topic_name",
+                      "coalesce(t.keywords, CAST(r.label AS VARCHAR)) AS topic_name, p.title, p.secondary_label, "
+                      "round(pol.p, 6) AS tb_polarity, round(pol.q, 6) AS tb_subjectivity, "
+                      f"CASE WHEN pol.p IS NULL THEN NULL ELSE {S.polarity_label('pol.p', 0.05, False)} END AS tb_sentiment")
+    return out.replace("FROM r LEFT JOIN topic_dim t",
+                       "FROM r LEFT JOIN posts p ON p.id = r.id LEFT JOIN pol ON pol.doc_id = r.id "
+                       "LEFT JOIN topic_dim t")
+
+
+@register("similarity_records", _records_sql())
+def q_similarity_records(spark, sf):
+    """Full result records: each hit with title, secondary label and the
+    lexicon polarity, subjectivity and label of its text.  The scorer runs
+    only on the hit documents (an IN list of at most queries x corpora x k
+    ids)."""
+    from tessera.operators import labels as lb
+    from tessera.plans.q_labels import lexicon
+    top = q_similarity_topk_batch(spark, sf)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    hit_docs = keep_keys(docs, top, "id", 100_000)
+    pol = lb.lexicon_polarity(hit_docs, "id", "text", lexicon(spark, sf))
+    fields = posts(spark, sf).select("id", "title", "secondary_label")
+    rec = top.join(fields, "id", "left").join(pol, "id", "left")
+    return rec.select("query_id", "corpus", "rank", "id", "similarity", "topic_name", "title", "secondary_label",
+                      F.round("tb_polarity", 6).alias("tb_polarity"),
+                      F.round("tb_subjectivity", 6).alias("tb_subjectivity"), "tb_sentiment")
