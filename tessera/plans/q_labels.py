@@ -192,3 +192,20 @@ def q_secondary_on_nontechnical(spark, sf):
                        for k in range(1, len(SECONDARY_LABELS) + 1)])
     return lb.label_where(p, ~F.col("primary_label").eqNullSafe("TECHNICAL"), scores,
                           SECONDARY_LABELS, 0.5).select("id", "secondary_label", "secondary_score")
+
+
+@register("query_sentiment", f"""
+WITH {_LEX_SQL},
+qt AS (SELECT item_id, substring(text, 1, 1000) AS q FROM benchmark),
+ww AS (SELECT item_id, lower(unnest({S.words('q')})) AS word FROM qt),
+a AS (SELECT item_id, avg(polarity) AS p, avg(subjectivity) AS s FROM ww JOIN lex USING (word) GROUP BY item_id),
+r AS (SELECT qt.item_id, coalesce(a.p, 0.0) AS p, coalesce(a.s, 0.0) AS s FROM qt LEFT JOIN a USING (item_id))
+SELECT item_id, round(p, 6) AS query_polarity, round(s, 6) AS query_subjectivity,
+  {S.polarity_label('p', 0.05, False)} AS query_sentiment_label FROM r""")
+def q_query_sentiment(spark, sf):
+    """Sentiment of each query text's first 1000 characters (search queries
+    stand in as the ``benchmark`` passages)."""
+    b = table(spark, sf, "benchmark")
+    r = lb.query_sentiment(b, "item_id", "text", lexicon(spark, sf), max_chars=1000)
+    return r.select("item_id", F.round("query_polarity", 6).alias("query_polarity"),
+                    F.round("query_subjectivity", 6).alias("query_subjectivity"), "query_sentiment_label")
