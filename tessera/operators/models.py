@@ -57,20 +57,21 @@ def embed_batches(df: DataFrame, text_col: str, make_predict_fn: Callable, width
 
 
 def hashing_encoder(width: int = EMBEDDING_WIDTH, n: int = 3) -> Callable:
-    """A small deterministic stand-in encoder (character n-gram hashing, L2
-    normalised) for tests and offline runs."""
+    """A small deterministic stand-in encoder for tests and offline runs:
+    hashed byte n-gram counts of the lower-cased UTF-8 text, L2 normalised
+    (numpy per text, no per-character Python loop)."""
     def make():
-        import zlib
+        weights = np.array([1_000_003 ** (n - 1 - j) % 2_147_483_647 for j in range(n)], dtype=np.int64)
 
         def predict(texts: np.ndarray) -> np.ndarray:
             out = np.zeros((len(texts), width), dtype=np.float32)
             for i, t in enumerate(texts):
-                s = (t or "").lower()
-                for j in range(max(len(s) - n + 1, 0)):
-                    out[i, zlib.crc32(s[j:j + n].encode()) % width] += 1.0
-                norm = np.linalg.norm(out[i])
-                if norm:
-                    out[i] /= norm
+                b = np.frombuffer((t or "").lower().encode("utf-8"), dtype=np.uint8).astype(np.int64)
+                if len(b) < n:
+                    continue
+                grams = sum(b[j:len(b) - n + 1 + j] * weights[j] for j in range(n))
+                out[i] = np.bincount(grams % width, minlength=width)
+                out[i] /= np.linalg.norm(out[i])
             return out
         return predict
     return make
