@@ -97,7 +97,7 @@ def _select(col: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int, n_cols:
     return order[rank < k]
 
 
-def _scorer(qids: np.ndarray, qmat: np.ndarray, k: int, width: int, carry: list[str]):
+def _scorer(block, k: int, width: int, carry: list[str]):
     """mapInPandas body: per partition keep the best k per (query, corpus).
 
     Each Arrow batch is scored against at most ``MAX_SCORE_CELLS / rows``
@@ -106,11 +106,12 @@ def _scorer(qids: np.ndarray, qmat: np.ndarray, k: int, width: int, carry: list[
     included) is a candidate, and one lexsort over (query, -score, id) keeps
     the exact top k per query -- also when merging with earlier batches.
     Only k rows per (query, corpus) leave the partition, with their
-    ``carry`` columns.
+    ``carry`` columns.  ``block`` is a broadcast variable holding
+    (query ids, unit query matrix): shipped once per executor, not per task.
     """
-    n_q = len(qids)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qids, qmat = block.value
+        n_q = len(qids)
         state: dict[str, dict[str, np.ndarray]] = {}
         for pdf in batches:
             if pdf.empty:
@@ -215,7 +216,8 @@ def similarity_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *, id_col
         qn = np.linalg.norm(qmat, axis=1)
         qmat = qmat / np.where(qn == 0, 1.0, qn)[:, None]
         qids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-        results.append(c.mapInPandas(_scorer(qids, qmat, k, w, carry), schema))
+        block_bc = spark.sparkContext.broadcast((qids, qmat))
+        results.append(c.mapInPandas(_scorer(block_bc, k, w, carry), schema))
     if not results:
         empty = spark.createDataFrame([], schema)
         return empty.select("query_id", "corpus", F.lit(1).alias("rank"), "id", "cosine",
