@@ -71,3 +71,14 @@ def test_empty_inputs_do_not_fail(spark):
     assert lb.chunk_vote_sentiment(zero, "id").first().roberta_label is None
     per = spark.createDataFrame([(0, 0.0, 0.0)], "t int, positive double, negative double")
     assert trends.sentiment_all_topics(per).first().positive_share is None
+
+
+def test_keep_keys_in_list_and_fallback(spark):
+    from tessera.operators import filters as fl
+    df = spark.range(100).withColumnRenamed("id", "k")
+    keys = spark.range(0, 100, 10).withColumnRenamed("id", "k")
+    small = fl.keep_keys(df, keys, "k", max_keys=20)
+    big = fl.keep_keys(df, keys, "k", max_keys=5)      # beyond the bound: semi join
+    assert sorted(r.k for r in small.collect()) == sorted(r.k for r in big.collect()) == list(range(0, 100, 10))
+    assert "LeftSemi" in big._jdf.queryExecution().executedPlan().toString()
+    assert fl.keep_keys(df, keys.limit(0), "k").count() == 0
