@@ -36,12 +36,18 @@ def relevance(text: Column, date_str: Column, source: Column, *,
     accepted source.  Both keyword counts compare lower-cased keywords with
     lower-cased text."""
     present = text.isNotNull() & date_str.isNotNull() & source.isNotNull()
+    uniq = list(dict.fromkeys(k.lower() for k in keywords))
+
+    def keyword_test(low: Column) -> Column:  # the lower-cased text, computed once
+        occ = sum((tx.occurrences(low, k.lower()) for k in keywords), F.lit(0))
+        distinct = sum((low.contains(k).cast("int") for k in uniq), F.lit(0))
+        return (occ > min_occurrences) | (distinct > min_distinct)
+
     return (present
             & year_between(date_str, *years)
             & source_in(source, sources)
             & (tx.space_token_count(text) > min_tokens)
-            & ((tx.keyword_occurrences(text, keywords) > min_occurrences)
-               | (tx.keyword_distinct(text, keywords) > min_distinct)))
+            & tx.let(F.lower(text), keyword_test))
 
 
 def stem_filter(title: Column, body: Column, *, stems: list[str] = AI_STEMS,
