@@ -74,3 +74,27 @@ def q_lda_dominant_topic(spark, sf):
 def q_lda_topic_words(spark, sf):
     model, vocab, _ = _lda(spark, sf)
     return md.topic_words(model, vocab, 10)
+
+
+_EMBED_TABLES = {"documents": ("doc_id", "text"), "conversations": ("conv_id", "text"), "pages": ("page_id", "html")}
+
+
+@register("multi_table_embed", " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", true AS ok, count(*) AS rows, CAST(NULL AS VARCHAR) AS error FROM {t}"
+    for t in _EMBED_TABLES))
+def q_multi_table_embed(spark, sf):
+    """Embed several tables and store each with its vectors (JVM TF-IDF
+    encoder, written under the checkpoint folder); one summary row per table
+    with the stored row count, failures reported instead of raised."""
+    from tessera.operators import batch
+    from tessera.session import stage_path
+    from tessera.sources import sinks
+
+    def job(name):
+        key, text = _EMBED_TABLES[name]
+        rows = table(spark, sf, name).select(key, F.coalesce(text, F.lit("")).alias("text"))
+        out = stage_path(spark, f"embedded_{name}", sf)
+        sinks.write_table(md.embed_tfidf(rows, "text"), out)
+        return sinks.row_count(spark, out)
+
+    return batch.run_for_tables(spark, list(_EMBED_TABLES), job)
