@@ -7,7 +7,8 @@ table visible.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -41,3 +42,12 @@ def truncate_and_load(spark: SparkSession, df: DataFrame, path: str) -> None:
 def row_count(spark: SparkSession, path: str) -> int:
     """Rows of a written table, read back (checks what was committed)."""
     return spark.read.parquet(path).count()
+
+
+def write_table_counted(df: DataFrame, path: str, mode: str = "overwrite",
+                        partition_by: list[str] | None = None) -> int:
+    """Write like ``write_table`` and return the number of rows written,
+    measured during the write with ``DataFrame.observe`` (no second scan)."""
+    obs = Observation("written")
+    write_table(df.observe(obs, F.count(F.lit(1)).alias("rows")), path, mode, partition_by)
+    return int(obs.get["rows"])

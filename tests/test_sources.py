@@ -104,3 +104,9 @@ def test_store_vectors_and_multi_table_run(spark, tmpdir_fresh):
     assert r["missing"][0] is False and "no such table" in r["missing"][2]
     stored = spark.read.parquet(os.path.join(tmpdir_fresh, "posts"))
     assert dict(stored.dtypes)["embedding"] == "array<float>"
+
+
+def test_write_counted_matches_reread(spark, tmpdir_fresh):
+    df = spark.range(1234).withColumn("y", F.col("id") % 3)
+    path = os.path.join(tmpdir_fresh, "counted")
+    assert sinks.write_table_counted(df, path, partition_by=["y"]) == 1234 == sinks.row_count(spark, path)
