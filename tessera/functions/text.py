@@ -119,16 +119,21 @@ def compute_once(df, **cols: Column):
 
 
 def keyword_occurrences(text: ColumnOrName, keywords: list[str]) -> Column:
-    """Sum over keywords of non-overlapping occurrences in the lower-cased text."""
-    return let(F.lower(_c(text)),
-               lambda low: sum((occurrences(low, k.lower()) for k in keywords), F.lit(0)))
+    """Sum over keywords of non-overlapping occurrences in the lower-cased text.
+
+    A plain expression: in a projection Spark computes ``lower(text)`` once
+    (subexpression elimination) inside generated code.  Inside a filter wrap
+    the lowered text with ``let`` instead (see ``filters.relevance``)."""
+    low = F.lower(_c(text))
+    return sum((occurrences(low, k.lower()) for k in keywords), F.lit(0))
 
 
 def keyword_distinct(text: ColumnOrName, keywords: list[str]) -> Column:
-    """Number of distinct keywords contained in the lower-cased text."""
+    """Number of distinct keywords contained in the lower-cased text (plain
+    expression; see ``keyword_occurrences``)."""
+    low = F.lower(_c(text))
     uniq = list(dict.fromkeys(k.lower() for k in keywords))
-    return let(F.lower(_c(text)),
-               lambda low: sum((low.contains(k).cast("int") for k in uniq), F.lit(0)))
+    return sum((low.contains(k).cast("int") for k in uniq), F.lit(0))
 
 
 def word_regex(word: str) -> str:
