@@ -111,3 +111,17 @@ def test_parse_tags_json_and_csv(spark):
     df = spark.createDataFrame([('["ai","ml"]',), ("ai, ml,,",), ('[" ai ", ""]',), (None,)], "s string")
     got = [r[0] for r in df.select(tx.parse_tags("s")).collect()]
     assert got == [["ai", "ml"], ["ai", "ml"], ["ai"], None]
+
+
+def test_is_blank(spark):
+    df = spark.createDataFrame([(None,), ("",), (" \n\t",), ("x",)], "s string")
+    assert [r[0] for r in df.select(tx.is_blank("s")).collect()] == [True, True, True, False]
+
+
+def test_word_regex_escapes_literals(spark):
+    # regex metacharacters in a keyword are matched literally
+    df = spark.createDataFrame([("uses a.i. daily",), ("uses axixa",), ("c++ rocks",)], "s string")
+    got = [r[0] for r in df.select(F.col("s").rlike(tx.word_regex("a.i")), F.col("s").rlike(tx.word_regex("c++"))
+                                   .alias("c")).collect()]
+    assert got == [True, False, False]
+    assert [r[0] for r in df.select(F.col("s").contains("c++")).collect()] == [False, False, True]
