@@ -1,4 +1,4 @@
 """All queries of the pipeline operators."""
 
-from tessera.llm import q_dedup, q_pii  # noqa: F401
+from tessera.llm import q_dedup, q_near, q_pii, q_quality  # noqa: F401
 from tessera.llm.registry import ORACLE, QUERIES  # noqa: F401
