@@ -226,12 +226,13 @@ def _residual(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per input row (id, n_shingles, component_id, kept).
+    """Per input row (id, n_shingles, component_id, kept, text_hash, group).
 
     Texts are linked when 100 * intersection >= 75 * union of their sets of
     five-word shingles (A-Z lower-cased; a shorter text is one shingle).
     ``component_id`` is the smallest id reachable, ``kept`` says that it is the
-    row's own.  Defined cases: null, empty and blank texts have no shingles,
+    row's own; ``group`` numbers the component and ``text_hash`` tells texts of
+    one id apart.  Defined cases: null, empty and blank texts have no shingles,
     are linked with nothing and are kept; rows with one id and different texts
     are compared as different texts; repeated rows get the same result; rows
     with a null id take part, are never kept and have a null component only if
@@ -266,8 +267,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = (classes.join(top.toDF("nid", "label"), "nid", "left")
                 .select("nid", F.coalesce("label", "nid").alias("label"), F.col("rep.id").alias("id")))
     low = smallest.groupBy("label").agg(F.min("id").alias("component_id"))
-    component = smallest.join(low, "label").select("nid", "component_id")
-    found = signed.select("id", "n", "nid").join(component, "nid", "left")
+    component = smallest.join(low, "label").select("nid", "component_id", "label")
+    found = signed.select("id", "th", "n", "nid").join(component, "nid", "left")
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"),
-                        F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))
+                        F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"),
+                        F.col("th").alias("text_hash"), F.col("label").alias("group"))
