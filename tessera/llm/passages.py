@@ -45,6 +45,15 @@ def seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, g[at]
 
 
+def _turns(h: np.ndarray) -> np.ndarray:
+    """For each value how often it stood before."""
+    order = np.argsort(h, kind="stable")
+    sorted_h = h[order]
+    out = np.empty(len(h), np.int32)
+    out[order] = np.arange(len(h)) - np.searchsorted(sorted_h, sorted_h)
+    return out
+
+
 def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rk = batch.column("rk").to_numpy()
@@ -54,8 +63,9 @@ def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pos = np.concatenate([f[0] for f in found])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([f[1] for f in found]).view(np.int64)),
-                 pa.array(np.repeat(rk[i:j], [len(f[0]) for f in found])), pa.array(pos.astype(np.int32))],
-                names=["h", "rk", "pos"])
+                 pa.array(np.repeat(rk[i:j], [len(f[0]) for f in found])), pa.array(pos.astype(np.int32)),
+                 pa.array(np.concatenate([_turns(f[1]) for f in found]))],
+                names=["h", "rk", "pos", "turn"])
 
 
 def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,12 +324,15 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.withColumn("rk", F.xxhash64("id", F.xxhash64("text"), F.length("text")))
-    found = texts.select("rk", "text").mapInArrow(_seeded, "h long, rk long, pos int")
+    found = texts.select("rk", "text").mapInArrow(_seeded, "h long, rk long, pos int, turn int")
     hubs = (found.groupBy("h").agg(F.min("rk").alias("hub"), F.max("rk").alias("other"))
             .where("hub <> other").select("h", "hub"))
     held = stage(found.join(hubs, "h"))
-    at = held.where("rk = hub").groupBy("h").agg(F.min("pos").alias("hpos"))
-    own = stage(held.where("rk <> hub").join(at, "h").distinct())
+    # the first to the first, the second to the second, all further ones to the last
+    at = held.where("rk = hub").select("h", "turn", F.col("pos").alias("hpos")).distinct()
+    last = at.groupBy("h").agg(F.max("turn").alias("last"))
+    own = stage(held.where("rk <> hub").distinct().join(last, "h").withColumn("turn", F.least("turn", "last"))
+                .join(at, ["h", "turn"]).select("h", "rk", "hub", "pos", "hpos"))
     beside = own.repartition("rk").sortWithinPartitions("rk", "pos").select("h", "rk", "pos", "hub").mapInArrow(
         _beside, "h long, rk long, pos int, hub long")
     other = held.groupBy("h", F.col("rk").alias("hub")).agg(F.min("pos").alias("hpos"))
