@@ -1,4 +1,5 @@
 """All queries of the pipeline operators."""
 
-from tessera.llm import q_dedup, q_near, q_pii, q_quality  # noqa: F401
+from tessera.llm import (q_ann, q_decontaminate, q_dedup, q_html, q_licenses, q_near, q_passages, q_pii,  # noqa: F401
+                         q_quality)
 from tessera.llm.registry import ORACLE, QUERIES  # noqa: F401
