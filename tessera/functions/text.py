@@ -11,6 +11,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.schemas import MARKUP_REWRITES
+
 ColumnOrName = Column | str
 
 
@@ -70,17 +72,9 @@ def url_fallback(url: ColumnOrName, slug: ColumnOrName, prefix: str) -> Column:
     return F.coalesce(F.nullif(_c(url), F.lit("")), F.concat(F.lit(prefix), _c(slug)))
 
 
-# Markdown / HTML to text: five ordered rewrites, then whitespace collapse.
-MARKUP_REWRITES = [
-    (r"```[\s\S]*?```", " "),
-    (r"`[^`]*`", " "),
-    (r"!\[[^\]]*\]\([^\)]*\)", " "),
-    (r"\[([^\]]+)\]\([^\)]*\)", "$1"),
-    (r"<[^>]+>", " "),
-]
-
-
 def markdown_to_text(c: ColumnOrName) -> Column:
+    """Markdown / HTML to text: the fixed rewrites in order, then white space
+    collapsed."""
     out = _c(c)
     for pattern, repl in MARKUP_REWRITES:
         out = F.regexp_replace(out, pattern, repl)
@@ -172,10 +166,24 @@ def polarity_label(score: ColumnOrName, cut: float = 0.05, inclusive: bool = Tru
 
 def chunk_words(c: ColumnOrName, size: int) -> Column:
     """Whitespace words grouped into chunks of ``size`` (last may be shorter)."""
-    w = words(c)
-    return F.when(F.size(w) == 0, F.array().cast("array<array<string>>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(size)),
-                    lambda i: F.slice(w, i + 1, size)))
+    empty = F.array().cast("array<array<string>>")
+
+    def cut(w: Column) -> Column:  # the word array, split once
+        return F.when(F.size(w) == 0, empty).otherwise(
+            F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(size)), lambda i: F.slice(w, i + 1, size)))
+    return let(words(c), cut)
+
+
+def word_counts(words_array: Column) -> Column:
+    """Distinct values of an array with their counts, as array<(word, n)>:
+    one sort within the row, no shuffle."""
+    def count(s: Column) -> Column:
+        n = F.size(s)
+        first = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+        return let(first, lambda f: F.transform(
+            f, lambda i, k: F.struct(F.get(s, i - 1).alias("word"),
+                                     (F.coalesce(F.get(f, k + 1), n + 1) - i).alias("n"))))
+    return F.when(F.size(words_array) > 0, let(F.array_sort(words_array), count))
 
 
 def split_tags(c: ColumnOrName, sep: str = ",") -> Column:

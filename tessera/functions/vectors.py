@@ -28,12 +28,6 @@ def l2norm(v) -> Column:
                               F.lit(0.0), lambda acc, x: acc + x))
 
 
-def normalize(v) -> Column:
-    """Unit vector; a zero vector stays zero."""
-    n = l2norm(v)
-    return F.when(n == 0, as_double(v)).otherwise(F.transform(as_double(v), lambda x: x / n))
-
-
 def cosine(a, b) -> Column:
     """Cosine similarity; 0 when either side has zero norm."""
     na, nb = l2norm(a), l2norm(b)

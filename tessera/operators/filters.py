@@ -50,12 +50,14 @@ def relevance(text: Column, date_str: Column, source: Column, *,
             & tx.let(F.lower(text), keyword_test))
 
 
-def stem_filter(title: Column, body: Column, *, stems: list[str] = AI_STEMS,
-                exact: list[str] = SHORT_EXACT, min_hits: int = 3) -> Column:
-    """At least ``min_hits`` distinct stems in ``title + " " + body``."""
-    t = F.concat(F.coalesce(title.cast("string"), F.lit("None")), F.lit(" "),
-                 F.coalesce(body.cast("string"), F.lit("None")))
-    return tx.stem_hits(t, stems, exact) >= min_hits
+def stem_filter(df: DataFrame, title: str, body: str, *, stems: list[str] = AI_STEMS,
+                exact: list[str] = SHORT_EXACT, min_hits: int = 3, out: str = "hits") -> DataFrame:
+    """Rows with at least ``min_hits`` distinct stems in ``title + " " + body``,
+    with their number in ``out`` (counted once per row)."""
+    t = F.concat(F.coalesce(F.col(title).cast("string"), F.lit("None")), F.lit(" "),
+                 F.coalesce(F.col(body).cast("string"), F.lit("None")))
+    scored = tx.compute_once(df, **{out: tx.stem_hits(t, stems, exact)})
+    return scored.where(F.col(out) >= min_hits)
 
 
 def parse_ts(c: Column, fmt: str | None = None) -> Column:
@@ -81,28 +83,13 @@ def null_safe_not_equal(c: Column, value) -> Column:
     return ~c.eqNullSafe(F.lit(value))
 
 
-def topic_predicate(c: Column, topic: int) -> Column:
-    """``= topic``, or every non-null topic when ``topic == -1``."""
-    return (c.isNotNull() & (c != -1)) if topic == -1 else (c == topic)
-
-
-def semi_filter(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
-    """Keep rows whose key is in ``keys`` (left semi join).  The key side is
-    de-duplicated first; AQE broadcasts it when it turns out small."""
+def keep_keys(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
+    """Rows whose key is in ``keys`` (left semi join); the planner broadcasts
+    the keys when their size in bytes allows it."""
     cols = [on] if isinstance(on, str) else on
     return df.join(keys.select(*cols).distinct(), on=cols, how="left_semi")
 
 
-def keep_keys(df: DataFrame, keys: DataFrame, col: str, max_keys: int = 10_000) -> DataFrame:
-    """Keep rows whose ``col`` is in ``keys``.  Up to ``max_keys`` distinct
-    keys are fetched and applied as an ``IN`` list, which Parquet can use to
-    skip row groups; beyond that bound it falls back to a left semi join."""
-    ids = [r[0] for r in keys.select(col).distinct().limit(max_keys + 1).collect()]
-    if len(ids) <= max_keys:
-        return df.where(F.col(col).isin(ids)) if ids else df.limit(0)
-    return df.join(keys.select(col).distinct(), col, "left_semi")
-
-
 def funnel(df: DataFrame, pred: Column) -> DataFrame:
     """Before / kept / removed counts of a filter in one pass."""
     return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(pred).alias("kept")) \

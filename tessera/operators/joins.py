@@ -1,45 +1,30 @@
-"""Joins: size-checked broadcast, lookups with fallbacks, serving join."""
+"""Joins: lookups with fallbacks, serving join."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.schemas import DEV_TOPICS, NEWS_TOPICS
-
-# Rows a dimension may have before we stop hinting a broadcast and let AQE
-# choose (it still broadcasts at run time when the shuffle output is small).
-DEFAULT_BROADCAST_ROWS = 100_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                      known_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only when it has at most ``max_rows`` rows.
-
-    ``known_rows`` skips the check for tables whose size is fixed by
-    construction (literal dimensions).  Otherwise a bounded count
-    (``limit(max_rows + 1)``) decides; above the bound the plain frame is
-    returned and the join shuffles (sort-merge), with AQE free to re-plan.
-    """
-    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
+from tessera.schemas import DEV_TOPICS, DISPLAY_ORDER, NEWS_TOPICS
 
 def topic_dim(spark: SparkSession) -> DataFrame:
     """(corpus, topic_id, keywords, display_no): topic names by id for both
-    corpora.  display_no is the 1-based position shown to users."""
-    rows = [(c, i, kw, i + 1) for c, names in (("news", NEWS_TOPICS), ("dev", DEV_TOPICS))
+    corpora; ``display_no`` is the 1-based place in which the topic is shown."""
+    rows = [(c, i, kw, DISPLAY_ORDER.index(i) + 1) for c, names in (("news", NEWS_TOPICS), ("dev", DEV_TOPICS))
             for i, kw in enumerate(names)]
     return spark.createDataFrame(rows, "corpus string, topic_id int, keywords string, display_no int")
 
 
-def topic_name(df: DataFrame, corpus_col: str, topic_col: str, out: str = "topic_name") -> DataFrame:
+def topic_name(df: DataFrame, corpus_col: str, topic_col: str, out: str = "topic_name",
+               display: str | None = None) -> DataFrame:
     """Attach the topic keywords; ids without a name (out of range, null) keep
-    their id as text."""
+    their id as text.  ``display`` names a column for the place in which the
+    topic is shown (null without a name)."""
     dim = F.broadcast(topic_dim(df.sparkSession))  # 16 rows by construction
     j = df.join(dim, (df[corpus_col] == dim["corpus"]) & (df[topic_col] == dim["topic_id"]), "left")
     return j.select(*[df[c] for c in df.columns],
-                    F.coalesce(dim["keywords"], df[topic_col].cast("string")).alias(out))
+                    F.coalesce(dim["keywords"], df[topic_col].cast("string")).alias(out),
+                    *([dim["display_no"].alias(display)] if display else []))
 
 
 def backfill(df: DataFrame, side: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:

@@ -1,14 +1,13 @@
 """Label and sentiment operators.
 
 Scorers are pluggable: a lexicon table (word -> weights) joined to the
-words of each chunk, or precomputed per-chunk classifier output.  Neural
-models are not bundled; ``tessera.operators.models.batch_scores`` runs any
-caller-supplied batch function through Arrow.
-
-Scale notes: word rows are produced by ``explode`` and immediately reduced
-by a broadcast-hash join to a size-checked lexicon and a partial
-aggregation per (id, chunk) -- all words of a chunk live in the same task,
-so only one row per chunk crosses the shuffle.
+words of each chunk, or a caller's classifier, run over texts
+(``models.batch_scores``) or chunks (``models.chunked_scores``) in Arrow
+batches.  Neural models are not bundled.
+
+Scale notes: words are counted within their chunk's row first, so a chunk
+sends each distinct word once through the lexicon join; the planner picks
+the join by the lexicon's size in bytes.
 """
 
 from __future__ import annotations
@@ -18,7 +17,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.session import checkpoint_dir
-from tessera.operators.joins import checked_broadcast
 from tessera.schemas import SENTIMENT_LABELS, UNSURE
 
 # Normalisation constant of the compound lexicon score s / sqrt(s^2 + alpha).
@@ -97,60 +95,49 @@ def primary_from_top(label: Column) -> Column:
              .otherwise(F.lit("NON_TECHNICAL")))
 
 
-def _chunks(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    return df.select(id_col, F.posexplode(tx.chunk_words(text_col, size)).alias("chunk_no", "ws"))
-
-
-def _word_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, pos, word) per whitespace word, lower-cased; a document without
-    words keeps one row with null pos/word so it is not lost."""
-    # Lower-casing the text once is cheaper than lower-casing every word row.
-    return df.select(id_col, F.posexplode_outer(tx.words(F.lower(F.col(text_col)))).alias("pos", "word"))
+def _counted(df: DataFrame, id_col: str, arrays: Column) -> DataFrame:
+    """(id, chunk_no, word, n) from an array of word arrays per row; a row
+    without chunks stays as one row of nulls."""
+    chunks = df.select(id_col, F.posexplode_outer(arrays).alias("chunk_no", "ws"))
+    counts = chunks.select(id_col, "chunk_no", F.explode_outer(tx.word_counts(F.col("ws"))).alias("c"))
+    return counts.select(id_col, "chunk_no", F.col("c.word").alias("word"), F.col("c.n").alias("n"))
 
 
 def chunked_lexicon_sentiment(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame,
-                              size: int = 300, cut: float = 0.05,
-                              max_lexicon_rows: int = 1_000_000) -> DataFrame:
+                              size: int = 300, cut: float = 0.05) -> DataFrame:
     """Score each ``size``-word chunk with a lexicon, average over chunks and
     label with an inclusive cut-off.
 
     chunk score = s / sqrt(s^2 + alpha), s = sum of weights of the chunk's
     (lower-cased) words; chunks without hits score 0 and still count in the
     average.  Blank text is neutral with score null.
-
-    Words are joined to the lexicon map-side (broadcast, size-checked); the
-    chunk number is ``pos div size``.  All words of a document sit in one
-    task, so the partial aggregation per (id, chunk) leaves one row per
-    chunk for the shuffle, and a second aggregation averages per document.
     """
-    lex = checked_broadcast(lexicon.select(F.lower("word").alias("word"),
-                                           F.col("weight").cast("double").alias("weight")),
-                            max_lexicon_rows)
-    words = _word_rows(df, id_col, text_col).withColumn("chunk_no", F.expr(f"pos div {int(size)}"))
+    lex = lexicon.select(F.lower("word").alias("word"), F.col("weight").cast("double").alias("weight"))
+    words = _counted(df, id_col, tx.chunk_words(F.lower(F.col(text_col)), size))
     sums = words.join(lex, "word", "left").groupBy(id_col, "chunk_no").agg(
-        F.sum(F.coalesce("weight", F.lit(0.0))).alias("s"), F.count("pos").alias("n"))
-    chunk = F.when(F.col("n") > 0, F.col("s") / F.sqrt(F.col("s") * F.col("s") + F.lit(COMPOUND_ALPHA)))
-    score = F.avg(chunk)
-    out = sums.groupBy(id_col).agg(score.alias("score"))
+        F.sum(F.coalesce("weight", F.lit(0.0)) * F.coalesce("n", F.lit(0))).alias("s"))
+    chunk = F.when(F.col("chunk_no").isNotNull(),
+                   F.col("s") / F.sqrt(F.col("s") * F.col("s") + F.lit(COMPOUND_ALPHA)))
+    out = sums.groupBy(id_col).agg(F.avg(chunk).alias("score"))
     return out.select(id_col, "score",
                       F.when(F.col("score").isNull(), F.lit("neutral"))
                        .otherwise(tx.polarity_label("score", cut, inclusive=True)).alias("label"))
 
 
 def lexicon_polarity(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame,
-                     cut: float = 0.05, max_lexicon_rows: int = 1_000_000) -> DataFrame:
+                     cut: float = 0.05) -> DataFrame:
     """Polarity and subjectivity as the mean weights of the matched words, label
-    with a strict cut-off; no hits or blank text give (0, 0, neutral).
-
-    One pass: words left-joined to the broadcast lexicon, averaged per
-    document (``avg`` skips words without an entry)."""
-    lex = checked_broadcast(lexicon.select(F.lower("word").alias("word"),
-                                           F.col("polarity").cast("double").alias("polarity"),
-                                           F.col("subjectivity").cast("double").alias("subjectivity")),
-                            max_lexicon_rows)
-    words = _word_rows(df, id_col, text_col)
-    agg = words.join(lex, "word", "left").groupBy(id_col).agg(F.avg("polarity").alias("p"),
-                                                              F.avg("subjectivity").alias("q"))
+    with a strict cut-off; no hits or blank text give (0, 0, neutral)."""
+    lex = lexicon.select(F.lower("word").alias("word"), F.col("polarity").cast("double").alias("polarity"),
+                         F.col("subjectivity").cast("double").alias("subjectivity"))
+    words = _counted(df, id_col, F.array(tx.words(F.lower(F.col(text_col)))))
+    hits = words.join(lex, "word", "left")
+
+    def mean(c: str) -> Column:
+        n = F.sum(F.when(F.col(c).isNotNull(), F.col("n")))
+        return F.sum(F.col(c) * F.col("n")) / n
+
+    agg = hits.groupBy(id_col).agg(mean("polarity").alias("p"), mean("subjectivity").alias("q"))
     pol = F.coalesce("p", F.lit(0.0))
     return agg.select(id_col, pol.alias("tb_polarity"),
                       F.coalesce("q", F.lit(0.0)).alias("tb_subjectivity"),

@@ -1,7 +1,7 @@
 """Model stages: embeddings, PCA + k-means, bag of words, LDA.
 
 Fits are actions; their inputs are staged as Parquet under the checkpoint
-folder first so an iterative fit re-reads a short lineage after an
+folder first, so an iterative fit re-reads a short lineage after an
 executor loss.  Inference outside the JVM goes through
 ``predict_batch_udf`` (Arrow batches, model built once per worker).
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.feature import (IDF, PCA, CountVectorizerModel, HashingTF, Normalizer,
                                 RegexTokenizer, StopWordsRemover)
@@ -20,27 +20,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions import text as tx
 from tessera.functions import vectors as vf
+from tessera.operators import labels
 from tessera.schemas import EMBEDDING_WIDTH
 from tessera.session import stage_table
 
 TOKEN_PATTERN = r"(?U)\b\w\w+\b"
+TEXT = "_text"
 
 
 # -- embeddings --------------------------------------------------------------
 
-def embed_tfidf(df: DataFrame, text_col: str, width: int = EMBEDDING_WIDTH,
-                out: str = "embedding") -> DataFrame:
-    """JVM encoder: tokens -> hashed term counts (``width`` buckets) -> IDF ->
-    L2 normalisation, returned as ``array<double>``."""
-    pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False),
+def fit_tfidf(df: DataFrame, text_col: str, width: int = EMBEDDING_WIDTH) -> PipelineModel:
+    """JVM encoder fitted on a corpus: tokens -> hashed term counts (``width``
+    buckets) -> IDF -> L2 normalisation.  The model encodes corpus and queries
+    alike (``encode``)."""
+    return Pipeline(stages=[
+        RegexTokenizer(inputCol=TEXT, outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False),
         HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=width),
         IDF(inputCol="_tf", outputCol="_idf"),
         Normalizer(inputCol="_idf", outputCol="_vec", p=2.0),
-    ])
-    model = pipe.fit(df)
-    return model.transform(df).withColumn(out, vector_to_array("_vec")).drop("_tok", "_tf", "_idf", "_vec")
+    ]).fit(df.select(F.coalesce(text_col, F.lit("")).alias(TEXT)))
+
+
+def fit_vocabulary_tfidf(df: DataFrame, text_col: str, id_col: str, stop_words: list[str] | None = None,
+                         max_terms: int = 500, min_df: int = 3, max_df: float = 0.5) -> PipelineModel:
+    """Encoder over the corpus vocabulary (one dimension per term, at most
+    ``max_terms``): count x ln((N + 1) / (docs + 1)), L2 normalised."""
+    vocab = [r["term"] for r in vocabulary(df, id_col, text_col, stop_words, max_terms, min_df,
+                                           max_df).collect()]  # at most max_terms
+    texts = df.select(F.coalesce(text_col, F.lit("")).alias(TEXT))
+    tok = RegexTokenizer(inputCol=TEXT, outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False)
+    count = CountVectorizerModel.from_vocabulary(vocab, inputCol="_tok", outputCol="_tf")
+    idf = IDF(inputCol="_tf", outputCol="_idf").fit(count.transform(tok.transform(texts)))
+    return PipelineModel([tok, count, idf, Normalizer(inputCol="_idf", outputCol="_vec", p=2.0)])
+
+
+def encode(model: PipelineModel, df: DataFrame, text_col: str, out: str = "embedding") -> DataFrame:
+    """``df`` with the vectors (``array<double>``) of a fitted encoder; null
+    text counts as empty and gets the zero vector."""
+    made = model.transform(df.withColumn(TEXT, F.coalesce(text_col, F.lit(""))))
+    return made.withColumn(out, vector_to_array("_vec")).drop(TEXT, "_tok", "_tf", "_idf", "_vec")
+
+
+def embed_tfidf(df: DataFrame, text_col: str, width: int = EMBEDDING_WIDTH,
+                out: str = "embedding") -> DataFrame:
+    """Fit on ``df`` and encode it."""
+    return encode(fit_tfidf(df, text_col, width), df, text_col, out)
 
 
 def embed_batches(df: DataFrame, text_col: str, make_predict_fn: Callable, width: int,
@@ -56,6 +83,31 @@ def embed_batches(df: DataFrame, text_col: str, make_predict_fn: Callable, width
     return df.withColumn(out, udf(F.col(text_col)))
 
 
+def batch_scores(df: DataFrame, text_col: str, make_predict_fn: Callable, names: list[str],
+                 batch_size: int = 32, out: str = "scores") -> DataFrame:
+    """A caller's classifier over Arrow batches: ``make_predict_fn()`` returns
+    ``fn(texts: np.ndarray) -> np.ndarray`` shaped (n, len(names)) and runs
+    once per Python worker.  Adds ``out``, an array of scores in the order of
+    ``names``; rows without text get null scores and are not scored."""
+    if not names:
+        raise ValueError("at least one label is required")
+    udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return df.withColumn(out, F.when(F.col(text_col).isNotNull(), udf(text)))
+
+
+def chunked_scores(df: DataFrame, id_col: str, text_col: str, make_predict_fn: Callable, names: list[str],
+                   size: int = 300, batch_size: int = 32) -> DataFrame:
+    """(id, chunk_no, label, score): the classifier's top label for every chunk
+    of ``size`` words of every text (first label on ties)."""
+    chunks = df.select(id_col, F.posexplode(tx.chunk_words(text_col, size)).alias("chunk_no", "ws"))
+    scored = batch_scores(chunks.select(id_col, "chunk_no", F.array_join("ws", " ").alias("chunk")), "chunk",
+                          make_predict_fn, names, batch_size)
+    best = labels.top_label(F.col("scores"), names, threshold=float("-inf"))
+    return scored.select(id_col, "chunk_no", best.alias("b")).select(
+        id_col, "chunk_no", F.col("b.label").alias("label"), F.col("b.score").alias("score"))
+
+
 def hashing_encoder(width: int = EMBEDDING_WIDTH, n: int = 3) -> Callable:
     """A small deterministic stand-in encoder for tests and offline runs:
     hashed byte n-gram counts of the lower-cased UTF-8 text, L2 normalised
@@ -79,15 +131,16 @@ def hashing_encoder(width: int = EMBEDDING_WIDTH, n: int = 3) -> Callable:
 
 # -- clustering ----------------------------------------------------------------
 
-def pca_kmeans(df: DataFrame, vec_col: str, id_col: str, k: int = 10, dims: int = 50,
-               seeds: tuple[int, ...] = (42, 43, 44), stage_key: str = "") -> DataFrame:
+def pca_kmeans(df: DataFrame, vec_col: str, id_col: str, width: int, k: int = 10, dims: int = 50,
+               seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:
     """Reduce to ``dims`` with PCA, then k-means with several seeds, keeping
-    the fit with the lowest training cost; returns (id, cluster)."""
-    v = df.select(id_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("_v"))
-    width = len(df.select(vec_col).first()[0])
-    dims = min(dims, width)
-    reduced = PCA(k=dims, inputCol="_v", outputCol="_p").fit(v).transform(v).select(id_col, "_p")
-    reduced = stage_table(reduced, "pca", stage_key or id_col, str(dims)) if stage_key else reduced
+    the fit with the lowest training cost; returns (id, cluster).  Rows whose
+    vector is null, not ``width`` long or holds a null are left out."""
+    vec = F.col(vec_col).cast("array<double>")
+    usable = (F.size(vec) == width) & F.forall(vec, lambda x: x.isNotNull())
+    v = df.where(usable).select(id_col, array_to_vector(vec).alias("_v"))
+    reduced = PCA(k=min(dims, width), inputCol="_v", outputCol="_p").fit(v).transform(v).select(id_col, "_p")
+    reduced = stage_table(reduced, "pca")
     best = None
     for s in seeds:
         m = KMeans(k=k, seed=s, featuresCol="_p", predictionCol="cluster", maxIter=50).fit(reduced)
@@ -103,8 +156,7 @@ def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
     """Lower-cased word tokens of two or more characters, stop words removed."""
     toks = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0)
     if stop_words:
-        stop = F.array(*[F.lit(w) for w in stop_words])
-        toks = F.filter(toks, lambda t: ~F.array_contains(stop, t))
+        toks = F.filter(toks, lambda t: ~t.isin(stop_words))
     return toks
 
 
@@ -116,11 +168,10 @@ def vocabulary(df: DataFrame, id_col: str, text_col: str, stop_words: list[str]
     if stop_words is None:
         stop_words = StopWordsRemover.loadDefaultStopWords("english")
     n_docs = df.count()
-    t = df.select(id_col, F.explode(tokens(F.col(text_col), stop_words)).alias("term"))
-    # (term, document) pairs first -- every task pre-combines its own
-    # documents -- then per term: total count and document frequency.
-    per_doc = t.groupBy("term", id_col).agg(F.count(F.lit(1)).alias("c"))
-    g = per_doc.groupBy("term").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("docs"))
+    # A document is one row: its terms are counted there, so one partial
+    # aggregation by term is all that is shuffled.
+    counts = df.select(F.explode(tx.word_counts(tokens(F.col(text_col), stop_words))).alias("t"))
+    g = counts.groupBy(F.col("t.word").alias("term")).agg(F.sum("t.n").alias("n"), F.count(F.lit(1)).alias("docs"))
     keep = g.where((F.col("docs") >= min_df) & (F.col("docs") <= F.lit(max_df * n_docs)))
     return keep.orderBy(F.desc("n"), F.asc("term")).limit(max_terms)
 
@@ -133,26 +184,24 @@ def term_counts(df: DataFrame, text_col: str, vocab: list[str], stop_words: list
 
 def lda_topics(df: DataFrame, id_col: str, text_col: str, k: int = 8, max_iter: int = 100,
                seed: int = 42, stop_words: list[str] | None = None, max_terms: int = 500,
-               min_df: int = 3, max_df: float = 0.5, stage_key: str = "",
-               subsampling_rate: float = 0.05):
+               min_df: int = 3, max_df: float = 0.5):
     """Fit LDA on the bag of words; returns (model, vocab, per-document
     dominant topic frame (id, dominant_topic, dominant_topic_prob)).
 
-    Online variational Bayes: each iteration reads a ``subsampling_rate``
-    mini-batch of documents, so 100 iterations cost about five passes over
-    the corpus instead of 100; ``subsampling_rate=1.0`` makes every
-    iteration a full batch pass (the original's batch method).
+    Variational Bayes in batch mode: every one of the ``max_iter`` iterations
+    reads all documents.  The term counts are staged once and kept in memory
+    and on disk while the model is fitted.
     """
     if stop_words is None:
         stop_words = StopWordsRemover.loadDefaultStopWords("english")
     vocab = [r["term"] for r in vocabulary(df, id_col, text_col, stop_words, max_terms, min_df,
                                            max_df).collect()]  # at most max_terms
     counts = term_counts(df.select(id_col, text_col), text_col, vocab, stop_words).select(id_col, "features")
-    if stage_key:
-        counts = stage_table(counts, "bow", stage_key, str(k), "|".join(vocab))
-    lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=subsampling_rate,
-              featuresCol="features")
-    model = lda.fit(counts)
+    counts = stage_table(counts, "bow")
+    lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=1.0, featuresCol="features")
+    held = counts.persist()
+    model = lda.fit(held)
+    held.unpersist()
     dist = vector_to_array(F.col("topicDistribution"))
     # A document without vocabulary words gets an all-zero vector from Spark;
     # the uniform prior (topic 0 at 1/k) is what the original reports.

@@ -7,35 +7,77 @@ bounded two-number result, never the data.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions import text as tx
+from tessera.schemas import CONCEPT_PATTERNS
 from tessera.session import checkpoint_dir
 
 SUMMARY_PERCENTILES = [0.1, 0.25, 0.5, 0.75, 0.9]
 
 
-def summary(df: DataFrame, value: Column, percentiles: list[float] = SUMMARY_PERCENTILES) -> DataFrame:
-    """count, mean, sample std, min, percentiles (linear interpolation), max.
+def value_counts(df: DataFrame, value: Column) -> DataFrame:
+    """(v, c): distinct non-null values with their counts, checkpointed, so the
+    input is scanned once whatever is computed from them.  The null test is on
+    the counted table: in front of it, it would evaluate ``value`` twice."""
+    counted = df.select(value.cast("double").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    checkpoint_dir(df.sparkSession)
+    return counted.checkpoint().where(F.col("v").isNotNull())
+
+
+def _percentiles(counts: DataFrame, n: int, fractions: list[float]) -> list[float | None]:
+    """Exact percentiles by linear interpolation from a (value, count) table.
 
-    ``percentile`` is exact; its buffer holds one counter per distinct value,
-    which stays small for word counts (integers).  For high-cardinality
-    doubles use ``percentile_approx`` instead.
+    The values are sorted by range across tasks; only the row count of each
+    range goes to the driver, and one aggregation then picks the values at the
+    wanted ranks.
     """
-    v = value.cast("double")
-    g = df.select(v.alias("v")).agg(F.count("v").alias("count"), F.avg("v").alias("mean"),
-                                    F.stddev_samp("v").alias("std"), F.min("v").alias("min"),
-                                    F.percentile("v", F.array(*[F.lit(x) for x in percentiles]))
-                                    .alias("_p"), F.max("v").alias("max"))
-    return g.select("count", "mean", "std", "min",
-                    *[F.col("_p")[i].alias(f"p{int(round(x * 100))}")
-                      for i, x in enumerate(percentiles)], "max")
+    if not n:
+        return [None] * len(fractions)
+    ranged = counts.repartitionByRange("v").select("v", "c", F.spark_partition_id().alias("part")).checkpoint()
+    sums = sorted((r["part"], r["c"]) for r in ranged.groupBy("part").agg(F.sum("c").alias("c")).collect())
+    base, total = F.lit(0), 0
+    for part, c in sums:
+        base = F.when(F.col("part") == part, F.lit(total)).otherwise(base)
+        total += c
+    order = Window.partitionBy("part").orderBy("v")
+    cum = ranged.select("v", (F.sum("c").over(order) + base).alias("upto"))
+    ranks = [(n - 1) * f for f in fractions]
+    wanted = sorted({r for x in ranks for r in (math.floor(x), math.ceil(x))})
+    row = cum.agg(*[F.min(F.when(F.col("upto") > r, F.col("v"))).alias(str(r)) for r in wanted]).first()
+    out = []
+    for x in ranks:
+        lo, hi = row[str(math.floor(x))], row[str(math.ceil(x))]
+        out.append(lo + (hi - lo) * (x - math.floor(x)))
+    return out
+
+
+def summary(df: DataFrame, value: Column, percentiles: list[float] = SUMMARY_PERCENTILES) -> DataFrame:
+    """count, mean, sample std, min, percentiles (linear interpolation), max;
+    one scan of the input, no task that holds all values."""
+    counts = value_counts(df, value)
+    n, mean, lo, hi = counts.agg(F.sum("c"), F.sum(F.col("v") * F.col("c")) / F.sum("c"), F.min("v"),
+                                 F.max("v")).first()
+    n = n or 0
+    std = None
+    if n > 1:
+        square = (F.col("v") - F.lit(mean)) * (F.col("v") - F.lit(mean)) * F.col("c")
+        std = math.sqrt(counts.agg(F.sum(square)).first()[0] / (n - 1))
+    names = [f"p{int(round(x * 100))}" for x in percentiles]
+    schema = ", ".join(["count long", "mean double", "std double", "min double", *[f"{x} double" for x in names],
+                        "max double"])
+    return df.sparkSession.createDataFrame(
+        [(n, mean, std, lo, *_percentiles(counts, n, percentiles), hi)], schema)
 
 
 def iqr(df: DataFrame, value: Column) -> DataFrame:
-    q = df.agg(F.percentile(value.cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    return q.select((F.col("q")[1] - F.col("q")[0]).alias("iqr"))
+    counts = value_counts(df, value)
+    a, b = _percentiles(counts, counts.agg(F.sum("c")).first()[0] or 0, [0.25, 0.75])
+    return df.sparkSession.createDataFrame([(None if a is None else b - a,)], "iqr double")
 
 
 def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
@@ -48,13 +90,8 @@ def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
     measures such as word counts -- and both the bounds and the bins are
     computed from that small table.
     """
-    v = value.cast("double")
     spark = df.sparkSession
-    counted = (df.select(v.alias("v")).where(F.col("v").isNotNull())
-                 .groupBy("v").agg(F.count(F.lit(1)).alias("c"))).persist()
-    checkpoint_dir(spark)
-    vc = counted.checkpoint()  # the checkpoint job reads the persisted rows
-    counted.unpersist()
+    vc = value_counts(df, value)
     lo, hi = vc.agg(F.min("v"), F.max("v")).first()
     if lo is None:
         return spark.range(0).select(F.col("id").cast("int").alias("bin"),
@@ -98,10 +135,13 @@ def weekly_counts(df: DataFrame, ts_col: str) -> DataFrame:
     week_end = F.date_add(F.to_date(F.date_trunc("week", F.col(ts_col))), 6)
     counts = df.where(F.col(ts_col).isNotNull()).groupBy(week_end.alias("week")).agg(
         F.count(F.lit(1)).alias("n"))
-    span = counts.agg(F.min("week").alias("a"), F.max("week").alias("b"))
-    weeks = span.select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 7 DAYS"))).alias("week"))
-    return weeks.join(counts, "week", "left").select(
-        "week", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+    # One row per week is left: each fills the gap up to the next one.
+    following = F.lead("week").over(Window.orderBy("week"))
+    until = F.coalesce(F.date_sub(F.col("next"), 7), F.col("week"))
+    filled = counts.withColumn("next", following).select(
+        "week", "n", F.explode(F.sequence("week", until, F.expr("INTERVAL 7 DAYS"))).alias("at"))
+    return filled.select(F.col("at").alias("week"),
+                         F.when(F.col("at") == F.col("week"), F.col("n")).otherwise(F.lit(0).cast("bigint")).alias("n"))
 
 
 def word_stats_by_year(df: DataFrame, ts_col: str, text_col: str) -> DataFrame:
@@ -112,7 +152,7 @@ def word_stats_by_year(df: DataFrame, ts_col: str, text_col: str) -> DataFrame:
 
 
 def concept_mentions(df: DataFrame, ts_col: str, text_col: str,
-                     patterns: dict[str, str]) -> DataFrame:
+                     patterns: dict[str, str] = CONCEPT_PATTERNS) -> DataFrame:
     """Rows per year whose lower-cased text matches each regex (Unicode-aware)."""
     low = F.lower(F.col(text_col))
     return (df.where(F.col(ts_col).isNotNull() & F.col(text_col).isNotNull())
@@ -121,8 +161,11 @@ def concept_mentions(df: DataFrame, ts_col: str, text_col: str,
 
 
 def duplicate_profile(df: DataFrame, key: str) -> DataFrame:
-    """Rows, distinct keys and duplicate rows of a key in one aggregation."""
-    g = df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("distinct_keys"))
+    """Rows, distinct keys and duplicate rows of a key.  Keys are compared by a
+    256-bit hash, so no long key enters a shuffle."""
+    hashed = df.select(F.sha2(F.col(key).cast("string").cast("binary"), 256).alias("k"))
+    g = hashed.groupBy("k").agg(F.count(F.lit(1)).alias("c")).agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("rows"), F.count("k").alias("distinct_keys"))
     return g.select("rows", "distinct_keys", (F.col("rows") - F.col("distinct_keys")).alias("duplicates"))
 
 

@@ -2,8 +2,7 @@
 
 ``orderBy(...).limit(k)`` plans as TakeOrderedAndProject: every task keeps
 its own k best rows and only those reach the final merge.  The k winning
-keys are a proven-small set, so they are broadcast (and, for a pivot,
-fetched as the k column names).
+keys are at most k rows, so they are broadcast.
 """
 
 from __future__ import annotations
@@ -11,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import checkpoint_dir
+
 
 def top_counts(rows: DataFrame, key: str, k: int) -> DataFrame:
     """The ``k`` most frequent values of ``key`` (ties by value), with counts."""
@@ -24,19 +25,29 @@ def semi_join_top(rows: DataFrame, key: str, k: int) -> DataFrame:
     return rows.join(F.broadcast(top), key, "left_semi")  # at most k rows
 
 
-def counts_by_top(rows: DataFrame, group: str, key: str, k: int, wide: bool = True) -> DataFrame:
-    """``group`` x top-``k`` ``key`` counts with missing pairs as 0.
-
-    ``wide=True`` gives one column per key (a pivot); ``wide=False`` the same
-    numbers in long form (group, key, n).
-    """
-    top = top_counts(rows, key, k)
-    values = [r[key] for r in top.collect()]  # at most k values
-    kept = rows.join(F.broadcast(top.select(key)), key, "left_semi")
-    w = kept.groupBy(group).pivot(key, values).count().na.fill(0, subset=values)
-    if wide:
-        return w
-    return w.unpivot([group], [F.col(f"`{v}`") for v in values], key, "n")
+def counts_by_top(rows: DataFrame, group: str, key: str, k: int) -> DataFrame:
+    """``group`` x top-``k`` ``key`` counts, long form (group, key, n), missing
+    pairs of a group that holds any of the keys as 0.  The input is scanned
+    once; a null key counts as a key."""
+    checkpoint_dir(rows.sparkSession)
+    counted = rows.groupBy(group, key).agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    top = (counted.groupBy(key).agg(F.sum("n").alias("_all")).orderBy(F.desc("_all"), F.asc(key)).limit(k)
+           .select(F.col(key).alias("_key")))
+    kept = counted.join(F.broadcast(top), F.col(key).eqNullSafe(F.col("_key")), "left_semi")  # at most k rows
+    values = [r["_key"] for r in top.collect()]  # at most k values
+    if not values:
+        return kept
+    typed = F.array(*[F.lit(v) for v in values]).cast(f"array<{dict(rows.dtypes)[key]}>")
+    every = kept.select(F.col(group).alias("_group")).distinct().select("_group", F.explode(typed).alias("_key"))
+    both = every.join(kept, F.col(group).eqNullSafe(F.col("_group")) & F.col(key).eqNullSafe(F.col("_key")), "left")
+    return both.select(F.col("_group").alias(group), F.col("_key").alias(key),
+                       F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
+def counts_by_values(rows: DataFrame, group: str, key: str, values: dict[str, str]) -> DataFrame:
+    """One column per wanted value of ``key``: ``values`` maps column names to
+    values, so no column name comes from the data; one partial aggregation."""
+    return rows.groupBy(group).agg(*[F.count_if(F.col(key) == F.lit(v)).alias(name) for name, v in values.items()])
 
 
 def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:

@@ -1,13 +1,12 @@
 """Vector operators: cluster sizes and centroids, theme filtering, and exact
 top-k similarity search.
 
-Similarity search never materialises query x corpus pairs: the (size-
-checked) query block is broadcast, every corpus partition scores its Arrow
-batches with one matrix product and keeps only its own top-k per
+Similarity search never materialises query x corpus pairs: the query block,
+bounded by ``MAX_QUERIES``, is broadcast, every corpus partition scores its
+Arrow batches with one matrix product and keeps only its own top-k per
 (query, corpus), and a final ``row_number`` over those few candidates picks
 the global top-k.  Shuffle volume is partitions x queries x k rows, whatever
-the corpus size.  Queries beyond the broadcast bound are processed in
-blocks split by id quantiles.
+the corpus size.
 """
 
 from __future__ import annotations
@@ -15,7 +14,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -26,7 +26,11 @@ from pyspark.sql.window import Window
 from tessera.functions import vectors as vf
 from tessera.operators.filters import keep_keys
 
-MAX_QUERY_BLOCK = 20_000
+#: Queries of one search; more are refused, the caller searches them in parts.
+MAX_QUERIES = 20_000
+#: Scores are compared at this many decimals, so that equal vectors tie
+#: whatever batch they stand in.
+DECIMALS = 12
 
 
 def cluster_sizes(df: DataFrame, cluster_col: str) -> DataFrame:
@@ -58,8 +62,8 @@ def _lit_vector(v: list[float]) -> Column:
 def rank_by_theme(cents: DataFrame, cluster_col: str, theme: list[float],
                   threshold: float = 0.5) -> DataFrame:
     """Clusters ranked by cosine(centroid, theme), descending (ties by id);
-    ``selected`` marks those at or above ``threshold``.  Runs on one row per
-    cluster."""
+    ``selected`` marks those at or above ``threshold``.  Works on one row per
+    cluster; the number of clusters is the ``k`` of the clustering."""
     sim = vf.cosine(F.col("centroid"), _lit_vector(theme))
     s = cents.select(cluster_col, "n", sim.alias("sim"))
     w = Window.orderBy(F.desc("sim"), F.asc(cluster_col))
@@ -68,163 +72,131 @@ def rank_by_theme(cents: DataFrame, cluster_col: str, theme: list[float],
 
 
 def theme_filter(df: DataFrame, cluster_col: str, vec_col: str, theme: list[float],
-                 threshold: float = 0.5, max_clusters: int = 10_000) -> DataFrame:
+                 threshold: float = 0.5) -> DataFrame:
     """Rows of clusters whose centroid is at least ``threshold`` similar to
     the theme (left semi join against the selected cluster ids)."""
     ranked = rank_by_theme(centroids(df, cluster_col, vec_col), cluster_col, theme, threshold)
-    return keep_keys(df, ranked.where("selected"), cluster_col, max_clusters)
-
-
-_CAND = T.StructType([
-    T.StructField("query_id", T.LongType()),
-    T.StructField("corpus", T.StringType()),
-    T.StructField("id", T.LongType()),
-    T.StructField("cosine", T.DoubleType()),
-])
+    return keep_keys(df, ranked.where("selected"), cluster_col)
 
 
 # Scores held at once per task: batch rows x queries (doubles), ~128 MB.
 MAX_SCORE_CELLS = 16_000_000
 
 
-def _select(col: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int, n_cols: int) -> np.ndarray:
+def _unit(rows: pa.Array, width: int) -> np.ndarray:
+    """Unit vectors of a list column; null, wrong-width and zero vectors, and
+    such with a null or non-finite component, are zero."""
+    out = np.zeros((len(rows), width))
+    if not len(rows):
+        return out
+    ok = pc.fill_null(pc.equal(pc.list_value_length(rows), width), False)
+    at = np.flatnonzero(ok.to_numpy(zero_copy_only=False))
+    if len(at):
+        out[at] = rows.filter(ok).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    out[~np.isfinite(out).all(axis=1)] = 0.0
+    norms = np.linalg.norm(out, axis=1)
+    return out / np.where(norms == 0, 1.0, norms)[:, None]
+
+
+def _best(col: np.ndarray, score: np.ndarray, ids: pa.Array, k: int, n_cols: int) -> np.ndarray:
     """Indices of the best k entries per query column: by score descending,
     ties by smaller id (one lexsort for all queries)."""
-    order = np.lexsort((ids, -score, col))
-    cs = col[order]
-    starts = np.searchsorted(cs, np.arange(n_cols))
-    rank = np.arange(len(order)) - starts[cs]
-    return order[rank < k]
+    by_id = pc.rank(ids, sort_keys="ascending", tiebreaker="first").to_numpy()
+    order = np.lexsort((by_id, -score, col))
+    sorted_col = col[order]
+    starts = np.searchsorted(sorted_col, np.arange(n_cols))
+    return order[np.arange(len(order)) - starts[sorted_col] < k]
 
 
-def _scorer(block, k: int, width: int, carry: list[str]):
-    """mapInPandas body: per partition keep the best k per (query, corpus).
+def _scorer(block, k: int, width: int, decimals: int):
+    """mapInArrow body: per partition keep the best k per (query, corpus).
 
     Each Arrow batch is scored against at most ``MAX_SCORE_CELLS / rows``
     queries at a time (bounded memory per task).  Per query the k-th best
     score is found with ``np.partition``; every row at or above it (ties
     included) is a candidate, and one lexsort over (query, -score, id) keeps
-    the exact top k per query -- also when merging with earlier batches.
-    Only k rows per (query, corpus) leave the partition, with their
-    ``carry`` columns.  ``block`` is a broadcast variable holding
+    the exact top k per query, also when merging with earlier batches.  Ids
+    and carried columns stay Arrow columns of their own type throughout; the
+    corpus rows are held by position.  ``block`` is a broadcast variable with
     (query ids, unit query matrix): shipped once per executor, not per task.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, qmat = block.value
         n_q = len(qids)
-        state: dict[str, dict[str, np.ndarray]] = {}
-        for pdf in batches:
-            if pdf.empty:
+        state: dict = {}  # corpus -> (query column, score, rows as a table)
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            col = pdf["vec"].to_numpy()
-            ok = np.fromiter((v is not None and len(v) == width for v in col), bool, len(col))
-            vecs = np.zeros((len(pdf), width), dtype=np.float64)
-            if ok.any():
-                vecs[ok] = np.stack(col[ok]).astype(np.float64)
-            norms = np.linalg.norm(vecs, axis=1)
-            unit = vecs / np.where(norms == 0, 1.0, norms)[:, None]   # zero vector stays zero
-            ids = pdf["id"].to_numpy(dtype=np.int64)
-            extra = {c: pdf[c].to_numpy() for c in carry}
-            corpora = pdf["corpus"].to_numpy()
-            step = max(1, MAX_SCORE_CELLS // max(len(pdf), 1))
-            for c in np.unique(corpora):
-                rows = np.nonzero(corpora == c)[0]
-                u, rid = unit[rows], ids[rows]
+            unit = _unit(batch.column("vec"), width)
+            table = pa.Table.from_batches([batch]).drop_columns(["vec"])
+            names = batch.column("corpus").dictionary_encode(null_encoding="encode")
+            codes = names.indices.to_numpy(zero_copy_only=False)
+            step = max(1, MAX_SCORE_CELLS // batch.num_rows)
+            for code, name in enumerate(names.dictionary.to_pylist()):
+                rows = np.flatnonzero(codes == code)
                 for q0 in range(0, n_q, step):
-                    sims = u @ qmat[q0:q0 + step].T                    # (rows, queries)
-                    n = len(rows)
-                    if n > k:
-                        kth = np.partition(sims, n - k, axis=0)[n - k]  # k-th best per query
-                        r_i, c_i = np.nonzero(sims >= kth[None, :])
+                    sims = np.round(unit[rows] @ qmat[q0:q0 + step].T, decimals)
+                    if len(rows) > k:
+                        kth = np.partition(sims, len(rows) - k, axis=0)[len(rows) - k]
+                        r, c = np.nonzero(sims >= kth[None, :])
                     else:
-                        r_i, c_i = np.nonzero(np.ones_like(sims, dtype=bool))
-                    cand = {"col": c_i + q0, "score": sims[r_i, c_i], "id": rid[r_i]}
-                    for name in carry:
-                        cand[name] = extra[name][rows][r_i]
-                    prev = state.get(c)
-                    if prev is not None:
-                        cand = {f: np.concatenate([prev[f], cand[f]]) for f in cand}
-                    keep = _select(cand["col"], cand["score"], cand["id"], k, n_q)
-                    state[c] = {f: v[keep] for f, v in cand.items()}
-        if state:
-            out = pd.DataFrame({
-                "query_id": np.concatenate([qids[v["col"]] for v in state.values()]),
-                "corpus": np.concatenate([np.full(len(v["id"]), c, dtype=object) for c, v in state.items()]),
-                "id": np.concatenate([v["id"] for v in state.values()]),
-                "cosine": np.concatenate([v["score"] for v in state.values()]),
-            })
-            for name in carry:
-                out[name] = np.concatenate([v[name] for v in state.values()])
-            yield out
+                        r, c = np.nonzero(np.ones_like(sims, dtype=bool))
+                    col, score, held = c + q0, sims[r, c], table.take(pa.array(rows[r]))
+                    if name in state:
+                        old = state[name]
+                        col, score = np.concatenate([old[0], col]), np.concatenate([old[1], score])
+                        held = pa.concat_tables([old[2], held]).combine_chunks()
+                    keep = _best(col, score, held.column("id"), k, n_q)
+                    state[name] = (col[keep], score[keep], held.take(pa.array(keep)))
+        for col, score, held in state.values():
+            out = held.append_column("query_id", qids.take(pa.array(col))).append_column("cosine", pa.array(score))
+            yield from out.combine_chunks().to_batches()
     return run
 
 
-def _query_blocks(queries: DataFrame, max_block: int) -> list[DataFrame]:
-    n = queries.limit(max_block + 1).count()
-    if n <= max_block:
-        return [queries]
-    total = queries.count()
-    parts = 2 * (total // max_block + 1)
-    cuts = queries.approxQuantile("query_id", [i / parts for i in range(1, parts)], 0.001)
-    bounds = [None, *sorted(set(cuts)), None]
-    out = []
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (F.col("query_id") > lo)
-        if hi is not None:
-            cond = cond & (F.col("query_id") <= hi)
-        out.append(queries.where(cond))
-    return out
-
-
 def similarity_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *, id_col: str = "id",
                     vec_col: str = "embedding", corpus_col: str = "corpus",
                     query_id_col: str = "query_id", query_vec_col: str = "embedding",
-                    width: int | None = None, max_query_block: int = MAX_QUERY_BLOCK,
-                    carry: list[str] | None = None) -> DataFrame:
+                    width: int | None = None, max_queries: int = MAX_QUERIES,
+                    carry: list[str] | None = None, decimals: int = DECIMALS) -> DataFrame:
     """Exact top-``k`` corpus rows per (query, corpus) by cosine similarity.
 
     Returns (query_id, corpus, rank, id, cosine, similarity) where
     ``similarity = (cosine + 1) / 2``; rows whose similarity is exactly 0 are
-    dropped after ranking (so fewer than k may come back).  Rows without a
-    vector are skipped; a wrong-width vector counts as the zero vector
-    (similarity 0.5).
-    Ties rank the smaller id first.  ``carry`` names corpus columns returned
-    with each hit (so the corpus is read once).
+    dropped after ranking (so fewer than k may come back).  Ids of queries and
+    rows may be of any type and keep it.  Rows without a vector or an id are
+    skipped; a wrong-width vector counts as the zero vector (similarity 0.5);
+    rows with a null corpus form a corpus of their own.  Ties rank the smaller
+    id first.  A query without an id, and more than ``max_queries`` queries,
+    raise ``ValueError``.  Scores are compared at ``decimals``.  ``carry`` names corpus columns returned with each
+    hit (so the corpus is read once).
     """
     if k < 1:
         raise ValueError("k must be >= 1")
     spark = corpus.sparkSession
-    q = queries.select(F.col(query_id_col).cast("long").alias("query_id"),
-                       F.col(query_vec_col).cast("array<double>").alias("qv"))
-    # Rows without a vector are not searchable; a vector of the wrong width
-    # is scored as the zero vector (similarity 0.5).
     carry = list(carry or [])
-    c = corpus.where(F.col(vec_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(corpus_col).alias("corpus"),
+    rows = queries.select(F.col(query_id_col).alias("query_id"),
+                          F.col(query_vec_col).cast("array<double>").alias("vec")).limit(max_queries + 1).toArrow()
+    if rows.num_rows > max_queries:
+        raise ValueError(f"more than {max_queries} queries in one search")
+    if rows["query_id"].null_count:
+        raise ValueError("a query has no id")
+    vecs = rows["vec"].combine_chunks()
+    if isinstance(vecs, pa.ChunkedArray):
+        vecs = pa.concat_arrays(vecs.chunks) if vecs.num_chunks else pa.array([], pa.list_(pa.float64()))
+    if width is None:
+        width = max([w for w in pc.list_value_length(vecs).to_pylist() if w], default=1)
+    ids = rows["query_id"].combine_chunks()
+    ids = ids if not isinstance(ids, pa.ChunkedArray) else pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array(
+        [], ids.type)
+    shared = spark.sparkContext.broadcast((ids, _unit(vecs, width)))
+    c = corpus.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(corpus_col).alias("corpus"),
         F.col(vec_col).cast("array<double>").alias("vec"), *carry)
-    schema = T.StructType(_CAND.fields + [c.schema[n] for n in carry])
-    results = []
-    for block in _query_blocks(q, max_query_block):
-        rows = block.collect()  # bounded by max_query_block
-        if not rows:
-            continue
-        w = width or len(rows[0]["qv"])
-        qmat = np.array([r["qv"] if r["qv"] is not None and len(r["qv"]) == w else [0.0] * w
-                         for r in rows], dtype=np.float64)
-        qn = np.linalg.norm(qmat, axis=1)
-        qmat = qmat / np.where(qn == 0, 1.0, qn)[:, None]
-        qids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-        block_bc = spark.sparkContext.broadcast((qids, qmat))
-        results.append(c.mapInPandas(_scorer(block_bc, k, w, carry), schema))
-    if not results:
-        empty = spark.createDataFrame([], schema)
-        return empty.select("query_id", "corpus", F.lit(1).alias("rank"), "id", "cosine",
-                            F.lit(0.0).alias("similarity"), *carry)
-    cand = results[0]
-    for r in results[1:]:
-        cand = cand.unionByName(r)
+    fields = [f for f in c.schema.fields if f.name != "vec"]
+    schema = T.StructType([*fields, T.StructField("query_id", queries.schema[query_id_col].dataType),
+                           T.StructField("cosine", T.DoubleType())])
+    cand = c.mapInArrow(_scorer(shared, k, width, decimals), schema)
     w = Window.partitionBy("query_id", "corpus").orderBy(F.desc("cosine"), F.asc("id"))
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     sim = (F.col("cosine") + 1) / 2

@@ -78,10 +78,9 @@ SELECT id, {S.stem_hits(_STEM_TEXT, PROBE_STEMS, PROBE_EXACT)} AS hits FROM post
 WHERE {S.stem_hits(_STEM_TEXT, PROBE_STEMS, PROBE_EXACT)} >= 3""")
 def q_keyword_stem_filter(spark, sf):
     p = posts(spark, sf)
-    t = F.concat(F.coalesce("title", F.lit("None")), F.lit(" "), F.coalesce("body_text", F.lit("None")))
-    scored = tx.compute_once(p.select("id", "title", "body_text"),
-                             hits=tx.stem_hits(t, PROBE_STEMS, PROBE_EXACT))
-    return scored.where(F.col("hits") >= 3).select("id", "hits")
+    kept = fl.stem_filter(p.select("id", "title", "body_text"), "title", "body_text", stems=PROBE_STEMS,
+                          exact=PROBE_EXACT)
+    return kept.select("id", "hits")
 
 
 @register("drop_bad_dates", _P + """

@@ -168,7 +168,7 @@ c AS (SELECT year_released, tag, count(*) AS n FROM f GROUP BY 1, 2)
 SELECT y.year_released, top.tag, coalesce(c.n, 0) AS n
 FROM y CROSS JOIN top LEFT JOIN c ON c.year_released = y.year_released AND c.tag = top.tag""")
 def q_tag_counts_by_year(spark, sf):
-    return topk.counts_by_top(_tag_rows(spark, sf), "year_released", "tag", 8, wide=False)
+    return topk.counts_by_top(_tag_rows(spark, sf), "year_released", "tag", 8)
 
 
 def _tag_rows(spark, sf):
@@ -177,12 +177,16 @@ def _tag_rows(spark, sf):
                     F.explode(tx.split_tags("tags")).alias("tag"))
 
 
-@register("tag_counts_by_year_wide", _P + _TAGS + """
-, f AS (SELECT year_released, tag FROM tags WHERE tag IN (SELECT tag FROM top))
-PIVOT f ON tag USING count(*) GROUP BY year_released""")
+#: Columns of the wide form and the tags they count.
+WIDE_TAGS = {"en": "en", "de": "de", "fr": "fr", "es": "es", "topic_0": "topic0", "topic_1": "topic1",
+             "source_0": "src0", "source_1": "src1"}
+
+
+@register("tag_counts_by_year_wide", _P + _TAGS + "SELECT year_released, " + ", ".join(
+    f"count(*) FILTER (WHERE tag = '{v}') AS {n}" for n, v in WIDE_TAGS.items()) + " FROM tags GROUP BY year_released")
 def q_tag_counts_by_year_wide(spark, sf):
-    """One column per top tag (pivot on the k fetched tag values), zeros filled."""
-    return topk.counts_by_top(_tag_rows(spark, sf), "year_released", "tag", 8, wide=True)
+    """One column per wanted tag."""
+    return topk.counts_by_values(_tag_rows(spark, sf), "year_released", "tag", WIDE_TAGS)
 
 
 @register("events_per_week", """

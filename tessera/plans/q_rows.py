@@ -11,7 +11,7 @@ from tessera.operators import filters as fl
 from tessera.plans import sqlbits as S
 from tessera.plans.registry import register
 from tessera.schemas import DEV_TOPICS, NEWS_TOPICS, UNSURE, URL_PREFIX
-from tessera.session import stage_path, stage_table
+from tessera.session import write_stage
 from tessera.sources.readers import flatten_pages, read_year_partitions
 from tessera.sources.tables import POSTS_SQL, posts, table, with_ctes
 
@@ -22,10 +22,10 @@ _P = with_ctes(POSTS_SQL)
 SELECT dominant_topic, id, substring({S.combined_text('title', 'body_text', 1500)}, 1, 120) AS sample
 FROM posts QUALIFY row_number() OVER (PARTITION BY dominant_topic ORDER BY id) <= 10""")
 def q_cluster_samples(spark, sf):
-    p = posts(spark, sf).select("dominant_topic", "id", "title", "body_text")
-    first = dedup.first_n(p, ["dominant_topic"], [F.col("id")], 10)
-    return first.select("dominant_topic", "id",
-                        F.substring(tx.combined_text("title", "body_text", 1500), 1, 120).alias("sample"))
+    # Clipped in front of the window, so that no full text is sorted.
+    p = posts(spark, sf).select("dominant_topic", "id", F.substring(
+        tx.combined_text("title", "body_text", 1500), 1, 120).alias("sample"))
+    return dedup.first_n(p, ["dominant_topic"], [F.col("id")], 10)
 
 
 _QUOTA = dedup.quota_size(200, 5)
@@ -137,19 +137,24 @@ def q_serving_join(spark, sf):
                               ["title", "url", "published_at"], "pos_score", "neg_score")
 
 
+#: The place of each topic id in the order 6, 5, 7, 4, 1, 2, 0, 3.
+_PLACE = {6: 1, 5: 2, 7: 3, 4: 4, 1: 5, 2: 6, 0: 7, 3: 8}
+
+
 def _topics_sql() -> str:
-    rows = [f"('{c}', {i}, {S.q(k)})" for c, names in (("news", NEWS_TOPICS), ("dev", DEV_TOPICS))
+    rows = [f"('{c}', {i}, {S.q(k)}, {_PLACE[i]})" for c, names in (("news", NEWS_TOPICS), ("dev", DEV_TOPICS))
             for i, k in enumerate(names)]
-    return "topic_dim(corpus, topic_id, keywords) AS (VALUES " + ", ".join(rows) + ")"
+    return "topic_dim(corpus, topic_id, keywords, display_no) AS (VALUES " + ", ".join(rows) + ")"
 
 
 @register("topic_name_lookup", with_ctes(POSTS_SQL, _topics_sql()) + """
 SELECT p.id, p.corpus, CAST(p.n_chars % 10 AS INTEGER) AS topic,
-  coalesce(t.keywords, CAST(CAST(p.n_chars % 10 AS INTEGER) AS VARCHAR)) AS topic_name
+  coalesce(t.keywords, CAST(CAST(p.n_chars % 10 AS INTEGER) AS VARCHAR)) AS topic_name,
+  CAST(t.display_no AS INTEGER) AS display_no
 FROM posts p LEFT JOIN topic_dim t ON t.corpus = p.corpus AND t.topic_id = p.n_chars % 10""")
 def q_topic_name_lookup(spark, sf):
     p = posts(spark, sf).select("id", "corpus", (F.col("n_chars") % 10).cast("int").alias("topic"))
-    return joins.topic_name(p, "corpus", "topic")
+    return joins.topic_name(p, "corpus", "topic", display="display_no")
 
 
 @register("label_backfill_join", _P + f"""
@@ -173,8 +178,7 @@ WHERE year(published_on) IN (2021, 2023)""")
 def q_scan_year_partition(spark, sf):
     p = posts(spark, sf).select("id", "title", "published_on",
                                 F.year("published_on").alias("year"))
-    stage_table(p, "posts_by_year", sf, partition_by=["year"])
-    df = read_year_partitions(spark, stage_path(spark, "posts_by_year", sf), [2021, 2023])
+    df = read_year_partitions(spark, write_stage(p, "posts_by_year", partition_by=["year"]), [2021, 2023])
     return df.select("id", "title", "published_on", F.col("year").cast("int").alias("year"))
 
 

@@ -8,22 +8,18 @@ from pyspark.sql import functions as F
 
 from tessera.plans import q_filters, q_rows
 from tessera.plans.registry import ORACLE, register
-from tessera.session import stage_path, stage_table
+from tessera.session import stage_path, write_stage
 from tessera.sources.tables import POSTS_SQL, posts, with_ctes
 from tessera.streaming import ingest as st
 
 
-def _news_rows(spark, sf):
-    """The posts as raw news records, landed once, partitioned by year."""
+def _source(spark, sf, **kw):
+    """The posts as raw news records, landed in a fresh path partitioned by year."""
     p = posts(spark, sf).select(
         "id", F.col("body_text").alias("text"), F.col("published_raw").alias("date"), "sitename",
         "url", "title", "published_at", F.year("published_on").alias("year"))
-    return stage_table(p, "news_source", sf, partition_by=["year"])
-
-
-def _source(spark, sf, **kw):
-    landed = _news_rows(spark, sf)
-    return st.file_stream(spark, stage_path(spark, "news_source", sf), landed.schema, **kw)
+    path = write_stage(p, "news_source", partition_by=["year"])
+    return st.file_stream(spark, path, spark.read.parquet(path).schema, **kw)
 
 
 @register("stream_ingest", ORACLE["news_relevance_filter"])
@@ -69,13 +65,10 @@ def q_stream_quota(spark, sf):
 
 
 def _updates(spark, sf):
-    """Three landed update files (versions 1..3), one per micro-batch."""
-    path = stage_path(spark, "upsert_updates", sf)
+    """Three landed update files (versions 1..3), one per micro-batch, in a
+    path of this run's own."""
+    path = stage_path(spark, "upsert_updates")
     p = posts(spark, sf)
-    try:
-        return path, spark.read.parquet(path).schema
-    except Exception:
-        pass
     waves = [
         (1, p.where(F.col("lang") == "en"), " v1"),
         (2, p.where(F.col("lang") == "de"), " v2"),

@@ -15,6 +15,7 @@ from tessera.operators.filters import keep_keys
 from tessera.operators import vectors as vo
 from tessera.plans.registry import register
 from tessera.schemas import DEV_TOPICS, NEWS_TOPICS
+from tessera.session import checkpoint_dir, stage_table
 from tessera.sources.tables import POSTS_SQL, posts, table
 
 THEME_THRESHOLD = 0.4
@@ -106,7 +107,7 @@ def q_cluster_semi_filter(spark, sf):
     ranked = vo.rank_by_theme(vo.centroids(e, "label", "embedding"), "label", theme, THEME_THRESHOLD)
     rows = e.select("vec_id", "label").join(
         table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "n_chars"), "vec_id")
-    return keep_keys(rows, ranked.where("selected"), "label", 10_000).select("vec_id", "label", "n_chars")
+    return keep_keys(rows, ranked.where("selected"), "label").select("vec_id", "label", "n_chars")
 
 
 @register("invalid_vector_guard", f"""
@@ -170,6 +171,12 @@ def q_similarity_topk_batch(spark, sf):
     return _attach(top, e)
 
 
+def _hits(spark, sf):
+    """The search's hits, computed once: a few rows per query, checkpointed."""
+    checkpoint_dir(spark)
+    return q_similarity_topk_batch(spark, sf).checkpoint()
+
+
 @register("similarity_results", _topk_sql("queries AS (SELECT CAST(label AS BIGINT) AS query_id, c AS qv FROM cvec)")
           .replace("WITH ", "WITH " + POSTS_SQL + ", ", 1)
           .replace("coalesce(t.keywords, CAST(r.label AS VARCHAR)) AS topic_name",
@@ -177,10 +184,10 @@ def q_similarity_topk_batch(spark, sf):
           .replace("FROM r LEFT JOIN topic_dim t", "FROM r LEFT JOIN posts p ON p.id = r.id LEFT JOIN topic_dim t"))
 def q_similarity_results(spark, sf):
     """Search hits as result records: rank, similarity and topic name plus the
-    hit's title and secondary label (a left join of the k hits per query)."""
-    top = q_similarity_topk_batch(spark, sf)
-    fields = posts(spark, sf).select("id", "title", "secondary_label")
-    return top.join(fields, "id", "left").select(
+    hit's title and secondary label."""
+    hits = _hits(spark, sf)
+    fields = keep_keys(posts(spark, sf).select("id", "title", "secondary_label"), hits, "id")
+    return hits.join(fields, "id", "left").select(
         "query_id", "corpus", "rank", "id", "similarity", "topic_name", "title", "secondary_label")
 
 
@@ -189,37 +196,53 @@ def _records_sql() -> str:
     from tessera.plans.q_labels import _LEX_SQL
     base = (_topk_sql("queries AS (SELECT CAST(label AS BIGINT) AS query_id, c AS qv FROM cvec)")
             .replace("WITH ", "WITH " + POSTS_SQL + ", " + _LEX_SQL + ", ", 1))
-    extra = f""",
-hits AS (SELECT DISTINCT id FROM r WHERE rank <= {TOP_K}),
-ww AS (SELECT doc_id, lower(unnest({S.words('text')})) AS word FROM documents WHERE doc_id IN (SELECT id FROM hits)),
-a AS (SELECT doc_id, avg(polarity) AS p, avg(subjectivity) AS q FROM ww JOIN lex USING (word) GROUP BY doc_id),
-pol AS (SELECT d.doc_id, coalesce(a.p, 0.0) AS p, coalesce(a.q, 0.0) AS q
-        FROM documents d LEFT JOIN a USING (doc_id) WHERE d.doc_id IN (SELECT id FROM hits))
+    polarity = """
+{w}w AS (SELECT {key}, lower(unnest({words})) AS word FROM {rows}),
+{w}a AS (SELECT {key}, avg(polarity) AS p, avg(subjectivity) AS q FROM {w}w JOIN lex USING (word) GROUP BY {key}),
+{w}p AS (SELECT d.{key}, coalesce({w}a.p, 0.0) AS p, coalesce({w}a.q, 0.0) AS q FROM {rows} d LEFT JOIN {w}a USING ({key}))"""
+    extra = """,
+hits AS (SELECT DISTINCT id FROM r WHERE rank <= %d),
+hd AS (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT id FROM hits)),
+qd AS (SELECT label, 'about ' || CAST(label AS VARCHAR) || ' ' || (SELECT min(text) FROM benchmark) AS text
+       FROM cvec),""" % TOP_K + polarity.format(w="h", key="doc_id", words=S.words("text"), rows="hd") + "," \
+        + polarity.format(w="q", key="label", words=S.words("substring(text, 1, 1000)"), rows="qd") + """
 SELECT r.query_id"""
     out = base.replace("\nSELECT r.query_id", extra, 1)
     out = out.replace("coalesce(t.keywords, CAST(r.label AS VARCHAR)) AS topic_name",
                       "coalesce(t.keywords, CAST(r.label AS VARCHAR)) AS topic_name, p.title, p.secondary_label, "
-                      "round(pol.p, 6) AS tb_polarity, round(pol.q, 6) AS tb_subjectivity, "
-                      f"CASE WHEN pol.p IS NULL THEN NULL ELSE {S.polarity_label('pol.p', 0.05, False)} END AS tb_sentiment")
+                      "hd.text AS article_text, round(hp.p, 6) AS tb_polarity, round(hp.q, 6) AS tb_subjectivity, "
+                      f"CASE WHEN hp.p IS NULL THEN NULL ELSE {S.polarity_label('hp.p', 0.05, False)} END AS tb_sentiment, "
+                      "round(qp.p, 6) AS query_polarity, round(qp.q, 6) AS query_subjectivity, "
+                      f"{S.polarity_label('qp.p', 0.05, False)} AS query_sentiment_label")
     return out.replace("FROM r LEFT JOIN topic_dim t",
-                       "FROM r LEFT JOIN posts p ON p.id = r.id LEFT JOIN pol ON pol.doc_id = r.id "
+                       "FROM r LEFT JOIN posts p ON p.id = r.id LEFT JOIN hp ON hp.doc_id = r.id "
+                       "LEFT JOIN hd ON hd.doc_id = r.id LEFT JOIN qp ON qp.label = r.query_id "
                        "LEFT JOIN topic_dim t")
 
 
 @register("similarity_records", _records_sql())
 def q_similarity_records(spark, sf):
-    """Full result records: each hit with title, secondary label and the
-    lexicon polarity, subjectivity and label of its text.  The scorer runs
-    only on the hit documents (an IN list of at most queries x corpora x k
-    ids)."""
+    """Full result records: each hit with title, secondary label, text and the
+    lexicon polarity, subjectivity and label of its text and of the query's.
+    The scorer runs on the hit documents and the queries only."""
     from tessera.operators import labels as lb
     from tessera.plans.q_labels import lexicon
-    top = q_similarity_topk_batch(spark, sf)
+    hits = _hits(spark, sf)
+    lex = lexicon(spark, sf)
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    hit_docs = keep_keys(docs, top, "id", 100_000)
-    pol = lb.lexicon_polarity(hit_docs, "id", "text", lexicon(spark, sf))
-    fields = posts(spark, sf).select("id", "title", "secondary_label")
-    rec = top.join(fields, "id", "left").join(pol, "id", "left")
+    hit_docs = stage_table(keep_keys(docs, hits, "id"), "hits")
+    pol = lb.lexicon_polarity(hit_docs, "id", "text", lex)
+    first = table(spark, sf, "benchmark").agg(F.min("text").alias("t"))
+    asked = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("query_id")).distinct()
+    wording = first.first()["t"]  # one text
+    asked = asked.select("query_id", F.concat(F.lit("about "), F.col("query_id").cast("string"), F.lit(" "),
+                                              F.lit(wording)).alias("q"))
+    query = lb.query_sentiment(asked, "query_id", "q", lex)
+    names = keep_keys(posts(spark, sf).select("id", "title", "secondary_label"), hits, "id")
+    rec = (hits.join(names, "id", "left").join(hit_docs.withColumnRenamed("text", "article_text"), "id", "left")
+           .join(pol, "id", "left").join(query, "query_id", "left"))
     return rec.select("query_id", "corpus", "rank", "id", "similarity", "topic_name", "title", "secondary_label",
-                      F.round("tb_polarity", 6).alias("tb_polarity"),
-                      F.round("tb_subjectivity", 6).alias("tb_subjectivity"), "tb_sentiment")
+                      "article_text", F.round("tb_polarity", 6).alias("tb_polarity"),
+                      F.round("tb_subjectivity", 6).alias("tb_subjectivity"), "tb_sentiment",
+                      F.round("query_polarity", 6).alias("query_polarity"),
+                      F.round("query_subjectivity", 6).alias("query_subjectivity"), "query_sentiment_label")

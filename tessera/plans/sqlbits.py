@@ -4,7 +4,14 @@ from __future__ import annotations
 
 import re
 
-from tessera.functions.text import MARKUP_REWRITES
+# Written out apart from the patterns under test.
+_MARKUP = [
+    (r"```[\s\S]*?```", " "),
+    (r"`[^`]*`", " "),
+    (r"!\[[^\]]*\]\([^)]*\)", " "),
+    (r"\[([^\]]+)\]\([^)]*\)", r"\1"),
+    (r"<[^>]+>", " "),
+]
 
 
 def q(s: str) -> str:
@@ -60,8 +67,8 @@ def stem_hits(e: str, stems: list[str], exact: list[str]) -> str:
 
 def markdown_to_text(e: str) -> str:
     out = e
-    for pat, repl in MARKUP_REWRITES:
-        out = f"regexp_replace({out}, {q(pat)}, {q(repl.replace('$1', chr(92) + '1'))}, 'g')"
+    for pat, repl in _MARKUP:
+        out = f"regexp_replace({out}, {q(pat)}, {q(repl)}, 'g')"
     return rf"trim(regexp_replace({out}, '\s+', ' ', 'g'))"
 
 

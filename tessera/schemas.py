@@ -104,6 +104,18 @@ DEV_TOPICS = [
     "agentic, autonomous, workflows",
 ]
 
+# Topic ids in the order in which both corpora show them.
+DISPLAY_ORDER = [6, 5, 7, 4, 1, 2, 0, 3]
+
+# Markup removal, in this order: code blocks, inline code, images, links, tags.
+MARKUP_REWRITES = [
+    (r"```[\s\S]*?```", " "),
+    (r"`[^`]*`", " "),
+    (r"!\[[^\]]*\]\([^\)]*\)", " "),
+    (r"\[([^\]]+)\]\([^\)]*\)", "$1"),
+    (r"<[^>]+>", " "),
+]
+
 # Zero-shot candidate labels.
 PRIMARY_LABELS = [
     "a coding tutorial, technical guide, or software implementation walkthrough with little discussion of societal implications",
@@ -130,25 +142,15 @@ SECONDARY_LABEL_PATTERNS = [
     "%discussion of the environmental impact or energy consumption of AI%",
 ]
 
-THEME_TEXT = "AI automation impact on society, environment, law, and jobs"
 SENTIMENT_LABELS = ["positive", "neutral", "negative"]
 URL_PREFIX = "https://hashnode.com/post/"
 EMBEDDING_WIDTH = 384
-CHUNK_WORDS = 300
 UNSURE = "UNSURE"
 
 # ---------------------------------------------------------------------------
 # Schemas
 # ---------------------------------------------------------------------------
 
-NEWS_RAW = T.StructType([
-    T.StructField("text", T.StringType()),
-    T.StructField("date", T.StringType()),
-    T.StructField("sitename", T.StringType()),
-    T.StructField("url", T.StringType()),
-    T.StructField("title", T.StringType()),
-])
-
 NEWS_CSV = T.StructType([
     T.StructField("url", T.StringType()),
     T.StructField("date", T.StringType()),
@@ -157,15 +159,6 @@ NEWS_CSV = T.StructType([
     T.StructField("sitename", T.StringType()),
 ])
 
-DEV_POST = T.StructType([
-    T.StructField("id", T.StringType(), False),
-    T.StructField("title", T.StringType(), False),
-    T.StructField("url", T.StringType(), False),
-    T.StructField("published_at", T.StringType()),
-    T.StructField("tags", T.StringType()),
-    T.StructField("body_text", T.StringType()),
-])
-
 _NODE = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("title", T.StringType()),
@@ -204,8 +197,3 @@ SCORES = T.StructType([
     T.StructField("neutral", T.DoubleType()),
     T.StructField("negative", T.DoubleType()),
 ])
-
-LABEL_SCORE = T.StructType([
-    T.StructField("label", T.StringType()),
-    T.StructField("score", T.DoubleType()),
-])

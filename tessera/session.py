@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,29 +68,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def _strip_scheme(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new location under the checkpoint folder; no call returns an earlier one."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
 
 
-def stage_path(spark: SparkSession, name: str, *parts: str) -> str:
-    """Deterministic location under the checkpoint folder for a staged table."""
-    key = hashlib.sha1("|".join(parts).encode()).hexdigest()[:12]
-    return os.path.join(checkpoint_dir(spark), "tables", f"{name}-{key}")
+def write_stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> str:
+    """Write ``df`` as parquet to a new staging path and return the path."""
+    path = stage_path(df.sparkSession, name)
+    w = df.write
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+    return path
 
 
-def stage_table(df: DataFrame, name: str, *key_parts: str,
-                partition_by: list[str] | None = None) -> DataFrame:
+def stage_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as parquet under the checkpoint folder and read it back.
 
-    Used to cut lineage (model inputs, stream sources) instead of
-    ``localCheckpoint``; the written table survives executor loss.
+    Used to cut lineage (model inputs, stream sources); the written table
+    survives executor loss.  Every call writes a path of its own, so a staged
+    table is never stale and never rewritten under a reader; hold the returned
+    frame to use it again.  The job's owner empties the checkpoint folder.
     """
-    spark = df.sparkSession
-    path = stage_path(spark, name, *key_parts)
-    marker = os.path.join(_strip_scheme(path), "_SUCCESS")
-    if not (path.startswith("file:") or path.startswith("/")) or not os.path.exists(marker):
-        w = df.write.mode("overwrite")
-        if partition_by:
-            w = w.partitionBy(*partition_by)
-        w.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(write_stage(df, name, partition_by))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists in its file system.  Errors of the file system
+    are raised, so that an unreadable path is never taken for an absent one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

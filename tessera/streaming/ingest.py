@@ -9,9 +9,11 @@ own output instead of duplicating it.
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +21,7 @@ from pyspark.sql.window import Window
 
 from tessera.operators import dedup
 from tessera.operators import filters as fl
-from tessera.session import checkpoint_dir
+from tessera.session import checkpoint_dir, path_exists
 
 
 VERSION_COL = "table_version"
@@ -58,18 +60,45 @@ def ingest_relevant(stream: DataFrame, text: str = "text", date: str = "date",
     return stream.where(fl.relevance(F.col(text), F.col(date), F.col(source), **params))
 
 
+def _first_of_batch(keys: list[str]):
+    """mapInArrow body: the first row per key of each Arrow batch, stateless."""
+    def run(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).append_column("_row", pa.array(range(batch.num_rows), pa.int64()))
+            first = table.group_by(keys).aggregate([("_row", "min")])["_row_min"]
+            yield batch.take(first.combine_chunks())
+    return run
+
+
 def dedup_prefix_stream(stream: DataFrame, text: str, group: str, event_time: str,
                         delay: str = "366 days", prefix_len: int = 50) -> DataFrame:
     """Drop rows whose (group, text prefix) was already seen.
 
+    Copies are dropped within each Arrow batch first, so a prefix that many
+    rows share sends one row per batch to the task that keeps its state.
     State per key is kept until the watermark passes the first occurrence
     plus ``delay``; with ``group`` a calendar year and a delay above one
     year every duplicate that arrives before the watermark moves past its
     year is dropped.
     """
-    return (stream.withColumn("prefix", F.substring(F.col(text), 1, prefix_len))
-                  .withWatermark(event_time, delay)
-                  .dropDuplicatesWithinWatermark([group, "prefix"]))
+    keyed = stream.withColumn("prefix", F.substring(F.col(text), 1, prefix_len))
+    once = keyed.mapInArrow(_first_of_batch([group, "prefix"]), keyed.schema)
+    return once.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([group, "prefix"])
+
+
+def _write_part(df: DataFrame, path: str, batch_id: int, partition_by: list[str] | None = None) -> None:
+    """Write one batch's partitions of a table; a replay overwrites them."""
+    (df.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy(*(partition_by or []), "batch").parquet(path))
+
+
+def _earlier(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame | None:
+    """Rows that batches before ``batch_id`` wrote; None before the first one.
+    Only an absent path counts as that: any other error fails the batch."""
+    if not path_exists(spark, path):
+        return None
+    known = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(known).parquet(path).where(F.col("batch") < batch_id)
 
 
 def dedup_stream_exact(stream: DataFrame, sink: str, ckpt: str, keys: list[str], order: list[str],
@@ -80,28 +109,34 @@ def dedup_stream_exact(stream: DataFrame, sink: str, ckpt: str, keys: list[str],
     Each batch first collapses its own copies with ``keep_first`` (an
     aggregation, so a group of copies is pre-combined in every task before
     the shuffle), then drops keys seen by earlier batches with a left anti
-    join against the key table ``sink/_keys`` -- read only for the values
-    of ``prune_col`` (e.g. the year) present in the batch.  Output rows go to
-    ``sink/batch=<id>`` and new keys to ``sink/_keys/batch=<id>``; a replayed
-    batch compares against earlier batches only and overwrites its own
-    partitions.
+    join against the key table ``sink/_keys``.  That table is partitioned by
+    ``prune_col`` (one of the keys, e.g. the year) and semi-joined to the
+    batch's values of it first, so other partitions can be skipped.  Output
+    rows go to ``sink/batch=<id>``; a replayed batch compares against earlier
+    batches only and overwrites its own partitions.
     """
     spark = stream.sparkSession
+    if prune_col is not None and prune_col not in keys:
+        raise ValueError("prune_col must be one of the keys")
     key_root = f"{sink}/_keys"
+    parts = [prune_col] if prune_col else []
+    key_schema = T.StructType([stream.schema[k] for k in [*[k for k in keys if k not in parts], *parts]])
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
         first = dedup.keep_first(df, keys, order).persist()
-        try:
-            seen = spark.read.parquet(key_root).where(F.col("batch") < batch_id)
+        seen = _earlier(spark, key_root, key_schema, batch_id)
+        fresh = first
+        if seen is not None:
             if prune_col:
-                present = [r[0] for r in first.select(prune_col).distinct().collect()]  # few values
-                seen = seen.where(F.col(prune_col).isin(present))
-            fresh = first.join(seen.select(*keys), keys, "left_anti")
-        except Exception:  # first batch: no keys yet
-            fresh = first
+                seen = seen.join(first.select(prune_col).distinct(), prune_col, "left_semi")
+            same = F.lit(True)
+            old = seen.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+            for i, k in enumerate(keys):
+                same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+            fresh = first.join(old, same, "left_anti")
         fresh = fresh.persist()
         fresh.write.mode("overwrite").parquet(_batch_part(sink, batch_id))
-        fresh.select(*keys).write.mode("overwrite").parquet(f"{key_root}/batch={batch_id}")
+        _write_part(fresh.select(*keys), key_root, batch_id, parts)
         fresh.unpersist()
         first.unpersist()
 
@@ -118,25 +153,22 @@ def quota_stream(stream: DataFrame, sink: str, ckpt: str, group: str, order: lis
                  quota: int) -> str:
     """Keep the first ``quota`` rows per group across micro-batches.
 
-    Each batch reads how many rows per group earlier batches kept (one small
-    row per group), ranks its own rows per group (``row_number <= quota``
-    lets WindowGroupLimit cut every task to ``quota`` rows per group before
-    the shuffle) and writes the survivors to ``sink/batch=<id>``.
+    Each batch reads how many rows per group earlier batches kept, ranks its
+    own rows per group (``row_number <= quota`` lets WindowGroupLimit cut every
+    task to ``quota`` rows per group before the shuffle) and writes the
+    survivors to ``sink/batch=<id>``.
     """
     spark = stream.sparkSession
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
-        try:
-            prev = (spark.read.parquet(sink).where(F.col("batch") < batch_id)
-                         .groupBy(group).agg(F.count(F.lit(1)).alias("_kept")))
-        except Exception:  # first batch: no sink yet
-            prev = None
         w = Window.partitionBy(group).orderBy(*[F.col(c) for c in order])
         ranked = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= quota)
+        prev = _earlier(spark, sink, df.schema, batch_id)
         if prev is not None:
-            ranked = ranked.join(F.broadcast(prev), group, "left")  # one row per group
+            kept = prev.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_kept"))
+            ranked = ranked.join(kept, F.col(group).eqNullSafe(F.col("_group")), "left")
             ranked = ranked.where(F.col("_rn") <= F.lit(quota) - F.coalesce("_kept", F.lit(0)))
-            ranked = ranked.drop("_kept")
+            ranked = ranked.drop("_kept", "_group")
         ranked.drop("_rn").write.mode("overwrite").parquet(_batch_part(sink, batch_id))
 
     (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
@@ -148,18 +180,26 @@ def _bucket(keys: list[str], n_buckets: int):
     return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(n_buckets)).cast("int")
 
 
+# A leading underscore keeps Spark's Parquet reader of the table away from these.
 def _manifest(table_root: str) -> str:
-    # A leading underscore keeps Spark's Parquet reader of the table away from it.
     return f"{table_root}/_manifest"
 
 
+def _layout(table_root: str) -> str:
+    return f"{table_root}/_layout"
+
+
+_MANIFEST = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField(VERSION_COL, T.IntegerType()),
+                          T.StructField("batch", T.LongType())])
+
+
 def _current_versions(spark: SparkSession, table_root: str, before_batch: int | None = None) -> dict[int, int]:
     """bucket -> newest version committed by batches before ``before_batch``
-    (one small row per bucket)."""
-    try:
-        m = spark.read.parquet(_manifest(table_root))
-    except Exception:  # nothing committed yet
+    (one small row per bucket); empty only if there is no manifest.  Any error
+    in reading it is raised."""
+    if not path_exists(spark, _manifest(table_root)):
         return {}
+    m = spark.read.schema(_MANIFEST).parquet(_manifest(table_root))
     if before_batch is not None:
         m = m.where(F.col("batch") < before_batch)
     return {r["bucket"]: r["v"] for r in m.groupBy("bucket").agg(F.max(VERSION_COL).alias("v")).collect()}
@@ -169,8 +209,23 @@ def _version_paths(table_root: str, versions: dict[int, int]) -> list[str]:
     return [f"{table_root}/bucket={b}/{VERSION_COL}={v}" for b, v in sorted(versions.items())]
 
 
+def _buckets(spark: SparkSession, table_root: str, initial: DataFrame, wanted: int | None,
+             rows_per_bucket: int) -> int:
+    """The table's number of buckets: stored when it is created, and checked
+    against ``wanted`` ever after."""
+    if path_exists(spark, _layout(table_root)):
+        stored = spark.read.schema("n_buckets int").parquet(_layout(table_root)).first()["n_buckets"]
+        if wanted is not None and wanted != stored:
+            raise ValueError(f"the table has {stored} buckets, not {wanted}")
+        return stored
+    n = wanted or max(1, math.ceil(initial.count() / rows_per_bucket))
+    spark.createDataFrame([(n,)], "n_buckets int").coalesce(1).write.parquet(_layout(table_root))
+    return n
+
+
 def upsert_stream(stream: DataFrame, initial: DataFrame, table_root: str, ckpt: str,
-                  keys: list[str], order_col: str, n_buckets: int = 64) -> str:
+                  keys: list[str], order_col: str, n_buckets: int | None = None,
+                  rows_per_bucket: int = 1_000_000) -> str:
     """Micro-batch upsert into a bucketed, versioned Parquet table
     (copy-on-write per bucket).
 
@@ -179,18 +234,21 @@ def upsert_stream(stream: DataFrame, initial: DataFrame, table_root: str, ckpt:
     ``b`` reads only the current files of the buckets its rows hash to,
     merges (per key the largest ``order_col`` wins, an update on ties), writes
     those buckets as version ``b + 1`` and appends its manifest entries under
-    ``batch=b``.  Untouched buckets are never rewritten.  A replayed batch
-    recomputes from the versions committed before it and overwrites the same
-    partitions and manifest entries, so retries do not change the result.
+    ``batch=b``.  Untouched buckets are never rewritten, and each is written by
+    one task.  A replayed batch recomputes from the versions committed before
+    it and overwrites the same partitions and manifest entries, so retries do
+    not change the result; a failed read fails the batch and leaves the table
+    as it was.  The number of buckets, by default one per ``rows_per_bucket``
+    initial rows, is stored with the table.
     """
     spark = stream.sparkSession
     cols = initial.columns
     if order_col not in cols:
         raise ValueError(f"initial rows need the order column {order_col!r}")
-    bucket = _bucket(keys, n_buckets)
+    bucket = _bucket(keys, _buckets(spark, table_root, initial, n_buckets, rows_per_bucket))
 
     def write_version(rows: DataFrame, version: int, batch_id: int, touched: list[int]) -> None:
-        (rows.withColumn("bucket", bucket).withColumn(VERSION_COL, F.lit(version))
+        (rows.withColumn("bucket", bucket).withColumn(VERSION_COL, F.lit(version)).repartition("bucket")
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("bucket", VERSION_COL).parquet(table_root))
         # Manifest last: a batch whose data write failed commits nothing.
@@ -198,7 +256,7 @@ def upsert_stream(stream: DataFrame, initial: DataFrame, table_root: str, ckpt:
               .coalesce(1).write.mode("overwrite").parquet(f"{_manifest(table_root)}/batch={batch_id}"))
 
     def buckets_of(rows: DataFrame) -> list[int]:
-        return [r["b"] for r in rows.select(bucket.alias("b")).distinct().collect()]  # <= n_buckets
+        return [r["b"] for r in rows.select(bucket.alias("b")).distinct().collect()]  # one small row per bucket
 
     if not _current_versions(spark, table_root):
         write_version(initial, 0, -1, buckets_of(initial))

@@ -51,7 +51,7 @@ def test_tag_counts_fill_zero_and_top_ties(spark):
     df = spark.createDataFrame(rows, "year int, tag string")
     top = [r.tag for r in topk.top_counts(df, "tag", 2).collect()]
     assert top == ["ai", "ml"]  # tie between ml and zz broken by value
-    long = {(r.year, r.tag): r.n for r in topk.counts_by_top(df, "year", "tag", 2, wide=False).collect()}
+    long = {(r.year, r.tag): r.n for r in topk.counts_by_top(df, "year", "tag", 2).collect()}
     assert long == {(2020, "ai"): 2, (2020, "ml"): 0, (2021, "ai"): 1, (2021, "ml"): 1}
 
 
@@ -73,12 +73,25 @@ def test_empty_inputs_do_not_fail(spark):
     assert trends.sentiment_all_topics(per).first().positive_share is None
 
 
-def test_keep_keys_in_list_and_fallback(spark):
-    from tessera.operators import filters as fl
-    df = spark.range(100).withColumnRenamed("id", "k")
-    keys = spark.range(0, 100, 10).withColumnRenamed("id", "k")
-    small = fl.keep_keys(df, keys, "k", max_keys=20)
-    big = fl.keep_keys(df, keys, "k", max_keys=5)      # beyond the bound: semi join
-    assert sorted(r.k for r in small.collect()) == sorted(r.k for r in big.collect()) == list(range(0, 100, 10))
-    assert "LeftSemi" in big._jdf.queryExecution().executedPlan().toString()
-    assert fl.keep_keys(df, keys.limit(0), "k").count() == 0
+def test_counts_by_top_real_tags(spark):
+    rows = [(2020, "node.js"), (2020, "node.js"), (2021, None), (2021, None), (2021, "x")]
+    df = spark.createDataFrame(rows, "year int, tag string")
+    got = {(r.year, r.tag): r.n for r in topk.counts_by_top(df, "year", "tag", 2).collect()}
+    assert got == {(2020, "node.js"): 2, (2020, None): 0, (2021, "node.js"): 0, (2021, None): 2}
+    assert topk.counts_by_top(df.limit(0), "year", "tag", 2).count() == 0
+    wide = {r.year: (r.node, r.other) for r in topk.counts_by_values(
+        df, "year", "tag", {"node": "node.js", "other": "y"}).collect()}
+    assert wide == {2020: (2, 0), 2021: (0, 0)}
+
+
+def test_summary_needs_no_single_buffer(spark):
+    import numpy as np
+    xs = [float(x) for x in np.random.default_rng(1).normal(size=500)] + [1.5] * 300
+    df = spark.createDataFrame([(x,) for x in xs] + [(None,)], "v double").repartition(5)
+    r = pf.summary(df, F.col("v")).first()
+    assert r["count"] == 800 and abs(r["std"] - np.std(xs, ddof=1)) < 1e-9
+    for p in (10, 25, 50, 75, 90):
+        assert abs(r[f"p{p}"] - np.percentile(xs, p)) < 1e-12
+    assert abs(pf.iqr(df, F.col("v")).first()[0] - (np.percentile(xs, 75) - np.percentile(xs, 25))) < 1e-12
+    empty = pf.summary(df.limit(0), F.col("v")).first()
+    assert empty["count"] == 0 and empty["p50"] is None and empty["std"] is None
