@@ -223,13 +223,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     distinct = rows.select("vh", "vg", "embedding").dropDuplicates(["vh", "vg"])
     nodes = stage(distinct.join(ids, ["vh", "vg"]).withColumn("dim", F.size("embedding")))
     asked = stage(rows.where("__q").select("vec_id", "vh", "vg").distinct())
-    queries = nodes.join(asked.select("vh", "vg").distinct(), ["vh", "vg"], "left_semi").select(
-        "vh", "vg", "embedding", "dim")
+    queries = stage(nodes.join(asked.select("vh", "vg").distinct(), ["vh", "vg"], "left_semi").select(
+        "vh", "vg", "embedding", "dim"))
     n, m = nodes.count(), queries.count()
     shards, blocks = max(1, math.ceil(n / SHARD)), max(1, math.ceil(m / QUERIES))
     dealt = nodes.select("dim", F.pmod("vh", F.lit(shards)).alias("shard"), "embedding", "ids",
                          F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    sent = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"),
+    sent = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")).alias("shard"),
                           F.pmod("vg", F.lit(blocks)).cast("int").alias("block"), "vh", "vg", "embedding")
     id_type = dict(rows.dtypes)["vec_id"]
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
