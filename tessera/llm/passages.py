@@ -28,7 +28,8 @@ MIN_IDENTITY = 0.8
 GAP_COST = 0.25  # per word skipped in either text
 MAX_GAP = 40  # words between neighbours of one chain, in either text
 MISMATCH = 2.0  # what a differing word costs when an end is extended
-REACH = 64  # words that an end may be extended by
+REACH = 64  # words that an end is extended by, about
+SKIP = 24  # words past which an extension looks for agreement again
 
 
 def seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,9 +239,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for hub, text, y, n in zip(*(batch.column(c).to_pylist() for c in ("hub", "hub_text", "y", "n"))):
             if hub != last:
                 last, h = hub, _hashes(text)
-            a = max(0, y[0] - REACH)
+            a = max(0, y[0] - 2 * REACH)
             first.append(a)
-            part.append(h[a:y[-1] + n[-1] + REACH].tobytes())
+            part.append(h[a:y[-1] + n[-1] + 2 * REACH].tobytes())
         keep = batch.select(["rk", "hub_id", "x", "y", "n"])
         yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(first, pa.int32()), pa.array(part, pa.binary())],
                                          names=[*keep.schema.names, "first", "part"])
@@ -259,15 +260,41 @@ def _edits(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def _extend(equal: np.ndarray) -> tuple[int, int]:
-    """Words to go on for the best score, and how many of them differ."""
-    if not len(equal):
+def _straight(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Words to go on along the diagonal for the best score, and how many of
+    them differ."""
+    n = min(len(a), len(b), REACH)
+    if not n:
         return 0, 0
+    equal = a[:n] == b[:n]
     total = np.cumsum(np.where(equal, 1.0, -MISMATCH))
     k = int(total.argmax())
     return (k + 1, int((~equal[:k + 1]).sum())) if total[k] > 0 else (0, 0)
 
 
+def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Words to go on in a and in b, and the words that differ: along the
+    diagonal, and past an insertion or deletion where three words in a row
+    agree again within ``SKIP`` words and more is gained than the gap costs."""
+    on, edits = _straight(a, b)
+    x = y = on
+    while x < REACH and y < REACH:
+        u, v = a[x:x + SKIP], b[y:y + SKIP]
+        if len(u) < 3 or len(v) < 3:
+            break
+        same = u[:, None] == v[None, :]
+        again = np.argwhere(same[:-2, :-2] & same[1:-1, 1:-1] & same[2:, 2:])
+        if not len(again):
+            break
+        i, j = again[again.sum(axis=1).argmin()].tolist()
+        lost = _edits(u[:i], v[:j])
+        on, differ = _straight(a[x + i:], b[y + j:])
+        if on - differ - MISMATCH * (lost + differ) <= 0:
+            break
+        x, y, edits = x + i + on, y + j + on, edits + lost + differ
+    return x, y, edits
+
+
 def align(a: np.ndarray, b: np.ndarray, x: list[int], y: list[int], n: list[int]) -> tuple[int, int, int, int, int]:
     """Spans in a and b, and the words that differ, of a chain of runs."""
     edits = 0
@@ -275,12 +302,10 @@ def align(a: np.ndarray, b: np.ndarray, x: list[int], y: list[int], n: list[int]
         edits += int((a[x[i]:x[i] + n[i]] != b[y[i]:y[i] + n[i]]).sum())
         if i:
             edits += _edits(a[x[i - 1] + n[i - 1]:x[i]], b[y[i - 1] + n[i - 1]:y[i]])
-    left = min(x[0], y[0], REACH)
-    back, d = _extend((a[x[0] - left:x[0]] == b[y[0] - left:y[0]])[::-1])
+    left_x, left_y, d = _extend(a[max(0, x[0] - 2 * REACH):x[0]][::-1], b[max(0, y[0] - 2 * REACH):y[0]][::-1])
     end_x, end_y = x[-1] + n[-1], y[-1] + n[-1]
-    right = min(len(a) - end_x, len(b) - end_y, REACH)
-    on, e = _extend(a[end_x:end_x + right] == b[end_y:end_y + right])
-    return x[0] - back, end_x + on, y[0] - back, end_y + on, edits + d + e
+    right_x, right_y, e = _extend(a[end_x:end_x + 2 * REACH], b[end_y:end_y + 2 * REACH])
+    return x[0] - left_x, end_x + right_x, y[0] - left_y, end_y + right_y, edits + d + e
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
