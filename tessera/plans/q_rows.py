@@ -12,8 +12,9 @@ from tessera.plans import sqlbits as S
 from tessera.plans.registry import register
 from tessera.schemas import DEV_TOPICS, NEWS_TOPICS, UNSURE, URL_PREFIX
 from tessera.session import write_stage
-from tessera.sources.readers import flatten_pages, read_year_partitions
+from tessera.sources.readers import flatten_pages, page_problems, read_year_partitions
 from tessera.sources.tables import POSTS_SQL, posts, table, with_ctes
+from tessera.streaming import chains
 
 _P = with_ctes(POSTS_SQL)
 
@@ -219,3 +220,39 @@ SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id,
 FROM conversations""")
 def q_flatten_json_pages(spark, sf):
     return flatten_pages(_pages(spark, sf), "value")
+
+
+@register("page_problems", """
+SELECT CAST(conv_id AS BIGINT) AS conv_id, page, CASE WHEN conv_id % 3 = 0 THEN 'corrupt' ELSE 'errors: slow; retry' END AS problem
+FROM (SELECT DISTINCT conv_id, CAST(turn // 50 AS BIGINT) AS page FROM conversations) WHERE conv_id % 3 < 2""")
+def q_page_problems(spark, sf):
+    """Pages that are cut off or carry errors, every one reported."""
+    c = table(spark, sf, "conversations")
+    page = F.floor(F.col("turn") / 50)
+    sound = c.groupBy("conv_id", page.alias("page")).agg(F.count("*").alias("n"))
+    body = F.concat(F.lit('{"data": {"tag": {"posts": {"edges": []}}}, "errors": '),
+                    F.when(F.col("conv_id") % 3 == 1, '[{"message": "slow"}, {"message": "retry"}]').otherwise("[]"), F.lit("}"))
+    pages = sound.select("conv_id", "page", F.when(F.col("conv_id") % 3 == 0, F.substring(body, 1, 30)).otherwise(body).alias("value"))
+    return page_problems(pages).select("conv_id", "page", "problem")
+
+
+_DEV_STEMS = ["the", "that", "with", "and", "der"]
+
+
+@register("dev_ingest_chain", f"""
+WITH fresh AS (
+  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id,
+    upper(substring(role, 1, 1)) || lower(substring(role, 2)) || ' turn ' || CAST(turn AS VARCHAR) AS title,
+    {S.markdown_to_text('text')} AS body_text FROM conversations),
+kept AS (SELECT * FROM fresh WHERE {S.stem_hits("(title || ' ' || body_text)", _DEV_STEMS, ["and"])} >= 3),
+existing AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, 'old' AS title, text AS body_text
+             FROM conversations WHERE turn % 2 = 0)
+SELECT id, title, body_text FROM kept
+UNION ALL SELECT id, title, body_text FROM existing WHERE id NOT IN (SELECT id FROM kept)""")
+def q_dev_ingest_chain(spark, sf):
+    """Pages -> plain text -> stem filter -> upsert into the posts so far."""
+    existing = table(spark, sf, "conversations").where(F.col("turn") % 2 == 0).select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+        F.lit("old").alias("title"), F.col("text").alias("body_text"))
+    posts_after, _ = chains.run_dev_chain(spark, _pages(spark, sf), existing, stems=_DEV_STEMS, exact=["and"])
+    return posts_after

@@ -10,6 +10,7 @@ from tessera.plans import q_filters, q_rows
 from tessera.plans.registry import ORACLE, register
 from tessera.session import stage_path, write_stage
 from tessera.sources.tables import POSTS_SQL, posts, with_ctes
+from tessera.streaming import chains
 from tessera.streaming import ingest as st
 
 
@@ -95,3 +96,37 @@ def q_stream_upsert(spark, sf):
     root, ck = st.fresh_dirs(spark, "upsert")
     st.upsert_stream(stream, initial, root, ck, ["id"], "version")
     return st.read_latest_version(spark, root).select("id", "title", "tags", "version")
+
+
+_CHAIN_QUOTA = 20
+
+
+def _chain_sql() -> str:
+    relevant = ORACLE["news_relevance_filter"]
+    return with_ctes(POSTS_SQL) + f"""
+, rel AS ({relevant}),
+d AS (SELECT id, CAST(substring(published_raw, 1, 4) AS INTEGER) AS year, published_at FROM posts
+      WHERE id IN (SELECT id FROM rel)
+      QUALIFY row_number() OVER (PARTITION BY substring(published_raw, 1, 4), substring(body_text, 1, 50)
+                                 ORDER BY published_at, id) = 1)
+SELECT id, year FROM d QUALIFY row_number() OVER (PARTITION BY year ORDER BY published_at, id) <= {_CHAIN_QUOTA}"""
+
+
+_RELEVANT = {"keywords": q_filters.PROBE_KEYWORDS, "sources": q_filters.PROBE_SOURCES}
+
+
+@register("news_ingest_chain", _chain_sql())
+def q_news_ingest_chain(spark, sf):
+    """Filter -> prefix dedup -> quota in one batch operation."""
+    p = posts(spark, sf).select("id", F.col("body_text").alias("text"), F.col("published_raw").alias("date"), "sitename",
+                                "published_at")
+    return chains.news_chain(p, _CHAIN_QUOTA, ["published_at", "id"], **_RELEVANT).select("id", "year")
+
+
+@register("stream_news_chain", _chain_sql())
+def q_stream_news_chain(spark, sf):
+    """The same chain over landed files."""
+    sink, ck = st.fresh_dirs(spark, "news_chain")
+    kept = chains.news_chain_stream(_source(spark, sf).drop("year"), sink, ck, _CHAIN_QUOTA, ["published_at", "id"],
+                                    **_RELEVANT)
+    return spark.read.parquet(kept).select("id", "year")

@@ -45,11 +45,26 @@ def read_table(spark: SparkSession, name: str, allowed: list[str]) -> DataFrame:
     return spark.table(name)
 
 
+def page_problems(pages: DataFrame, page_col: str = "value") -> DataFrame:
+    """The input's columns plus ``problem`` for pages that are not as they
+    should be: ``corrupt`` (not JSON, or cut off), ``errors`` (the API's own
+    messages, joined) or ``no data``; sound pages give no row.  Kept beside
+    ``flatten_pages``, so that nothing a page lacks goes unseen."""
+    schema = T.StructType([*PAGE_RESPONSE.fields, T.StructField("_corrupt", T.StringType())])
+    p = F.from_json(F.col(page_col), schema, {"columnNameOfCorruptRecord": "_corrupt"})
+    said = F.array_join(F.transform(F.coalesce(F.col("_p.errors"), F.array()), lambda e: e["message"]), "; ")
+    blank = F.trim(F.coalesce(F.col(page_col), F.lit(""))) == ""
+    problem = (F.when(blank | F.col("_p._corrupt").isNotNull(), F.lit("corrupt"))
+               .when(said != "", F.concat(F.lit("errors: "), said))
+               .when(F.col("_p.data.tag.posts.edges").isNull(), F.lit("no data")))
+    return pages.withColumn("_p", p).withColumn("problem", problem).where("problem is not null").drop("_p")
+
+
 def flatten_pages(pages: DataFrame, page_col: str = "value", url_prefix: str = URL_PREFIX) -> DataFrame:
     """API response pages (JSON text, one per row) to article rows.
 
-    Rows that do not parse yield no articles (``from_json`` gives null, and
-    ``explode`` of null emits nothing) instead of failing the job.  Missing
+    Rows that do not parse yield no articles instead of failing the job
+    (``page_problems`` reports them); data beside ``errors`` is used.  Missing
     URL falls back to prefix + slug; tags become a JSON array of slugs;
     markdown becomes plain text.
     """

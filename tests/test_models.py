@@ -24,8 +24,8 @@ def test_batch_encoder(spark):
 
 def test_kmeans_clusters_deterministic(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
-    a = md.pca_kmeans(e, "embedding", "vec_id", k=10, dims=20, seeds=(1, 2))
-    b = md.pca_kmeans(e, "embedding", "vec_id", k=10, dims=20, seeds=(1, 2))
+    a = md.pca_kmeans(e, "embedding", "vec_id", width=64, k=10, dims=20, seeds=(1, 2))
+    b = md.pca_kmeans(e, "embedding", "vec_id", width=64, k=10, dims=20, seeds=(1, 2))
     assert a.count() == e.count()
     assert a.select("cluster").distinct().count() == 10
     assert sorted(a.collect()) == sorted(b.collect())
@@ -41,3 +41,38 @@ def test_lda_distribution_sums_to_one(spark):
     assert all(0 <= x.dominant_topic < 4 and 0.25 <= x.dominant_topic_prob <= 1.0 + 1e-9 for x in r)
     words = md.topic_words(model, vocab, 5).collect()
     assert len(words) == 4 * 5 and all(w.word in vocab for w in words)
+
+
+def test_kmeans_skips_unusable_vectors(spark):
+    rows = [(0, None), (1, [1.0]), (2, [1.0, None])] + [(i, [float(i % 2) * 9, 1.0 * i]) for i in range(3, 40)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {r.id for r in md.pca_kmeans(df, "v", "id", width=2, k=2, dims=2, seeds=(1,)).collect()}
+    assert got == set(range(3, 40))
+
+
+def test_one_encoder_for_corpus_and_queries(spark):
+    d = spark.createDataFrame([(1, "red apple tree"), (2, "blue sea water"), (3, "red sea"), (4, None)], "id long, t string")
+    model = md.fit_tfidf(d, "t", width=64)
+    a = {r.id: r.embedding for r in md.encode(model, d, "t").collect()}
+    b = md.encode(model, spark.createDataFrame([(9, "red apple tree")], "id long, t string"), "t").first().embedding
+    assert b == a[1] and sum(a[4]) == 0.0
+    voc = md.fit_vocabulary_tfidf(d, "t", "id", [], min_df=1, max_df=1.0)
+    c = md.encode(voc, d, "t").collect()
+    assert all(len(r.embedding) == 6 for r in c)
+
+
+def test_batch_scores_and_chunks(spark):
+    calls = []
+
+    def make():
+        import numpy as np
+
+        def predict(texts):
+            n = np.char.str_len(texts.astype(str)).astype(float)
+            return np.stack([n, 10 - n], axis=1)
+        return predict
+    d = spark.createDataFrame([(1, "abc"), (2, "a b c d e f g"), (3, None), (4, "  ")], "id long, t string")
+    s = {r.id: r.scores for r in md.batch_scores(d, "t", make, ["long", "short"]).collect()}
+    assert s[1] == [3.0, 7.0] and s[3] is None and not calls
+    got = sorted(tuple(r) for r in md.chunked_scores(d, "id", "t", make, ["long", "short"], size=3).collect())
+    assert got == [(1, 0, "short", 7.0), (2, 0, "long", 5.0), (2, 1, "long", 5.0), (2, 2, "short", 9.0)]

@@ -1,6 +1,7 @@
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import dedup
@@ -118,3 +119,70 @@ def test_exact_dedup_across_batches(spark, tmpdir_fresh):
     got = sorted((r.year, r.text, r.id) for r in spark.read.parquet(sink).collect())
     # first batch wins for keys seen in both; within a batch the first by (ts, id)
     assert got == [(2021, "same", 0), (2022, "other", 900), (2023, "new", 902)]
+
+
+def _upsert_case(spark, folder, n_buckets=4):
+    src = os.path.join(folder, "src")
+    initial = spark.createDataFrame([(i, f"t{i}", 0) for i in range(50)], "id long, title string, v int")
+    spark.createDataFrame([(1, "a", 1)], "id long, title string, v int").coalesce(1).write.mode("append").parquet(src)
+    root, ck = os.path.join(folder, "tbl"), os.path.join(folder, "ck")
+
+    def run(n=n_buckets):
+        return st.upsert_stream(st.file_stream(spark, src, spark.read.parquet(src).schema), initial, root, ck, ["id"], "v",
+                                n_buckets=n)
+    return src, root, run
+
+
+def test_failed_read_fails_the_batch_and_keeps_the_table(spark, tmpdir_fresh):
+    src, root, run = _upsert_case(spark, tmpdir_fresh)
+    run()
+    before = sorted(tuple(r) for r in st.read_latest_version(spark, root).collect())
+    assert len(before) == 50
+    # The manifest can no longer be read.
+    bad = os.path.join(root, "_manifest", "batch=0", "part-bad.parquet")
+    with open(bad, "wb") as f:
+        f.write(b"not parquet")
+    spark.createDataFrame([(2, "b", 2)], "id long, title string, v int").coalesce(1).write.mode("append").parquet(src)
+    with pytest.raises(Exception):
+        run()
+    with open(bad, "wb") as f:  # an empty file is skipped: the folder reads again
+        f.write(b"")
+    assert sorted(tuple(r) for r in st.read_latest_version(spark, root).collect()) == before
+
+
+def test_failed_read_fails_dedup_and_quota(spark, tmpdir_fresh):
+    src = os.path.join(tmpdir_fresh, "src")
+    _land(spark, src, [(1, 2021, dt.datetime(2021, 1, 1), "a", 1)])
+    schema = spark.read.parquet(src).schema
+    runs = {"dedup": lambda sink, ck: st.dedup_stream_exact(st.file_stream(spark, src, schema), sink, ck, ["year", "text"],
+                                                            ["id"], prune_col="year"),
+            "quota": lambda sink, ck: st.quota_stream(st.file_stream(spark, src, schema), sink, ck, "year", ["id"], 1)}
+    sinks = {k: (os.path.join(tmpdir_fresh, k), os.path.join(tmpdir_fresh, k + "-ck")) for k in runs}
+    for k, run in runs.items():
+        run(*sinks[k])
+    _land(spark, src, [(2, 2021, dt.datetime(2021, 1, 2), "a", 2)])
+    for k, run in runs.items():
+        folder = os.path.join(sinks[k][0], "_keys", "year=2021", "batch=0") if k == "dedup" else os.path.join(sinks[k][0], "batch=0")
+        with open(os.path.join(folder, "part-bad.parquet"), "wb") as f:
+            f.write(b"not parquet")
+        with pytest.raises(Exception):
+            run(*sinks[k])
+
+
+def test_number_of_buckets_is_stored(spark, tmpdir_fresh):
+    _, root, run = _upsert_case(spark, tmpdir_fresh)
+    run()
+    with pytest.raises(ValueError):
+        run(8)
+    run(None)
+    assert st.read_latest_version(spark, root).count() == 50
+
+
+def test_null_keys_are_one_key(spark, tmpdir_fresh):
+    src = os.path.join(tmpdir_fresh, "src")
+    _land(spark, src, [(1, 2021, dt.datetime(2021, 1, 1), None, 1)])
+    _land(spark, src, [(2, 2021, dt.datetime(2021, 1, 2), None, 2)])
+    schema = spark.read.parquet(src).schema
+    sink, ck = os.path.join(tmpdir_fresh, "sink"), os.path.join(tmpdir_fresh, "ck")
+    st.dedup_stream_exact(st.file_stream(spark, src, schema, max_files_per_trigger=1), sink, ck, ["year", "text"], ["id"])
+    assert spark.read.parquet(sink).count() == 1

@@ -96,11 +96,11 @@ def test_unicode_word_boundary(spark):
 
 
 def test_stem_filter_exact_words(spark):
-    pred = fl.stem_filter(F.col("t"), F.col("b"))
     df = spark.createDataFrame([("bias and privacy", "pii leak, verified"),
                                 ("bias", "pipeline"),  # 'pii' is whole-word only
                                 (None, "bias privacy")], "t string, b string")
-    assert [r[0] for r in df.select(pred).collect()] == [True, False, False]
+    kept = fl.stem_filter(df, "t", "b").collect()
+    assert [(r.t, r.hits) for r in kept] == [("bias and privacy", 4)]
 
 
 def test_split_tags(spark):
@@ -125,3 +125,24 @@ def test_word_regex_escapes_literals(spark):
                                    .alias("c")).collect()]
     assert got == [True, False, False]
     assert [r[0] for r in df.select(F.col("s").contains("c++")).collect()] == [False, False, True]
+
+
+def test_word_counts(spark):
+    df = spark.createDataFrame([(["b", "a", "b", "b"],), ([],), (None,)], "w array<string>")
+    got = [r[0] for r in df.select(tx.word_counts(F.col("w"))).collect()]
+    assert [(x.word, x.n) for x in got[0]] == [("a", 1), ("b", 3)] and got[1] is None and got[2] is None
+
+
+def test_chunking_is_linear(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([("word " * n,)] * 4, "s string").coalesce(1)
+        took = []
+        for _ in range(3):
+            t = time.perf_counter()
+            df.select(F.sum(F.size(tx.chunk_words("s", 300)))).collect()
+            took.append(time.perf_counter() - t)
+        return min(took)
+    seconds(10_000)
+    assert seconds(400_000) < 30 * seconds(50_000) + 1

@@ -59,7 +59,7 @@ def test_topk_matches_brute_force_and_partitioning(spark):
     corpus = _corpus(spark, rows)
     a = sorted((r.query_id, r.corpus, r.rank, r.id) for r in vo.similarity_topk(corpus, q, 3).collect())
     b = sorted((r.query_id, r.corpus, r.rank, r.id)
-               for r in vo.similarity_topk(corpus.repartition(5), q, 3, max_query_block=1).collect())
+               for r in vo.similarity_topk(corpus.repartition(5), q, 3).collect())
     assert a == b
     want = []
     v64 = vecs.astype(np.float64)
@@ -86,14 +86,36 @@ def test_topic_lookup_fallback(spark):
     assert got == ["jobs, workers, employees", "agentic, autonomous, workflows", "9", None]
 
 
-def test_checked_broadcast(spark):
-    small = spark.range(5)
-    big = spark.range(50)
-    assert "BroadcastHashJoin" in spark.range(100).join(joins.checked_broadcast(small, 10), "id") \
-        ._jdf.queryExecution().executedPlan().toString()
-    j = spark.range(100).join(joins.checked_broadcast(big, 10), "id")
-    assert j.count() == 50
-    assert joins.checked_broadcast(big, 10) is big
+def test_topic_display_order(spark):
+    dim = {(r.corpus, r.topic_id): r.display_no for r in joins.topic_dim(spark).collect()}
+    for corpus in ("news", "dev"):
+        assert sorted(range(8), key=lambda t: dim[corpus, t]) == [6, 5, 7, 4, 1, 2, 0, 3]
+
+
+def test_search_with_ids_of_any_type(spark):
+    """Text ids, ids beyond 2^53 beside null ids, and null corpora."""
+    q = spark.createDataFrame([("q1", [1.0, 0.0]), ("q2", [0.0, 1.0])], "query_id string, embedding array<double>")
+    rows = [("abc1", "a", [1.0, 0.0]), (None, "a", [1.0, 0.0]), ("abc0", "a", [1.0, 0.0]), ("z", None, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id string, corpus string, embedding array<float>").coalesce(1)
+    got = sorted((r.query_id, str(r.corpus), r.rank, r.id) for r in vo.similarity_topk(df, q, 2).collect())
+    assert got == [("q1", "None", 1, "z"), ("q1", "a", 1, "abc0"), ("q1", "a", 2, "abc1"), ("q2", "None", 1, "z"),
+                   ("q2", "a", 1, "abc0"), ("q2", "a", 2, "abc1")]
+    big = 2 ** 60
+    rows = [(big + 1, "a", [1.0, 0.0]), (None, "a", [1.0, 0.0]), (big, "a", [0.0, 1.0]), (5, "a", None)]
+    df = spark.createDataFrame(rows, "id long, corpus string, embedding array<float>").coalesce(1)
+    got = [(r.rank, r.id) for r in vo.similarity_topk(df, q.limit(1), 3).orderBy("rank").collect()]
+    assert got == [(1, big + 1), (2, big)]
+
+
+def test_search_refuses_what_it_cannot_answer(spark):
+    import pytest
+    df = _corpus(spark, [(1, "a", [1.0, 0.0])])
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "query_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        vo.similarity_topk(df, q, 1, max_queries=1)
+    with pytest.raises(ValueError):
+        vo.similarity_topk(df, spark.createDataFrame([(None, [1.0])], "query_id long, embedding array<double>"), 1)
+    assert vo.similarity_topk(df, q.limit(0), 1).count() == 0
 
 
 def test_argmax_first_wins(spark):
@@ -118,7 +140,7 @@ def test_topk_carries_columns(spark):
     corpus = spark.createDataFrame(rows, "id long, corpus string, embedding array<float>, title string")
     q = spark.createDataFrame([(1, rng.normal(size=4).tolist()), (2, rng.normal(size=4).tolist())],
                               "query_id long, embedding array<double>")
-    out = vo.similarity_topk(corpus.repartition(3), q, 4, carry=["title"], max_query_block=1).collect()
+    out = vo.similarity_topk(corpus.repartition(3), q, 4, carry=["title"]).collect()
     assert len(out) == 2 * 2 * 4 and all(r.title == f"t{r.id}" for r in out)
 
 
