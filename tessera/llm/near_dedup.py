@@ -9,9 +9,11 @@
    ``MISS``.  What survives is verified on the full sets.
 4. Verified links are joined to components.  Buckets that still hold several
    components then compare all members of different components, in blocks of
-   bounded size, by the same signatures; survivors are verified likewise.
+   bounded size: the same signatures prune, and survivors are verified within
+   the block, each in the first bucket that holds both.
 
-No bucket is dropped or cut, and no group is emitted as all its pairs.
+No bucket is dropped or cut, and no group is emitted as all its pairs: what
+leaves a block is links.
 """
 
 from __future__ import annotations
@@ -90,8 +92,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low = signature(s)
                 nid.append(int(W.mix(s).sum(dtype=np.uint64).view(np.int64)))
                 g.append(int(W.mix(s * np.uint64(3)).sum(dtype=np.uint64).view(np.int64)))
-                sig.append((low >> np.uint64(48)).astype(np.uint16).tobytes())
-                per = (W.mix(low).reshape(BANDS, ROWS) * W._POSITION[:ROWS]).sum(axis=1, dtype=np.uint64)
+                short = low >> np.uint64(48)
+                sig.append(short.astype(np.uint16).tobytes())
+                # A bucket's key is made of what the signature holds, so two
+                # signatures tell which buckets their texts share.
+                per = (W.mix(short).reshape(BANDS, ROWS) * W._POSITION[:ROWS]).sum(axis=1, dtype=np.uint64)
                 keys.append(W.mix(per + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(nid, pa.int64()),
@@ -115,6 +120,11 @@ def _set_of(text: str) -> np.ndarray:
     return np.unique(W.shingles(h))
 
 
+def _linked(left: np.ndarray, right: np.ndarray) -> bool:
+    both = len(np.intersect1d(left, right, assume_unique=True))
+    return 100 * both >= THRESHOLD * (len(left) + len(right) - both)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, left = None, None
     for batch in batches:
@@ -122,81 +132,87 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, (a, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "text_a", "text_b")))):
             if a != last:
                 last, left = a, _set_of(x)
-            right = _set_of(y)
-            both = len(np.intersect1d(left, right, assume_unique=True))
-            if 100 * both >= THRESHOLD * (len(left) + len(right) - both):
+            if _linked(left, _set_of(y)):
                 keep.append(r)
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
+def _block_links(band: int, rows: list[tuple]) -> list[tuple[int, int]]:
+    """Links between members of different components in one block."""
+    side, nid, label, sig, text = zip(*rows)
+    side, nid, label = np.array(side), np.array(nid), np.array(label)
+    m = np.frombuffer(b"".join(sig), np.uint16).reshape(len(sig), HASHES)
+    p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    alone = not len(q)  # a block against itself
+    q = p if alone else q
+    if not len(p) or not len(q):
+        return []
+    matches = np.zeros((len(p), len(q)), np.int16)
+    for c in range(BATCH):
+        matches += m[p, c][:, None] == m[q, c][None, :]
+    ok = (matches >= NEEDED[0]) & (label[p][:, None] != label[q][None, :])
+    if alone:
+        ok = np.triu(ok, 1)
+    x, y = np.nonzero(ok)
+    x, y = p[x], q[y]
+    links, sets = [], {}
+    for i in range(0, len(x), 16_384):
+        u, v = x[i:i + 16_384], y[i:i + 16_384]
+        keep = likely(m[u], m[v])
+        u, v = u[keep], v[keep]
+        first = (m[u] == m[v]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        for s, t in zip(u[first].tolist(), v[first].tolist()):
+            for k in (s, t):
+                if k not in sets:
+                    sets[k] = _set_of(text[k])
+            if _linked(sets[s], sets[t]):
+                links.append((int(nid[s]), int(nid[t])))
+    return links
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in blocks (key, i, j), which arrive in
-    order; a block has about two times ``BLOCK`` rows."""
+    """Links of blocks (key, i, j), which arrive in order; a block has about
+    two times ``BLOCK`` rows."""
     held: list[tuple] = []
-    now = None
-
-    def close():
-        if len(held) < 2:
-            return None
-        side, nid, label, sig = zip(*held)
-        side, nid, label = np.array(side), np.array(nid), np.array(label)
-        m = np.frombuffer(b"".join(sig), np.uint16).reshape(len(sig), HASHES)
-        p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        same = not len(q)  # a block against itself
-        q = p if same else q
-        if not len(p) or not len(q):
-            return None
-        matches = np.zeros((len(p), len(q)), np.int16)
-        for c in range(BATCH):
-            matches += m[p, c][:, None] == m[q, c][None, :]
-        ok = (matches >= NEEDED[0]) & (label[p][:, None] != label[q][None, :])
-        if same:
-            ok = np.triu(ok, 1)
-        x, y = np.nonzero(ok)
-        x, y = p[x], q[y]
-        keep = likely(m[x], m[y])
-        x, y = nid[x[keep]], nid[y[keep]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+    now, band = None, None
+
+    def table(links):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
 
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("key", "i", "j", "side", "nid", "label", "sig")]
-        for key, i, j, *rest in zip(*cols):
+        links = []
+        cols = [batch.column(c).to_pylist() for c in ("key", "i", "j", "band", "side", "nid", "label", "sig", "text")]
+        for key, i, j, of, *rest in zip(*cols):
             if (key, i, j) != now:
-                out, now = close(), (key, i, j)
+                if len(held) > 1:
+                    links += _block_links(band, held)
+                now, band = (key, i, j), of
                 held.clear()
-                if out is not None and out.num_rows:
-                    yield out
             held.append(tuple(rest))
-    out = close()
-    if out is not None and out.num_rows:
-        yield out
+        if links:
+            yield table(links)
+    links = _block_links(band, held) if len(held) > 1 else []
+    if links:
+        yield table(links)
 
 
 PAIR = "a long, b long"
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, full: DataFrame) -> DataFrame:
     """Pairs (a centre, b member) that pass the signatures and the full sets."""
     sig = reps.select("nid", "sig")
     near = stage(pairs.join(sig.toDF("b", "sig_b"), "b").join(sig.toDF("a", "sig_a"), "a")
                  .select("a", "b", "sig_a", "sig_b").mapInArrow(_compare, PAIR))
-    return _exact(near, reps, texts)
+    both = (near.join(full.toDF("b", "text_b"), "b").join(full.toDF("a", "text_a"), "a")
+            .select("a", "b", "text_a", "text_b"))
+    return stage(both.mapInArrow(_verify, PAIR))
 
 
-def _exact(near: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    ids = near.select("a").union(near.select("b")).distinct().toDF("nid")
-    who = reps.select("nid", "id", "th").join(ids, "nid", "left_semi").toDF("nid", "rid", "rth")
-    full = stage(texts.join(who, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")))
-                 .select("nid", "text").dropDuplicates(["nid"]))
-    pairs = (near.join(full.toDF("b", "text_b"), "b").join(full.toDF("a", "text_a"), "a")
-             .select("a", "b", "text_a", "text_b"))
-    return stage(pairs.mapInArrow(_verify, PAIR))
-
-
-def _residual(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Surviving pairs of different components within a bucket."""
-    now = stage(members.select("key", "nid").join(labels.toDF("nid", "label"), "nid", "left")
-                .select("key", "nid", F.coalesce("label", "nid").alias("label")))
+def _residual(members: DataFrame, labels: DataFrame, reps: DataFrame, full: DataFrame) -> DataFrame:
+    """Links between different components of a bucket."""
+    now = stage(members.select("key", "band", "nid").join(labels.toDF("nid", "label"), "nid", "left")
+                .select("key", "band", "nid", F.coalesce("label", "nid").alias("label")))
     per = now.groupBy("key", "label").agg(F.count("*").alias("c"))
     open_keys = (per.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"),
                                         F.count("*").alias("labels"))
@@ -218,11 +234,11 @@ def _residual(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFra
                                                       (o < F.col("own")).cast("int").alias("side"))),
                        F.transform(F.sequence(F.lit(1), F.col("giants")),
                                    lambda g: F.struct(F.col("own").alias("i"), (-g).alias("j"), F.lit(0).alias("side")))))
-    dealt = (rows.withColumn("own", own).select("key", "nid", "label", F.explode(meets).alias("m"))
-             .select("key", "nid", "label", "m.i", "m.j", "m.side")
-             .join(reps.select("nid", "sig"), "nid"))
-    return (dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .select("key", "i", "j", "side", "nid", "label", "sig").mapInArrow(_blocks, PAIR).distinct())
+    dealt = (rows.withColumn("own", own).select("key", "band", "nid", "label", F.explode(meets).alias("m"))
+             .select("key", "band", "nid", "label", "m.i", "m.j", "m.side")
+             .join(reps.select("nid", "sig").join(full, "nid"), "nid"))
+    return stage(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+                 .select("key", "i", "j", "band", "side", "nid", "label", "sig", "text").mapInArrow(_blocks, PAIR))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,18 +267,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                              & (F.col("th") == F.col("rth")), "left_semi")
                  .select("nid", "id", "th", "sig", "keys").dropDuplicates(["nid"]))
 
-    banded = reps.select("nid", F.explode("keys").alias("key"))
-    full = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    members = stage(banded.join(full, "key"))
+    banded = reps.select("nid", F.posexplode("keys").alias("band", "key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    members = stage(banded.join(shared, "key"))
     score = members.groupBy("nid").agg(F.sum("c").alias("score"))
     scored = members.select("key", "nid").join(score, "nid")
     centre = scored.groupBy("key").agg(F.max(F.struct("score", "nid")).alias("top")).select(
         "key", F.col("top.nid").alias("a"))
     pairs = (members.join(centre, "key").where("nid <> a").select("a", F.col("nid").alias("b")).distinct())
-    links = _verified(pairs, reps, texts)
-    labels = components(links)
-
-    more = _exact(stage(_residual(members, labels, reps)), reps, texts)
+    who = reps.select("nid", "id", "th").join(score, "nid", "left_semi").toDF("nid", "rid", "rth")
+    full = stage(texts.join(who, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")))
+                 .select("nid", "text").dropDuplicates(["nid"]))  # texts of all classes in a bucket
+    labels = components(_verified(pairs, reps, full))
+    more = _residual(members, labels, reps, full)
     top = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
     smallest = (classes.join(top.toDF("nid", "label"), "nid", "left")
                 .select("nid", F.coalesce("label", "nid").alias("label"), F.col("rep.id").alias("id")))
