@@ -16,9 +16,13 @@ from tessera.schemas import AI_KEYWORDS, AI_STEMS, REPUTABLE_SOURCES, SHORT_EXAC
 
 
 def year_between(date_str: Column, lo: int, hi: int) -> Column:
-    """``lo <= int(date[:4]) <= hi`` on an ISO date string."""
+    """``lo <= int(date[:4]) <= hi`` on an ISO date string, for four-digit
+    years.  The bounds are stated on the text as well: it lies between them
+    whenever its year does, and the scan can push them down."""
+    if not 1000 <= lo <= hi <= 9998:
+        raise ValueError("years must have four digits")
     y = F.substring(date_str, 1, 4).try_cast("int")
-    return (y >= lo) & (y <= hi)
+    return (date_str >= str(lo)) & (date_str < str(hi + 1)) & (y >= lo) & (y <= hi)
 
 
 def source_in(source: Column, allowed: list[str]) -> Column:
