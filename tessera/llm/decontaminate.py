@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
@@ -162,9 +162,15 @@ class Index:
                     yield i + row, match
 
 
+def _plain(text: Column) -> Column:
+    """Lower-cased letters and digits, anything between them as one space: case
+    and punctuation hide no passage."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " ")
+
+
 def _passes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
     """Indexes over blocks of items of bounded size."""
-    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    items = benchmark.select(F.col(id_col).alias("id"), _plain(F.col(text_col)).alias("text")).where("text is not null")
     count, chars = items.agg(F.count("*"), F.sum(F.length("text"))).first()
     n = max(1, math.ceil(count / ITEMS), math.ceil((chars or 0) / CHARS))
     dealt = stage(items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)))) if n > 1 else None
@@ -179,15 +185,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     """(id, item, similarity, start, n_words, distance) of the best window of
     every document and item that match; ``start`` counts words.
 
-    Words are runs without white space, A-Z lower-cased; a window has as many
-    words as the item.  Defined cases: null and empty texts and items match
+    Words are runs of letters, marks and digits, lower-cased; a window has as
+    many words as the item.  Defined cases: null and empty texts and items match
     nothing; an item of fewer than five words is one shingle; a document
     shorter than the item has no window; ties go to the first window; repeated
     documents and repeated items each give their own rows; null ids are
     reported as null.  Other columns play no part.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), _plain(F.col(text_col)).alias("text"))
     item_type, id_type = dict(benchmark.dtypes)[item_col], dict(texts.dtypes)["id"]
     schema = f"id {id_type}, item {item_type}, similarity double, start long, n_words long, distance int"
     names = ["id", "item", "similarity", "start", "n_words", "distance"]

@@ -77,6 +77,13 @@ def test_edges(spark, docs):
     assert dc.matches(docs(rows).limit(0), bench).count() == 0 and dc.matches(docs(rows), bench.limit(0)).count() == 0
 
 
+def test_case_and_punctuation(spark, docs):
+    item = "Élan vital, für die Öffnung: uno, dos y tres más allá."
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = dc.matches(docs([(1, "x " + item.upper().replace(",", " -") + " y")]), bench).collect()
+    assert [(r.similarity, r.start, r.n_words) for r in got] == [(1.0, 1, 11)]
+
+
 def test_items_in_several_passes(spark, docs, monkeypatch):
     items = [(i, " ".join(f"k{i}n{k}" for k in range(12))) for i in range(9)]
     bench = spark.createDataFrame(items, "item_id long, text string")
