@@ -16,13 +16,18 @@ from tessera.schemas import AI_KEYWORDS, AI_STEMS, REPUTABLE_SOURCES, SHORT_EXAC
 
 
 def year_between(date_str: Column, lo: int, hi: int) -> Column:
-    """``lo <= int(date[:4]) <= hi`` on an ISO date string, for four-digit
-    years.  The bounds are stated on the text as well: it lies between them
-    whenever its year does, and the scan can push them down."""
+    """``lo <= int(date[:4]) <= hi`` on an ISO date string; null if the year
+    does not parse."""
+    y = F.substring(date_str, 1, 4).try_cast("int")
+    return (y >= lo) & (y <= hi)
+
+
+def date_text_between(date_str: Column, lo: int, hi: int) -> Column:
+    """The same bounds on the text itself, for four-digit years: it lies
+    between them whenever its year does, and the scan can push them down."""
     if not 1000 <= lo <= hi <= 9998:
         raise ValueError("years must have four digits")
-    y = F.substring(date_str, 1, 4).try_cast("int")
-    return (date_str >= str(lo)) & (date_str < str(hi + 1)) & (y >= lo) & (y <= hi)
+    return (date_str >= str(lo)) & (date_str < str(hi + 1))
 
 
 def source_in(source: Column, allowed: list[str]) -> Column:
@@ -48,7 +53,7 @@ def relevance(text: Column, date_str: Column, source: Column, *,
         return (occ > min_occurrences) | (distinct > min_distinct)
 
     return (present
-            & year_between(date_str, *years)
+            & date_text_between(date_str, *years) & year_between(date_str, *years)
             & source_in(source, sources)
             & (tx.space_token_count(text) > min_tokens)
             & tx.let(F.lower(text), keyword_test))
