@@ -114,12 +114,14 @@ class Index:
         """Window starts per size in a document of n words, from the positions
         of shared shingles: all windows that contain one."""
         for size, spots in hits.items():
+            if n < size:
+                continue
             k = min(size, W.SHINGLE)
             mark = np.zeros(n + 2, np.int64)
             for p in spots:
                 mark[max(0, p - size + k)] += 1
                 mark[min(p, n - size) + 1] -= 1
-            starts = np.flatnonzero(np.cumsum(mark)[:max(0, n - size + 1)] > 0)
+            starts = np.flatnonzero(np.cumsum(mark)[:n - size + 1] > 0)
             if len(starts):
                 yield size, starts
 

@@ -65,14 +65,14 @@ def test_multi_index_finds_all_within_the_radius():
 def test_edges(spark, docs):
     item = " ".join(f"t{i}" for i in range(20))
     rows = [(1, None), (2, ""), (3, "x " + item), (3, "x " + item), (None, item), (None, "clean"), (4, "z " * 200_000 + item),
-            (5, "t0 t1 t2"), (6, item.upper()), (3, "another text")]
+            (5, "t0 t1 t2"), (6, item.upper()), (3, "another text"), (7, "t3 t4 t5 t6 t7 t8"), (8, "t3 t4 t5 t6 t7 t8 " * 3)]
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (1, item), (None, item)], "item_id long, text string")
     got = sorted((str(r.id), str(r.item), r.start) for r in dc.matches(docs(rows), bench).collect())
     each = [("1", 0), ("1", 0), ("None", 0)]
     assert got == sorted((d, i, s) for d, s in (("3", 1), ("3", 1), ("None", 0), ("4", 200_000), ("6", 0)) for i, _ in each)
     clean = dc.decontaminate(docs(rows), bench)
     assert sorted((str(r.doc_id), (r.text or "")[:7]) for r in clean.collect()) == [
-        ("1", ""), ("2", ""), ("3", "another"), ("5", "t0 t1 t"), ("None", "clean")]
+        ("1", ""), ("2", ""), ("3", "another"), ("5", "t0 t1 t"), ("7", "t3 t4 t"), ("8", "t3 t4 t"), ("None", "clean")]
     assert clean.columns == docs(rows).columns
     assert dc.matches(docs(rows).limit(0), bench).count() == 0 and dc.matches(docs(rows), bench.limit(0)).count() == 0
 
