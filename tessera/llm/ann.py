@@ -24,9 +24,9 @@ from tessera.llm.common import stage
 
 SHARD = 8192  # vectors per shard, about
 QUERIES = 32_768  # queries per task, about
-DEGREE, CAPACITY = 28, 56  # edges kept by a pruning, and held before the next one
+DEGREE, CAPACITY = 24, 48  # edges kept by a pruning, and held before the next one
 RELAX = 1.2
-BUILD_BEAM, SEARCH_BEAM = 48, 96
+BUILD_BEAM, SEARCH_BEAM = 40, 96
 ENTRIES = 32
 BATCH = 512
 EXPAND = 4
