@@ -5,13 +5,14 @@
 2. A seed that several documents hold is matched between each of them and one
    of them, its hub, so a seed of n documents makes n - 1 matches.
 3. Per pair of documents the matches are chained: ordered in both texts, with
-   a cost per skipped word, the best predecessor found by a Fenwick tree.
+   a cost per skipped word, the best predecessor found by a tree of maxima.
 4. Chains are aligned word by word: along their diagonals, through the gaps by
    edit distance, and outwards as long as the score grows.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,8 +133,8 @@ def chains(r: np.ndarray) -> list[np.ndarray]:
 
     With the cost of a gap linear in the words skipped, the best predecessor
     of a run is the maximum of score + cost * (end in x + end in y) over the
-    runs that end before it in both texts: runs are entered by their end in x
-    and asked for by a prefix of the ends in y.
+    runs that end at most ``MAX_GAP`` words before it in both texts: runs enter
+    and leave by their end in x and are asked for by a range of the ends in y.
     """
     if len(r) == 1:
         return [np.array([0])]
@@ -141,34 +142,52 @@ def chains(r: np.ndarray) -> list[np.ndarray]:
     begin_x, begin_y, size = r[:, 0].tolist(), r[:, 1].tolist(), r[:, 2].tolist()
     end_x, end_y = (r[:, 0] + r[:, 2]).tolist(), r[:, 1] + r[:, 2]
     ends = np.unique(end_y)
-    put = (np.searchsorted(ends, end_y) + 1).tolist()
-    ask = np.searchsorted(ends, r[:, 1], side="right").tolist()
+    leaf = (np.searchsorted(ends, end_y) + len(ends)).tolist()
+    low = (np.searchsorted(ends, r[:, 1] - MAX_GAP) + len(ends)).tolist()
+    high = (np.searchsorted(ends, r[:, 1], side="right") + len(ends)).tolist()
     end_y = end_y.tolist()
-    tree = [(-np.inf, -1)] * (len(ends) + 1)
+    none = (-np.inf, -1)
+    tree = [none] * (2 * len(ends))
+    held: dict[int, deque] = defaultdict(deque)  # per leaf, best first: runs that none later and better follows
     score, before = [0.0] * n, [-1] * n
     waiting = sorted(range(n), key=lambda i: end_x[i])
-    entered = 0
+    entered = left = 0
+
+    def renew(at):
+        tree[at] = held[at][0] if held[at] else none
+        while at > 1:
+            at >>= 1
+            tree[at] = max(tree[2 * at], tree[2 * at + 1])
+
     for j in range(n):
         while entered < n and end_x[waiting[entered]] <= begin_x[j]:
             i = waiting[entered]
             entered += 1
-            if i >= j and score[i] == 0.0:
-                continue
-            value, at = (score[i] + GAP_COST * (end_x[i] + end_y[i]), i), put[i]
-            while at <= len(ends):
-                if tree[at] < value:
-                    tree[at] = value
-                at += at & -at
-        best, at = (-np.inf, -1), ask[j]
-        while at:
-            if tree[at] > best:
-                best = tree[at]
-            at -= at & -at
+            own = held[leaf[i]]
+            value = (score[i] + GAP_COST * (end_x[i] + end_y[i]), i)
+            while own and own[-1] <= value:
+                own.pop()
+            own.append(value)
+            renew(leaf[i])
+        while left < entered and end_x[waiting[left]] < begin_x[j] - MAX_GAP:
+            i = waiting[left]
+            left += 1
+            if held[leaf[i]] and held[leaf[i]][0][1] == i:
+                held[leaf[i]].popleft()
+                renew(leaf[i])
+        best, a, b = none, low[j], high[j]
+        while a < b:
+            if a & 1:
+                best = max(best, tree[a])
+                a += 1
+            if b & 1:
+                b -= 1
+                best = max(best, tree[b])
+            a >>= 1
+            b >>= 1
         gain, i = best[0] - GAP_COST * (begin_x[j] + begin_y[j]), best[1]
-        if gain > 0 and begin_x[j] - end_x[i] <= MAX_GAP and begin_y[j] - end_y[i] <= MAX_GAP:
-            score[j], before[j] = size[j] + gain, i
-        else:
-            score[j] = size[j]
+        score[j] = size[j] + max(gain, 0.0)
+        before[j] = i if gain > 0 else -1
     used, out = [False] * n, []
     for j in sorted(range(n), key=lambda i: -score[i]):
         path = []

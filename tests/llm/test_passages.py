@@ -78,6 +78,30 @@ def test_chain_is_the_best(monkeypatch):
         assert gain >= 0.85 * best  # the largest gap is checked after the tree has chosen
 
 
+def test_chain_has_the_best_score():
+    """Against the best of all chains, one predecessor at a time; long runs too
+    far away hide no near one."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(2, 40))
+        r = np.stack([rng.integers(0, 300, n), rng.integers(0, 300, n), rng.choice([8, 10, 12, 60], n)], axis=1)
+        r = r[np.lexsort((r[:, 1], r[:, 0]))]
+        score = []
+        for j in range(n):
+            gaps = [(r[j, 0] - r[i, 0] - r[i, 2], r[j, 1] - r[i, 1] - r[i, 2], i) for i in range(j)]
+            score.append(r[j, 2] + max([score[i] - ps.GAP_COST * (dx + dy) for dx, dy, i in gaps
+                                        if 0 <= dx <= ps.MAX_GAP and 0 <= dy <= ps.MAX_GAP] + [0.0]))
+        path = ps.chains(r)[0]
+        gain = float(r[path[0], 2])
+        for i, j in zip(path, path[1:]):
+            dx, dy = r[j, 0] - r[i, 0] - r[i, 2], r[j, 1] - r[i, 1] - r[i, 2]
+            assert 0 <= dx <= ps.MAX_GAP and 0 <= dy <= ps.MAX_GAP
+            gain += r[j, 2] - ps.GAP_COST * (dx + dy)
+        assert gain == max(score)
+    far = np.array([[0, 0, 300], [360, 500, 8], [375, 512, 8], [388, 528, 8]])  # 200 words apart in y
+    assert [c.tolist() for c in ps.chains(far)] == [[0], [1, 2, 3]]
+
+
 def test_edit_distance():
     a, b = np.array([1, 2, 3, 4, 5], np.uint32), np.array([1, 3, 4, 9, 5, 6], np.uint32)
     assert ps._edits(a, b) == 3 and ps._edits(a[:0], b) == 6 and ps._edits(a, a) == 0
