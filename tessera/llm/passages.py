@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from tessera.llm import words as W
 from tessera.llm.common import stage
 
-K, WINNOW = 8, 16
+K, WINNOW = 7, 4
 MIN_WORDS = 50
 MIN_IDENTITY = 0.8
 GAP_COST = 0.25  # per word skipped in either text
 MAX_GAP = 40  # words between neighbours of one chain, in either text
 MISMATCH = 2.0  # what a differing word costs when an end is extended
+MILDER = (MISMATCH, 1.0, 0.5)  # tried in turn until a span is long enough
 REACH = 64  # words that an end is extended by, about
 SKIP = 24  # words past which an extension looks for agreement again
 
@@ -74,45 +75,45 @@ def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, rk, pos, hub) for every seed of a document and each hub, other than
     its own, that a seed within ``MIN_WORDS`` words has; a document's seeds
     arrive together, by position."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    now = None
-    out: list[tuple[int, int, int, int]] = []
-
-    def close():
-        h, pos, hub = (np.concatenate(c) for c in zip(*held))
-        held.clear()
+    for rk, (h, pos, hub) in _documents(batches, ("h", "pos", "hub")):
         if (hub == hub[0]).all():
-            return
-        lo = np.searchsorted(pos, pos - MIN_WORDS)
-        hi = np.searchsorted(pos, pos + MIN_WORDS, side="right")
-        for i in range(len(pos)):
-            for other in np.unique(hub[lo[i]:hi[i]]).tolist():
-                if other != hub[i]:
-                    out.append((int(h[i]), now, int(pos[i]), other))
-
-    def table():
-        cols = list(zip(*out))
-        out.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()))],
-            names=["h", "rk", "pos", "hub"])
-
+            continue
+        for cut in range(0, len(pos), 1 << 16):
+            at = np.arange(cut, min(cut + (1 << 16), len(pos)))
+            lo = np.searchsorted(pos, pos[at] - MIN_WORDS)
+            count = np.searchsorted(pos, pos[at] + MIN_WORDS, side="right") - lo
+            i = np.repeat(at, count)
+            other = hub[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())]
+            i, other = i[other != hub[i]], other[other != hub[i]]
+            order = np.lexsort((other, i))
+            i, other = i[order], other[order]
+            new = np.ones(len(i), bool)
+            new[1:] = (i[1:] != i[:-1]) | (other[1:] != other[:-1])
+            i, other = i[new], other[new]
+            if len(i):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[i]), pa.array(np.full(len(i), rk)), pa.array(pos[i]), pa.array(other)],
+                    names=["h", "rk", "pos", "hub"])
+
+
+def _documents(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]):
+    """(rk, columns) of each document; its rows arrive together."""
+    held: list[list[np.ndarray]] = []
+    now = None
     for batch in batches:
-        h, rk, pos, hub = (batch.column(c).to_numpy() for c in ("h", "rk", "pos", "hub"))
+        if not len(batch):
+            continue
+        rk = batch.column("rk").to_numpy()
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
         cut = np.flatnonzero(np.diff(rk) != 0) + 1
         for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(rk)]):
-            if i == j:
-                continue
-            if now is not None and int(rk[i]) != now and held:
-                close()
-            now = int(rk[i])
-            held.append((h[i:j], pos[i:j], hub[i:j]))
-        if out:
-            yield table()
+            if held and rk[i] != now:
+                yield now, [np.concatenate(c) for c in zip(*held)]
+                held = []
+            now = rk[i]
+            held.append([c[i:j] for c in cols])
     if held:
-        close()
-    if out:
-        yield table()
+        yield now, [np.concatenate(c) for c in zip(*held)]
 
 
 def runs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -214,9 +215,7 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = runs(x.astype(np.int64), y.astype(np.int64))
         for c in chains(r):
             a, b, size = r[c].T
-            # what the ends may still gain must be enough
-            if a[-1] + size[-1] - a[0] + 2 * REACH >= MIN_WORDS and size.sum() >= K + 2:
-                out.append((*now, a.tolist(), b.tolist(), size.tolist()))
+            out.append((*now, a.tolist(), b.tolist(), size.tolist()))
 
     def table(out):
         cols = list(zip(*out))
@@ -279,23 +278,23 @@ def _edits(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def _straight(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+def _straight(a: np.ndarray, b: np.ndarray, cost: float) -> tuple[int, int]:
     """Words to go on along the diagonal for the best score, and how many of
     them differ."""
     n = min(len(a), len(b), REACH)
     if not n:
         return 0, 0
     equal = a[:n] == b[:n]
-    total = np.cumsum(np.where(equal, 1.0, -MISMATCH))
+    total = np.cumsum(np.where(equal, 1.0, -cost))
     k = int(total.argmax())
     return (k + 1, int((~equal[:k + 1]).sum())) if total[k] > 0 else (0, 0)
 
 
-def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+def _extend(a: np.ndarray, b: np.ndarray, cost: float) -> tuple[int, int, int]:
     """Words to go on in a and in b, and the words that differ: along the
     diagonal, and past an insertion or deletion where three words in a row
     agree again within ``SKIP`` words and more is gained than the gap costs."""
-    on, edits = _straight(a, b)
+    on, edits = _straight(a, b, cost)
     x = y = on
     while x < REACH and y < REACH:
         u, v = a[x:x + SKIP], b[y:y + SKIP]
@@ -307,28 +306,71 @@ def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
             break
         i, j = again[again.sum(axis=1).argmin()].tolist()
         lost = _edits(u[:i], v[:j])
-        on, differ = _straight(a[x + i:], b[y + j:])
-        if on - differ - MISMATCH * (lost + differ) <= 0:
+        on, differ = _straight(a[x + i:], b[y + j:], cost)
+        if on - differ - cost * (lost + differ) <= 0:
             break
         x, y, edits = x + i + on, y + j + on, edits + lost + differ
     return x, y, edits
 
 
-def align(a: np.ndarray, b: np.ndarray, x: list[int], y: list[int], n: list[int]) -> tuple[int, int, int, int, int]:
+def align(a: np.ndarray, b: np.ndarray, x: list[int], y: list[int], n: list[int],
+          cost: float = MISMATCH) -> tuple[int, int, int, int, int]:
     """Spans in a and b, and the words that differ, of a chain of runs."""
-    edits = 0
-    for i in range(len(x)):
-        edits += int((a[x[i]:x[i] + n[i]] != b[y[i]:y[i] + n[i]]).sum())
-        if i:
-            edits += _edits(a[x[i - 1] + n[i - 1]:x[i]], b[y[i - 1] + n[i - 1]:y[i]])
-    left_x, left_y, d = _extend(a[max(0, x[0] - 2 * REACH):x[0]][::-1], b[max(0, y[0] - 2 * REACH):y[0]][::-1])
+    edits = sum(_inside(a, b, x, y, n)) + sum(_between(a, b, x, y, n))
+    return _ends(a, b, x, y, n, edits, cost)
+
+
+def _inside(a, b, x, y, n) -> list[int]:
+    return [int((a[x[i]:x[i] + n[i]] != b[y[i]:y[i] + n[i]]).sum()) if n[i] > K else 0 for i in range(len(x))]
+
+
+def _between(a, b, x, y, n) -> list[int]:
+    return [_edits(a[x[i - 1] + n[i - 1]:x[i]], b[y[i - 1] + n[i - 1]:y[i]]) for i in range(1, len(x))]
+
+
+def _ends(a, b, x, y, n, edits, cost) -> tuple[int, int, int, int, int]:
+    left_x, left_y, d = _extend(a[max(0, x[0] - 2 * REACH):x[0]][::-1], b[max(0, y[0] - 2 * REACH):y[0]][::-1], cost)
     end_x, end_y = x[-1] + n[-1], y[-1] + n[-1]
-    right_x, right_y, e = _extend(a[end_x:end_x + 2 * REACH], b[end_y:end_y + 2 * REACH])
+    right_x, right_y, e = _extend(a[end_x:end_x + 2 * REACH], b[end_y:end_y + 2 * REACH], cost)
     return x[0] - left_x, end_x + right_x, y[0] - left_y, end_y + right_y, edits + d + e
 
 
+def _alike(a: np.ndarray, b: np.ndarray, seen: np.ndarray) -> bool:
+    """Whether two texts have word pairs enough in common for a passage: of
+    ``MIN_WORDS`` words at least and with one differing word in four of them at
+    most, each undoing two pairs.  ``seen`` has 2**16 marks, all unset."""
+    u, v = ((x[:-1] * np.uint32(0x9E3779B1) + x[1:]) >> np.uint32(16) for x in (a, b))
+    seen[v] = True
+    both = int(seen[u].sum())
+    seen[v] = False
+    return both >= MIN_WORDS - 1 - 2 * int((1 / MIN_IDENTITY - 1) * MIN_WORDS + 0.5)
+
+
+def spans(a: np.ndarray, b: np.ndarray, x: list[int], y: list[int], n: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """The passages of a chain: spans in a and b and the words that differ.  A
+    chain that is no passage as a whole is parted at the gap that costs most."""
+    out, todo = [], [(0, len(x))]
+    inside, between = _inside(a, b, x, y, n), _between(a, b, x, y, n)
+    while todo:
+        i, j = todo.pop()
+        edits = sum(inside[i:j]) + sum(between[i:j - 1])
+        for cost in MILDER:
+            span = _ends(a, b, x[i:j], y[i:j], n[i:j], edits, cost)
+            s, e, rs, re, differ = span
+            if min(e - s, re - rs) >= MIN_WORDS and differ <= (1 - MIN_IDENTITY) * max(e - s, re - rs):
+                if not any(p[0] <= s and e <= p[1] and p[2] <= rs and re <= p[3] for p in out):
+                    out.append(span)
+                break
+        else:
+            if j - i > 1:
+                k = i + 1 + int(np.argmax(between[i:j - 1]))
+                todo += [(i, k), (k, j)]
+    return out
+
+
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, h = None, None
+    seen = np.zeros(1 << 16, bool)
     for batch in batches:
         rows, cols = [], [[] for _ in range(5)]
         for r, (rk, text, x, y, n, first, part) in enumerate(zip(*(
@@ -336,11 +378,11 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if rk != last:
                 last, h = rk, _hashes(text)
             b = np.frombuffer(part, np.uint32)
-            s, e, rs, re, edits = align(h, b, x, [v - first for v in y], n)
-            long = max(e - s, re - rs)
-            if min(e - s, re - rs) >= MIN_WORDS and edits <= (1 - MIN_IDENTITY) * long:
+            if not _alike(h[max(0, x[0] - 2 * REACH):x[-1] + n[-1] + 2 * REACH], b, seen):
+                continue
+            for s, e, rs, re, edits in spans(h, b, x, [v - first for v in y], n):
                 rows.append(r)
-                for c, v in zip(cols, (s, e, rs + first, re + first, 1 - edits / long)):
+                for c, v in zip(cols, (s, e, rs + first, re + first, 1 - edits / max(e - s, re - rs))):
                     c.append(v)
         if rows:
             take = pa.array(rows)

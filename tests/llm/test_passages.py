@@ -102,6 +102,35 @@ def test_chain_has_the_best_score():
     assert [c.tolist() for c in ps.chains(far)] == [[0], [1, 2, 3]]
 
 
+def test_fuzzy_recall(docs):
+    """Planted passages of 60 and 100 words at identity 0.82 to 0.95: nine in ten of each are found."""
+    rnd = random.Random(9)
+    rows, pairs = [], {}
+    for n in (60, 100):
+        for identity in (0.95, 0.9, 0.85, 0.82):
+            for _ in range(40):
+                part = [f"q{rnd.random()}" for _ in range(n)]
+                other = list(part)
+                for i in rnd.sample(range(n), round(n * (1 - identity))):
+                    other[i] = f"q{rnd.random()}"
+                for w in (part, other):
+                    rows.append((len(rows), " ".join(_voc(rnd, 40) + w + _voc(rnd, 40))))
+                pairs.setdefault((n, identity), []).append({len(rows) - 2, len(rows) - 1})
+    got = _got(docs(rows))
+    found = [{r.id, r.ref_id} for r in got]
+    recall = {k: sum(p in found for p in v) / len(v) for k, v in pairs.items()}
+    assert min(recall.values()) >= 0.9, recall
+    assert all(r.identity >= ps.MIN_IDENTITY and r.end - r.start >= ps.MIN_WORDS for r in got)
+
+
+def test_a_chain_is_parted_where_it_is_no_passage():
+    """60 equal words, 35 different ones, 20 equal ones."""
+    a = np.arange(115, dtype=np.uint32)
+    b = a.copy()
+    b[60:95] += 1000
+    assert ps.spans(a, b, [0, 95], [0, 95], [60, 20]) == [(0, 60, 0, 60, 0)]
+
+
 def test_edit_distance():
     a, b = np.array([1, 2, 3, 4, 5], np.uint32), np.array([1, 3, 4, 9, 5, 6], np.uint32)
     assert ps._edits(a, b) == 3 and ps._edits(a[:0], b) == 6 and ps._edits(a, a) == 0
