@@ -3,7 +3,9 @@
 1. Every text is sampled to k-mers of ``K`` words by winnowing: each run of
    ``K + WINNOW - 1`` words holds a seed, the same one wherever it stands.
 2. A seed that several documents hold is matched between each of them and one
-   of them, its hub, so a seed of n documents makes n - 1 matches.
+   of them, its hub, so a seed of n documents makes n - 1 matches.  As a hub
+   may hold a piece of a passage only, the ``MIN_WORDS`` words from each seed on
+   have a hub of their own, and so has each pair of near seeds of unequal hubs.
 3. Per pair of documents the matches are chained: ordered in both texts, with
    a cost per skipped word, the best predecessor found by a tree of maxima.
 4. Chains are aligned word by word: along their diagonals, through the gaps by
@@ -64,11 +66,16 @@ def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = W.bounds(d, j - i)
             found = [seeds(h[at[k]:at[k + 1]]) for k in range(j - i)]
             pos = np.concatenate([f[0] for f in found])
+            at = np.repeat(at[:-1], [len(f[0]) for f in found]) + pos  # among the words of all
+            whole = at + MIN_WORDS <= len(h)
+            whole[whole] = d[at[whole] + MIN_WORDS - 1] == d[at[whole]]
+            wide = np.zeros(len(pos), np.uint64)
+            wide[whole] = W.combine(h, MIN_WORDS)[at[whole]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([f[1] for f in found]).view(np.int64)),
                  pa.array(np.repeat(rk[i:j], [len(f[0]) for f in found])), pa.array(pos.astype(np.int32)),
-                 pa.array(np.concatenate([_turns(f[1]) for f in found]))],
-                names=["h", "rk", "pos", "turn"])
+                 pa.array(np.concatenate([_turns(f[1]) for f in found])), pa.array(wide.view(np.int64), mask=~whole)],
+                names=["h", "rk", "pos", "turn", "wide"])
 
 
 def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,6 +103,27 @@ def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     names=["h", "rk", "pos", "hub"])
 
 
+def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(wide, rk, pos, pos2) for every two seeds of a document within
+    ``MIN_WORDS`` words that have unequal hubs; ``wide`` is a hash of both."""
+    for rk, (h, pos, hub) in _documents(batches, ("h", "pos", "hub")):
+        if (hub == hub[0]).all():
+            continue
+        h = h.view(np.uint64)
+        for cut in range(0, len(pos), 1 << 16):
+            at = np.arange(cut, min(cut + (1 << 16), len(pos)))
+            count = np.searchsorted(pos, pos[at] + MIN_WORDS, side="right") - at - 1
+            i = np.repeat(at, count)
+            j = np.repeat(at + 1 - np.cumsum(count) + count, count) + np.arange(count.sum())
+            apart = (hub[i] != hub[j]) & (pos[i] != pos[j])
+            i, j = i[apart], j[apart]
+            if len(i):
+                wide = W.mix(W.mix(h[i]) + h[j])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(wide.view(np.int64)), pa.array(np.full(len(i), rk)), pa.array(pos[i]), pa.array(pos[j])],
+                    names=["wide", "rk", "pos", "pos2"])
+
+
 def _documents(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]):
     """(rk, columns) of each document; its rows arrive together."""
     held: list[list[np.ndarray]] = []
@@ -400,9 +428,11 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are runs without white space, A-Z lower-cased.  Of the documents that
     share a passage all but one are reported, against that one.  An exact run
-    of ``MIN_WORDS`` words in several documents is found unless each part of it
-    also stands, without the rest, in documents that come first by the hash of
-    their rows.  Defined cases:
+    of ``MIN_WORDS + WINNOW - 1`` words in several documents is found whatever
+    else they hold.  A passage with differing words is missed where it leaves no
+    seed in common, or where each seed, and each near pair of seeds of unequal
+    hubs, also stands, without the rest, in documents that come first by the
+    hash of their rows.  Defined cases:
     null, empty and short texts share nothing; rows equal in id and text are
     one document; rows with one id and different texts, and null ids, are
     documents of their own; a passage repeated within one document only is not
@@ -410,7 +440,7 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.withColumn("rk", F.xxhash64("id", F.xxhash64("text"), F.length("text")))
-    found = texts.select("rk", "text").mapInArrow(_seeded, "h long, rk long, pos int, turn int")
+    found = texts.select("rk", "text").mapInArrow(_seeded, "h long, rk long, pos int, turn int, wide long")
     hubs = (found.groupBy("h").agg(F.min("rk").alias("hub"), F.max("rk").alias("other"))
             .where("hub <> other").select("h", "hub"))
     held = stage(found.join(hubs, "h"))
@@ -423,7 +453,18 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         _beside, "h long, rk long, pos int, hub long")
     other = held.groupBy("h", F.col("rk").alias("hub")).agg(F.min("pos").alias("hpos"))
     columns = ["rk", "hub", "pos", "hpos"]
-    matches = own.select(columns).union(beside.distinct().join(other, ["h", "hub"]).select(columns))
+    crossed = held.distinct().repartition("rk").sortWithinPartitions("rk", "pos").select("h", "rk", "pos", "hub").mapInArrow(
+        _crossed, "wide long, rk long, pos int, pos2 int")
+    wide = stage(held.where("wide is not null").select("wide", "rk", "pos", F.lit(None).cast("int").alias("pos2"))
+                 .union(crossed))
+    first = (wide.groupBy("wide").agg(F.min("rk").alias("hub"), F.max("rk").alias("last")).where("hub <> last")
+             .select("wide", "hub"))
+    both = stage(wide.join(first, "wide"))
+    at = both.where("rk = hub").groupBy("wide").agg(F.min(F.struct("pos", "pos2")).alias("at"))
+    both = both.where("rk <> hub").join(at, "wide")
+    matches = (own.select(columns).union(beside.distinct().join(other, ["h", "hub"]).select(columns))
+               .union(both.select("rk", "hub", "pos", F.col("at.pos").alias("hpos")))
+               .union(both.where("pos2 is not null").select("rk", "hub", "pos2", F.col("at.pos2").alias("hpos"))))
     linked = stage(matches.repartition("rk").sortWithinPartitions("rk", "hub", "pos").mapInArrow(_chained, _CHAIN))
     once = texts.dropDuplicates(["rk"])
     hub = once.select(F.col("rk").alias("hub"), F.col("id").alias("hub_id"), F.col("text").alias("hub_text"))

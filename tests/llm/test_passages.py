@@ -123,6 +123,29 @@ def test_fuzzy_recall(docs):
     assert all(r.identity >= ps.MIN_IDENTITY and r.end - r.start >= ps.MIN_WORDS for r in got)
 
 
+def test_pieces_in_other_documents_hide_no_passage(docs):
+    """Two documents share 60 words, exact or with three differing; others hold the first or last 35 of them."""
+    rnd = random.Random(10)
+    rows, pairs = [], []
+
+    def put(words):
+        rows.append((len(rows), " ".join(_voc(rnd, 30) + words + _voc(rnd, 30))))
+
+    for k in range(20):
+        part = [f"z{rnd.random()}" for _ in range(60)]
+        other = list(part)
+        if k % 2:
+            other[12], other[30], other[47] = "one", "two", "three"
+        pairs.append({len(rows), len(rows) + 1})
+        put(part)
+        put(other)
+        for _ in range(8):
+            put(part[:35])
+            put(part[25:])
+    found = [{r.id, r.ref_id} for r in _got(docs(rows))]
+    assert [p for p in pairs if p not in found] == []
+
+
 def test_a_chain_is_parted_where_it_is_no_passage():
     """60 equal words, 35 different ones, 20 equal ones."""
     a = np.arange(115, dtype=np.uint32)
