@@ -112,7 +112,8 @@ class Index:
 
     def windows(self, n: int, hits: dict[int, list[int]]) -> Iterator[tuple[int, np.ndarray]]:
         """Window starts per size in a document of n words, from the positions
-        of shared shingles: all windows that contain one."""
+        of shared shingles: all windows that contain one; none where the
+        document is shorter (see ``whole``)."""
         for size, spots in hits.items():
             if n < size:
                 continue
@@ -125,9 +126,31 @@ class Index:
             if len(starts):
                 yield size, starts
 
+    def whole(self, h: np.ndarray) -> Iterator[tuple[float, int]]:
+        """(similarity, item) of the longer items that match a whole document."""
+        if len(h) < W.SHINGLE or W.SHINGLE not in self.anchors:
+            return
+        grams, item, _ = self.anchors[W.SHINGLE]
+        own, counts = np.unique(W.shingles(h), return_counts=True)
+        lo, hi = np.searchsorted(grams, own, side="left"), np.searchsorted(grams, own, side="right")
+        n = hi - lo
+        held = item[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        items, at = np.unique(held, return_inverse=True)
+        # at most what the document holds of the shared shingles
+        both = np.bincount(at, np.repeat(counts, n), len(items))
+        fits = (self.sizes[items] > len(h)) & (both >= THRESHOLD * (self.sizes[items] - W.SHINGLE + 1))
+        for i in items[fits].tolist():
+            value = self.similarity(h, i)
+            if value >= THRESHOLD:
+                yield value, i
+
     def search(self, h: np.ndarray, hits: dict[int, list[int]]) -> dict[int, tuple[float, int, int]]:
         """Best window (similarity, start, distance) of each item found."""
         best: dict[int, tuple[float, int, int]] = {}
+        if any(size > len(h) for size in hits):
+            print_ = _fingerprint(_signs(h).sum(axis=0)[None, :])[0]
+            for value, i in self.whole(h):
+                best[i] = (value, 0, int(np.bitwise_count(print_ ^ self.prints[i])))
         for size, starts in self.windows(len(h), hits):
             for cut in range(0, len(starts), 512):
                 some = starts[cut:cut + 512]
@@ -142,8 +165,8 @@ class Index:
                         best[i] = (value, s, int(np.bitwise_count(prints[w] ^ self.prints[i])))
         return best
 
-    def scan(self, col: pa.Array) -> Iterator[tuple[int, dict[int, tuple[float, int, int]]]]:
-        """(row, matches) of the rows of a text column that match an item."""
+    def scan(self, col: pa.Array) -> Iterator[tuple[int, int, dict[int, tuple[float, int, int]]]]:
+        """(row, words, matches) of the rows of a text column that match an item."""
         for i, j, h, d, _, _ in W.words(col):
             at = W.bounds(d, j - i)
             found: dict[int, dict[int, list[int]]] = {}
@@ -161,7 +184,7 @@ class Index:
             for row, hits in sorted(found.items()):
                 match = self.search(h[at[row]:at[row + 1]], hits)
                 if match:
-                    yield i + row, match
+                    yield i + row, int(at[row + 1] - at[row]), match
 
 
 def _plain(text: Column) -> Column:
@@ -188,9 +211,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     every document and item that match; ``start`` counts words.
 
     Words are runs of letters, marks and digits, lower-cased; a window has as
-    many words as the item.  Defined cases: null and empty texts and items match
-    nothing; an item of fewer than five words is one shingle; a document
-    shorter than the item has no window; ties go to the first window; repeated
+    many words as the item, and a shorter document is one window as a whole.
+    Defined cases: null and empty texts and items match
+    nothing; an item of fewer than five words is one shingle; ties go to the first window; repeated
     documents and repeated items each give their own rows; null ids are
     reported as null.  Other columns play no part.
     """
@@ -207,10 +230,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
             index = shared.value
             for batch in batches:
                 rows, cols = [], ([], [], [], [], [])
-                for row, match in index.scan(batch.column("text")):
+                for row, n, match in index.scan(batch.column("text")):
                     for i, (value, start, distance) in sorted(match.items()):
                         rows.append(row)
-                        for c, v in zip(cols, (index.ids[i], value, start, int(index.sizes[i]), distance)):
+                        for c, v in zip(cols, (index.ids[i], value, start, min(n, int(index.sizes[i])), distance)):
                             c.append(v)
                 if rows:
                     yield pa.RecordBatch.from_arrays(

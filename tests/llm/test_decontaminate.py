@@ -91,3 +91,16 @@ def test_items_in_several_passes(spark, docs, monkeypatch):
     whole = _got(docs(rows), bench)
     monkeypatch.setattr(dc, "ITEMS", 2)
     assert _got(docs(rows), bench) == whole and len(whole) == 9
+
+
+def test_documents_shorter_than_the_item(spark, docs):
+    """A whole document is compared with longer items: 86 of 96 and 76 of 96 shingles, but not 71 of 96."""
+    w = [f"t{i}" for i in range(100)]
+    bench = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[:40]))], "item_id long, text string")
+    rows = [(1, " ".join(w[:90])), (2, " ".join(w[20:])), (3, " ".join(w[25:])), (4, " ".join(w[:99]).upper()),
+            (5, "a b c d e f g"), (6, " ".join(w[:4])), (7, " ".join(w[2:40]))]
+    got = {(r.id, r.item): (round(r.similarity, 9), r.start, r.n_words) for r in dc.matches(docs(rows), bench).collect()}
+    assert got == {(1, 1): (round(86 / 96, 9), 0, 90), (2, 1): (round(76 / 96, 9), 0, 80), (4, 1): (round(95 / 96, 9), 0, 99),
+                   (1, 2): (1.0, 0, 40), (4, 2): (1.0, 0, 40), (7, 2): (round(34 / 36, 9), 0, 38)}
+    clean = dc.decontaminate(docs(rows), bench)
+    assert sorted(r.doc_id for r in clean.collect()) == [3, 5, 6]
