@@ -1,24 +1,27 @@
 """License notices by conditional compression.
 
 Blocks of lines with license words are compressed alone and with each template
-as raw zstandard dictionary; templates are ranked by how much they shrink the
-block, and the best few are confirmed by the exact differences in wording.
+as raw zstandard dictionary.  A template is confirmed on a window of words about
+its own size, by how much it shrinks the window and by the exact differences in
+wording, so nothing depends on what stands around the notice; where none is
+confirmed, the templates are ranked by how much they shrink the block.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEVEL = 6
-RANKED = 4  # templates that are compared word by word
-MIN_GAIN = 0.2  # share of the block's size that a template must save
-MIN_COVER = 0.8  # share of the template's words that the block must hold
+MIN_GAIN = 0.2  # share of the window's size that a template must save
+MIN_COVER = 0.8  # share of the template's words that the window must hold
 #: Lines this far apart still belong to one block.
 NEAR = 2
 
@@ -68,13 +71,28 @@ TEMPLATES = {
     "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0."],
     "CC0-1.0": ["Released under CC0 1.0 Universal."],
 }
+_SOURCE = ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+           "disclaimer. ")
+_BINARY = ("Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+           "following disclaimer in the documentation and/or other materials provided with the distribution. ")
+_NAMES = ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+          "products derived from this software without specific prior written permission. ")
+_BSD = TEMPLATES["BSD-3-Clause"][1] + ": "
+_AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES'
+for _one, _two, _three in (("", "", ""), ("1. ", "2. ", "3. ")):
+    _both = _BSD + _one + _SOURCE + _two + _BINARY
+    TEMPLATES["BSD-2-Clause"].append(_both + _AS_IS)
+    TEMPLATES["BSD-3-Clause"].append(_both + _three + _NAMES + _AS_IS)
+for _name, _wordings in TEMPLATES.items():
+    _wordings.append(f"SPDX-License-Identifier: {_name}")
 #: Words that tell licenses apart: none of them may be missing or added.
 DECISIVE = frozenset("""mit apache gnu gpl lgpl agpl lesser affero mozilla mpl bsd isc creative commons cc cc0 by nc sa
-nd noncommercial sharealike noderivatives unencumbered clause not""".split())
+nd noncommercial sharealike noderivatives unencumbered clause not neither""".split())
 
 TRIGGER = r"(?i)licen[cs]e|permission|redistribut|warrant|public domain|spdx|\bcc0\b"
 _LINE = re.compile(TRIGGER + r"|copyright|software|liab|conditions|copies|merchantab|damages")
 _START = re.compile(TRIGGER)
+_SPDX = re.compile(r"(?i)(spdx-license-identifier:)([^\n]*)")
 _WORD = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
 
 
@@ -82,6 +100,11 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _tags(block: str) -> str:
+    """SPDX expressions as one tag for each license."""
+    return _SPDX.sub(lambda m: " ".join(f"{m[1]} {x}" for x in re.split(r"(?i)\s(?:or|and)\s|[()]", m[2]) if x.strip()), block)
+
+
 def _size(data: bytes, dictionary: bytes = b"") -> int:
     raw = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
     return len(zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False).compress(data))
@@ -107,19 +130,20 @@ class Scanner:
 
     def __init__(self, templates: dict[str, list[str]] | None = None):
         self.templates = [(name, words_of(t)) for name, ts in (templates or TEMPLATES).items() for t in ts]
+        self.counts = [Counter(w) for _, w in self.templates]
         self.coders = [zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
             " ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, w in self.templates]
 
     def ranked(self, own: list[str]) -> list[tuple[float, int]]:
-        """(share saved, template) of the templates that save most."""
+        """(share saved, template), from the template that saves most."""
         data = " ".join(own).encode()
         alone = _size(data)
         gains = [(1 - len(c.compress(data)) / alone, -i) for i, c in enumerate(self.coders)]
-        return [(g, -i) for g, i in sorted(gains, reverse=True)[:RANKED]]
+        return [(g, -i) for g, i in sorted(gains, reverse=True)]
 
-    def differences(self, own: list[str], template: int) -> tuple[float, list[str], list[str]]:
-        """Share of the template's words in the block, words missing, and words
-        added between its first and last match."""
+    def differences(self, own: list[str], template: int) -> tuple[float, list[str], list[str], int, int]:
+        """Share of the template's words in the words given, words missing,
+        words added between the first and last match, and where these are."""
         name, want = self.templates[template]
         match = SequenceMatcher(None, want, own, autojunk=False)
         ops = [o for o in match.get_opcodes()]
@@ -129,26 +153,64 @@ class Scanner:
             ops.pop()
         missing = [w for tag, a, b, _, _ in ops if tag in ("delete", "replace") for w in want[a:b]]
         added = [w for tag, _, _, a, b in ops if tag in ("insert", "replace") for w in own[a:b]]
-        return 1 - len(missing) / len(want), missing, added
+        first, last = (ops[0][3], ops[-1][4]) if ops else (0, 0)
+        return 1 - len(missing) / len(want), missing, added, first, last
+
+    def windows(self, own: list[str], template: int):
+        """Starts and ends of the windows that may hold the template: from one
+        of the words it can begin with, with words enough of it."""
+        want = self.templates[template][1]
+        least = MIN_COVER * len(want)
+        words, heads = set(want), set(want[:int(len(want) - least + 1e-9) + 1])
+        size = len(want) + max(8, len(want) // 2)
+        total = np.concatenate([[0], np.cumsum([w in words for w in own])])
+        start = np.flatnonzero([w in heads for w in own])
+        end = np.minimum(start + size, len(own))
+        fits = total[end] - total[start] >= least - 1e-9
+        return zip(start[fits].tolist(), end[fits].tolist())
+
+    def confirmed(self, own: list[str]) -> list[tuple]:
+        """(first word, word after, template, gain, cover, missing, added) of
+        the confirmed templates, in order; of those that overlap the one with
+        more of its words, then the longer one."""
+        have, found = Counter(own), []
+        for t, (_, want) in enumerate(self.templates):
+            if sum(min(n, have[w]) for w, n in self.counts[t].items()) < MIN_COVER * len(want) - 1e-9:
+                continue
+            done = 0
+            for a, b in self.windows(own, t):
+                if a < done:
+                    continue
+                cover, missing, added, first, last = self.differences(own[a:b], t)
+                if cover < MIN_COVER or any(w in DECISIVE or w[0].isdigit() for w in missing + added):
+                    continue
+                data = " ".join(own[a + first:a + last]).encode()
+                gain = 1 - len(self.coders[t].compress(data)) / _size(data)
+                if gain >= MIN_GAIN:
+                    found.append((a + first, a + last, t, gain, cover, missing, added))
+                    if cover == 1:
+                        done = a + last
+        out: list[tuple] = []
+        for x in sorted(found, key=lambda x: (-x[4], -len(self.templates[x[2]][1]), -x[3], x[2], x[0])):
+            if all(x[1] <= y[0] or y[1] <= x[0] for y in out):
+                out.append(x)
+        return sorted(out)
 
     def scan(self, text: str):
         """(first line, line after, license, gain, cover, missing, added,
         confirmed) per candidate block; the license is the best confirmed one,
         else the one that saves most."""
         for a, b, block in blocks(text):
-            own = words_of(block)
+            own = words_of(_tags(block))
             if not own:
                 continue
-            best = None
-            for gain, t in self.ranked(own):
-                cover, missing, added = self.differences(own, t)
-                sure = (gain >= MIN_GAIN and cover >= MIN_COVER
-                        and not any(w in DECISIVE or w[0].isdigit() for w in missing + added))
-                key = (sure, cover if sure else 0.0, len(self.templates[t][1]) if sure else 0, gain)
-                if best is None or key > best[0]:
-                    best = (key, t, gain, cover, missing, added)
-            (sure, *_), t, gain, cover, missing, added = best
-            yield a, b, self.templates[t][0], gain, cover, " ".join(missing), " ".join(added), sure
+            sure = self.confirmed(own)
+            if sure:
+                _, _, t, gain, cover, missing, added = max(sure, key=lambda x: (x[4], len(self.templates[x[2]][1]), x[3]))
+            else:
+                gain, t = self.ranked(own)[0]
+                cover, missing, added, _, _ = self.differences(own, t)
+            yield a, b, self.templates[t][0], gain, cover, " ".join(missing), " ".join(added), bool(sure)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -37,3 +37,24 @@ def test_edges(docs):
     assert [g for g in got if g[2]] == [("3", "MIT", True, 0, 1), ("3", "MIT", True, 0, 1), ("4", "MIT", True, 50_000, 50_001),
                                         ("None", "MIT", True, 0, 1)]
     assert _got(docs(rows).limit(0)) == []
+
+
+BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+       "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+       "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+       "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+       "with the distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY "
+       "EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS "
+       "FOR A PARTICULAR PURPOSE ARE DISCLAIMED.")
+NAMES = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+         "products derived from this software without specific prior written permission. ")
+
+
+def test_surroundings_do_not_matter(docs):
+    words = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    rows = [(1, f"{words} Released under the MIT License. {words}"), (2, f"{words} SPDX-License-Identifier: MIT {words}"),
+            (3, BSD.format("")), (4, BSD.format(NAMES)), (5, "// SPDX-License-Identifier: LGPL-3.0-only"),
+            (6, f"{words} the license of {words}")]
+    assert [g[:3] for g in _got(docs(rows)) if g[2]] == [
+        ("1", "MIT", True), ("2", "MIT", True), ("3", "BSD-2-Clause", True), ("4", "BSD-3-Clause", True),
+        ("5", "LGPL-3.0", True)]
