@@ -198,25 +198,26 @@ class Scanner:
 
     def scan(self, text: str):
         """(first line, line after, license, gain, cover, missing, added,
-        confirmed) per candidate block; the license is the best confirmed one,
-        else the one that saves most."""
+        confirmed) per candidate block and confirmed notice in it; where none
+        is confirmed, of the license that saves most."""
         for a, b, block in blocks(text):
             own = words_of(_tags(block))
             if not own:
                 continue
-            sure = self.confirmed(own)
-            if sure:
-                _, _, t, gain, cover, missing, added = max(sure, key=lambda x: (x[4], len(self.templates[x[2]][1]), x[3]))
-            else:
+            found = [(t, gain, cover, missing, added) for _, _, t, gain, cover, missing, added in self.confirmed(own)]
+            sure = bool(found)
+            if not sure:
                 gain, t = self.ranked(own)[0]
-                cover, missing, added, _, _ = self.differences(own, t)
-            yield a, b, self.templates[t][0], gain, cover, " ".join(missing), " ".join(added), bool(sure)
+                found = [(t, gain, *self.differences(own, t)[:3])]
+            for t, gain, cover, missing, added in found:
+                yield a, b, self.templates[t][0], gain, cover, " ".join(missing), " ".join(added), sure
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """One row per candidate block: (id, first_line, after_line, license,
-    gain, cover, missing, added, confirmed).
+    """(id, first_line, after_line, license, gain, cover, missing, added,
+    confirmed): one row for each confirmed notice of a candidate block, with the
+    block's lines, and one for a block that has none.  Notices do not overlap.
 
     ``templates`` maps license names to wordings and is bounded by its use as a
     parameter.  Defined cases: null and empty texts have no blocks; lines are

@@ -58,3 +58,14 @@ def test_surroundings_do_not_matter(docs):
     assert [g[:3] for g in _got(docs(rows)) if g[2]] == [
         ("1", "MIT", True), ("2", "MIT", True), ("3", "BSD-2-Clause", True), ("4", "BSD-3-Clause", True),
         ("5", "LGPL-3.0", True)]
+
+
+def test_every_notice_of_a_block(docs):
+    rows = [(1, "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License."),
+            (2, "Released under the MIT License. Released under the MIT License. Licensed under CC BY 4.0."),
+            (3, "SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause"),
+            (4, "Licensed under CC BY-NC-SA 4.0.\nReleased under the ISC License.")]
+    assert [(g[0], g[1]) for g in _got(docs(rows)) if g[2]] == [
+        ("1", "Apache-2.0"), ("1", "MIT"), ("2", "CC-BY-4.0"), ("2", "MIT"), ("2", "MIT"),
+        ("3", "Apache-2.0"), ("3", "BSD-3-Clause"), ("3", "MIT"), ("4", "ISC")]
+    assert all(g[2] for g in _got(docs(rows)))
