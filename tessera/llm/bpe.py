@@ -4,9 +4,10 @@ Encoded texts form a monoid: the encoding of a whole follows from those of its
 halves, as only tokens near the seam can differ.  It is used twice.
 
 * A text is cut into matches of the pattern.  Halves are matched recursively;
-  at a seam the left half's last matches, which more text could change, are
-  matched again until a match of the right half begins where one of these ends.
-  Matching looks back at nothing, so all after that place stands.
+  at a seam a window from the left half's first match that more text could
+  change is matched again, and grows until a match in it that no more text can
+  change begins where one of the right half does.  Matching looks back at
+  nothing, so all after that place stands.
 * A match is encoded by merging pairs.  Halves are encoded recursively; a
   window of tokens about the seam is re-encoded and grows until both its ends
   fit their neighbours.  Two tokens *fit* if their bytes encode to just these
@@ -30,27 +31,81 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The pattern whose matches are encoded (a fixed value): contractions, then runs
+#: of letters, of numbers and of other characters, each with one space before
+#: it, then white space, of which a run before other characters leaves its last.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of a text, and bytes of a match, that are encoded without a tree.
-LEAF_CHARS, LEAF_BYTES = 1 << 12, 16
-#: No alternative of the pattern but its runs reads more characters than this
-#: (fixed value: the longest contraction); a run reads one beyond its end.
+LEAF_CHARS, LEAF_BYTES = 1 << 16, 32
+#: Contractions read so many characters at most; a run reads one beyond its end.
 LOOK = 3
-#: Matches and fitting pairs that a Python worker remembers, and the longest match.
-REMEMBERED, REMEMBERED_BYTES = 1 << 18, 64
+#: Characters of texts whose new matches are encoded together, and matches and
+#: fitting pairs that a Python worker remembers.
+SLICE, REMEMBERED = 1 << 22, 1 << 19
+_OTHER, _LETTER, _NUMBER, _SPACE = range(4)
+_NONE = np.iinfo(np.int64).max
+
+
+def classes() -> np.ndarray:
+    """The kind of every code point: letter, number, white space or other."""
+    kinds = np.zeros(0x110000, np.uint8)
+    for lo, hi in ((0, 0xD800), (0xE000, 0x110000)):  # without surrogates
+        every = "".join(map(chr, range(lo, hi)))
+        for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
+            for m in regex.finditer(pattern, every):
+                kinds[lo + m.start():lo + m.end()] = kind
+    return kinds
+
+
+def match_starts(codes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Where the matches begin in a text of code points, taken by itself."""
+    n = len(codes)
+    kind = kinds[codes]
+    run = np.ones(n, bool)
+    run[1:] = kind[1:] != kind[:-1]
+    space = kind == _SPACE
+    starts = run.copy()
+    # A run of white space before other characters leaves its last one, which
+    # belongs to them if it is a space.
+    last = np.flatnonzero(space[:-1] & ~space[1:])
+    starts[last] = True
+    starts[last[codes[last] == 0x20] + 1] = False
+    quote = np.flatnonzero(starts[:-1] & (codes[:-1] == 0x27))
+    if len(quote):
+        one = codes[quote + 1]
+        two = np.append(codes, 0)[quote + 2]
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        for at, size in ((quote[short], 2), (quote[long], 3)):
+            starts[at + 1] = False
+            after = at + size
+            starts[after[after < n]] = True
+    return np.flatnonzero(starts)
 
 
 class Codec:
     """Ranks of a vocabulary, with the two reductions and decoding."""
 
-    def __init__(self, table: bytes, pattern: str):
+    def __init__(self, table: bytes, kinds: np.ndarray):
         rows = [line.split() for line in table.splitlines() if line.strip()]
         self.ranks = {base64.b64decode(t): int(r) for t, r in rows}
         self.tokens = {r: t for t, r in self.ranks.items()}
         if any(bytes([b]) not in self.ranks for b in range(256)):
             raise ValueError("the vocabulary lacks single bytes")
-        self.pattern = regex.compile(pattern)
+        self.kinds = kinds
         self.known: dict[str, bytes] = {}
         self.fitting: dict[tuple[int, int], bool] = {}
+        # Every pair of tokens that is a token, for merges of many matches at once.
+        self.width = max(self.tokens) + 1
+        pairs = sorted((self.ranks[t[:i]] * self.width + self.ranks[t[i:]], r) for t, r in self.ranks.items()
+                       for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks)
+        self.pairs, self.merged = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(1, np.int64) - 1,) * 2
+        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        # The bytes of all tokens, end to end.
+        sizes = np.zeros(self.width + 1, np.int64)
+        sizes[[r + 1 for r in self.tokens]] = [len(t) for t in self.tokens.values()]
+        self.offsets = np.cumsum(sizes)
+        self.bytes = np.frombuffer(b"".join(self.tokens[r] for r in sorted(self.tokens)), np.uint8)
 
     # -- one match: bytes to tokens ------------------------------------------
 
@@ -105,76 +160,140 @@ class Codec:
         half = len(data) // 2
         return self.join(self.tree(data[:half]), self.tree(data[half:]))
 
-    def match_ids(self, match: str) -> bytes:
-        """The ids of one match; a match that is a token is that token."""
-        found = self.known.get(match)
-        if found is None:
-            data = match.encode()
-            whole = self.ranks.get(data)
-            found = np.array([whole] if whole is not None else self.tree(data), "<u4").tobytes()
-            if len(data) <= REMEMBERED_BYTES:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[match] = found
-        return found
+    def merge_many(self, matches: list[bytes]) -> list[bytes]:
+        """``merge`` for many matches: each round merges one pair of each."""
+        size = np.array([len(m) for m in matches], np.int64)
+        ids = self.byte[np.frombuffer(b"".join(matches), np.uint8)]
+        own = np.repeat(np.arange(len(matches)), size)
+        rank = np.full(len(ids), _NONE)  # of each id and the next one of its match
+        rank[:-1] = self._ranks(ids, own, np.arange(len(ids) - 1)) if len(ids) else rank[:0]
+        out = [b""] * len(matches)
+        while len(ids):
+            begin = np.flatnonzero(np.diff(own, prepend=-1))
+            least = np.minimum.reduceat(rank, begin)
+            count = np.diff(np.append(begin, len(ids)))
+            done = least == _NONE
+            first, raw = begin[done], ids.astype("<u4").tobytes()
+            for i, b, e in zip(own[first].tolist(), (4 * first).tolist(), (4 * (first + count[done])).tolist()):
+                out[i] = raw[b:e]
+            best = np.flatnonzero((rank == np.repeat(least, count)) & (rank != _NONE))
+            best = best[np.diff(own[best], prepend=-1) != 0]  # the leftmost
+            keep = np.repeat(~done, count)
+            keep[best + 1] = False
+            new = ids.copy()
+            new[best] = rank[best]
+            ids, own, rank = new[keep], own[keep], rank[keep]
+            # Only the pairs of the new tokens have changed.
+            best = (np.cumsum(keep) - 1)[best]
+            last = best == len(ids) - 1
+            rank[best[last]] = _NONE
+            changed = np.concatenate([best[~last], best[best > 0] - 1])
+            rank[changed] = self._ranks(ids, own, changed)
+        return out
+
+    def _ranks(self, ids: np.ndarray, own: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs that begin at some places."""
+        key = ids[at] * self.width + ids[at + 1]
+        k = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((self.pairs[k] == key) & (own[at] == own[at + 1]), self.merged[k], _NONE)
+
+    def learn(self, matches: set[str]) -> None:
+        """Encode matches that are not remembered; one that is a token is that
+        token."""
+        if len(self.known) + len(matches) > REMEMBERED:
+            self.known.clear()
+        short: list[str] = []
+        for m in matches - self.known.keys():
+            data = m.encode()
+            if (whole := self.ranks.get(data)) is not None:
+                self.known[m] = whole.to_bytes(4, "little")
+            elif len(data) <= LEAF_BYTES:
+                short.append(m)
+            else:
+                self.known[m] = np.array(self.tree(data), "<u4").tobytes()
+        self.known.update(zip(short, self.merge_many([m.encode() for m in short])))
 
     # -- a text: characters to matches ---------------------------------------
 
-    def matches(self, text: str, lo: int, hi: int) -> list[str]:
-        """The matches in ``text[lo:hi]``, taken by itself."""
+    def starts(self, codes: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Where the matches begin in ``codes[lo:hi]``, taken by itself."""
         if hi - lo <= LEAF_CHARS:
-            return self.pattern.findall(text, lo, hi)
+            return match_starts(codes[lo:hi], self.kinds) + lo
         mid = (lo + hi) // 2
-        left, right = self.matches(text, lo, mid), self.matches(text, mid, hi)
-        at = mid
-        while left and (at == mid or at - len(left[-1]) > mid - LOOK):  # more text could change this match
-            at -= len(left.pop())
-        k, reached = 0, mid  # where the right half's match k begins
+        left, right = self.starts(codes, lo, mid), self.starts(codes, mid, hi)
+        final = _final(left, mid)
+        at, grown = int(left[final]), 2 * LOOK
         while True:
-            while reached < at:
-                reached += len(right[k])
-                k += 1
-            if reached == at:
-                break
-            end = self.pattern.match(text, at, hi).end()
-            left.append(text[at:end])
-            at = end
-        return left + right[k:]
-
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.match_ids, self.matches(text, 0, len(text)))) if text else b""
+            end = min(mid + grown, hi)
+            window = match_starts(codes[at:end], self.kinds) + at
+            kept = window if end == hi else window[:_final(window, end) + 1]
+            meet = np.intersect1d(kept, right)
+            if len(meet) or end == hi:
+                upto = meet[0] if len(meet) else hi
+                return np.concatenate([left[:final], window[window < upto], right[right >= upto]])
+            grown *= 2
+
+    def matches(self, text: str) -> list[str]:
+        starts = self.starts(np.frombuffer(text.encode("utf-32-le"), "<u4"), 0, len(text)).tolist()
+        return [text[a:b] for a, b in zip(starts, starts[1:] + [len(text)])]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        out, i = [], 0
+        while i < len(texts):
+            cut, size = [], 0
+            while i < len(texts) and (size < SLICE or not cut):
+                cut.append(self.matches(texts[i]) if texts[i] else [])
+                size += len(texts[i] or "")
+                i += 1
+            self.learn(set().union(*cut))
+            out += [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
-        if len(ids) <= LEAF_CHARS:
-            return b"".join(map(self.tokens.__getitem__, ids.tolist()))
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+        if len(ids) > LEAF_CHARS:
+            half = len(ids) // 2
+            return self.decode(ids[:half]) + self.decode(ids[half:])
+        if len(ids) and int(ids.max()) >= self.width:
+            raise ValueError("the vocabulary lacks an id")
+        begin, size = self.offsets[ids], self.offsets[ids + 1] - self.offsets[ids]
+        if not size.all():
+            raise ValueError("the vocabulary lacks an id")
+        before = np.cumsum(size) - size
+        return self.bytes[np.repeat(begin - before, size) + np.arange(int(size.sum()))].tobytes()
+
 
+def _final(starts: np.ndarray, end: int) -> int:
+    """How many of the matches up to ``end`` no text after it can change: those
+    that end before it and begin ``LOOK`` characters before it at least."""
+    return min(len(starts) - 1, int(np.searchsorted(starts, end - LOOK, side="right")))
 
-_LOADED: dict[tuple, Codec] = {}
+
+_LOADED: dict[bytes, Codec] = {}
 
 
 class Vocabulary:
-    """A rank file (base64 token and rank in each line, as tiktoken reads them)
-    and the pattern of its matches.  The file is read once by the driver and
-    broadcast; it is as large as the vocabulary, whatever the data."""
+    """A rank file (base64 token and rank in each line, as tiktoken reads them).
+    The driver reads it once and broadcasts it with the kinds of characters; it
+    is as large as the vocabulary, whatever the data."""
 
-    def __init__(self, spark: SparkSession, path: str, pattern: str):
+    def __init__(self, spark: SparkSession, path: str):
         with open(path, "rb") as f:
             table = f.read()
-        codec = Codec(table, pattern)
+        kinds = classes()
+        codec = Codec(table, kinds)
         for token, rank in codec.ranks.items():
             if codec.merge(token) != [rank]:
                 raise ValueError(f"no merges lead to token {rank}")
-        self._held = spark.sparkContext.broadcast((table, pattern))
+        self._held = spark.sparkContext.broadcast((table, kinds.tobytes()))
 
     def codec(self) -> Codec:
         """This worker's codec, built once."""
-        key = self._held.value
-        if key not in _LOADED:
+        table, kinds = self._held.value
+        if table not in _LOADED:
             _LOADED.clear()
-            _LOADED[key] = Codec(*key)
-        return _LOADED[key]
+            _LOADED[table] = Codec(table, np.frombuffer(kinds, np.uint8))
+        return _LOADED[table]
 
 
 def encode_text(vocabulary: Vocabulary, text: Column) -> Column:
@@ -182,8 +301,7 @@ def encode_text(vocabulary: Vocabulary, text: Column) -> Column:
     Null and empty texts have no ids."""
     @F.arrow_udf("binary")
     def ids(texts: pa.Array) -> pa.Array:
-        codec = vocabulary.codec()
-        return pa.array((codec.encode(t.as_py()) for t in texts), pa.binary())
+        return pa.array(vocabulary.codec().encode(texts.to_pylist()), pa.binary())
     return ids(text)
 
 
@@ -193,7 +311,7 @@ def decode_ids(vocabulary: Vocabulary, ids: Column) -> Column:
     @F.arrow_udf("binary")
     def data(rows: pa.Array) -> pa.Array:
         codec = vocabulary.codec()
-        return pa.array((codec.decode(np.frombuffer(r.as_py() or b"", "<u4")) for r in rows), pa.binary())
+        return pa.array((codec.decode(np.frombuffer(r.as_py() or b"", "<u4").astype(np.int64)) for r in rows), pa.binary())
     return data(ids)
 
 

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,11 +17,11 @@ PATH = P.path("byte_bpe_multi_50k.tiktoken")
 TABLE = open(PATH, "rb").read()
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, TABLE.splitlines())}
 WANT = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
-CODEC = bpe.Codec(TABLE, P.PATTERN)
+CODEC = bpe.Codec(TABLE, bpe.classes())
 
 
 def _ids(text):
-    return np.frombuffer(CODEC.encode(text), "<u4").tolist()
+    return np.frombuffer(CODEC.encode([text])[0], "<u4").tolist()
 
 
 @pytest.fixture()
@@ -52,7 +53,8 @@ def test_any_text(text):
     try:
         CODEC.known.clear()
         assert _ids(text) == WANT.encode_ordinary(text)
-        assert CODEC.decode(np.array(_ids(text), "<u4")) == text.encode()
+        assert CODEC.decode(np.array(_ids(text), np.int64)) == text.encode()
+        assert CODEC.matches(text) == regex.findall(P.PATTERN, text)
     finally:
         bpe.LEAF_CHARS, bpe.LEAF_BYTES = was
 
@@ -65,6 +67,18 @@ def test_halves_join_at_every_place():
             assert CODEC.join(CODEC.merge(data[:cut]), CODEC.merge(data[cut:])) == whole
 
 
+def test_many_matches_at_once():
+    rnd = random.Random(9)
+    data = [bytes(rnd.choice(b"aeinorst \xc3\xa9\xa4") for _ in range(rnd.randint(1, 32))) for _ in range(3000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in CODEC.merge_many(data)] == [CODEC.merge(d) for d in data]
+
+
+def test_matches_are_the_patterns():
+    assert bpe.PATTERN == P.PATTERN
+    for text in _texts(3000, 12):
+        assert CODEC.matches(text) == regex.findall(P.PATTERN, text), text
+
+
 def test_neighbours_of_an_encoding_fit():
     ids = CODEC.merge(b"theinformationofinternationalcooperation")
     assert all(CODEC.fits(a, b) for a, b in zip(ids, ids[1:]))
@@ -91,7 +105,7 @@ def test_documents(spark):
 
 
 def test_edges(spark, docs):
-    vocabulary = bpe.Vocabulary(spark, PATH, P.PATTERN)
+    vocabulary = bpe.Vocabulary(spark, PATH)
     df = docs([(1, None), (2, ""), (3, "it's 12  x"), (3, "it's 12  x"), (None, "a"), (4, "<|endoftext|>")])
     df = df.selectExpr("*", "'mine' AS ids", "-1 AS n_tokens", "'mine' AS decoded")
     out = bpe.decode(bpe.encode(df, vocabulary), vocabulary)
@@ -106,8 +120,8 @@ def test_bad_vocabulary(spark, tmp_path):
     f = tmp_path / "ranks"
     f.write_bytes(b"YQ== 0\n")
     with pytest.raises(ValueError, match="single bytes"):
-        bpe.Vocabulary(spark, str(f), P.PATTERN)
+        bpe.Vocabulary(spark, str(f))
     line = base64.b64encode(b"qzqzqz") + b" 99999\n"
     f.write_bytes(TABLE.rstrip(b"\n") + b"\n" + line)
     with pytest.raises(ValueError, match="99999"):
-        bpe.Vocabulary(spark, str(f), P.PATTERN)
+        bpe.Vocabulary(spark, str(f))
