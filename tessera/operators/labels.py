@@ -5,9 +5,8 @@ words of each chunk, or a caller's classifier, run over texts
 (``models.batch_scores``) or chunks (``models.chunked_scores``) in Arrow
 batches.  Neural models are not bundled.
 
-Scale notes: words are counted within their chunk's row first, so a chunk
-sends each distinct word once through the lexicon join; the planner picks
-the join by the lexicon's size in bytes.
+Scale notes: words are exploded and joined in one stage and combined per chunk
+before the shuffle; the planner picks the join by the lexicon's size in bytes.
 """
 
 from __future__ import annotations
@@ -95,12 +94,11 @@ def primary_from_top(label: Column) -> Column:
              .otherwise(F.lit("NON_TECHNICAL")))
 
 
-def _counted(df: DataFrame, id_col: str, arrays: Column) -> DataFrame:
-    """(id, chunk_no, word, n) from an array of word arrays per row; a row
-    without chunks stays as one row of nulls."""
-    chunks = df.select(id_col, F.posexplode_outer(arrays).alias("chunk_no", "ws"))
-    counts = chunks.select(id_col, "chunk_no", F.explode_outer(tx.word_counts(F.col("ws"))).alias("c"))
-    return counts.select(id_col, "chunk_no", F.col("c.word").alias("word"), F.col("c.n").alias("n"))
+def _words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, pos, word) of every text in lower case; a text without words stays
+    as one row of nulls.  Words are exploded in generated code; one partial
+    aggregation after the lexicon join leaves a row per chunk."""
+    return df.select(id_col, F.posexplode_outer(tx.words(F.lower(F.col(text_col)))).alias("pos", "word"))
 
 
 def chunked_lexicon_sentiment(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame,
@@ -113,9 +111,8 @@ def chunked_lexicon_sentiment(df: DataFrame, id_col: str, text_col: str, lexicon
     average.  Blank text is neutral with score null.
     """
     lex = lexicon.select(F.lower("word").alias("word"), F.col("weight").cast("double").alias("weight"))
-    words = _counted(df, id_col, tx.chunk_words(F.lower(F.col(text_col)), size))
-    sums = words.join(lex, "word", "left").groupBy(id_col, "chunk_no").agg(
-        F.sum(F.coalesce("weight", F.lit(0.0)) * F.coalesce("n", F.lit(0))).alias("s"))
+    words = _words(df, id_col, text_col).select(id_col, F.floor(F.col("pos") / size).alias("chunk_no"), "word")
+    sums = words.join(lex, "word", "left").groupBy(id_col, "chunk_no").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("s"))
     chunk = F.when(F.col("chunk_no").isNotNull(),
                    F.col("s") / F.sqrt(F.col("s") * F.col("s") + F.lit(COMPOUND_ALPHA)))
     out = sums.groupBy(id_col).agg(F.avg(chunk).alias("score"))
@@ -130,14 +127,8 @@ def lexicon_polarity(df: DataFrame, id_col: str, text_col: str, lexicon: DataFra
     with a strict cut-off; no hits or blank text give (0, 0, neutral)."""
     lex = lexicon.select(F.lower("word").alias("word"), F.col("polarity").cast("double").alias("polarity"),
                          F.col("subjectivity").cast("double").alias("subjectivity"))
-    words = _counted(df, id_col, F.array(tx.words(F.lower(F.col(text_col)))))
-    hits = words.join(lex, "word", "left")
-
-    def mean(c: str) -> Column:
-        n = F.sum(F.when(F.col(c).isNotNull(), F.col("n")))
-        return F.sum(F.col(c) * F.col("n")) / n
-
-    agg = hits.groupBy(id_col).agg(mean("polarity").alias("p"), mean("subjectivity").alias("q"))
+    hits = _words(df, id_col, text_col).join(lex, "word", "left")
+    agg = hits.groupBy(id_col).agg(F.avg("polarity").alias("p"), F.avg("subjectivity").alias("q"))
     pol = F.coalesce("p", F.lit(0.0))
     return agg.select(id_col, pol.alias("tb_polarity"),
                       F.coalesce("q", F.lit(0.0)).alias("tb_subjectivity"),
@@ -170,11 +161,12 @@ def chunk_vote_sentiment(chunk_scores: DataFrame, id_col: str, docs: DataFrame |
 
 
 def query_sentiment(queries: DataFrame, id_col: str, text_col: str, lexicon: DataFrame,
-                    max_chars: int = 1000) -> DataFrame:
+                    max_chars: int = 1000, polarity=lexicon_polarity) -> DataFrame:
     """Polarity, subjectivity and label of each query's first ``max_chars``
-    characters (the same scorer as ``lexicon_polarity``)."""
+    characters, by the scorer ``polarity`` (``lexicon_polarity``, or
+    ``rules.rule_polarity`` for one that minds the order of words)."""
     q = queries.select(id_col, F.substring(F.col(text_col), 1, max_chars).alias("_q"))
-    r = lexicon_polarity(q, id_col, "_q", lexicon)
+    r = polarity(q, id_col, "_q", lexicon)
     return r.select(id_col, F.col("tb_polarity").alias("query_polarity"),
                     F.col("tb_subjectivity").alias("query_subjectivity"),
                     F.col("tb_sentiment").alias("query_sentiment_label"))

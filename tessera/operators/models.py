@@ -168,10 +168,13 @@ def vocabulary(df: DataFrame, id_col: str, text_col: str, stop_words: list[str]
     if stop_words is None:
         stop_words = StopWordsRemover.loadDefaultStopWords("english")
     n_docs = df.count()
-    # A document is one row: its terms are counted there, so one partial
-    # aggregation by term is all that is shuffled.
-    counts = df.select(F.explode(tx.word_counts(tokens(F.col(text_col), stop_words))).alias("t"))
-    g = counts.groupBy(F.col("t.word").alias("term")).agg(F.sum("t.n").alias("n"), F.count(F.lit(1)).alias("docs"))
+    # A document is one row: its terms follow each other, then its distinct terms,
+    # so one scan counts both and only one row per term and task is shuffled.
+    ts = df.select(tokens(F.col(text_col)).alias("ts"))
+    rows = ts.select(F.size("ts").alias("m"), F.posexplode(F.concat("ts", F.array_distinct("ts"))).alias("pos", "term"))
+    word = F.col("pos") < F.col("m")
+    g = rows.where(~F.col("term").isin(stop_words)).groupBy("term").agg(
+        F.sum(word.cast("long")).alias("n"), F.sum((~word).cast("long")).alias("docs"))
     keep = g.where((F.col("docs") >= min_df) & (F.col("docs") <= F.lit(max_df * n_docs)))
     return keep.orderBy(F.desc("n"), F.asc("term")).limit(max_terms)
 

@@ -8,17 +8,15 @@ FIXTURES.md.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import labels as lb
-from tessera.operators import models
 from tessera.plans import sqlbits as S
 from tessera.plans.registry import register
 from tessera.schemas import PRIMARY_LABELS, SECONDARY_LABELS, SENTIMENT_LABELS
 from tessera.session import stage_table
-from tessera.sources.tables import POSTS_SQL, SCORERS_SQL, posts, scorer_labels, table, with_ctes
+from tessera.sources.tables import POSTS_SQL, SCORERS_SQL, scorer_labels, table, with_ctes
 
 _PS = with_ctes(POSTS_SQL, SCORERS_SQL)
 
@@ -177,97 +175,3 @@ def q_chunk_vote_sentiment(spark, sf):
     r = lb.chunk_vote_sentiment(out, "doc_id", docs=table(spark, sf, "documents"))
     return r.select("doc_id", "roberta_label", F.round("roberta_pos_score", 6).alias("roberta_pos_score"),
                     F.round("roberta_neg_score", 6).alias("roberta_neg_score"))
-
-
-def letter_scorer(letters: str):
-    """A small vectorised classifier that SQL can repeat: label i scores by how
-    often letter i stands in the text and by the text's length."""
-    def make():
-        def predict(texts: np.ndarray) -> np.ndarray:
-            low = np.char.lower(texts.astype(str))
-            return np.stack([((np.char.count(low, c) * 7 + np.char.str_len(low)) % 101) / 100 for c in letters], axis=1)
-        return predict
-    return make
-
-
-def _letter_sql(text: str, letters: str, names: list[str]) -> str:
-    """One row (key columns, label, score, i) per label of every text in ``x``."""
-    count = "(length(lower({t})) - length(replace(lower({t}), '{c}', '')))"
-    arr = ", ".join(f"((({count.format(t=text, c=c)}) * 7 + length(lower({text}))) % 101) / 100.0::DOUBLE" for c in letters)
-    return f"[{arr}] AS ss, [{', '.join(S.q(n) for n in names)}] AS ls"
-
-
-_LETTERS = "etanirsoldu"
-
-
-@register("zero_shot_labels", f"""
-WITH x AS (SELECT doc_id, {_letter_sql('text', _LETTERS[:len(SECONDARY_LABELS)], SECONDARY_LABELS)} FROM documents)
-SELECT doc_id, CASE WHEN list_max(ss) >= 0.5 THEN ls[list_position(ss, list_max(ss))] ELSE 'UNSURE' END AS secondary_label,
-  CASE WHEN list_max(ss) >= 0.5 THEN list_max(ss) ELSE 0.0::DOUBLE END AS secondary_score FROM x""")
-def q_zero_shot_labels(spark, sf):
-    """A caller's classifier over every document's text, best label above the
-    threshold."""
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    make = letter_scorer(_LETTERS[:len(SECONDARY_LABELS)])
-    t = lb.top_label(F.col("scores"), SECONDARY_LABELS, 0.5)
-    return models.batch_scores(d, "text", make, SECONDARY_LABELS).select(
-        "doc_id", t["label"].alias("secondary_label"), t["score"].alias("secondary_score"))
-
-
-@register("chunk_classifier_sentiment", f"""
-WITH w AS (SELECT doc_id, {S.words('text')} AS ws FROM documents),
-ch AS (SELECT doc_id, array_to_string(list_slice(ws, start + 1, start + 300), ' ') AS chunk FROM (
-  SELECT doc_id, ws, unnest(generate_series(0, len(ws) - 1, 300)) AS start FROM w WHERE len(ws) > 0)),
-x AS (SELECT doc_id, {_letter_sql('chunk', _LETTERS[:3], SENTIMENT_LABELS)} FROM ch),
-o AS (SELECT doc_id, ls[list_position(ss, list_max(ss))] AS label, list_max(ss) AS score FROM x),
-s AS (SELECT doc_id, sum(CASE WHEN label = 'positive' THEN score ELSE 0.0 END) AS a,
-        sum(CASE WHEN label = 'neutral' THEN score ELSE 0.0 END) AS b,
-        sum(CASE WHEN label = 'negative' THEN score ELSE 0.0 END) AS c FROM o GROUP BY doc_id),
-n AS (SELECT doc_id, CASE WHEN a + b + c > 0 THEN round(a / (a + b + c), 9) END AS pos,
-        CASE WHEN a + b + c > 0 THEN round(b / (a + b + c), 9) END AS neu,
-        CASE WHEN a + b + c > 0 THEN round(c / (a + b + c), 9) END AS neg FROM s)
-SELECT d.doc_id, round(pos, 6) AS positive, round(neu, 6) AS neutral, round(neg, 6) AS negative
-FROM documents d LEFT JOIN n USING (doc_id)""")
-def q_chunk_classifier_sentiment(spark, sf):
-    """A caller's classifier over every 300-word chunk of every document, votes
-    added up per document."""
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    chunks = models.chunked_scores(d, "doc_id", "text", letter_scorer(_LETTERS[:3]), SENTIMENT_LABELS)
-    r = lb.chunk_vote_sentiment(chunks, "doc_id", docs=d)
-    return r.select("doc_id", *[F.round(F.col("roberta_scores")[n], 6).alias(n) for n in SENTIMENT_LABELS])
-
-
-@register("secondary_on_nontechnical", with_ctes(POSTS_SQL) + """
-, """ + _cand_sql(SECONDARY_LABELS).replace("FROM documents", "FROM (SELECT id AS doc_id FROM posts)") + """
-SELECT p.id,
-  CASE WHEN p.primary_label IS DISTINCT FROM 'TECHNICAL' AND b.score >= 0.5 THEN b.label ELSE 'UNSURE' END
-    AS secondary_label,
-  CASE WHEN p.primary_label IS DISTINCT FROM 'TECHNICAL' AND b.score >= 0.5 THEN b.score ELSE 0.0 END
-    AS secondary_score
-FROM posts p JOIN best b ON b.doc_id = p.id""")
-def q_secondary_on_nontechnical(spark, sf):
-    """Secondary labels only for rows not labelled TECHNICAL (null counts as
-    not technical); the rest get (UNSURE, 0.0).  A conditional column replaces
-    the filter-then-backfill join."""
-    p = posts(spark, sf)
-    scores = F.array(*[((F.col("id") * k) % 101).cast("double") / 100
-                       for k in range(1, len(SECONDARY_LABELS) + 1)])
-    return lb.label_where(p, ~F.col("primary_label").eqNullSafe("TECHNICAL"), scores,
-                          SECONDARY_LABELS, 0.5).select("id", "secondary_label", "secondary_score")
-
-
-@register("query_sentiment", f"""
-WITH {_LEX_SQL},
-qt AS (SELECT item_id, substring(text, 1, 1000) AS q FROM benchmark),
-ww AS (SELECT item_id, lower(unnest({S.words('q')})) AS word FROM qt),
-a AS (SELECT item_id, avg(polarity) AS p, avg(subjectivity) AS s FROM ww JOIN lex USING (word) GROUP BY item_id),
-r AS (SELECT qt.item_id, coalesce(a.p, 0.0) AS p, coalesce(a.s, 0.0) AS s FROM qt LEFT JOIN a USING (item_id))
-SELECT item_id, round(p, 6) AS query_polarity, round(s, 6) AS query_subjectivity,
-  {S.polarity_label('p', 0.05, False)} AS query_sentiment_label FROM r""")
-def q_query_sentiment(spark, sf):
-    """Sentiment of each query text's first 1000 characters (search queries
-    stand in as the ``benchmark`` passages)."""
-    b = table(spark, sf, "benchmark")
-    r = lb.query_sentiment(b, "item_id", "text", lexicon(spark, sf), max_chars=1000)
-    return r.select("item_id", F.round("query_polarity", 6).alias("query_polarity"),
-                    F.round("query_subjectivity", 6).alias("query_subjectivity"), "query_sentiment_label")
