@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.words import text_buffer
+
 #: The pattern whose matches are encoded (a fixed value): contractions, then runs
 #: of letters, of numbers and of other characters, each with one space before
 #: it, then white space, of which a run before other characters leaves its last.
@@ -39,11 +41,14 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LEAF_CHARS, LEAF_BYTES = 1 << 16, 32
 #: Contractions read so many characters at most; a run reads one beyond its end.
 LOOK = 3
-#: Characters of texts whose new matches are encoded together, and matches and
-#: fitting pairs that a Python worker remembers.
-SLICE, REMEMBERED = 1 << 22, 1 << 19
+#: Bytes of texts that are encoded together, in arrays (a longer text is by itself).
+SLICE = 1 << 22
+#: Fitting pairs that a Python worker remembers.
+REMEMBERED = 1 << 18
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 _NONE = np.iinfo(np.int64).max
+_BASE = 0x9E3779B97F4A7C15
+_HASH = np.random.default_rng(20240301).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def classes() -> np.ndarray:
@@ -57,26 +62,27 @@ def classes() -> np.ndarray:
     return kinds
 
 
-def match_starts(codes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """Where the matches begin in a text of code points, taken by itself."""
+def match_starts(codes: np.ndarray, kinds: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where the matches begin in texts of code points that stand end to end,
+    each taken by itself; ``begins`` says where a text begins."""
     n = len(codes)
     kind = kinds[codes]
-    run = np.ones(n, bool)
-    run[1:] = kind[1:] != kind[:-1]
+    first = np.zeros(n + 2, bool)
+    first[begins] = True
+    starts = first[:n].copy()
+    starts[1:] |= kind[1:] != kind[:-1]
     space = kind == _SPACE
-    starts = run.copy()
     # A run of white space before other characters leaves its last one, which
     # belongs to them if it is a space.
-    last = np.flatnonzero(space[:-1] & ~space[1:])
+    last = np.flatnonzero(space[:-1] & ~space[1:] & ~first[1:n])
     starts[last] = True
     starts[last[codes[last] == 0x20] + 1] = False
-    quote = np.flatnonzero(starts[:-1] & (codes[:-1] == 0x27))
+    quote = np.flatnonzero(starts[:-1] & (codes[:-1] == 0x27) & ~first[1:n])
     if len(quote):
-        one = codes[quote + 1]
-        two = np.append(codes, 0)[quote + 2]
+        one, two = codes[quote + 1], np.append(codes, 0)[quote + 2]
         short = np.isin(one, [ord(c) for c in "stmd"])
         long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
-        for at, size in ((quote[short], 2), (quote[long], 3)):
+        for at, size in ((quote[short], 2), (quote[long & ~first[quote + 2]], 3)):
             starts[at + 1] = False
             after = at + size
             starts[after[after < n]] = True
@@ -93,7 +99,6 @@ class Codec:
         if any(bytes([b]) not in self.ranks for b in range(256)):
             raise ValueError("the vocabulary lacks single bytes")
         self.kinds = kinds
-        self.known: dict[str, bytes] = {}
         self.fitting: dict[tuple[int, int], bool] = {}
         # Every pair of tokens that is a token, for merges of many matches at once.
         self.width = max(self.tokens) + 1
@@ -160,36 +165,34 @@ class Codec:
         half = len(data) // 2
         return self.join(self.tree(data[:half]), self.tree(data[half:]))
 
-    def merge_many(self, matches: list[bytes]) -> list[bytes]:
-        """``merge`` for many matches: each round merges one pair of each."""
-        size = np.array([len(m) for m in matches], np.int64)
-        ids = self.byte[np.frombuffer(b"".join(matches), np.uint8)]
-        own = np.repeat(np.arange(len(matches)), size)
+    def merge_many(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` for many matches, whose bytes stand end to end: their ids
+        end to end, and how many each has.  Each round merges one pair of each."""
+        ids = self.byte[data]
+        own = np.repeat(np.arange(len(size)), size)
         rank = np.full(len(ids), _NONE)  # of each id and the next one of its match
         rank[:-1] = self._ranks(ids, own, np.arange(len(ids) - 1)) if len(ids) else rank[:0]
-        out = [b""] * len(matches)
+        ended = [(own[:0], ids[:0])]
         while len(ids):
             begin = np.flatnonzero(np.diff(own, prepend=-1))
             least = np.minimum.reduceat(rank, begin)
             count = np.diff(np.append(begin, len(ids)))
-            done = least == _NONE
-            first, raw = begin[done], ids.astype("<u4").tobytes()
-            for i, b, e in zip(own[first].tolist(), (4 * first).tolist(), (4 * (first + count[done])).tolist()):
-                out[i] = raw[b:e]
+            done = np.repeat(least == _NONE, count)
+            ended.append((own[done], ids[done]))
             best = np.flatnonzero((rank == np.repeat(least, count)) & (rank != _NONE))
             best = best[np.diff(own[best], prepend=-1) != 0]  # the leftmost
-            keep = np.repeat(~done, count)
+            keep = ~done
             keep[best + 1] = False
-            new = ids.copy()
-            new[best] = rank[best]
-            ids, own, rank = new[keep], own[keep], rank[keep]
+            ids[best] = rank[best]
+            ids, own, rank = ids[keep], own[keep], rank[keep]
             # Only the pairs of the new tokens have changed.
             best = (np.cumsum(keep) - 1)[best]
             last = best == len(ids) - 1
             rank[best[last]] = _NONE
             changed = np.concatenate([best[~last], best[best > 0] - 1])
             rank[changed] = self._ranks(ids, own, changed)
-        return out
+        own, ids = (np.concatenate(x) for x in zip(*ended))
+        return ids[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(size))
 
     def _ranks(self, ids: np.ndarray, own: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Ranks of the pairs that begin at some places."""
@@ -197,35 +200,51 @@ class Codec:
         k = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where((self.pairs[k] == key) & (own[at] == own[at + 1]), self.merged[k], _NONE)
 
-    def learn(self, matches: set[str]) -> None:
-        """Encode matches that are not remembered; one that is a token is that
-        token."""
-        if len(self.known) + len(matches) > REMEMBERED:
-            self.known.clear()
-        short: list[str] = []
-        for m in matches - self.known.keys():
-            data = m.encode()
-            if (whole := self.ranks.get(data)) is not None:
-                self.known[m] = whole.to_bytes(4, "little")
-            elif len(data) <= LEAF_BYTES:
-                short.append(m)
-            else:
-                self.known[m] = np.array(self.tree(data), "<u4").tobytes()
-        self.known.update(zip(short, self.merge_many([m.encode() for m in short])))
+    def encode_matches(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of matches, given by their places in ``data``, end to end, and
+        how many each has.  Equal matches are encoded once."""
+        if not len(begin):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        power, inverse = _powers(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_HASH[data] * power[:len(data)], out=total[1:])
+        h = (total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64)
+        _, first, number = np.unique(h, return_index=True, return_inverse=True)
+        # A hash is not proof: matches that differ from the first of their hash are encoded apart.
+        size = end - begin
+        differ = size != size[first[number]]
+        same = ~differ
+        at, ref = _places(begin[same], size[same]), _places(begin[first[number[same]]], size[same])
+        unequal = data[at] != data[ref]
+        differ[np.flatnonzero(same)[np.repeat(np.arange(int(same.sum())), size[same])[unequal]]] = True
+        number[differ] = len(first) + np.arange(int(differ.sum()))
+        first = np.concatenate([first, np.flatnonzero(differ)])
+        short = size[first] <= LEAF_BYTES
+        begins, sizes = begin[first[short]], size[first[short]]
+        ids, counts = self.merge_many(data[_places(begins, sizes)], sizes)
+        trees = [np.array(self.tree(data[begin[k]:end[k]].tobytes()), np.int64) for k in first[~short]]
+        count = np.empty(len(first), np.int64)
+        count[short], count[~short] = counts, [len(t) for t in trees]
+        ids = np.concatenate([ids, *trees])
+        at = np.empty(len(first), np.int64)
+        at[short], at[~short] = np.cumsum(counts) - counts, len(ids) - np.cumsum([len(t) for t in trees][::-1], dtype=np.int64)[::-1]
+        return ids[_places(at[number], count[number])], count[number]
 
     # -- a text: characters to matches ---------------------------------------
 
-    def starts(self, codes: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        """Where the matches begin in ``codes[lo:hi]``, taken by itself."""
-        if hi - lo <= LEAF_CHARS:
-            return match_starts(codes[lo:hi], self.kinds) + lo
-        mid = (lo + hi) // 2
-        left, right = self.starts(codes, lo, mid), self.starts(codes, mid, hi)
+    def joined(self, codes: np.ndarray, leaves: list[np.ndarray], lo: int, cuts: list[int]) -> np.ndarray:
+        """Where the matches begin in a text from ``lo`` to ``cuts[-1]``, from
+        those of its leaves, which end at ``cuts``, each taken by itself."""
+        if len(leaves) == 1:
+            return leaves[0]
+        half = len(leaves) // 2
+        mid, hi = cuts[half - 1], cuts[-1]
+        left, right = self.joined(codes, leaves[:half], lo, cuts[:half]), self.joined(codes, leaves[half:], mid, cuts[half:])
         final = _final(left, mid)
         at, grown = int(left[final]), 2 * LOOK
         while True:
             end = min(mid + grown, hi)
-            window = match_starts(codes[at:end], self.kinds) + at
+            window = match_starts(codes[at:end], self.kinds, np.zeros(1, np.int64)) + at
             kept = window if end == hi else window[:_final(window, end) + 1]
             meet = np.intersect1d(kept, right)
             if len(meet) or end == hi:
@@ -233,22 +252,45 @@ class Codec:
                 return np.concatenate([left[:final], window[window < upto], right[right >= upto]])
             grown *= 2
 
-    def matches(self, text: str) -> list[str]:
-        starts = self.starts(np.frombuffer(text.encode("utf-32-le"), "<u4"), 0, len(text)).tolist()
-        return [text[a:b] for a, b in zip(starts, starts[1:] + [len(text)])]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        out, i = [], 0
-        while i < len(texts):
-            cut, size = [], 0
-            while i < len(texts) and (size < SLICE or not cut):
-                cut.append(self.matches(texts[i]) if texts[i] else [])
-                size += len(texts[i] or "")
-                i += 1
-            self.learn(set().union(*cut))
-            out += [b"".join(map(self.known.__getitem__, c)) for c in cut]
-        return out
+    def starts(self, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where the matches begin in texts that stand end to end; ``bounds``
+        are their beginnings and the end of the last."""
+        lengths = np.diff(bounds)
+        n = np.maximum(-(-lengths // LEAF_CHARS), (lengths > 0).astype(np.int64))  # leaves of each text
+        text = np.repeat(np.arange(len(n)), n)
+        k = np.arange(len(text)) - (np.cumsum(n) - n)[text]
+        cuts = np.append(bounds[:-1][text] + lengths[text] * k // np.maximum(n[text], 1), bounds[-1])
+        found = match_starts(codes, self.kinds, cuts[:-1]) if len(codes) else cuts[:0]
+        if (n <= 1).all():
+            return found
+        of = np.searchsorted(found, cuts)
+        out, leaf = [], np.cumsum(n) - n
+        for t in range(len(n)):
+            i, j = int(leaf[t]), int(leaf[t] + n[t])
+            parts = [found[of[x]:of[x + 1]] for x in range(i, j)]
+            if parts:
+                out.append(self.joined(codes, parts, int(cuts[i]), [*cuts[i + 1:j].tolist(), int(bounds[t + 1])]))
+        return np.concatenate(out)
+
+    def encode(self, column: pa.Array) -> pa.Array:
+        """The ids of a text column, as little-endian unsigned 32-bit integers;
+        null and empty texts have none."""
+        off, data = text_buffer(column)
+        parts, i = [], 0
+        while i < len(column):
+            j = min(max(int(np.searchsorted(off, off[i] + SLICE, side="right")) - 1, i + 1), len(column))
+            cut = data[off[i]:off[j]]
+            codes = np.frombuffer(cut.tobytes().decode().encode("utf-32-le"), "<u4")
+            place = np.append(np.flatnonzero((cut & 0xC0) != 0x80), len(cut))  # of each code point
+            bounds = np.searchsorted(place, off[i:j + 1] - off[i])
+            starts = self.starts(codes, bounds)
+            begin = place[starts]
+            ids, count = self.encode_matches(cut, begin, np.append(begin[1:], len(cut)) if len(begin) else begin)
+            tokens = np.append(0, np.cumsum(count))[np.searchsorted(starts, bounds)]
+            parts.append(pa.Array.from_buffers(pa.large_binary(), j - i, [
+                None, pa.py_buffer(4 * tokens), pa.py_buffer(ids.astype("<u4"))]))
+            i = j
+        return pa.concat_arrays(parts).cast(pa.binary()) if parts else pa.array([], pa.binary())
 
     def decode(self, ids: np.ndarray) -> bytes:
         if len(ids) > LEAF_CHARS:
@@ -259,8 +301,7 @@ class Codec:
         begin, size = self.offsets[ids], self.offsets[ids + 1] - self.offsets[ids]
         if not size.all():
             raise ValueError("the vocabulary lacks an id")
-        before = np.cumsum(size) - size
-        return self.bytes[np.repeat(begin - before, size) + np.arange(int(size.sum()))].tobytes()
+        return self.bytes[_places(begin, size)].tobytes()
 
 
 def _final(starts: np.ndarray, end: int) -> int:
@@ -269,6 +310,25 @@ def _final(starts: np.ndarray, end: int) -> int:
     return min(len(starts) - 1, int(np.searchsorted(starts, end - LOOK, side="right")))
 
 
+def _places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of ranges, end to end."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS.clear()
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+            t = np.full(max(n, SLICE + 1), b, np.uint64)
+            t[0] = 1
+            _POWERS.append(np.cumprod(t, dtype=np.uint64))
+    return _POWERS
+
+
 _LOADED: dict[bytes, Codec] = {}
 
 
@@ -301,7 +361,7 @@ def encode_text(vocabulary: Vocabulary, text: Column) -> Column:
     Null and empty texts have no ids."""
     @F.arrow_udf("binary")
     def ids(texts: pa.Array) -> pa.Array:
-        return pa.array(vocabulary.codec().encode(texts.to_pylist()), pa.binary())
+        return vocabulary.codec().encode(texts)
     return ids(text)
 
 

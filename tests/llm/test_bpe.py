@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -21,16 +22,20 @@ CODEC = bpe.Codec(TABLE, bpe.classes())
 
 
 def _ids(text):
-    return np.frombuffer(CODEC.encode([text])[0], "<u4").tolist()
+    return np.frombuffer(CODEC.encode(pa.array([text]))[0].as_py(), "<u4").tolist()
+
+
+def _matches(text):
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    starts = CODEC.starts(codes, np.array([0, len(text)])).tolist()
+    return [text[a:b] for a, b in zip(starts, starts[1:] + [len(text)])]
 
 
 @pytest.fixture()
 def small_leaves(monkeypatch):
     monkeypatch.setattr(bpe, "LEAF_CHARS", 3)
     monkeypatch.setattr(bpe, "LEAF_BYTES", 1)
-    CODEC.known.clear()
     yield
-    CODEC.known.clear()
 
 
 def _texts(n, seed=3):
@@ -51,10 +56,9 @@ def test_equals_the_library(small_leaves):
 def test_any_text(text):
     was, bpe.LEAF_CHARS, bpe.LEAF_BYTES = (bpe.LEAF_CHARS, bpe.LEAF_BYTES), 2, 1
     try:
-        CODEC.known.clear()
         assert _ids(text) == WANT.encode_ordinary(text)
         assert CODEC.decode(np.array(_ids(text), np.int64)) == text.encode()
-        assert CODEC.matches(text) == regex.findall(P.PATTERN, text)
+        assert _matches(text) == regex.findall(P.PATTERN, text)
     finally:
         bpe.LEAF_CHARS, bpe.LEAF_BYTES = was
 
@@ -70,13 +74,29 @@ def test_halves_join_at_every_place():
 def test_many_matches_at_once():
     rnd = random.Random(9)
     data = [bytes(rnd.choice(b"aeinorst \xc3\xa9\xa4") for _ in range(rnd.randint(1, 32))) for _ in range(3000)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in CODEC.merge_many(data)] == [CODEC.merge(d) for d in data]
+    ids, count = CODEC.merge_many(np.frombuffer(b"".join(data), np.uint8), np.array([len(d) for d in data]))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [CODEC.merge(d) for d in data]
 
 
 def test_matches_are_the_patterns():
     assert bpe.PATTERN == P.PATTERN
     for text in _texts(3000, 12):
-        assert CODEC.matches(text) == regex.findall(P.PATTERN, text), text
+        assert _matches(text) == regex.findall(P.PATTERN, text), text
+
+
+def test_many_texts_at_once(small_leaves, monkeypatch):
+    """Texts in one slice and over several, with nulls and empty ones between."""
+    texts = list(_texts(600, 21)) + [None, "", "'", "s", "'", "ll", " ", "x", None]
+    for size in (1, 100, 1 << 22):
+        monkeypatch.setattr(bpe, "SLICE", size)
+        got = CODEC.encode(pa.array(texts))
+        assert [np.frombuffer(g, "<u4").tolist() for g in got.to_pylist()] == [WANT.encode_ordinary(t or "") for t in texts]
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(bpe, "_HASH", np.zeros(256, np.uint64))
+    text = "the cat sat on the mat and that hat"
+    assert _ids(text) == WANT.encode_ordinary(text)
 
 
 def test_neighbours_of_an_encoding_fit():
