@@ -1,4 +1,4 @@
-"""Model stages: embeddings, PCA + k-means, bag of words, LDA.
+"""Model stages: embeddings, PCA + k-means, bag of words.
 
 Fits are actions; their inputs are staged as Parquet under the checkpoint
 folder first, so an iterative fit re-reads a short lineage after an
@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import LDA, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (IDF, PCA, CountVectorizerModel, HashingTF, Normalizer,
                                 RegexTokenizer, StopWordsRemover)
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
@@ -183,44 +183,3 @@ def term_counts(df: DataFrame, text_col: str, vocab: list[str], stop_words: list
                 out: str = "features") -> DataFrame:
     model = CountVectorizerModel.from_vocabulary(vocab, inputCol="_tok", outputCol=out)
     return model.transform(df.withColumn("_tok", tokens(F.col(text_col), stop_words))).drop("_tok")
-
-
-def lda_topics(df: DataFrame, id_col: str, text_col: str, k: int = 8, max_iter: int = 100,
-               seed: int = 42, stop_words: list[str] | None = None, max_terms: int = 500,
-               min_df: int = 3, max_df: float = 0.5):
-    """Fit LDA on the bag of words; returns (model, vocab, per-document
-    dominant topic frame (id, dominant_topic, dominant_topic_prob)).
-
-    Variational Bayes in batch mode: every one of the ``max_iter`` iterations
-    reads all documents.  The term counts are staged once and kept in memory
-    and on disk while the model is fitted.
-    """
-    if stop_words is None:
-        stop_words = StopWordsRemover.loadDefaultStopWords("english")
-    vocab = [r["term"] for r in vocabulary(df, id_col, text_col, stop_words, max_terms, min_df,
-                                           max_df).collect()]  # at most max_terms
-    counts = term_counts(df.select(id_col, text_col), text_col, vocab, stop_words).select(id_col, "features")
-    counts = stage_table(counts, "bow")
-    lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=1.0, featuresCol="features")
-    held = counts.persist()
-    model = lda.fit(held)
-    held.unpersist()
-    dist = vector_to_array(F.col("topicDistribution"))
-    # A document without vocabulary words gets an all-zero vector from Spark;
-    # the uniform prior (topic 0 at 1/k) is what the original reports.
-    empty = F.array_max(dist) <= 0
-    docs = model.transform(counts).select(
-        id_col, F.when(empty, F.lit(0)).otherwise(vf.argmax(dist)).cast("int").alias("dominant_topic"),
-        F.when(empty, F.lit(1.0 / k)).otherwise(F.array_max(dist)).alias("dominant_topic_prob"))
-    return model, vocab, docs
-
-
-def topic_words(model, vocab: list[str], n: int = 10) -> DataFrame:
-    """Top ``n`` words per topic by weight: (topic, rank, word, weight)."""
-    spark = model.describeTopics(n).sparkSession
-    voc = spark.createDataFrame(list(enumerate(vocab)), "term_index int, word string")
-    t = model.describeTopics(n).select(
-        "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "z"))
-    t = t.select("topic", "rank", F.col("z.termIndices").alias("term_index"),
-                 F.col("z.termWeights").alias("weight"))
-    return t.join(F.broadcast(voc), "term_index").select("topic", "rank", "word", "weight")

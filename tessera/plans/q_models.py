@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from tessera.functions import text as tx
 from tessera.functions import vectors as vf
 from tessera.operators import models as md
+from tessera.operators import topics as tp
 from tessera.operators import vectors as vo
 from tessera.plans.registry import register
 from tessera.schemas import EMBEDDING_WIDTH
@@ -85,17 +86,19 @@ def q_vocabulary_df(spark, sf):
     return md.vocabulary(d, "doc_id", "text", PROBE_STOP_WORDS, 500, 3, 0.5)
 
 
-def _lda(spark, sf, max_iter=100):
-    return md.lda_topics(_docs(spark, sf), "id", "combined_text", k=8, max_iter=max_iter, seed=42,
-                         stop_words=PROBE_STOP_WORDS)
+def _topics(spark, sf):
+    return tp.fit_topics(_docs(spark, sf), "id", "combined_text", k=8, max_iter=100, seed=42, stop_words=PROBE_STOP_WORDS)
 
 
-@register("lda_dominant_topic", with_ctes(POSTS_SQL) + "SELECT id, true AS in_range, true AS is_likely FROM posts")
+@register("lda_dominant_topic", with_ctes(POSTS_SQL) + "SELECT id, true AS in_range, true AS is_likely, true AS bound_rises FROM posts")
 def q_lda_dominant_topic(spark, sf):
-    """Every post has a topic in range, at least as likely as the uniform one."""
-    _, _, docs = _lda(spark, sf)
-    return docs.select("id", F.col("dominant_topic").between(0, 7).alias("in_range"),
-                       F.col("dominant_topic_prob").between(1 / 8 - 1e-9, 1 + 1e-9).alias("is_likely"))
+    """Every post has a topic in range, at least as likely as the uniform one;
+    no iteration of the fit lowers the bound."""
+    model = _topics(spark, sf)
+    rises = all(b > a - 1e-9 for a, b in zip(model.bounds, model.bounds[1:]))
+    return model.dominant(_docs(spark, sf), "id", "combined_text").select(
+        "id", F.col("dominant_topic").between(0, 7).alias("in_range"),
+        F.col("dominant_topic_prob").between(1 / 8 - 1e-9, 1 + 1e-9).alias("is_likely"), F.lit(rises).alias("bound_rises"))
 
 
 @register("lda_topic_words", """
@@ -103,9 +106,8 @@ SELECT CAST(t AS INTEGER) AS topic, CAST(r AS INTEGER) AS rank, true AS ordered,
 FROM range(8) AS a(t), range(10) AS b(r)""")
 def q_lda_topic_words(spark, sf):
     """Ten words per topic, heaviest first, each of some weight."""
-    model, vocab, _ = _lda(spark, sf)
     w = Window.partitionBy("topic").orderBy("rank")
-    words = md.topic_words(model, vocab, 10).withColumn("before", F.lag("weight").over(w))
+    words = _topics(spark, sf).words(10).withColumn("before", F.lag("weight").over(w))
     return words.select("topic", "rank", F.coalesce(F.col("before") >= F.col("weight"), F.lit(True)).alias("ordered"),
                         ((F.col("weight") > 0) & (F.col("weight") <= 1)).alias("weighted"))
 

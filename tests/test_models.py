@@ -31,18 +31,6 @@ def test_kmeans_clusters_deterministic(spark):
     assert sorted(a.collect()) == sorted(b.collect())
 
 
-def test_lda_distribution_sums_to_one(spark):
-    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    model, vocab, docs = md.lda_topics(d, "doc_id", "text", k=4, max_iter=5, stop_words=["the"],
-                                       max_terms=100)
-    assert 0 < len(vocab) <= 100
-    r = docs.collect()
-    assert len(r) == d.count()
-    assert all(0 <= x.dominant_topic < 4 and 0.25 <= x.dominant_topic_prob <= 1.0 + 1e-9 for x in r)
-    words = md.topic_words(model, vocab, 5).collect()
-    assert len(words) == 4 * 5 and all(w.word in vocab for w in words)
-
-
 def test_kmeans_skips_unusable_vectors(spark):
     rows = [(0, None), (1, [1.0]), (2, [1.0, None])] + [(i, [float(i % 2) * 9, 1.0 * i]) for i in range(3, 40)]
     df = spark.createDataFrame(rows, "id long, v array<double>")
