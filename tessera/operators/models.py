@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from tessera.functions import text as tx
 from tessera.functions import vectors as vf
-from tessera.operators import labels
+from tessera.operators import clustering, labels
 from tessera.schemas import EMBEDDING_WIDTH
 from tessera.session import stage_table
 
@@ -131,16 +131,21 @@ def hashing_encoder(width: int = EMBEDDING_WIDTH, n: int = 3) -> Callable:
 
 # -- clustering ----------------------------------------------------------------
 
+def reduce_vectors(df: DataFrame, vec_col: str, id_col: str, width: int, dims: int = 50) -> DataFrame:
+    """(id, _p): vectors reduced to ``dims`` principal components, staged."""
+    vec = F.col(vec_col).cast("array<double>")
+    usable = (F.size(vec) == width) & F.forall(vec, lambda x: x.isNotNull())
+    v = df.where(usable).select(id_col, array_to_vector(vec).alias("_v"))
+    reduced = PCA(k=min(dims, width), inputCol="_v", outputCol="_p").fit(v).transform(v).select(id_col, "_p")
+    return stage_table(reduced, "pca")
+
+
 def pca_kmeans(df: DataFrame, vec_col: str, id_col: str, width: int, k: int = 10, dims: int = 50,
                seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:
     """Reduce to ``dims`` with PCA, then k-means with several seeds, keeping
     the fit with the lowest training cost; returns (id, cluster).  Rows whose
     vector is null, not ``width`` long or holds a null are left out."""
-    vec = F.col(vec_col).cast("array<double>")
-    usable = (F.size(vec) == width) & F.forall(vec, lambda x: x.isNotNull())
-    v = df.where(usable).select(id_col, array_to_vector(vec).alias("_v"))
-    reduced = PCA(k=min(dims, width), inputCol="_v", outputCol="_p").fit(v).transform(v).select(id_col, "_p")
-    reduced = stage_table(reduced, "pca")
+    reduced = reduce_vectors(df, vec_col, id_col, width, dims)
     best = None
     for s in seeds:
         m = KMeans(k=k, seed=s, featuresCol="_p", predictionCol="cluster", maxIter=50).fit(reduced)
@@ -150,6 +155,17 @@ def pca_kmeans(df: DataFrame, vec_col: str, id_col: str, width: int, k: int = 10
     return best[1].transform(reduced).select(id_col, "cluster")
 
 
+def pca_minibatch(df: DataFrame, vec_col: str, id_col: str, width: int, k: int = 10, dims: int = 50,
+                  seeds: tuple[int, ...] = (42, 43, 44)) -> tuple[DataFrame, np.ndarray, float]:
+    """``pca_kmeans`` by mini-batches: ((id, reduced, cluster), centres, cost).
+    Most steps read one slice of the table, so the fit reads it a few times
+    where the full one reads it up to 50 times for each seed."""
+    dims = min(dims, width)
+    reduced = reduce_vectors(df, vec_col, id_col, width, dims).select(id_col, vector_to_array("_p").alias("reduced"))
+    centres, cost = clustering.minibatch_centres(reduced, id_col, "reduced", dims, k, seeds)
+    return clustering.assign(reduced, "reduced", centres), centres, cost
+
+
 # -- bag of words and topics ---------------------------------------------------
 
 def tokens(text: Column, stop_words: list[str] | None = None) -> Column:

@@ -69,6 +69,19 @@ def q_kmeans_clusters(spark, sf):
     return c.select("vec_id", F.col("cluster").between(0, 9).alias("in_range"), F.lit(used).alias("n_clusters"))
 
 
+@register("kmeans_minibatch", "SELECT vec_id, true AS nearest, 10 AS n_clusters FROM embeddings")
+def q_kmeans_minibatch(spark, sf):
+    """Mini-batch k-means: every vector's cluster is that of its nearest
+    centre, by distances computed apart, and all ten are used."""
+    clusters, centres, _ = md.pca_minibatch(table(spark, sf, "embeddings"), "embedding", "vec_id", width=64)
+    c = stage_table(clusters, "minibatch")
+    distances = F.array(*[F.aggregate(F.zip_with("reduced", F.array(*[F.lit(float(x)) for x in row]), lambda a, b: (a - b) * (a - b)),
+                                      F.lit(0.0), lambda s, d: s + d) for row in centres])
+    used = c.agg(F.count_distinct("cluster").cast("int").alias("n")).first()["n"]
+    own = F.get(F.col("d"), F.col("cluster"))
+    return c.withColumn("d", distances).select("vec_id", (own <= F.array_min("d") + 1e-9).alias("nearest"), F.lit(used).alias("n_clusters"))
+
+
 def _stop_sql() -> str:
     return "[" + ", ".join(f"'{w}'" for w in PROBE_STOP_WORDS) + "]"
 
