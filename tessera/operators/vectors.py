@@ -1,12 +1,14 @@
 """Vector operators: cluster sizes and centroids, theme filtering, and exact
 top-k similarity search.
 
-Similarity search never materialises query x corpus pairs: the query block,
-bounded by ``MAX_QUERIES``, is broadcast, every corpus partition scores its
+Similarity search never materialises query x corpus pairs: a block of queries,
+bounded by ``BLOCK_BYTES``, is broadcast, every corpus partition scores its
 Arrow batches with one matrix product and keeps only its own top-k per
 (query, corpus), and a final ``row_number`` over those few candidates picks
 the global top-k.  Shuffle volume is partitions x queries x k rows, whatever
-the corpus size.
+the corpus size.  More queries are further blocks, searched one after another
+(``ball_index`` answers many queries without reading the whole corpus for each
+block).
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ from pyspark.sql.window import Window
 
 from tessera.functions import vectors as vf
 from tessera.operators.filters import keep_keys
+from tessera.schemas import EMBEDDING_WIDTH
+from tessera.session import write_stage
 
-#: Queries of one search; more are refused, the caller searches them in parts.
-MAX_QUERIES = 20_000
+#: Bytes of the query vectors that are broadcast at a time.
+BLOCK_BYTES = 64 << 20
 #: Scores are compared at this many decimals, so that equal vectors tie
 #: whatever batch they stand in.
 DECIMALS = 12
@@ -157,7 +161,7 @@ def _scorer(block, k: int, width: int, decimals: int):
 def similarity_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *, id_col: str = "id",
                     vec_col: str = "embedding", corpus_col: str = "corpus",
                     query_id_col: str = "query_id", query_vec_col: str = "embedding",
-                    width: int | None = None, max_queries: int = MAX_QUERIES,
+                    width: int | None = None, block_bytes: int = BLOCK_BYTES,
                     carry: list[str] | None = None, decimals: int = DECIMALS) -> DataFrame:
     """Exact top-``k`` corpus rows per (query, corpus) by cosine similarity.
 
@@ -167,18 +171,33 @@ def similarity_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *, id_col
     rows may be of any type and keep it.  Rows without a vector or an id are
     skipped; a wrong-width vector counts as the zero vector (similarity 0.5);
     rows with a null corpus form a corpus of their own.  Ties rank the smaller
-    id first.  A query without an id, and more than ``max_queries`` queries,
-    raise ``ValueError``.  Scores are compared at ``decimals``.  ``carry`` names corpus columns returned with each
+    id first.  A query without an id raises ``ValueError``.  Any number of
+    queries is answered, in blocks of about ``block_bytes``.  Scores are compared at ``decimals``.  ``carry`` names corpus columns returned with each
     hit (so the corpus is read once).
     """
     if k < 1:
         raise ValueError("k must be >= 1")
     spark = corpus.sparkSession
     carry = list(carry or [])
-    rows = queries.select(F.col(query_id_col).alias("query_id"),
-                          F.col(query_vec_col).cast("array<double>").alias("vec")).limit(max_queries + 1).toArrow()
-    if rows.num_rows > max_queries:
-        raise ValueError(f"more than {max_queries} queries in one search")
+    asked = queries.select(F.col(query_id_col).alias("query_id"), F.col(query_vec_col).cast("array<double>").alias("vec"))
+    some = max(1, block_bytes // (8 * (width or EMBEDDING_WIDTH)))
+    rows = asked.limit(some + 1).toArrow()
+    if rows.num_rows > some or rows["vec"].nbytes > 2 * block_bytes:
+        known = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("w")).first()
+        width = width or known["w"] or 1
+        blocks = known["n"] * width * 8 // block_bytes + 1
+        path = write_stage(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).repartition("block"), "queries", ["block"])
+        every = spark.read.schema(T.StructType([*asked.schema.fields, T.StructField("block", T.IntegerType())])).parquet(path)
+        found = [write_stage(_search(corpus, every.where(F.col("block") == b).select("query_id", "vec").toArrow(), asked, k, id_col, vec_col,
+                                     corpus_col, width, carry, decimals), "hits") for b in range(blocks)]
+        return spark.read.parquet(*found)
+    return _search(corpus, rows, asked, k, id_col, vec_col, corpus_col, width, carry, decimals)
+
+
+def _search(corpus: DataFrame, rows: pa.Table, queries: DataFrame, k: int, id_col: str, vec_col: str, corpus_col: str,
+            width: int | None, carry: list[str], decimals: int) -> DataFrame:
+    """The search for one block of queries, held by the driver."""
+    spark = corpus.sparkSession
     if rows["query_id"].null_count:
         raise ValueError("a query has no id")
     vecs = rows["vec"].combine_chunks()
@@ -194,7 +213,7 @@ def similarity_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, *, id_col
         F.col(id_col).alias("id"), F.col(corpus_col).alias("corpus"),
         F.col(vec_col).cast("array<double>").alias("vec"), *carry)
     fields = [f for f in c.schema.fields if f.name != "vec"]
-    schema = T.StructType([*fields, T.StructField("query_id", queries.schema[query_id_col].dataType),
+    schema = T.StructType([*fields, T.StructField("query_id", queries.schema["query_id"].dataType),
                            T.StructField("cosine", T.DoubleType())])
     cand = c.mapInArrow(_scorer(shared, k, width, decimals), schema)
     w = Window.partitionBy("query_id", "corpus").orderBy(F.desc("cosine"), F.asc("id"))

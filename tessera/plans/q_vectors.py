@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as vf
-from tessera.operators import joins
-from tessera.operators.filters import keep_keys
+from tessera.operators import ball_index, joins
 from tessera.operators import vectors as vo
+from tessera.operators.filters import keep_keys
 from tessera.plans.registry import register
 from tessera.schemas import DEV_TOPICS, NEWS_TOPICS
-from tessera.session import checkpoint_dir, stage_table
+from tessera.session import checkpoint_dir, stage_path, stage_table
 from tessera.sources.tables import POSTS_SQL, posts, table
 
 THEME_THRESHOLD = 0.4
@@ -171,6 +171,15 @@ def q_similarity_topk_batch(spark, sf):
     return _attach(top, e)
 
 
+@register("similarity_pruned", _topk_sql("queries AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 20 = 0)"))
+def q_similarity_pruned(spark, sf):
+    """Every twentieth vector against all, by an index that skips files."""
+    e = _emb(spark, sf)
+    index = ball_index.build(e, stage_path(spark, "balls"), "vec_id", width=64, carry=["label"])
+    q = e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return _attach(ball_index.search(index, q, TOP_K)[0], e)
+
+
 def _hits(spark, sf):
     """The search's hits, computed once: a few rows per query, checkpointed."""
     checkpoint_dir(spark)

@@ -111,13 +111,22 @@ def test_search_refuses_what_it_cannot_answer(spark):
     import pytest
     df = _corpus(spark, [(1, "a", [1.0, 0.0])])
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "query_id long, embedding array<double>")
-    with pytest.raises(ValueError):
-        vo.similarity_topk(df, q, 1, max_queries=1)
     with pytest.raises(ValueError):
         vo.similarity_topk(df, spark.createDataFrame([(None, [1.0])], "query_id long, embedding array<double>"), 1)
     assert vo.similarity_topk(df, q.limit(0), 1).count() == 0
 
 
+def test_any_number_of_queries(spark):
+    """Several blocks give what one block gives."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    df = _corpus(spark, [(i, "ab"[i % 2], [float(x) for x in rng.normal(size=8)]) for i in range(300)])
+    q = spark.range(50_000).select(F.col("id").alias("query_id"), F.array(*[F.sin(F.col("id") * (j + 1)) for j in range(8)]).alias("embedding"))
+    one = vo.similarity_topk(df, q, 2)
+    many = vo.similarity_topk(df, q, 2, block_bytes=1 << 20, width=8)
+    assert one.count() == 200_000 and one.exceptAll(many).count() == 0 and many.count() == 200_000
+
+
 def test_argmax_first_wins(spark):
     df = spark.createDataFrame([([0.2, 0.5, 0.5],)], "a array<double>")
     assert df.select(vf.argmax("a")).first()[0] == 1
