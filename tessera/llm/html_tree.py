@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass, field
 from html import unescape
 
+import numpy as np
 import xxhash
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""")
@@ -25,6 +26,10 @@ MARKED = frozenset("""ad ads advert adverts advertisement advertising banner sid
 breadcrumb breadcrumbs footer comment comments disqus replies cookie cookies consent notice notices popup modal
 newsletter subscribe subscription promo promotion sponsor sponsored share sharing social related recommended login
 signup search widget toolbar pagination pager contentinfo complementary alert dialog""".split())
+#: Words that only say that an element holds something.  Inside an article a
+#: name marks an element only if it is made of these and marked words alone.
+_HOLDER = frozenset("""area bar block box button buttons container content form frame inline inner link links list outer
+section slot thread top bottom unit wrap wrapper""".split())
 _HEADER = frozenset(["header", "masthead"])
 _ARTICLE = frozenset(["article", "main"])
 _NOT_ARTICLE = frozenset("comment comments ad ads sidebar related".split())
@@ -69,12 +74,25 @@ class Page:
         self._read(html)
         self._flush()
         self.numbered: dict[int, int] = {}
-        self.skeleton = self._name(self.root)
+        self.skeleton = self._name()
 
-    def _name(self, node: Node) -> str:
-        self.numbered[id(node)] = len(self.numbered)
-        inner = ",".join(self._name(c) for c in node.children)
-        return node.label + ("#" if node.texts else "") + (f"({inner})" if inner else "")
+    def _name(self) -> str:
+        """Labels in order with brackets around children; numbers the nodes."""
+        out: list[str] = []
+        todo: list[Node | str] = [self.root]
+        while todo:
+            node = todo.pop()
+            if isinstance(node, str):
+                out.append(node)
+                continue
+            self.numbered[id(node)] = len(self.numbered)
+            out.append(node.label + ("#" if node.texts else ""))
+            if node.children:
+                todo.append(")")
+                for c in reversed(node.children):
+                    todo += [c, ","]
+                todo[-1] = "("
+        return "".join(out)
 
     def _flush(self) -> None:
         if self._text:
@@ -155,12 +173,14 @@ class Page:
                     self._open.pop()
         _, parent, marked, article, _ = self._open[-1]
         words: set[str] = set()
+        names: list[list[str]] = []
         hidden = False
         if attrs and attrs.strip():
             for m in _ATTR.finditer(attrs):
                 name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
                 if name in ("class", "id", "role"):
                     words.update(_TOKEN.findall(value))
+                    names += [_TOKEN.findall(x) for x in value.split()]
                 elif name == "style":
                     hidden |= bool(_HIDDEN.search(value))
                 else:
@@ -170,7 +190,11 @@ class Page:
             article = not marked
         elif tag not in ("html", "body"):
             head = not article and (tag in _HEADER or bool(words & _HEADER))
-            marked = marked or hidden or head or tag in MARKED_TAGS or bool(words & MARKED)
+            if article:
+                said = any(set(x) <= MARKED | _HOLDER and MARKED.intersection(x) for x in names)
+            else:
+                said = bool(words & MARKED)
+            marked = marked or hidden or head or tag in MARKED_TAGS or said
         node = parent
         if tag == "hr":
             return
@@ -186,8 +210,9 @@ class Page:
         self._open.append((tag, node, marked, article, tag == "a"))
 
 
-def parse_skeleton(text: str) -> tuple[list[str], list[list[int]], list[str]]:
-    """Labels, children and paths of a skeleton's nodes, in its numbering."""
+def parse_skeleton(text: str) -> tuple[list[str], list[list[int]], list[int]]:
+    """Labels, children and hashes of the paths of a skeleton's nodes, in its
+    numbering."""
     labels, children, paths, stack = [], [], [], []
     for token in re.findall(r"[(),]|[^(),]+", text):
         if token == "(":
@@ -199,47 +224,127 @@ def parse_skeleton(text: str) -> tuple[list[str], list[list[int]], list[str]]:
             label = token.rstrip("#")
             labels.append(label)
             children.append([])
-            paths.append((paths[stack[-1]] + "/" if stack else "") + label)
+            paths.append(hash64(f"{paths[stack[-1]] if stack else ''}/{label}"))
             if stack:
                 children[stack[-1]].append(i)
     return labels, children, paths
 
 
+class _Kinds:
+    """Equal subtrees of two trees have one number: label, children and size."""
+
+    def __init__(self):
+        self.number: dict[tuple, int] = {}
+        self.label: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.size: list[int] = []
+
+    def of(self, labels: list[str], children: list[list[int]]) -> list[int]:
+        out = [0] * len(labels)
+        for i in range(len(labels) - 1, -1, -1):  # children come after their parent
+            key = (labels[i], tuple(out[c] for c in children[i]))
+            if key not in self.number:
+                self.number[key] = len(self.label)
+                self.label.append(labels[i])
+                self.kids.append(key[1])
+                self.size.append(1 + sum(self.size[k] for k in key[1]))
+            out[i] = self.number[key]
+        return out
+
+    def ends(self, x, y) -> tuple[int, int]:
+        """Equal children at the beginning and at the end: an optimal matching
+        pairs them, as no other partner is worth more."""
+        n = min(len(x), len(y))
+        i = 0
+        while i < n and x[i] == y[i]:
+            i += 1
+        j = 0
+        while j < n - i and x[-1 - j] == y[-1 - j]:
+            j += 1
+        return i, j
+
+
+def _rows(worth: dict, x: tuple, y: tuple, keep: bool):
+    """The table of simple tree matching by rows: the last one's end, and where
+    a cell equals the one above or to the left, if kept."""
+    kinds, at = np.unique(np.array(y), return_inverse=True)
+    gains: dict[int, np.ndarray] = {}
+    row = np.zeros(len(y) + 1, np.int32)
+    steps = []
+    for u in x:
+        if u not in gains:
+            gains[u] = np.array([worth.get((u, int(v)), 0) for v in kinds], np.int32)
+        new = np.zeros_like(row)
+        np.maximum.accumulate(np.maximum(row[1:], row[:-1] + gains[u][at]), out=new[1:])
+        if keep:
+            steps.append((np.packbits(new[1:] == row[1:]), np.packbits(new[1:] == new[:-1])))
+        row = new
+    return int(row[-1]), steps
+
+
 def align(page: str, reference: str) -> list[int]:
     """For every node of ``page`` the node of ``reference`` that simple tree
-    matching pairs it with, or a negative number that stands for its path."""
+    matching pairs it with, or a negative number that stands for its path.
+
+    Works on kinds of equal subtrees, without recursion: equal ends of two
+    lists of children are paired at once, the table is filled for the rest."""
     labels, kids, paths = parse_skeleton(page)
     other, other_kids, _ = parse_skeleton(reference)
-    memo: dict[tuple[int, int], int] = {}
-
-    def table(a: int, b: int) -> list[list[int]]:
-        x, y = kids[a], other_kids[b]
-        m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i, u in enumerate(x):
-            for j, v in enumerate(y):
-                m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + size(u, v))
-        return m
-
-    def size(a: int, b: int) -> int:
-        if labels[a] != other[b]:
-            return 0
-        if (a, b) not in memo:
-            memo[a, b] = 1 + table(a, b)[-1][-1]
-        return memo[a, b]
-
-    slots = [hash64(p) % (1 << 62) - (1 << 62) - 1 for p in paths]
+    k = _Kinds()
+    mine, theirs = k.of(labels, kids), k.of(other, other_kids)
+    worth: dict[tuple[int, int], int] = {}
+
+    def middle(a: int, b: int) -> tuple[tuple, tuple, int, int]:
+        i, j = k.ends(k.kids[a], k.kids[b])
+        return k.kids[a][i:len(k.kids[a]) - j], k.kids[b][i:len(k.kids[b]) - j], i, j
+
+    def solve(a: int, b: int) -> None:
+        """Fill ``worth`` for a pair of kinds and all pairs below that it needs."""
+        todo = [(a, b)]
+        while todo:
+            a, b = todo[-1]
+            x, y, i, j = middle(a, b)
+            by_label: dict[str, list[int]] = {}
+            for v in dict.fromkeys(y):
+                by_label.setdefault(k.label[v], []).append(v)
+            need = []
+            for u in dict.fromkeys(x):
+                for v in by_label.get(k.label[u], ()):
+                    if u == v:
+                        worth[u, v] = k.size[u]
+                    elif (u, v) not in worth:
+                        need.append((u, v))
+            if need:
+                todo += need
+                continue
+            todo.pop()
+            if (a, b) not in worth:
+                equal = sum(k.size[c] for c in k.kids[a][:i]) + sum(k.size[c] for c in k.kids[a][len(k.kids[a]) - j:])
+                worth[a, b] = 1 + equal + (_rows(worth, x, y, False)[0] if x and y else 0)
+
+    slots = [p % (1 << 62) - (1 << 62) - 1 for p in paths]
     todo = [(0, 0)] if labels and other and labels[0] == other[0] else []
     while todo:
         a, b = todo.pop()
+        if mine[a] == theirs[b]:
+            slots[a:a + k.size[mine[a]]] = range(b, b + k.size[mine[a]])  # the same subtree
+            continue
         slots[a] = b
-        m = table(a, b)
-        i, j = len(kids[a]), len(other_kids[b])
-        while i and j:
-            if m[i][j] == m[i - 1][j]:
-                i -= 1
-            elif m[i][j] == m[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((kids[a][i], other_kids[b][j]))
+        solve(mine[a], theirs[b])
+        x, y, i, j = middle(mine[a], theirs[b])
+        pairs = list(zip(kids[a][:i], other_kids[b][:i])) + (list(zip(kids[a][-j:], other_kids[b][-j:])) if j else [])
+        if x and y:
+            _, steps = _rows(worth, x, y, True)
+            p, q = len(x), len(y)
+            while p and q:
+                above, left = steps[p - 1]
+                bit = 7 - (q - 1) % 8
+                if above[(q - 1) // 8] >> bit & 1:
+                    p -= 1
+                elif left[(q - 1) // 8] >> bit & 1:
+                    q -= 1
+                else:
+                    p, q = p - 1, q - 1
+                    pairs.append((kids[a][i + p], other_kids[b][i + q]))
+        todo += pairs
     return slots

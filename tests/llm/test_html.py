@@ -1,7 +1,7 @@
 import random
 
 from tessera.llm.html_extract import extract
-from tessera.llm.html_tree import Page, align
+from tessera.llm.html_tree import Page, align, parse_skeleton
 
 
 def _texts(html):
@@ -36,6 +36,73 @@ def test_alignment():
     assert align("page(q#)", "page(r#)")[1] < 0
 
 
+def _plain_worth(page, reference):
+    """Simple tree matching, recursively and cell by cell."""
+    la, ka, _ = parse_skeleton(page)
+    lb, kb, _ = parse_skeleton(reference)
+
+    def size(a, b):
+        if la[a] != lb[b]:
+            return 0
+        m = [[0] * (len(kb[b]) + 1) for _ in range(len(ka[a]) + 1)]
+        for i, u in enumerate(ka[a]):
+            for j, v in enumerate(kb[b]):
+                m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + size(u, v))
+        return 1 + m[-1][-1]
+    return size(0, 0)
+
+
+def test_alignment_is_optimal():
+    rnd = random.Random(6)
+
+    def tree(depth):
+        label = rnd.choice("abc")
+        kids = [tree(depth - 1) for _ in range(rnd.randint(0, 4))] if depth else []
+        return label + (f"({','.join(kids)})" if kids else "")
+    for _ in range(200):
+        a, b = f"page({tree(3)},{tree(3)})", f"page({tree(3)},{tree(2)},{tree(3)})"
+        slots, (la, ka, _), (lb, kb, _) = align(a, b), parse_skeleton(a), parse_skeleton(b)
+        pairs = {i: s for i, s in enumerate(slots) if s >= 0}
+        assert len(pairs) == _plain_worth(a, b) and len(set(pairs.values())) == len(pairs)
+        assert all(la[i] == lb[s] for i, s in pairs.items())
+        for i, s in pairs.items():  # parents are paired, and order is kept
+            own = [(c, pairs[c]) for c in ka[i] if c in pairs]
+            assert all(p in kb[s] for _, p in own) and [p for _, p in own] == sorted(p for _, p in own)
+
+
+def test_deep_and_wide_pages(spark):
+    import time
+    deep = "<div>" * 5000 + "<p>bottom</p>" + "</div>" * 5000
+    page = Page(deep)
+    assert len(page.numbered) == 5002 and align(page.skeleton, page.skeleton) == list(range(5002))
+    other = Page("<div>" * 4000 + "<ul><li>x</ul>")
+    assert len(align(page.skeleton, other.skeleton)) == 5002
+    wide = ["".join(f"<h2>h{i}</h2><p>{i}</p>" for i in range(n)) for n in (5000, 4000)]
+    rnd = random.Random(2)
+    mixed = "".join(rnd.choice(["<h2>a</h2>", "<p>b</p>", "<h3>c</h3>"]) for _ in range(6000))
+    start = time.time()
+    for x, y in ((wide[0], wide[1]), (wide[0], mixed)):
+        assert len(align(Page(x).skeleton, Page(y).skeleton)) == len(Page(x).numbered)
+    assert time.time() - start < 10
+    got = _got(spark, [(1, "http://a.example", deep), (2, "http://a.example", wide[0]), (3, "http://a.example", mixed)])
+    assert got[1, "http://a.example"][0] == "bottom" and got[2, "http://a.example"][0].startswith("h0\n\n0\n\nh1")
+
+
+def test_names_inside_an_article():
+    kept = ["related-work", "notice-period", "social-history", "search-results", "commentary", "navigation-history"]
+    gone = ["ad", "ads", "comments", "comment-list", "cookie-notice", "share-buttons", "newsletter-signup box", "related"]
+    for name in kept:
+        assert _texts(f"<article><p>a</p><div class='{name}'>b</div></article>")[1] == ("b", False, True), name
+    for name in gone:
+        assert _texts(f"<article><p>a</p><div class='{name}'>b</div></article>")[1][1], name
+    assert _texts("<article><p>a</p><section id=social-history><h2>b</h2></section></article>")[1] == ("b", False, True)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<p>x", "mine", 3, "h")], "page_id long, url string, html string, text string, key int, host string")
+    assert extract(df, ["page_id"]).first() == (1, "x", 1)
+
+
 def _got(spark, rows):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     return {(r.page_id, r.url): (r.text, r.n_chars) for r in extract(df, ["page_id", "url"]).collect()}
