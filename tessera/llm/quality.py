@@ -12,21 +12,25 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of what training reads: rows and bytes per row for each dictionary,
-#: and rows for the calibration, taken in the order of a hash of their ids.
-DICTIONARY_ROWS = 600
-EXCERPT = 400
+#: Bounds of what training reads: rows for each dictionary, and rows for the
+#: calibration, taken whole in the order of a hash of their ids.
+DICTIONARY_ROWS = 300
 CALIBRATION_ROWS = 12_000
 CUT = 0.3
 LEVEL = 3
-#: Long texts are also looked at in pieces; the worst one counts.
+#: Texts are also looked at in pieces of so many bytes, each beginning half a
+#: piece after the one before and the last at the end; the worst one counts.
 PIECE = 4096
 RIDGE = 1e-2
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     raw = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_checksum=False)
+    # The window and the tables of earlier places hold the whole dictionary, however long its texts are.
+    size = min(max(20, (len(dictionary) + (1 << 20)).bit_length()), 27)
+    params = zstandard.ZstdCompressionParameters.from_level(LEVEL, window_log=size, hash_log=min(size, 24), chain_log=min(size, 24),
+                                                            write_content_size=False, write_checksum=False)
+    return zstandard.ZstdCompressor(dict_data=raw, compression_params=params)
 
 
 @dataclass
@@ -57,10 +61,10 @@ class Model:
         data = (text or "").encode()
         good, bad, plain = self._sizes(data)
         whole = worst = (bad - good) / plain
-        if len(data) > PIECE:
-            for i in range(0, len(data) - PIECE // 4, PIECE):
-                g, b, p = self._sizes(data[i:i + PIECE])
-                worst = min(worst, (b - g) / p)
+        # A text of one piece is that piece; one byte more gives two that are nearly the whole.
+        for i in [*range(0, len(data) - PIECE, PIECE // 2), len(data) - PIECE] if len(data) > PIECE else []:
+            g, b, p = self._sizes(data[i:i + PIECE])
+            worst = min(worst, (b - g) / p)
         return whole, worst, float(np.log(plain / (len(data) + 20))), float(np.log(len(data) + 20))
 
     def _design(self, x: np.ndarray) -> np.ndarray:
@@ -112,9 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = parts[0].union(parts[1]).union(parts[2])  # bounded by the limits above, so it may be broadcast
     texts = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
              .join(F.broadcast(chosen), "id"))
-    begin = F.pmod("r", F.greatest(F.length("text") - F.lit(EXCERPT), F.lit(1))).cast("int") + 1
-    cut = (texts.where("y < 2").select("y", "r", "id", F.substr("text", begin, F.lit(EXCERPT)).alias("cut"))
-           .orderBy("r", "id", "cut").limit(4 * DICTIONARY_ROWS).collect())
+    cut = texts.where("y < 2").select("y", "r", "id", F.col("text").alias("cut")).orderBy("r", "id", "cut").limit(4 * DICTIONARY_ROWS).collect()
     bad, good = ("\n".join(x["cut"] for x in cut if x["y"] == y).encode() for y in (0, 1))
     model = Model(good, bad)
     rows = (texts.where("y >= 2").select("r", "id", (F.col("y") - 2).alias("y"),

@@ -37,3 +37,26 @@ def test_edges(spark, docs):
     empty = q.train(df.limit(0), labels.limit(0))
     assert {r.score for r in q.classify(df, empty).collect()} == {0.5}
     assert q.classify(df.limit(0), empty).count() == 0
+
+
+def test_no_jump_at_a_piece(spark):
+    """One byte more than a piece changes little, and the end of a text counts."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(500)]
+    good = " ".join(rng.choice(words, 6000))
+    junk = ["".join(rng.choice(list("qxzvjkwpbgfy"), rng.integers(2, 9))) for _ in range(500)]
+    model = q.Model(" ".join(rng.choice(words, 2000)).encode(), " ".join(rng.choice(junk, 2000)).encode())
+    rows = [model.features(good[:n]) for n in range(q.PIECE - 2, q.PIECE + 40)]
+    assert max(abs(a[i] - b[i]) for a, b in zip(rows, rows[1:]) for i in (0, 1)) < 0.02
+    clean = good[:3 * q.PIECE]
+    spoilt = clean[:-1500] + " ".join(rng.choice(junk, 1500))[:1500]
+    assert model.features(spoilt)[1] < model.features(clean)[1] - 0.05
+
+
+def test_dictionary_larger_than_the_usual_window(spark):
+    """Text at the beginning of a large dictionary is still found."""
+    rng = np.random.default_rng(1)
+    text = " ".join(str(x) for x in rng.integers(0, 1 << 60, 300))
+    filler = " ".join(str(x) for x in rng.integers(0, 1 << 60, 200_000))
+    with_it, without = q.Model((text + filler).encode(), b""), q.Model(filler.encode(), b"")
+    assert with_it._sizes(text.encode())[0] < 0.2 * without._sizes(text.encode())[0]
