@@ -2,7 +2,7 @@
 
 Tokens are summed per source, targets are shared out by weight under a cap on
 repetition, and a document is emitted floor(rate) times plus one more time with
-probability equal to the fraction, decided by a hash of its id.
+probability equal to the fraction, decided by a hash of its id and text.
 """
 
 from __future__ import annotations
@@ -65,9 +65,9 @@ def source_rates(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: floa
     return table.select("source", "source_size", target.alias("target"), rate.alias("rate"))
 
 
-def draw(key: Column, seed: int = 0) -> Column:
-    """A number in [0, 1) from a hash of ``key`` (null: as the text 'null')."""
-    hexed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))))
+def draw(key: Column, text: Column, seed: int = 0) -> Column:
+    """A number in [0, 1) from a hash of ``key`` (null: as the text 'null') and ``text``."""
+    hexed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")), F.lit(":"), F.md5(text)))
     return F.conv(F.substring(hexed, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
@@ -78,18 +78,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``target``, ``copies`` and ``taken`` (words the mix takes).
 
     Defined cases: null text has size 0; a null source is a source of its own,
-    last in order; a source of size 0 has target 0 and rate 0; rows with one id
-    get the same draw, so repeated rows are decided alike; null ids draw as one
-    id; an empty table gives an empty result.  Input columns of the same names
+    last in order; a source of size 0 has target 0 and rate 0; rows equal in id
+    and text get the same draw, so repeated rows are decided alike; rows of one
+    id, or without id, whose texts differ draw apart; an empty table gives an
+    empty result.  Input columns of the same names
     are replaced.
     """
     sized = pack(docs).select(ROW, F.col(ROW)[source_col].alias("source"),
-                              F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"))
+                              F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
+                              draw(F.col(ROW)[id_col], text_of(text_col), seed).alias("draw"))
     rates = source_rates(sized.select("source", "size"), weights, share, max_repeat)
     rates = rates.withColumnRenamed("source", "of")
     rated = sized.join(rates, F.col("source").eqNullSafe(F.col("of")), "left")
     fraction = F.col("rate") - F.floor("rate")
-    copies = (F.floor("rate") + (draw(F.col(ROW)[id_col], seed) < fraction).cast("long")).cast("long")
+    copies = (F.floor("rate") + (F.col("draw") < fraction).cast("long")).cast("long")
     return unpack(rated.select(ROW, "size", "source_size", "target", copies.alias("copies")), docs.columns,
                   size=F.col("size"), source_size=F.col("source_size"), target=F.col("target"),
                   copies=F.col("copies"), taken=F.col("copies") * F.col("size"))

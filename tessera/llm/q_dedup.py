@@ -21,7 +21,7 @@ SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE
 FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos GROUP BY l.doc_id"""
 
 OP3_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS th, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 n AS (SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight, 2 * source_size AS cap FROM s),
 c AS (SELECT *, coalesce(sum(cap) OVER before, 0) AS caps_before,
@@ -32,7 +32,7 @@ lv AS (SELECT *, (want - caps_before) / open_weight AS level FROM c),
 t AS (SELECT source, source_size, least(cap::DOUBLE, weight * (SELECT arg_min(level, cap::DOUBLE / weight) FROM lv WHERE level * weight < cap)) AS target FROM n),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t)
 SELECT doc_id, size, source_size, target,
-  CAST(size * (floor(rate) + CASE WHEN CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT)
+  CAST(size * (floor(rate) + CASE WHEN CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || th), 1, 13) AS BIGINT)
     / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source"""
 

@@ -51,3 +51,12 @@ def test_edges(docs):
                    ("3", 2, "None", "mine"), ("None", 1, "None", "mine")]
     assert mix(docs(rows).limit(0)).count() == 0 and emit(mix(docs(rows).limit(0))).count() == 0
     assert all(r.taken == 0 and r.target == 0 for r in mix(docs([(1, None), (2, "")])).collect())
+
+
+def test_targets_met_without_ids_and_with_shared_ids(docs):
+    rows = [(None, f"w{i} " * 25, "a") for i in range(2000)] + [(7, f"v{i} " * 25, "b") for i in range(2000)]
+    by = {}
+    for r in mix(docs(rows)).collect():
+        t = by.setdefault(r.source, [0, r.target])
+        t[0] += r.taken
+    assert all(abs(a - b) < 0.05 * b for a, b in by.values()), by
