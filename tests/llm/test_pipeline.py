@@ -49,3 +49,10 @@ def test_empty_table(spark):
     for _, step in cp.STAGES:
         docs = cp.stage(step(spark, docs, SF))
     assert docs.count() == 0
+
+
+def test_line_dedup_keeps_the_inputs_columns(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc\nd", 99, 77), (2, "x\na\nb\nc", 5, 6), (3, None, None, 1)],
+                               "doc_id long, text string, n_lines int, n_removed long")
+    got = sorted(tuple(r) for r in cp.line_dedup(spark, df, SF).collect())
+    assert got == [(1, "a\nb\nc\nd", 99, 77), (2, "x", 5, 6), (3, None, None, 1)]
