@@ -15,7 +15,8 @@ from tessera.llm.near_dedup import near_duplicates
 
 def quality_classifier(spark, docs, sf_dir):
     """Documents that the classifier rejects go; it learns from the labelled
-    rows of ``docs`` outside the held-out fold."""
+    rows of ``docs`` outside the held-out fold.  Null and empty texts are scored
+    as the empty text, repeated rows alike."""
     model = quality.train(docs, read(spark, sf_dir, "labels"))
     kept = pack(docs).withColumn("score", quality.quality_score(model, F.col("__row.text")))
     return unpack(kept.where(F.col("score") >= quality.CUT), docs.columns)
@@ -24,12 +25,13 @@ def quality_classifier(spark, docs, sf_dir):
 def line_dedup(spark, docs, sf_dir):
     """Repeated three-line windows lose their later occurrences; a document
     that loses all its lines goes, and ``n_chars`` follows the text."""
-    done = dedup_lines(docs)
+    own = {c: f"__in_{c}" for c in ("n_lines", "n_removed") if c in docs.columns}  # the input's, which stay
+    done = dedup_lines(docs.withColumnsRenamed(own))
     left = done.where((F.col("n_removed") == 0) | (F.trim(F.coalesce("text", F.lit(""))) != ""))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars"))
                                .otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+    return left.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark, docs, sf_dir):
@@ -48,12 +50,14 @@ def near_dedup(spark, docs, sf_dir):
 
 
 def benchmark_decontamination(spark, docs, sf_dir):
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none."""
     return decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark, docs, sf_dir):
-    """Every document as often as its source's repetition rate says."""
+    """Every document as often as its source's repetition rate says; the
+    columns that this adds (size to taken, and copy) replace input columns of
+    the same names."""
     return emit(mix(docs))
 
 
