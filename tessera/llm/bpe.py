@@ -42,7 +42,7 @@ LEAF_CHARS, LEAF_BYTES = 1 << 16, 32
 #: Contractions read so many characters at most; a run reads one beyond its end.
 LOOK = 3
 #: Bytes of texts that are encoded together, in arrays (a longer text is by itself).
-SLICE = 1 << 22
+SLICE = 1 << 21
 #: Fitting pairs that a Python worker remembers.
 REMEMBERED = 1 << 18
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
