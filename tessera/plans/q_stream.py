@@ -94,8 +94,8 @@ def q_stream_upsert(spark, sf):
         "id", "title", "tags", F.lit(0).alias("version"))
     stream = st.file_stream(spark, path, schema, max_files_per_trigger=1)
     root, ck = st.fresh_dirs(spark, "upsert")
-    st.upsert_stream(stream, initial, root, ck, ["id"], "version")
-    return st.read_latest_version(spark, root).select("id", "title", "tags", "version")
+    st.upsert_stream(stream, initial, root, ck, ["id"], "version", compact_every=2)
+    return st.read_upserts(spark, root, ["id"], "version").select("id", "title", "tags", "version")
 
 
 _CHAIN_QUOTA = 20

@@ -9,7 +9,6 @@ own output instead of duplicating it.
 
 from __future__ import annotations
 
-import math
 import os
 import uuid
 
@@ -24,8 +23,6 @@ from tessera.operators import filters as fl
 from tessera.session import checkpoint_dir, path_exists
 
 
-VERSION_COL = "table_version"
-
 
 def fresh_dirs(spark: SparkSession, name: str) -> tuple[str, str]:
     """A new (sink, checkpoint) pair under the shared checkpoint folder."""
@@ -153,134 +150,81 @@ def quota_stream(stream: DataFrame, sink: str, ckpt: str, group: str, order: lis
                  quota: int) -> str:
     """Keep the first ``quota`` rows per group across micro-batches.
 
-    Each batch reads how many rows per group earlier batches kept, ranks its
-    own rows per group (``row_number <= quota`` lets WindowGroupLimit cut every
-    task to ``quota`` rows per group before the shuffle) and writes the
-    survivors to ``sink/batch=<id>``.
+    The state is how many rows per group each batch kept, a small table under
+    ``sink/_kept``; kept rows are never read again.  A batch ranks its own rows
+    per group (``row_number <= quota`` lets WindowGroupLimit cut every task to
+    ``quota`` rows per group before the shuffle), writes what earlier batches
+    leave room for to ``sink/batch=<id>``, and then its counts.  A replayed
+    batch counts earlier batches only and overwrites both.
     """
     spark = stream.sparkSession
+    kept_root = f"{sink}/_kept"
+    kept_schema = T.StructType([T.StructField("_group", stream.schema[group].dataType), T.StructField("_n", T.LongType())])
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
         w = Window.partitionBy(group).orderBy(*[F.col(c) for c in order])
         ranked = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= quota)
-        prev = _earlier(spark, sink, df.schema, batch_id)
+        prev = _earlier(spark, kept_root, kept_schema, batch_id)
         if prev is not None:
-            kept = prev.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_kept"))
+            kept = prev.groupBy("_group").agg(F.sum("_n").alias("_kept"))
             ranked = ranked.join(kept, F.col(group).eqNullSafe(F.col("_group")), "left")
             ranked = ranked.where(F.col("_rn") <= F.lit(quota) - F.coalesce("_kept", F.lit(0)))
-            ranked = ranked.drop("_kept", "_group")
-        ranked.drop("_rn").write.mode("overwrite").parquet(_batch_part(sink, batch_id))
+        part = _batch_part(sink, batch_id)
+        ranked.select(*df.columns).write.mode("overwrite").parquet(part)
+        counts = spark.read.schema(df.schema).parquet(part).groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
+        _write_part(counts, kept_root, batch_id)
 
     (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
            .trigger(availableNow=True).start().awaitTermination())
     return sink
 
 
-def _bucket(keys: list[str], n_buckets: int):
-    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(n_buckets)).cast("int")
-
-
-# A leading underscore keeps Spark's Parquet reader of the table away from these.
-def _manifest(table_root: str) -> str:
-    return f"{table_root}/_manifest"
-
-
-def _layout(table_root: str) -> str:
-    return f"{table_root}/_layout"
-
-
-_MANIFEST = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField(VERSION_COL, T.IntegerType()),
-                          T.StructField("batch", T.LongType())])
-
-
-def _current_versions(spark: SparkSession, table_root: str, before_batch: int | None = None) -> dict[int, int]:
-    """bucket -> newest version committed by batches before ``before_batch``
-    (one small row per bucket); empty only if there is no manifest.  Any error
-    in reading it is raised."""
-    if not path_exists(spark, _manifest(table_root)):
-        return {}
-    m = spark.read.schema(_MANIFEST).parquet(_manifest(table_root))
-    if before_batch is not None:
-        m = m.where(F.col("batch") < before_batch)
-    return {r["bucket"]: r["v"] for r in m.groupBy("bucket").agg(F.max(VERSION_COL).alias("v")).collect()}
-
-
-def _version_paths(table_root: str, versions: dict[int, int]) -> list[str]:
-    return [f"{table_root}/bucket={b}/{VERSION_COL}={v}" for b, v in sorted(versions.items())]
-
-
-def _buckets(spark: SparkSession, table_root: str, initial: DataFrame, wanted: int | None,
-             rows_per_bucket: int) -> int:
-    """The table's number of buckets: stored when it is created, and checked
-    against ``wanted`` ever after."""
-    if path_exists(spark, _layout(table_root)):
-        stored = spark.read.schema("n_buckets int").parquet(_layout(table_root)).first()["n_buckets"]
-        if wanted is not None and wanted != stored:
-            raise ValueError(f"the table has {stored} buckets, not {wanted}")
-        return stored
-    n = wanted or max(1, math.ceil(initial.count() / rows_per_bucket))
-    spark.createDataFrame([(n,)], "n_buckets int").coalesce(1).write.parquet(_layout(table_root))
-    return n
-
-
 def upsert_stream(stream: DataFrame, initial: DataFrame, table_root: str, ckpt: str,
-                  keys: list[str], order_col: str, n_buckets: int | None = None,
-                  rows_per_bucket: int = 1_000_000) -> str:
-    """Micro-batch upsert into a bucketed, versioned Parquet table
-    (copy-on-write per bucket).
-
-    Rows live under ``table_root/bucket=<hash(keys) mod n>/table_version=<v>``
-    and a manifest records which version of each bucket is current.  Batch
-    ``b`` reads only the current files of the buckets its rows hash to,
-    merges (per key the largest ``order_col`` wins, an update on ties), writes
-    those buckets as version ``b + 1`` and appends its manifest entries under
-    ``batch=b``.  Untouched buckets are never rewritten, and each is written by
-    one task.  A replayed batch recomputes from the versions committed before
-    it and overwrites the same partitions and manifest entries, so retries do
-    not change the result; a failed read fails the batch and leaves the table
-    as it was.  The number of buckets, by default one per ``rows_per_bucket``
-    initial rows, is stored with the table.
+                  keys: list[str], order_col: str, compact_every: int = 20) -> str:
+    """Micro-batch upsert: per key the row with the largest ``order_col``, of
+    equals the one that came last.
+
+    Each batch writes its own newest row per key to ``changes/batch=<id>``, so
+    a batch costs what it holds; every ``compact_every`` batches the table is
+    merged into ``base/upto=<id>``.  A read merges the newest complete base with
+    the changes after it.  A replayed batch overwrites its own folders; a failed
+    read fails the batch and leaves the table as it was.
     """
     spark = stream.sparkSession
     cols = initial.columns
     if order_col not in cols:
         raise ValueError(f"initial rows need the order column {order_col!r}")
-    bucket = _bucket(keys, _buckets(spark, table_root, initial, n_buckets, rows_per_bucket))
-
-    def write_version(rows: DataFrame, version: int, batch_id: int, touched: list[int]) -> None:
-        (rows.withColumn("bucket", bucket).withColumn(VERSION_COL, F.lit(version)).repartition("bucket")
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("bucket", VERSION_COL).parquet(table_root))
-        # Manifest last: a batch whose data write failed commits nothing.
-        (spark.createDataFrame([(b, version) for b in touched], f"bucket int, {VERSION_COL} int")
-              .coalesce(1).write.mode("overwrite").parquet(f"{_manifest(table_root)}/batch={batch_id}"))
-
-    def buckets_of(rows: DataFrame) -> list[int]:
-        return [r["b"] for r in rows.select(bucket.alias("b")).distinct().collect()]  # one small row per bucket
-
-    if not _current_versions(spark, table_root):
-        write_version(initial, 0, -1, buckets_of(initial))
+    if not path_exists(spark, f"{_base(table_root, -1)}/_SUCCESS"):
+        dedup.keep_last(initial, keys, [order_col]).select(*cols).write.mode("overwrite").parquet(_base(table_root, -1))
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
-        upd = df.select(*cols).persist()  # read twice: bucket list and merge
-        hit = buckets_of(upd)
-        current = _current_versions(spark, table_root, batch_id)
-        paths = _version_paths(table_root, {b: v for b, v in current.items() if b in hit})
-        both = upd.withColumn("_src", F.lit(1))
-        if paths:
-            old = spark.read.option("basePath", table_root).parquet(*paths).select(*cols)
-            both = old.withColumn("_src", F.lit(0)).unionByName(both)
-        merged = dedup.keep_last(both, keys, [order_col, "_src"]).select(*cols)
-        if hit:
-            write_version(merged, batch_id + 1, batch_id, hit)
-        upd.unpersist()
+        newest = dedup.keep_last(df.select(*cols), keys, [order_col]).select(*cols)
+        _write_part(newest, _changes(table_root), batch_id)
+        if (batch_id + 1) % compact_every == 0:
+            read_upserts(spark, table_root, keys, order_col, batch_id).write.mode("overwrite").parquet(_base(table_root, batch_id))
 
     (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
            .trigger(availableNow=True).start().awaitTermination())
     return table_root
 
 
-def read_latest_version(spark: SparkSession, table_root: str) -> DataFrame:
-    """The current rows: for each bucket only its newest committed version's files."""
-    paths = _version_paths(table_root, _current_versions(spark, table_root))
-    return spark.read.option("basePath", table_root).parquet(*paths).drop("bucket", VERSION_COL)
+def _base(table_root: str, batch_id: int) -> str:
+    return f"{table_root}/base/upto={batch_id}"
+
+
+def _changes(table_root: str) -> str:
+    return f"{table_root}/changes"
+
+
+def read_upserts(spark: SparkSession, table_root: str, keys: list[str], order_col: str, upto: int | None = None) -> DataFrame:
+    """The table after batch ``upto`` (by default the last one)."""
+    schema = spark.read.parquet(_base(table_root, -1)).schema
+    known = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    found = [r["upto"] for r in spark.read.parquet(f"{table_root}/base").select("upto").distinct().collect()]  # one per compaction
+    # A base whose write was cut off has no success marker.
+    start = max(b for b in found if (upto is None or b < upto) and path_exists(spark, f"{_base(table_root, b)}/_SUCCESS"))
+    rows = spark.read.schema(schema).parquet(_base(table_root, start)).withColumn("batch", F.lit(start).cast("long"))
+    if path_exists(spark, _changes(table_root)):
+        after = spark.read.schema(known).parquet(_changes(table_root)).where(F.col("batch") > start)
+        rows = rows.unionByName(after if upto is None else after.where(F.col("batch") <= upto))
+    return dedup.keep_last(rows, keys, [order_col, "batch"]).select(*schema.names)

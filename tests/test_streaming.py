@@ -62,25 +62,27 @@ def test_upsert_stream_matches_batch_upsert(spark, tmpdir_fresh):
     schema = spark.read.parquet(src).schema
     root, ck = os.path.join(tmpdir_fresh, "tbl"), os.path.join(tmpdir_fresh, "ck")
     st.upsert_stream(st.file_stream(spark, src, schema, max_files_per_trigger=1), initial, root, ck, ["id"], "v")
-    got = sorted(tuple(r) for r in st.read_latest_version(spark, root).collect())
+    got = sorted(tuple(r) for r in st.read_upserts(spark, root, ["id"], "v").collect())
     batch = dedup.upsert_latest(initial, spark.read.parquet(src), ["id"], "v")
     # streaming keeps the largest version per key; (3, 'c0', 0) is older than c1
     assert got == [(1, "a", 0), (2, "b2", 2), (3, "c1", 1)]
     assert F is not None and batch.count() == 3
 
 
-def test_upsert_rewrites_only_touched_buckets(spark, tmpdir_fresh):
+def test_upsert_writes_only_changes_until_it_compacts(spark, tmpdir_fresh):
     src = os.path.join(tmpdir_fresh, "src")
     initial = spark.createDataFrame([(i, f"t{i}", 0) for i in range(200)], "id long, title string, v int")
-    spark.createDataFrame([(5, "new", 1)], "id long, title string, v int").coalesce(1).write.parquet(src)
+    for wave in range(5):
+        spark.createDataFrame([(5, f"new{wave}", wave + 1), (300 + wave, "x", 0)], "id long, title string, v int").coalesce(1).write.mode("append").parquet(src)
     schema = spark.read.parquet(src).schema
     root, ck = os.path.join(tmpdir_fresh, "tbl"), os.path.join(tmpdir_fresh, "ck")
-    st.upsert_stream(st.file_stream(spark, src, schema), initial, root, ck, ["id"], "v", n_buckets=16)
-    versions = spark.read.parquet(root).select("bucket", st.VERSION_COL).distinct().collect()
-    rewritten = [r for r in versions if r[st.VERSION_COL] > 0]
-    assert len(rewritten) == 1  # one bucket holds id 5
-    latest = {r.id: r.title for r in st.read_latest_version(spark, root).collect()}
-    assert len(latest) == 200 and latest[5] == "new" and latest[6] == "t6"
+    st.upsert_stream(st.file_stream(spark, src, schema, max_files_per_trigger=1), initial, root, ck, ["id"], "v", compact_every=3)
+    assert spark.read.parquet(f"{root}/changes").count() == 10  # two rows a batch
+    assert sorted(os.listdir(f"{root}/base")) == ["upto=-1", "upto=2"] and spark.read.parquet(f"{root}/base/upto=2").count() == 203
+    latest = {r.id: r.title for r in st.read_upserts(spark, root, ["id"], "v").collect()}
+    assert len(latest) == 205 and latest[5] == "new4" and latest[6] == "t6"
+    os.remove(f"{root}/base/upto=2/_SUCCESS")  # a compaction that was cut off does not count
+    assert {r.id: r.title for r in st.read_upserts(spark, root, ["id"], "v").collect()} == latest
 
 
 def test_upsert_replayed_batch_is_idempotent(spark, tmpdir_fresh):
@@ -90,18 +92,16 @@ def test_upsert_replayed_batch_is_idempotent(spark, tmpdir_fresh):
         spark.createDataFrame(wave, "id long, title string, v int").coalesce(1).write.mode("append").parquet(src)
     schema = spark.read.parquet(src).schema
     root, ck = os.path.join(tmpdir_fresh, "tbl"), os.path.join(tmpdir_fresh, "ck")
-    st.upsert_stream(st.file_stream(spark, src, schema, max_files_per_trigger=1), initial, root, ck,
-                     ["id"], "v", n_buckets=8)
-    before = sorted(tuple(r) for r in st.read_latest_version(spark, root).collect())
+    st.upsert_stream(st.file_stream(spark, src, schema, max_files_per_trigger=1), initial, root, ck, ["id"], "v", compact_every=2)
+    before = sorted(tuple(r) for r in st.read_upserts(spark, root, ["id"], "v").collect())
     # Simulate a crash after the last batch wrote its output but before it committed.
     commits = sorted(int(f) for f in os.listdir(os.path.join(ck, "commits")) if f.isdigit())
     os.remove(os.path.join(ck, "commits", str(commits[-1])))
     crc = os.path.join(ck, "commits", f".{commits[-1]}.crc")
     if os.path.exists(crc):
         os.remove(crc)
-    st.upsert_stream(st.file_stream(spark, src, schema, max_files_per_trigger=1), initial, root, ck,
-                     ["id"], "v", n_buckets=8)
-    after = sorted(tuple(r) for r in st.read_latest_version(spark, root).collect())
+    st.upsert_stream(st.file_stream(spark, src, schema, max_files_per_trigger=1), initial, root, ck, ["id"], "v", compact_every=2)
+    after = sorted(tuple(r) for r in st.read_upserts(spark, root, ["id"], "v").collect())
     assert after == before and len(after) == 51
     assert dict((r[0], r[1]) for r in after)[1] == "c"
 
@@ -121,33 +121,24 @@ def test_exact_dedup_across_batches(spark, tmpdir_fresh):
     assert got == [(2021, "same", 0), (2022, "other", 900), (2023, "new", 902)]
 
 
-def _upsert_case(spark, folder, n_buckets=4):
-    src = os.path.join(folder, "src")
+def test_failed_read_fails_the_batch_and_keeps_the_table(spark, tmpdir_fresh):
+    src, root, ck = (os.path.join(tmpdir_fresh, x) for x in ("src", "tbl", "ck"))
     initial = spark.createDataFrame([(i, f"t{i}", 0) for i in range(50)], "id long, title string, v int")
-    spark.createDataFrame([(1, "a", 1)], "id long, title string, v int").coalesce(1).write.mode("append").parquet(src)
-    root, ck = os.path.join(folder, "tbl"), os.path.join(folder, "ck")
-
-    def run(n=n_buckets):
-        return st.upsert_stream(st.file_stream(spark, src, spark.read.parquet(src).schema), initial, root, ck, ["id"], "v",
-                                n_buckets=n)
-    return src, root, run
 
-
-def test_failed_read_fails_the_batch_and_keeps_the_table(spark, tmpdir_fresh):
-    src, root, run = _upsert_case(spark, tmpdir_fresh)
-    run()
-    before = sorted(tuple(r) for r in st.read_latest_version(spark, root).collect())
+    def wave(row):
+        spark.createDataFrame([row], "id long, title string, v int").coalesce(1).write.mode("append").parquet(src)
+        st.upsert_stream(st.file_stream(spark, src, spark.read.parquet(src).schema), initial, root, ck, ["id"], "v", compact_every=2)
+    wave((1, "a", 1))
+    before = sorted(tuple(r) for r in st.read_upserts(spark, root, ["id"], "v").collect())
     assert len(before) == 50
-    # The manifest can no longer be read.
-    bad = os.path.join(root, "_manifest", "batch=0", "part-bad.parquet")
+    bad = os.path.join(root, "changes", "batch=0", "part-bad.parquet")
     with open(bad, "wb") as f:
         f.write(b"not parquet")
-    spark.createDataFrame([(2, "b", 2)], "id long, title string, v int").coalesce(1).write.mode("append").parquet(src)
     with pytest.raises(Exception):
-        run()
-    with open(bad, "wb") as f:  # an empty file is skipped: the folder reads again
-        f.write(b"")
-    assert sorted(tuple(r) for r in st.read_latest_version(spark, root).collect()) == before
+        wave((2, "b", 2))  # this batch compacts, so it reads
+    os.remove(bad)
+    got = sorted(tuple(r) for r in st.read_upserts(spark, root, ["id"], "v", 0).collect())
+    assert got == before
 
 
 def test_failed_read_fails_dedup_and_quota(spark, tmpdir_fresh):
@@ -162,20 +153,24 @@ def test_failed_read_fails_dedup_and_quota(spark, tmpdir_fresh):
         run(*sinks[k])
     _land(spark, src, [(2, 2021, dt.datetime(2021, 1, 2), "a", 2)])
     for k, run in runs.items():
-        folder = os.path.join(sinks[k][0], "_keys", "year=2021", "batch=0") if k == "dedup" else os.path.join(sinks[k][0], "batch=0")
+        folder = os.path.join(sinks[k][0], "_keys", "year=2021", "batch=0") if k == "dedup" else os.path.join(sinks[k][0], "_kept", "batch=0")
         with open(os.path.join(folder, "part-bad.parquet"), "wb") as f:
             f.write(b"not parquet")
         with pytest.raises(Exception):
             run(*sinks[k])
 
 
-def test_number_of_buckets_is_stored(spark, tmpdir_fresh):
-    _, root, run = _upsert_case(spark, tmpdir_fresh)
-    run()
-    with pytest.raises(ValueError):
-        run(8)
-    run(None)
-    assert st.read_latest_version(spark, root).count() == 50
+def test_quota_with_a_hot_year_over_many_batches(spark, tmpdir_fresh):
+    """Batches after the quota is full keep nothing, and read counts only."""
+    src = os.path.join(tmpdir_fresh, "src")
+    for b in range(6):
+        _land(spark, src, [(b * 100 + i, 2021 if i % 3 else None, dt.datetime(2021, 1, 1 + b), "t", i) for i in range(60)])
+    schema = spark.read.parquet(src).schema
+    sink, ck = os.path.join(tmpdir_fresh, "sink"), os.path.join(tmpdir_fresh, "ck")
+    st.quota_stream(st.file_stream(spark, src, schema, max_files_per_trigger=1), sink, ck, "year", ["ts", "id"], 70)
+    kept = spark.read.parquet(sink)
+    assert {r.year: r["count"] for r in kept.groupBy("year").count().collect()} == {2021: 70, None: 70}
+    assert spark.read.parquet(f"{sink}/_kept").count() <= 12
 
 
 def test_null_keys_are_one_key(spark, tmpdir_fresh):
