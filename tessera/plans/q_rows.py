@@ -3,16 +3,20 @@ unions and the partitioned / JSON sources."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions import text as tx
 from tessera.operators import dedup, joins, topk
 from tessera.operators import filters as fl
 from tessera.plans import sqlbits as S
-from tessera.plans.registry import register
+from tessera.plans.registry import ORACLE, register
 from tessera.schemas import DEV_TOPICS, NEWS_TOPICS, UNSURE, URL_PREFIX
-from tessera.session import write_stage
-from tessera.sources.readers import flatten_pages, page_problems, read_year_partitions
+from tessera.session import stage_path, write_stage
+from tessera.sources import sinks
+from tessera.sources.readers import cursor_chains, flatten_pages, page_problems, read_year_partitions
 from tessera.sources.tables import POSTS_SQL, posts, table, with_ctes
 from tessera.streaming import chains
 
@@ -138,6 +142,19 @@ def q_serving_join(spark, sf):
                               ["title", "url", "published_at"], "pos_score", "neg_score")
 
 
+@register("serving_join_bucketed", ORACLE["serving_join"])
+def q_serving_join_bucketed(spark, sf):
+    """The serving join over tables that were written bucketed by id: neither
+    side is shuffled when they are joined."""
+    p = posts(spark, sf)
+    lab = table(spark, sf, "labels").withColumnRenamed("doc_id", "id")
+    enriched = p.select("id", *_SERVING_ENRICHED).join(lab, "id", "inner")
+    side = uuid.uuid4().hex
+    e = sinks.write_bucketed(enriched, f"enriched_{side}", ["id"], 8, stage_path(spark, "enriched"))
+    raw = sinks.write_bucketed(p.select("id", "title", "url", "published_at"), f"raw_{side}", ["id"], 8, stage_path(spark, "raw"))
+    return joins.serving_join(e, raw, "id", _SERVING_ENRICHED + ["quality", "toxic"], ["title", "url", "published_at"], "pos_score", "neg_score")
+
+
 #: The place of each topic id in the order 6, 5, 7, 4, 1, 2, 0, 3.
 _PLACE = {6: 1, 5: 2, 7: 3, 4: 4, 1: 5, 2: 6, 0: 7, 3: 8}
 
@@ -236,6 +253,40 @@ def q_page_problems(spark, sf):
     return page_problems(pages).select("conv_id", "page", "problem")
 
 
+def _chain_pages(spark, sf):
+    """Every turn of a conversation as a page of its chain, with faults: a
+    missing page, a way back, an end that says more follows, a page twice."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.max("turn").over(Window.partitionBy("conv_id")).alias("last"))
+    kind = F.col("conv_id") % 5
+    c = c.where(~((kind == 1) & (F.col("turn") == 1) & (F.col("last") > 1)))
+    cursor = lambda t: F.concat(F.lit("c"), t.cast("string"))
+    more = (F.col("turn") < F.col("last")) | (kind == 3)
+    end = F.when((kind == 2) & (F.col("turn") == F.col("last")), F.lit("c1")).otherwise(cursor(F.col("turn") + 1))
+    info = F.struct((more | (kind == 2)).alias("hasNextPage"), end.alias("endCursor"))
+    body = F.to_json(F.struct(F.struct(F.struct(F.struct(info.alias("pageInfo")).alias("posts")).alias("tag")).alias("data")))
+    again = F.when((kind == 4) & (F.col("turn") == 1), F.lit(2)).otherwise(F.lit(1))
+    return c.select("conv_id", F.when(F.col("turn") > 0, cursor(F.col("turn"))).alias("after"), body.alias("value"), F.explode(F.sequence(F.lit(1), again)).alias("copy"))
+
+
+@register("cursor_chains", """
+WITH RECURSIVE c AS (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
+p AS (SELECT conv_id, CASE WHEN turn > 0 THEN 'c' || turn ELSE '' END AS after, turn < last OR conv_id % 5 IN (2, 3) AS more,
+    CASE WHEN conv_id % 5 = 2 AND turn = last THEN 'c1' ELSE 'c' || (turn + 1) END AS nxt, conv_id % 5 = 4 AND turn = 1 AS twice
+  FROM c WHERE NOT (conv_id % 5 = 1 AND turn = 1 AND last > 1)),
+walk AS (SELECT conv_id, after, nxt, 1 AS position, [after] AS seen FROM p WHERE after = ''
+  UNION ALL SELECT p.conv_id, p.after, p.nxt, position + 1, list_append(seen, p.after) FROM walk JOIN p ON p.conv_id = walk.conv_id AND p.after = walk.nxt
+  WHERE NOT list_contains(seen, p.after))
+SELECT p.conv_id, nullif(p.after, '') AS after, CAST(w.position AS BIGINT) AS position,
+  CASE WHEN p.twice THEN 'repeated' WHEN p.more AND f.after IS NULL THEN 'unread'
+       WHEN p.after <> '' AND NOT EXISTS (SELECT 1 FROM p b WHERE b.conv_id = p.conv_id AND b.nxt = p.after) THEN 'gap'
+       WHEN p.more AND wf.position <= w.position THEN 'loop' END AS problem
+FROM p LEFT JOIN walk w ON w.conv_id = p.conv_id AND w.after = p.after
+LEFT JOIN p f ON f.conv_id = p.conv_id AND f.after = p.nxt LEFT JOIN walk wf ON wf.conv_id = p.conv_id AND wf.after = p.nxt""")
+def q_cursor_chains(spark, sf):
+    """Pages in the order of their cursors, with every break reported."""
+    return cursor_chains(_chain_pages(spark, sf), ["conv_id"]).select("conv_id", "after", "position", "problem")
+
+
 _DEV_STEMS = ["the", "that", "with", "and", "der"]
 
 

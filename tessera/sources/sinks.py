@@ -51,3 +51,14 @@ def write_table_counted(df: DataFrame, path: str, mode: str = "overwrite",
     obs = Observation("written")
     write_table(df.observe(obs, F.count(F.lit(1)).alias("rows")), path, mode, partition_by)
     return int(obs.get["rows"])
+
+
+def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int, path: str) -> DataFrame:
+    """Write a table hashed into ``buckets`` by ``keys`` and sorted by them in
+    each, and read it back.  Joins and aggregations by these keys between
+    tables of the same number of buckets need no exchange.  One file per bucket
+    is written (the rows are dealt out once, here), so size buckets to fit a
+    task."""
+    parts = df.repartition(buckets, *keys)
+    parts.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)

@@ -1,8 +1,10 @@
 import json
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
+from tessera.operators import joins
 from tessera.schemas import NEWS_CSV
 from tessera.sources import readers, sinks
 
@@ -110,3 +112,50 @@ def test_write_counted_matches_reread(spark, tmpdir_fresh):
     df = spark.range(1234).withColumn("y", F.col("id") % 3)
     path = os.path.join(tmpdir_fresh, "counted")
     assert sinks.write_table_counted(df, path, partition_by=["y"]) == 1234 == sinks.row_count(spark, path)
+
+
+def _cursor_page(end, more):
+    info = {"hasNextPage": more, "endCursor": end}
+    return json.dumps({"data": {"tag": {"posts": {"pageInfo": info, "edges": []}}}})
+
+
+def test_cursor_chains(spark):
+    """Each chain has one fault; positions count from the first page."""
+    chains = {
+        "sound": [(None, "a", True), ("a", "b", True), ("b", "c", False)],
+        "unread": [(None, "a", True), ("a", "b", True)],
+        "gap": [(None, "a", True), ("a", "b", False), ("x", "y", False)],
+        "loop": [(None, "a", True), ("a", "b", True), ("b", "a", True)],
+        "circle": [("a", "b", True), ("b", "a", True)],
+        "none": [(None, None, True)],
+        "twice": [(None, "a", True), (None, "a", True), ("a", "z", False)],
+        "long": [(f"p{i}" if i else None, f"p{i + 1}", i < 299) for i in range(300)],
+    }
+    rows = [(t, a, _cursor_page(e, m)) for t, ps in chains.items() for a, e, m in ps] + [("bad", None, "{broken"), (None, None, _cursor_page("q", False)), ("blank", None, None)]
+    df = spark.createDataFrame(rows, "tag string, after string, value string").repartition(3)
+    got = {(r.tag, r.after): (r.position, r.problem) for r in readers.cursor_chains(df, ["tag"]).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == "sound"} == {None: (1, None), "a": (2, None), "b": (3, None)}
+    assert got["unread", "a"] == (2, "unread") and got["gap", "x"] == (None, "gap") and got["gap", "a"] == (2, None)
+    assert got["loop", "b"] == (3, "loop") and got["loop", "a"] == (2, None)
+    assert got["circle", "a"] == got["circle", "b"] == (None, "loop")
+    assert got["none", None] == (1, "no cursor") and got["twice", None] == (1, "repeated") and got["twice", "a"] == (2, None)
+    assert [got["long", f"p{i}" if i else None] for i in range(300)] == [(i + 1, None) for i in range(300)]
+    assert got["bad", None] == got["blank", None] == (1, "corrupt") and got[None, None] == (1, None)
+    assert readers.cursor_chains(df.limit(0), ["tag"]).count() == 0
+
+
+def test_bucketed_tables_join_without_exchange(spark, tmpdir_fresh):
+    a = spark.range(500).selectExpr("id", "id * 2 AS x", "0.5 AS pos", "0.1 AS neg")
+    b = spark.range(0, 500, 3).selectExpr("id", "id || 't' AS title")
+    ta = sinks.write_bucketed(a, f"a_{uuid.uuid4().hex}", ["id"], 4, f"{tmpdir_fresh}/a")
+    tb = sinks.write_bucketed(b, f"b_{uuid.uuid4().hex}", ["id"], 4, f"{tmpdir_fresh}/b")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = joins.serving_join(ta, tb, "id", ["x", "pos", "neg"], ["title"], "pos", "neg")
+        merged = ta.groupBy("id").agg(F.max("x").alias("x"))
+        for df in (joined, merged):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 167 and merged.count() == 500
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
