@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import multimatch
 from tessera.functions import text as tx
 from tessera.schemas import AI_KEYWORDS, AI_STEMS, REPUTABLE_SOURCES, SHORT_EXACT
 
@@ -60,12 +61,16 @@ def relevance(text: Column, date_str: Column, source: Column, *,
 
 
 def stem_filter(df: DataFrame, title: str, body: str, *, stems: list[str] = AI_STEMS,
-                exact: list[str] = SHORT_EXACT, min_hits: int = 3, out: str = "hits") -> DataFrame:
+                exact: list[str] = SHORT_EXACT, min_hits: int = 3, out: str = "hits", one_pass: bool = False) -> DataFrame:
     """Rows with at least ``min_hits`` distinct stems in ``title + " " + body``,
-    with their number in ``out`` (counted once per row)."""
+    with their number in ``out`` (counted once per row).  ``one_pass`` reads
+    each text once for all stems, which pays for long lists."""
     t = F.concat(F.coalesce(F.col(title).cast("string"), F.lit("None")), F.lit(" "),
                  F.coalesce(F.col(body).cast("string"), F.lit("None")))
-    scored = tx.compute_once(df, **{out: tx.stem_hits(t, stems, exact)})
+    if one_pass:
+        scored = df.withColumn(out, multimatch.hits_once(t, stems, exact))
+    else:
+        scored = tx.compute_once(df, **{out: tx.stem_hits(t, stems, exact)})
     return scored.where(F.col(out) >= min_hits)
 
 

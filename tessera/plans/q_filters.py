@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import filters as fl
 from tessera.plans import sqlbits as S
-from tessera.plans.registry import register
+from tessera.plans.registry import ORACLE, register
 from tessera.sources.tables import POSTS_SQL, posts, with_ctes
 
 _P = with_ctes(POSTS_SQL)
@@ -83,6 +83,15 @@ def q_keyword_stem_filter(spark, sf):
     return kept.select("id", "hits")
 
 
+@register("keyword_stem_onepass", ORACLE["keyword_stem_filter"])
+def q_keyword_stem_onepass(spark, sf):
+    """The stem filter by one automaton for all stems."""
+    p = posts(spark, sf)
+    kept = fl.stem_filter(p.select("id", "title", "body_text"), "title", "body_text", stems=PROBE_STEMS,
+                          exact=PROBE_EXACT, one_pass=True)
+    return kept.select("id", "hits")
+
+
 @register("drop_bad_dates", _P + """
 SELECT id, try_strptime(published_raw, '%Y-%m-%d %H:%M:%S') AS published_at FROM posts
 WHERE try_strptime(published_raw, '%Y-%m-%d %H:%M:%S') IS NOT NULL""")
