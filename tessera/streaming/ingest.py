@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -83,10 +84,11 @@ def dedup_prefix_stream(stream: DataFrame, text: str, group: str, event_time: st
     return once.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([group, "prefix"])
 
 
-def _write_part(df: DataFrame, path: str, batch_id: int, partition_by: list[str] | None = None) -> None:
-    """Write one batch's partitions of a table; a replay overwrites them."""
+def _write_part(df: DataFrame, path: str, batch_id: int, partition_by: list[str] | None = None, below: list[str] | None = None) -> None:
+    """Write one batch's partitions of a table (``below``: within the batch); a
+    replay overwrites them."""
     (df.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic").partitionBy(*(partition_by or []), "batch").parquet(path))
+       .option("partitionOverwriteMode", "dynamic").partitionBy(*(partition_by or []), "batch", *(below or [])).parquet(path))
 
 
 def _earlier(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame | None:
@@ -98,42 +100,93 @@ def _earlier(spark: SparkSession, path: str, schema: T.StructType, batch_id: int
     return spark.read.schema(known).parquet(path).where(F.col("batch") < batch_id)
 
 
+#: Parts of the key table by hash; blocks of 512 bits of a Bloom filter, and bits set per key.
+KEY_PARTS, FILTER_BLOCKS, FILTER_BITS = 16, 4096, 6
+_WORDS = [f"_w{i}" for i in range(8)]
+
+
+def _bits(keys: list[str], blocks: int) -> list[Column]:
+    """A key's block, and its bits there as eight 64-bit words."""
+    block = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(blocks)).cast("int").alias("_block")
+    chosen = F.xxhash64(F.lit(1), *[F.col(k) for k in keys])
+    places = [F.shiftrightunsigned(chosen, 9 * i).bitwiseAND(F.lit(511)).cast("int") for i in range(FILTER_BITS)]
+    one = F.lit(1).cast("long")
+    words = []
+    for w, name in enumerate(_WORDS):
+        bits = [F.when(F.shiftright(p, 6) == w, F.call_function("shiftleft", one, p.bitwiseAND(F.lit(63)))).otherwise(F.lit(0).cast("long")) for p in places]
+        words.append(reduce(Column.bitwiseOR, bits).alias(name))
+    return [block, *words]
+
+
+def _candidates(seen: DataFrame, doubtful: DataFrame, wanted: list[int], prune_col: str | None) -> DataFrame:
+    """The kept keys that lie where doubtful rows do; other parts are skipped."""
+    near = seen.where(F.col("_part").isin(wanted))
+    return near.join(doubtful.select(prune_col).distinct(), prune_col, "left_semi") if prune_col else near
+
+
 def dedup_stream_exact(stream: DataFrame, sink: str, ckpt: str, keys: list[str], order: list[str],
-                       prune_col: str | None = None) -> str:
+                       prune_col: str | None = None, filter_blocks: int = FILTER_BLOCKS) -> str:
     """Keep the first row per key across micro-batches, exactly and without
     a watermark.
 
     Each batch first collapses its own copies with ``keep_first`` (an
     aggregation, so a group of copies is pre-combined in every task before
-    the shuffle), then drops keys seen by earlier batches with a left anti
-    join against the key table ``sink/_keys``.  That table is partitioned by
-    ``prune_col`` (one of the keys, e.g. the year) and semi-joined to the
-    batch's values of it first, so other partitions can be skipped.  Output
+    the shuffle).  A Bloom filter per value of ``prune_col`` (one of the keys,
+    e.g. the year) tells which of them earlier batches cannot have kept: those
+    are new.  The others are checked against the key table ``sink/_keys`` with a
+    left anti join; it is parted by ``prune_col`` and a hash of the keys, and
+    only parts in which such a row lies are read, so a batch reads few keys
+    however many there are.  The filter is ``filter_blocks`` rows of 512 bits
+    for each value of ``prune_col`` (about ten bits a key are wanted: 4096
+    blocks for 200,000 keys); a full one costs reads, not correctness.  Output
     rows go to ``sink/batch=<id>``; a replayed batch compares against earlier
     batches only and overwrites its own partitions.
     """
     spark = stream.sparkSession
     if prune_col is not None and prune_col not in keys:
         raise ValueError("prune_col must be one of the keys")
-    key_root = f"{sink}/_keys"
+    key_root, filter_root = f"{sink}/_keys", f"{sink}/_filter"
     parts = [prune_col] if prune_col else []
-    key_schema = T.StructType([stream.schema[k] for k in [*[k for k in keys if k not in parts], *parts]])
+    key_schema = T.StructType([*[stream.schema[k] for k in keys if k not in parts], *[stream.schema[k] for k in parts],
+                               T.StructField("_part", T.IntegerType())])
+    filter_schema = T.StructType([*[stream.schema[k] for k in parts], T.StructField("_block", T.IntegerType()),
+                                  *[T.StructField(w, T.LongType()) for w in _WORDS]])
+    part = F.pmod(F.xxhash64(F.lit(2), *[F.col(k) for k in keys]), F.lit(KEY_PARTS)).cast("int")
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
         first = dedup.keep_first(df, keys, order).persist()
-        seen = _earlier(spark, key_root, key_schema, batch_id)
+        known = _earlier(spark, filter_root, filter_schema, batch_id)
+        known = known if known is None else known.where(F.col("batch") == batch_id - 1).drop("batch")
         fresh = first
-        if seen is not None:
-            if prune_col:
-                seen = seen.join(first.select(prune_col).distinct(), prune_col, "left_semi")
-            same = F.lit(True)
-            old = seen.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-            for i, k in enumerate(keys):
-                same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-            fresh = first.join(old, same, "left_anti")
+        if known is not None:
+            coded = first.select("*", *_bits(keys, filter_blocks))
+            same = F.col("_block") == F.col("_b")
+            for i, k in enumerate(parts):
+                same = same & F.col(k).eqNullSafe(F.col(f"_g{i}"))
+            held = known.select(F.col("_block").alias("_b"), *[F.col(k).alias(f"_g{i}") for i, k in enumerate(parts)],
+                                *[F.col(w).alias(f"f{w}") for w in _WORDS])
+            maybe = F.lit(True)
+            for w in _WORDS:
+                maybe = maybe & (F.coalesce(F.col(f"f{w}"), F.lit(0)).bitwiseAND(F.col(w)) == F.col(w))
+            told = coded.join(held, same, "left").select(*first.columns, maybe.alias("_maybe"), part.alias("_part")).persist()
+            doubtful = told.where("_maybe")
+            wanted = [r["_part"] for r in doubtful.select("_part").distinct().collect()]  # at most KEY_PARTS
+            fresh = told.where("NOT _maybe").select(*first.columns)
+            seen = _earlier(spark, key_root, key_schema, batch_id) if wanted else None
+            if seen is not None:
+                seen = _candidates(seen, doubtful, wanted, prune_col)
+                same = F.lit(True)
+                old = seen.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+                for i, k in enumerate(keys):
+                    same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+                fresh = fresh.unionByName(doubtful.select(*first.columns).join(old, same, "left_anti"))
         fresh = fresh.persist()
         fresh.write.mode("overwrite").parquet(_batch_part(sink, batch_id))
-        _write_part(fresh.select(*keys), key_root, batch_id, parts)
+        _write_part(fresh.select(*keys, part.alias("_part")), key_root, batch_id, parts, ["_part"])
+        made = fresh.select(*parts, *_bits(keys, filter_blocks))
+        merged = made if known is None else made.unionByName(known)
+        merged = merged.groupBy(*parts, "_block").agg(*[F.bit_or(w).alias(w) for w in _WORDS])
+        _write_part(merged, filter_root, batch_id)
         fresh.unpersist()
         first.unpersist()
 
