@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import unicodedata
 
 import numpy as np
 import public_tokenizers as P
@@ -58,7 +59,8 @@ def test_any_text(text):
     try:
         assert _ids(text) == WANT.encode_ordinary(text)
         assert CODEC.decode(np.array(_ids(text), np.int64)) == text.encode()
-        assert _matches(text) == regex.findall(P.PATTERN, text)
+        if not any(unicodedata.category(c) == "Cn" for c in text):  # the regex module knows later characters
+            assert _matches(text) == regex.findall(P.PATTERN, text)
     finally:
         bpe.LEAF_CHARS, bpe.LEAF_BYTES = was
 
@@ -84,6 +86,15 @@ def test_matches_are_the_patterns():
         assert _matches(text) == regex.findall(P.PATTERN, text), text
 
 
+def test_characters_of_all_kinds():
+    """Every fifth code point between letters, numbers and others."""
+    points = [c for c in range(0, 0x110000, 5) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 2048):
+        texts = [f"a{c}a1{c}1.{c}. {c}{c} x" for c in map(chr, points[i:i + 2048])]
+        got = [np.frombuffer(x, "<u4").tolist() for x in CODEC.encode(pa.array(texts)).to_pylist()]
+        assert got == WANT.encode_ordinary_batch(texts, num_threads=2)
+
+
 def test_many_texts_at_once(small_leaves, monkeypatch):
     """Texts in one slice and over several, with nulls and empty ones between."""
     texts = list(_texts(600, 21)) + [None, "", "'", "s", "'", "ll", " ", "x", None]
