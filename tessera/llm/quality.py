@@ -76,15 +76,27 @@ class Model:
         return np.concatenate([np.ones((len(z), 1)), z], axis=1)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Ridge logistic regression by Newton steps; without rows every score is 0.5."""
+        """Ridge logistic regression by Newton steps, each shortened until the
+        loss falls (a full step may overshoot); without rows every score is 0.5."""
         if not len(x):
             return
         z = self._design(x)
         w = np.zeros(z.shape[1])
-        for _ in range(40):
+
+        def loss(v: np.ndarray) -> float:
+            m = z @ v
+            return float(np.logaddexp(0, m).sum() - y @ m + RIDGE / 2 * v @ v)
+
+        for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            h = (z * (p * (1 - p))[:, None]).T @ z + np.eye(len(w)) * RIDGE
-            w -= np.linalg.solve(h, z.T @ (p - y) + RIDGE * w)
+            slope = z.T @ (p - y) + RIDGE * w
+            step = np.linalg.solve((z.T * (p * (1 - p))) @ z + np.eye(len(w)) * RIDGE, slope)
+            size, now = 1.0, loss(w)
+            while loss(w - size * step) > now - 1e-4 * size * (slope @ step) and size > 1e-8:
+                size /= 2
+            w = w - size * step
+            if size * np.abs(step).max() < 1e-6:
+                break
         self.weights = w.tolist()
 
     def scores(self, x: np.ndarray) -> np.ndarray:
