@@ -15,11 +15,13 @@ from tessera.streaming import ingest as st
 
 
 def _source(spark, sf, **kw):
-    """The posts as raw news records, landed in a fresh path partitioned by year."""
+    """The posts as raw news records, landed in a fresh path partitioned by year;
+    rebalanced first, so that their files grow with the data and not with the
+    tasks that read it times the years."""
     p = posts(spark, sf).select(
         "id", F.col("body_text").alias("text"), F.col("published_raw").alias("date"), "sitename",
         "url", "title", "published_at", F.year("published_on").alias("year"))
-    path = write_stage(p, "news_source", partition_by=["year"])
+    path = write_stage(p.hint("rebalance", "year"), "news_source", partition_by=["year"])
     return st.file_stream(spark, path, spark.read.parquet(path).schema, **kw)
 
 

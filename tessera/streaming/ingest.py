@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from tessera.operators import dedup
 from tessera.operators import filters as fl
-from tessera.session import checkpoint_dir, path_exists
+from tessera.session import checkpoint_dir, path_exists, stage_table, write_stage
 
 
 
@@ -84,6 +84,13 @@ def dedup_prefix_stream(stream: DataFrame, text: str, group: str, event_time: st
     return once.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([group, "prefix"])
 
 
+def _landed(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """The batch written as it came and read back by the caller's session.  A
+    stream's own session plans without adaptive execution, so every step of even
+    a small batch would run all shuffle partitions."""
+    return spark.read.schema(df.schema).parquet(write_stage(df, "batch"))
+
+
 def _write_part(df: DataFrame, path: str, batch_id: int, partition_by: list[str] | None = None, below: list[str] | None = None) -> None:
     """Write one batch's partitions of a table (``below``: within the batch); a
     replay overwrites them."""
@@ -154,9 +161,10 @@ def dedup_stream_exact(stream: DataFrame, sink: str, ckpt: str, keys: list[str],
     part = F.pmod(F.xxhash64(F.lit(2), *[F.col(k) for k in keys]), F.lit(KEY_PARTS)).cast("int")
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
-        first = dedup.keep_first(df, keys, order).persist()
-        known = _earlier(spark, filter_root, filter_schema, batch_id)
-        known = known if known is None else known.where(F.col("batch") == batch_id - 1).drop("batch")
+        first = dedup.keep_first(_landed(spark, df), keys, order)
+        # Only the last batch's filter is wanted: the others' folders are not listed.
+        last = f"{filter_root}/batch={batch_id - 1}"
+        known = spark.read.schema(filter_schema).parquet(last) if path_exists(spark, last) else None
         fresh = first
         if known is not None:
             coded = first.select("*", *_bits(keys, filter_blocks))
@@ -168,7 +176,8 @@ def dedup_stream_exact(stream: DataFrame, sink: str, ckpt: str, keys: list[str],
             maybe = F.lit(True)
             for w in _WORDS:
                 maybe = maybe & (F.coalesce(F.col(f"f{w}"), F.lit(0)).bitwiseAND(F.col(w)) == F.col(w))
-            told = coded.join(held, same, "left").select(*first.columns, maybe.alias("_maybe"), part.alias("_part")).persist()
+            # Staged, not cached: a cached plan keeps all its shuffle partitions.
+            told = stage_table(coded.join(held, same, "left").select(*first.columns, maybe.alias("_maybe"), part.alias("_part")), "told")
             doubtful = told.where("_maybe")
             wanted = [r["_part"] for r in doubtful.select("_part").distinct().collect()]  # at most KEY_PARTS
             fresh = told.where("NOT _maybe").select(*first.columns)
@@ -180,15 +189,14 @@ def dedup_stream_exact(stream: DataFrame, sink: str, ckpt: str, keys: list[str],
                 for i, k in enumerate(keys):
                     same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
                 fresh = fresh.unionByName(doubtful.select(*first.columns).join(old, same, "left_anti"))
-        fresh = fresh.persist()
-        fresh.write.mode("overwrite").parquet(_batch_part(sink, batch_id))
-        _write_part(fresh.select(*keys, part.alias("_part")), key_root, batch_id, parts, ["_part"])
+        fresh.hint("rebalance").write.mode("overwrite").parquet(_batch_part(sink, batch_id))
+        fresh = spark.read.schema(first.schema).parquet(_batch_part(sink, batch_id))
+        # One task writes a folder, so a batch adds one file to it however many tasks there are.
+        _write_part(fresh.select(*keys, part.alias("_part")).repartition(*parts, "_part"), key_root, batch_id, parts, ["_part"])
         made = fresh.select(*parts, *_bits(keys, filter_blocks))
         merged = made if known is None else made.unionByName(known)
         merged = merged.groupBy(*parts, "_block").agg(*[F.bit_or(w).alias(w) for w in _WORDS])
-        _write_part(merged, filter_root, batch_id)
-        fresh.unpersist()
-        first.unpersist()
+        _write_part(merged.hint("rebalance"), filter_root, batch_id)
 
     (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
            .trigger(availableNow=True).start().awaitTermination())

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import dedup
+from tessera.plans import q_stream
+from tessera.session import checkpoint_dir
 from tessera.streaming import ingest as st
 
 SCHEMA = "id long, year int, ts timestamp, text string, o int"
@@ -213,3 +215,49 @@ def test_null_keys_are_one_key(spark, tmpdir_fresh):
     sink, ck = os.path.join(tmpdir_fresh, "sink"), os.path.join(tmpdir_fresh, "ck")
     st.dedup_stream_exact(st.file_stream(spark, src, schema, max_files_per_trigger=1), sink, ck, ["year", "text"], ["id"])
     assert spark.read.parquet(sink).count() == 1
+
+
+def test_dedup_batches_write_few_files(spark, tmpdir_fresh):
+    """A batch adds one file to each folder of the key table and few files
+    elsewhere, whatever the number of shuffle partitions (cluster default 200)."""
+    src = os.path.join(tmpdir_fresh, "src")
+    for b in range(2):
+        _land(spark, src, [(b * 1000 + i, 2021, dt.datetime(2021, 1, 1), f"key {b * 500 + i}", i) for i in range(1000)])
+    schema = spark.read.parquet(src).schema
+    sink, ck = os.path.join(tmpdir_fresh, "sink"), os.path.join(tmpdir_fresh, "ck")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        st.dedup_stream_exact(st.file_stream(spark, src, schema, max_files_per_trigger=1), sink, ck, ["year", "text"], ["ts", "id"], prune_col="year")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert spark.read.parquet(sink).count() == 1500
+    files = {}
+    for folder, _, names in os.walk(sink):
+        files[folder] = sum(n.endswith(".parquet") for n in names)
+    keys = [n for f, n in files.items() if "_part=" in f]
+    assert len(keys) > 16 and max(keys) == 1
+    assert max(n for f, n in files.items() if "_keys" not in f) <= 4
+
+
+def _documents(spark, folder, n, files):
+    rows = [(i, f"title {i}\nbody {i % 40}", "de" if i % 3 else "en", "blog", 1900 + i % 200) for i in range(n)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(files).write.parquet(
+        os.path.join(folder, "documents.parquet"))
+
+
+def _landed_files(spark, name):
+    root = checkpoint_dir(spark).replace("file:", "")
+    newest = max((os.path.join(root, "tables", d) for d in os.listdir(os.path.join(root, "tables")) if d.startswith(name)), key=os.path.getmtime)
+    return [os.path.join(f, n) for f, _, names in os.walk(newest) for n in names if n.endswith(".parquet")]
+
+
+def test_sources_land_in_files_by_size_not_by_tasks(spark, tmpdir_fresh):
+    _documents(spark, tmpdir_fresh, 300, 12)
+    was = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))  # few files to a task
+    try:
+        q_stream._source(spark, tmpdir_fresh)
+        assert 1 <= len(_landed_files(spark, "news_source")) <= 12  # six years; tasks x years before
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", was)
