@@ -67,20 +67,15 @@ def q_stream_quota(spark, sf):
     return spark.read.parquet(sink).select("id", "year", "published_at")
 
 
-def _updates(spark, sf):
-    """Three landed update files (versions 1..3), one per micro-batch, in a
-    path of this run's own."""
-    path = stage_path(spark, "upsert_updates")
+def _waves(spark, sf):
+    """Three waves of updates, versions 1..3."""
     p = posts(spark, sf)
     waves = [
         (1, p.where(F.col("lang") == "en"), " v1"),
         (2, p.where(F.col("lang") == "de"), " v2"),
         (3, p.where((F.col("lang") == "en") & (F.col("n_chars") > 2000)), " v3"),
     ]
-    for v, rows, tag in waves:
-        rows.select("id", F.concat("title", F.lit(tag)).alias("title"), "tags",
-                    F.lit(v).alias("version")).coalesce(1).write.mode("append").parquet(path)
-    return path, spark.read.parquet(path).schema
+    return [rows.select("id", F.concat("title", F.lit(tag)).alias("title"), "tags", F.lit(v).alias("version")) for v, rows, tag in waves]
 
 
 @register("stream_upsert", with_ctes(POSTS_SQL) + """
@@ -91,12 +86,15 @@ def _updates(spark, sf):
   UNION ALL SELECT id, title || ' v3', tags, 3 FROM posts WHERE lang = 'en' AND n_chars > 2000)
 SELECT id, title, tags, version FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1""")
 def q_stream_upsert(spark, sf):
-    path, schema = _updates(spark, sf)
+    """Three landed waves, one micro-batch each: the stream goes on after every
+    wave, which all tasks that read the posts have written."""
+    path = stage_path(spark, "upsert_updates")
     initial = posts(spark, sf).where(F.col("lang") != "de").select(
         "id", "title", "tags", F.lit(0).alias("version"))
-    stream = st.file_stream(spark, path, schema, max_files_per_trigger=1)
     root, ck = st.fresh_dirs(spark, "upsert")
-    st.upsert_stream(stream, initial, root, ck, ["id"], "version", compact_every=2)
+    for wave in _waves(spark, sf):
+        wave.write.mode("append").parquet(path)
+        st.upsert_stream(st.file_stream(spark, path, wave.schema), initial, root, ck, ["id"], "version", compact_every=2)
     return st.read_upserts(spark, root, ["id"], "version").select("id", "title", "tags", "version")
 
 

@@ -261,3 +261,19 @@ def test_sources_land_in_files_by_size_not_by_tasks(spark, tmpdir_fresh):
         assert 1 <= len(_landed_files(spark, "news_source")) <= 12  # six years; tasks x years before
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", was)
+
+
+def test_upsert_waves_are_written_by_many_tasks(spark, tmpdir_fresh):
+    """No task reads all posts to land a wave, and each wave is a micro-batch."""
+    _documents(spark, tmpdir_fresh, 300, 12)
+    was = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))
+    try:
+        rows = {r.id: (r.title, r.version) for r in q_stream.q_stream_upsert(spark, tmpdir_fresh).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", was)
+    assert len(_landed_files(spark, "upsert_updates")) > 9  # three before
+    for i in range(300):
+        version = 2 if i % 3 else 3 if 1900 + i % 200 > 2000 else 1
+        assert rows[i] == (f"title {i} v{version}", version)
+    assert len(rows) == 300
