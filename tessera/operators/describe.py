@@ -8,20 +8,24 @@ vectors over the vocabulary; their cosines, sharpened by a temperature that is
 fitted on the corpus itself, become scores.
 
 The model is small whatever the corpus (labels x vocabulary), so it is
-broadcast; a text is scored with built-in functions in two aggregations, of
-which the first is combined before it is shuffled.
+held by every task: a text becomes its counts of the vocabulary's terms and is
+scored where it lies.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators.models import tokens, vocabulary
+from tessera.operators.models import term_counts, tokens, vocabulary
 from tessera.session import stage_table
 
 #: Terms added to a label, their weight beside a seed, and the temperatures tried.
@@ -42,24 +46,36 @@ class LabelModel:
     means: list[float] = field(default_factory=list)  # mean cosine of each label over the corpus
 
 
-def _label_terms(df: DataFrame, text_col: str, vocab: DataFrame, descriptions: dict[str, str],
+def _label_terms(bags: DataFrame, terms: list[str], vocab: DataFrame, descriptions: dict[str, str],
                  n_docs: int, expand: int, share: float) -> DataFrame:
-    """(label, term, weight, seed), unit vectors; labels are numbered from 0."""
-    spark = df.sparkSession
+    """(label, term, weight, seed), unit vectors; labels are numbered from 0.
+    ``bags`` are over ``terms``, the vocabulary in order."""
+    spark = bags.sparkSession
     idf = F.log((F.lit(float(n_docs)) + 1.0) / (F.col("docs") + 1.0))
     known = vocab.select("term", "docs", idf.alias("idf"))  # at most max_terms rows
     rows = spark.createDataFrame(list(enumerate(descriptions.values())), "label int, words string")
     seeds = (rows.select("label", F.explode(tokens(F.col("words"))).alias("term")).groupBy("label", "term").agg(F.count(F.lit(1)).alias("c"))
              .join(F.broadcast(known), "term"))
     seeds = stage_table(seeds, "seeds")
-    terms = [r["term"] for r in known.select("term").collect()]
-    anchors = [r["term"] for r in seeds.select("term").distinct().collect()]
-    # In how many documents a seed and a term occur together: both lists are
-    # taken from the document's row, so only (seed, term) counts are shuffled.
-    literal = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
-    held = df.select(F.array_intersect(tokens(F.col(text_col)), literal(terms)).alias("ts"))
-    pairs = held.select("ts", F.explode(F.array_intersect("ts", literal(anchors))).alias("seed")).select("seed", F.explode("ts").alias("term"))
-    both = pairs.groupBy("seed", "term").agg(F.count(F.lit(1)).alias("n"))
+    held = {r["term"] for r in seeds.select("term").distinct().collect()}
+    at = np.array([i for i, t in enumerate(terms) if t in held], np.int64)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(at), len(terms)), np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                found = batch.column("terms").slice(start, 512)
+                x = np.zeros((len(found), len(terms)))
+                x[np.repeat(np.arange(len(found)), pc.list_value_length(found).to_numpy(zero_copy_only=False)), found.flatten().to_numpy(zero_copy_only=False)] = 1
+                sums += (x[:, at].T @ x).astype(np.int64)
+        i, j = np.nonzero(sums)
+        names = pa.array(terms, pa.string())
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(at[i])), names.take(pa.array(j)), pa.array(sums[i, j])], ["seed", "term", "n"])
+
+    # In how many documents a seed and a term occur together: a task adds up its
+    # documents, so only (seed, term) counts are shuffled.
+    both = bags.select(F.unwrap_udt("v")["indices"].alias("terms")).mapInArrow(together, "seed string, term string, n long")
+    both = both.groupBy("seed", "term").agg(F.sum("n").alias("n"))
     a, b = known.select(F.col("term").alias("seed"), F.col("docs").alias("seed_docs")), known.select("term", "docs")
     close = both.join(F.broadcast(a), "seed").join(F.broadcast(b), "term").select(
         "seed", "term", (F.col("n") / F.sqrt(F.col("seed_docs").cast("double") * F.col("docs"))).alias("a"))
@@ -91,7 +107,9 @@ def fit_labels(df: DataFrame, id_col: str, text_col: str, descriptions: dict[str
     names = list(descriptions)
     vocab = stage_table(vocabulary(df, id_col, text_col, stop_words, max_terms, min_df, max_df), "vocabulary")
     n_docs = df.count()
-    labels = _label_terms(df, text_col, vocab, descriptions, n_docs, expand, share).groupBy("term").agg(*[
+    known = [r["term"] for r in vocab.select("term").orderBy("term").collect()]  # at most max_terms
+    bags = stage_table(_bags(df, [id_col], text_col, known), "bags")  # texts are taken apart once
+    labels = _label_terms(bags, known, vocab, descriptions, n_docs, expand, share).groupBy("term").agg(*[
         f(F.when(F.col("label") == i, c)).alias(f"{p}{i}") for i in range(len(names)) for f, c, p in
         ((F.max, F.col("w"), "w"), (F.max, F.col("seed"), "s"))])
     idf = F.log((F.lit(float(n_docs)) + 1.0) / (F.col("docs") + 1.0))
@@ -101,7 +119,7 @@ def fit_labels(df: DataFrame, id_col: str, text_col: str, descriptions: dict[str
     model = LabelModel(names, stage_table(terms, "label_terms"), stop_words)
     if temperature is not None:
         model.temperature = temperature
-    fitted = _cosines(model, df, [id_col], text_col)
+    fitted = _cosines_of(model, model.terms.orderBy("term").collect(), bags, [id_col])
     only = F.size(F.filter("seeds", lambda s: s)) == 1
     at = F.array_position("seeds", True).cast("int")
     surprise = [F.avg(F.when(only, -F.log(F.element_at(softmax(F.col("cosines"), t), at)))).alias(f"t{i}") for i, t in enumerate(TEMPERATURES)]
@@ -114,18 +132,46 @@ def fit_labels(df: DataFrame, id_col: str, text_col: str, descriptions: dict[str
 
 
 def _cosines(model: LabelModel, df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """(keys, cosines, seeds) of every row; ``keys`` must be unique."""
-    every = range(len(model.names))
-    index = F.broadcast(model.terms.select("term", F.lit(True).alias("held")))  # at most max_terms rows
-    words = df.select(*keys, F.explode_outer(tokens(F.col(text_col))).alias("word"))
-    # Words outside the vocabulary become one null term, so every row stays.
-    met = words.join(index, words["word"] == index["term"], "left").groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("c"))
-    weighed = met.join(F.broadcast(model.terms), "term", "left").withColumn("x", F.col("c") * F.col("idf"))
-    sums = weighed.groupBy(*keys).agg(
-        F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *[F.sum(F.col("x") * F.col("weights")[i]).alias(f"d{i}") for i in every],
-        *[F.max(F.col("seeds")[i]).alias(f"s{i}") for i in every])
-    cosine = [F.round(F.coalesce(F.try_divide(F.col(f"d{i}"), F.col("norm")), F.lit(0.0)), DECIMALS) for i in every]
-    return sums.select(*keys, F.array(*cosine).alias("cosines"), F.array(*[F.coalesce(f"s{i}", F.lit(False)) for i in every]).alias("seeds"))
+    """(keys, cosines, seeds), one row per key: rows of one key are one text."""
+    known = model.terms.orderBy("term").collect()  # at most max_terms rows
+    return _cosines_of(model, known, _bags(df, keys, text_col, [r["term"] for r in known]), keys)
+
+
+def _bags(df: DataFrame, keys: list[str], text_col: str, vocab: list[str]) -> DataFrame:
+    """(keys, v): how often each term of ``vocab`` occurs in every row's text."""
+    texts = df.select(*[F.col(k) for k in keys], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return term_counts(texts, "_text", vocab or [""], None, "v").select(*keys, "v")
+
+
+def _cosines_of(model: LabelModel, known: list, bags: DataFrame, keys: list[str]) -> DataFrame:
+    """Cosines of bags over ``known``, the terms in their order.  A bag is scored
+    where it lies; only if a key repeats are the bags of a key added up first."""
+    n, width = len(model.names), max(len(known), 1)
+    idf = np.array([r["idf"] for r in known] or [0.0])
+    weights = np.array([r["weights"] for r in known] or [[0.0] * n]).reshape(width, n)
+    seeds = np.array([r["seeds"] for r in known] or [[False] * n], bool).reshape(width, n)
+
+    @F.arrow_udf("struct<cosines: array<double>, seeds: array<boolean>>")
+    def score(terms: pa.Array, counts: pa.Array) -> pa.Array:
+        row = np.repeat(np.arange(len(terms)), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+        term = terms.flatten().to_numpy(zero_copy_only=False)
+        x = counts.flatten().to_numpy(zero_copy_only=False) * idf[term]
+        norm = np.sqrt(np.bincount(row, x * x, len(terms)))
+        dot = np.stack([np.bincount(row, x * weights[term, i], len(terms)) for i in range(n)], 1)
+        held = np.stack([np.bincount(row, seeds[term, i], len(terms)) > 0 for i in range(n)], 1)
+        cosine = np.divide(dot, norm[:, None], out=np.zeros(dot.shape), where=norm[:, None] != 0)
+        ends = np.arange(len(terms) + 1, dtype=np.int32) * n
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(cosine.ravel())),
+                                           pa.ListArray.from_arrays(ends, pa.array(held.ravel()))], ["cosines", "seeds"])
+
+    sparse = bags.select(*keys, F.unwrap_udt("v").alias("v")).select(*keys, F.col("v.indices").alias("terms"), F.col("v.values").alias("counts"))
+    if not bags.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        each = sparse.select(*keys, F.explode_outer(F.arrays_zip("terms", "counts")).alias("e")).select(*keys, "e.terms", "e.counts")
+        added = each.groupBy(*keys, "terms").agg(F.sum("counts").alias("counts")).groupBy(*keys).agg(
+            F.collect_list(F.when(F.col("terms").isNotNull(), F.struct("terms", "counts"))).alias("e"))  # at most max_terms a key
+        sparse = added.select(*keys, F.col("e.terms").alias("terms"), F.col("e.counts").alias("counts"))
+    scored = sparse.select(*keys, score("terms", "counts").alias("s"))
+    return scored.select(*keys, F.transform("s.cosines", lambda c: F.round(c, DECIMALS)).alias("cosines"), F.col("s.seeds").alias("seeds"))
 
 
 def softmax(values: Column, temperature: float) -> Column:

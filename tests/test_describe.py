@@ -101,3 +101,16 @@ def test_chunks_and_edges(spark):
     assert {tuple(r.cosines) for r in ds.score_labels(empty, df, ["id"], "t").collect()} == {(0.0,)}
     with pytest.raises(ValueError):
         ds.fit_labels(df, "id", "t", {})
+
+
+def test_unique_texts_are_scored_where_they_lie(spark):
+    """Scoring shuffles no texts; rows that share a key count as one text."""
+    rows = [(i, f"alpha beta{i % 3} beta{i % 3} gamma") for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    model = ds.fit_labels(df, "id", "t", {"a": "beta0 alpha", "b": "beta1"}, [], min_df=2, max_df=1.0)
+    out = ds.score_labels(model, df, ["id"], "t")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {r.id: r.cosines for r in out.collect()}
+    parted = df.select("id", F.explode(F.split("t", " ")).alias("t")).unionByName(spark.createDataFrame([(99, None), (99, "")], df.schema))
+    got = {r.id: r.cosines for r in ds.score_labels(model, parted, ["id"], "t").collect()}
+    assert got.pop(99) == [0.0, 0.0] and got == want
