@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import ColumnOrName, _c
 
 #: Lanes that step together, and characters of the texts handled at once.
-LANES, CHARS = 4096, 1 << 22
+LANES, CHARS = 4096, 1 << 19
 _BREAK = 0x110000  # stands between texts; no pattern holds it
 
 
@@ -135,7 +135,7 @@ def _counts(automaton: Automaton, whole: np.ndarray, texts: pa.Array) -> np.ndar
         j = i + max(1, int(np.searchsorted(total, CHARS, side="right")))
         part = [t.encode("utf-32-le") for t in texts.slice(i, j - i).to_pylist()]
         gap = np.array([_BREAK], "<u4").tobytes()
-        codes = np.frombuffer(gap + gap.join(part) + gap, "<u4").astype(np.int64)
+        codes = np.frombuffer(gap + gap.join(part) + gap, "<u4")
         end, k = automaton.matches(codes)
         begins = np.concatenate([[1], 1 + np.cumsum(sizes[i:j] + 1)])[:-1]
         if whole.any():

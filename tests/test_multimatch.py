@@ -50,3 +50,20 @@ def test_patterns_are_checked():
     for bad in (["a", ""], ["a", "a"]):
         with pytest.raises(ValueError):
             mm.Automaton(bad)
+
+
+def test_memory_does_not_grow_with_the_batch():
+    """A batch is handled in slices, so its size in characters is not held at several times over."""
+    import tracemalloc
+
+    import pyarrow as pa
+    texts = pa.array(["the agile rag " * 100] * 5000)  # seven million characters
+    automaton, whole = mm.Automaton(["rag", "agile"]), np.array([True, False])
+    mm._word_characters()
+    tracemalloc.start()
+    try:
+        found = mm._counts(automaton, whole, texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found.sum() == 1_000_000 and peak < 64 << 20
