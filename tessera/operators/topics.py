@@ -6,7 +6,8 @@ aggregation per term replaces the topics by these sums.  The evidence bound,
 which never falls, ends the fit once a word gains too little from it.
 
 Topics are at most ``k`` x ``max_terms`` numbers, so they are broadcast and the
-sums are fetched; documents stay where they are.
+sums are fetched; documents stay where they are, spread evenly over the tasks.
+A document holds few of the terms, so it is fitted to these alone.
 """
 
 from __future__ import annotations
@@ -25,19 +26,20 @@ from pyspark.sql import types as T
 from tessera.operators.models import term_counts, vocabulary
 from tessera.session import stage_table
 
-#: Rounds of fitting one document, the change at which they end, and documents fitted at once.
-DOC_ROUNDS, DOC_CHANGE, DOC_BATCH = 100, 1e-3, 512
+#: Rounds of fitting one document, the change at which they end, and documents x terms x topics fitted at once.
+DOC_ROUNDS, DOC_CHANGE, FIT_CELLS = 100, 1e-3, 1 << 19
+#: Slices of the corpus for each core, of about as many documents.
+SLICES = 2
 _TINY = 1e-100
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
-    """Derivative of log gamma: recurrence up to 6, then the asymptotic series."""
+    """Derivative of log gamma: six steps of the recurrence, then the asymptotic series."""
     x = np.array(x, float)
-    out = np.zeros_like(x)
-    for _ in range(6):
-        low = x < 6
-        out[low] -= 1 / x[low]
-        x[low] += 1
+    out = -1 / x
+    for i in range(1, 6):
+        out -= 1 / (x + i)
+    x += 6
     r = 1 / (x * x)
     return out + np.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
 
@@ -59,64 +61,84 @@ def _log_shares(dirichlet: np.ndarray) -> np.ndarray:
     return digamma(dirichlet) - digamma(dirichlet.sum(1))[:, None]
 
 
-def fit_documents(x: np.ndarray, topics: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """(gamma, exp expected log shares) of documents x terms counts under
-    ``topics`` (exp of the expected log term shares, k x terms)."""
+def fit_documents(terms: np.ndarray, counts: np.ndarray, topics: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """(gamma, exp expected log shares) of documents under ``topics`` (exp of
+    the expected log term shares, k x terms); a row of ``terms`` and ``counts``
+    is a document, filled up with counts of zero."""
     k = len(topics)
-    gamma = np.full((len(x), k), alpha) + x.sum(1)[:, None] / k
+    gamma = np.full((len(counts), k), alpha) + counts.sum(1)[:, None] / k
     share = np.exp(_log_shares(gamma))
-    open_ = np.arange(len(x))
+    # Documents in work, some of which may have ended; these are left out once they are many.
+    at, open_ = np.arange(len(counts)), np.ones(len(counts), bool)
+    weight, now, theta = topics.T[terms].transpose(0, 2, 1).copy(), gamma.copy(), share.copy()
     for _ in range(DOC_ROUNDS):
-        if not len(open_):
-            break
-        theta = share[open_]
-        new = alpha + theta * ((x[open_] / (theta @ topics + _TINY)) @ topics.T)
-        moved = np.abs(new - gamma[open_]).mean(1)
-        gamma[open_] = new
-        share[open_] = np.exp(_log_shares(new))
-        open_ = open_[moved > DOC_CHANGE]
+        norm = np.matmul(theta[:, None, :], weight)[:, 0] + _TINY
+        new = alpha + theta * np.matmul(weight, (counts / norm)[:, :, None])[:, :, 0]
+        moved = np.abs(new - now).mean(1)
+        now[open_] = new[open_]
+        theta[open_] = np.exp(_log_shares(new[open_]))
+        open_ &= moved > DOC_CHANGE
+        left = np.flatnonzero(open_)
+        if len(left) < 0.75 * len(at) or not len(left):
+            gamma[at], share[at] = now, theta
+            if not len(left):
+                return gamma, share
+            at, weight, counts, now, theta, open_ = (v[left] for v in (at, weight, counts, now, theta, open_))
+    gamma[at], share[at] = now, theta
     return gamma, share
 
 
-def _dense(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """(ids, dense counts) of a batch of (id, sparse vector), some rows at a time."""
-    for at in range(0, batch.num_rows, DOC_BATCH):
-        part = batch.slice(at, DOC_BATCH)
-        terms, counts = (pc.struct_field(part.column("v"), f) for f in ("indices", "values"))
-        x = np.zeros((part.num_rows, width))
-        x[np.repeat(np.arange(part.num_rows), pc.list_value_length(terms).to_numpy()), terms.flatten().to_numpy()] = counts.flatten().to_numpy()
-        yield part.column("id"), x
+def _padded(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(ids, terms, counts) of a batch of (id, sparse vector), some rows of
+    about as many terms at a time, filled up with counts of zero."""
+    terms, counts = (pc.struct_field(batch.column("v"), f) for f in ("indices", "values"))
+    size = pc.list_value_length(terms).to_numpy()
+    terms, counts = terms.flatten().to_numpy(), counts.flatten().to_numpy()
+    begin, order = np.cumsum(size) - size, np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):
+        cells = np.maximum(size[order[at:]], 1) * np.arange(1, len(order) - at + 1) * k
+        part = order[at:at + max(1, int(np.searchsorted(cells, FIT_CELLS, side="right")))]
+        at += len(part)
+        place = np.arange(max(int(size[part[-1]]), 1))
+        there = place < size[part][:, None]
+        held = (begin[part][:, None] + place)[there]
+        t, c = np.zeros(there.shape, np.int32), np.zeros(there.shape)
+        t[there], c[there] = terms[held], counts[held]
+        yield batch.column("id").take(pa.array(part)), t, c
 
 
 @dataclass
 class TopicModel:
-    """Terms, topics (k x terms, Dirichlet), and the bound per word after each
-    iteration."""
+    """Terms, topics (k x terms, Dirichlet), the bound per word after each
+    iteration, and the documents of the fit as (id, counts)."""
     spark: SparkSession
     vocab: list[str]
     weights: np.ndarray
     alpha: float
     bounds: list[float]
     stop_words: list[str]
+    fitted: DataFrame | None = None
 
     def _counts(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return bag_of_words(df, id_col, text_col, self.vocab, self.stop_words)
 
-    def dominant(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    def dominant(self, df: DataFrame | None, id_col: str, text_col: str | None = None) -> DataFrame:
         """(id, dominant_topic, dominant_topic_prob) of every row; a text without
-        vocabulary words has the uniform prior, topic 0 at 1 / k."""
+        vocabulary words has the uniform prior, topic 0 at 1 / k.  Without
+        ``df``, of the documents of the fit, whose words are counted already."""
         shared = self.spark.sparkContext.broadcast((np.exp(_log_shares(self.weights)), self.alpha))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             topics, alpha = shared.value
             for batch in batches:
-                for ids, x in _dense(batch, topics.shape[1]):
-                    gamma, _ = fit_documents(x, topics, alpha)
+                for ids, terms, counts in _padded(batch, len(topics)):
+                    gamma, _ = fit_documents(terms, counts, topics, alpha)
                     p = gamma / gamma.sum(1)[:, None]
                     yield pa.RecordBatch.from_arrays([ids, pa.array(p.argmax(1).astype(np.int32)), pa.array(p.max(1))],
                                                      ["id", "dominant_topic", "dominant_topic_prob"])
 
-        rows = self._counts(df, id_col, text_col)
+        rows = self.fitted if df is None else self._counts(df, id_col, text_col)
         schema = T.StructType([rows.schema["id"], T.StructField("dominant_topic", T.IntegerType()), T.StructField("dominant_topic_prob", T.DoubleType())])
         return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
@@ -150,9 +172,12 @@ def fit_topics(df: DataFrame, id_col: str, text_col: str, k: int = 8, max_iter:
     model = TopicModel(spark, vocab, weights, prior, [], stop_words)
     if not vocab:
         model.vocab = [""]
+        model.fitted = bag_of_words(df, id_col, text_col, model.vocab, stop_words)
         return model
     rows = bag_of_words(df, id_col, text_col, vocab, stop_words)
-    held = stage_table(rows, "bag").persist()
+    # The counts are a small part of the texts: read as they lie, they would be few slices, some far larger than others.
+    model.fitted = stage_table(rows, "bag").repartition(SLICES * spark.sparkContext.defaultParallelism)
+    held = model.fitted.persist()
     names = [f"s{t}" for t in range(k)]
     schema = "term int, " + ", ".join(f"{n} double" for n in names)
     try:
@@ -164,10 +189,11 @@ def fit_topics(df: DataFrame, id_col: str, text_col: str, k: int = 8, max_iter:
                 topics = shared.value
                 sums, bound, n = np.zeros_like(topics), 0.0, 0.0
                 for batch in batches:
-                    for _, x in _dense(batch, topics.shape[1]):
-                        gamma, theta = fit_documents(x, topics, prior)
-                        norm = theta @ topics + _TINY
-                        sums += theta.T @ (x / norm)
+                    for _, terms, x in _padded(batch, len(topics)):
+                        gamma, theta = fit_documents(terms, x, topics, prior)
+                        norm = np.einsum("dk,kdm->dm", theta, topics[:, terms]) + _TINY
+                        for t, own in enumerate(theta.T):
+                            sums[t] += np.bincount(terms.ravel(), (x / norm * own[:, None]).ravel(), topics.shape[1])
                         shares = _log_shares(gamma)
                         bound += (x * np.log(norm)).sum() + ((prior - gamma) * shares).sum() + (log_gamma(gamma) - log_gamma(np.array(prior))).sum()
                         bound += (log_gamma(np.array(prior * len(topics))) - log_gamma(gamma.sum(1))).sum()

@@ -109,7 +109,7 @@ def q_lda_dominant_topic(spark, sf):
     no iteration of the fit lowers the bound."""
     model = _topics(spark, sf)
     rises = all(b > a - 1e-9 for a, b in zip(model.bounds, model.bounds[1:]))
-    return model.dominant(_docs(spark, sf), "id", "combined_text").select(
+    return model.dominant(None, "id").select(
         "id", F.col("dominant_topic").between(0, 7).alias("in_range"),
         F.col("dominant_topic_prob").between(1 / 8 - 1e-9, 1 + 1e-9).alias("is_likely"), F.lit(rises).alias("bound_rises"))
 

@@ -4,6 +4,8 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tessera.operators import topics as tp
 
@@ -59,3 +61,36 @@ def test_edges(spark):
     assert {r.dominant_topic_prob for r in one.dominant(df, "id", "t").collect()} == {1.0}
     none = tp.fit_topics(df.limit(0), "id", "t", k=2, stop_words=[])
     assert none.bounds == [] and {r.dominant_topic for r in none.dominant(df, "id", "t").collect()} == {0}
+
+
+def test_documents_are_fitted_to_their_own_terms():
+    rng = np.random.default_rng(3)
+    topics = np.exp(tp._log_shares(rng.gamma(1.0, 1.0, (4, 60))))
+    x = rng.poisson(0.2, (50, 60)) * (rng.random((50, 1)) < 0.9)
+    rows = [np.flatnonzero(r) for r in x]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(50)), "v": [{"indices": i.tolist(), "values": r[i].astype(float).tolist()}
+                                                                      for i, r in zip(rows, x)]})
+    seen = {}
+    for ids, terms, counts in tp._padded(batch, 4):
+        for i, g in zip(ids.to_pylist(), tp.fit_documents(terms, counts, topics, 0.25)[0]):
+            seen[i] = g
+    assert len(seen) == 50
+    for i, row in enumerate(x):  # one document over all terms, by the plain rounds
+        gamma = np.full(4, 0.25) + row.sum() / 4
+        for _ in range(tp.DOC_ROUNDS):
+            theta = np.exp(tp.digamma(gamma) - tp.digamma(gamma.sum()))
+            new = 0.25 + theta * ((row / (theta @ topics)) @ topics.T)
+            gamma, moved = new, np.abs(new - gamma).mean()
+            if moved <= tp.DOC_CHANGE:
+                break
+        assert np.allclose(seen[i], gamma, atol=1e-8), i
+
+
+def test_every_core_fits_documents(spark):
+    df = spark.createDataFrame(_planted(90, 6), "id long, t string").coalesce(1)
+    model = tp.fit_topics(df, "id", "t", k=3, max_iter=4, stop_words=[], max_df=1.0)
+    sizes = [r["n"] for r in model.fitted.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and sum(sizes) == 90 and max(sizes) <= 2 * 90 / len(sizes) + 2
+    by_id = {r.id: (r.dominant_topic, r.dominant_topic_prob) for r in model.dominant(None, "id").collect()}
+    again = {r.id: (r.dominant_topic, r.dominant_topic_prob) for r in model.dominant(df, "id", "t").collect()}
+    assert by_id.keys() == again.keys() and all(by_id[i][0] == again[i][0] and abs(by_id[i][1] - again[i][1]) < 1e-9 for i in by_id)
