@@ -8,8 +8,9 @@ score beats the next one: files of balls that no query needs are not read, and
 the answer is that of a full search.
 
 Queries come in blocks of bounded size.  A block's balls are visited in rounds
-that double, each one job over the folders needed; per round only the best k of
-a query and corpus come back.
+that double, each one job over the folders needed; per round only rows that the
+k-th score so far does not rule out are kept, and the best k of a query and
+corpus come back.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ CELLS, BLOCK_BYTES, BLOCK_BOUNDS = 1024, 32 << 20, 8_000_000
 SLACK = 1e-9
 #: Tasks that write one cell, so that a cell with many vectors is not one task.
 WRITERS = 8
+#: Rows found by a task that wait at least until they are merged with its best so far.
+MERGE_ROWS = 1 << 17
 _ZERO = -1
 
 
@@ -122,36 +125,47 @@ def _bounds(index: BallIndex, q: np.ndarray) -> np.ndarray:
 
 def _visitor(shared, k: int, width: int, decimals: int):
     """mapInArrow body: the best k rows of every query and corpus among the
-    balls that the query visits in this round."""
+    balls that the query visits in this round, as far as they reach its k-th
+    score so far.  A ball adds few rows to many queries, so that rows wait and
+    are merged together."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, visits = shared.value
         state: dict = {}
+        waiting: dict = {}
+
+        def merge(corpus):
+            parts = ([state[corpus]] if corpus in state else []) + waiting.pop(corpus)
+            col, score = (np.concatenate([part[i] for part in parts]) for i in (0, 1))
+            held = pa.concat_tables([part[2] for part in parts]).combine_chunks()
+            keep = _best(col, score, held.column("id"), k, len(q))
+            state[corpus] = (col[keep], score[keep], held.take(pa.array(keep)))
+
         for batch in batches:
             table = pa.Table.from_batches([batch]).drop_columns(["vec", "cell"])
             x = cl.matrix(batch.column("vec"), width)
             key = pa.array([f"{c}\0{n}" if n is not None else f"{c}" for c, n in zip(batch.column("cell").to_pylist(), batch.column("corpus").to_pylist())])
             codes = key.dictionary_encode()
             for code, name in enumerate(codes.dictionary.to_pylist()):
-                asked = visits.get(name)
-                if asked is None:
+                if name not in visits:
                     continue
+                asked, kth_so_far = visits[name]
                 rows = np.flatnonzero(codes.indices.to_numpy() == code)
                 corpus = batch.column("corpus")[int(rows[0])].as_py()
                 step = max(1, MAX_SCORE_CELLS // len(rows))
                 for a in range(0, len(asked), step):
                     sims = np.round(x[rows] @ q[asked[a:a + step]].T, decimals)
-                    if len(rows) > k:
-                        kth = np.partition(sims, len(rows) - k, axis=0)[len(rows) - k]
-                        r, c = np.nonzero(sims >= kth[None, :])
-                    else:
-                        r, c = np.nonzero(np.ones_like(sims, dtype=bool))
-                    col, score, held = asked[a:a + step][c], sims[r, c], table.take(pa.array(rows[r]))
-                    if corpus in state:
-                        old = state[corpus]
-                        col, score = np.concatenate([old[0], col]), np.concatenate([old[1], score])
-                        held = pa.concat_tables([old[2], held]).combine_chunks()
-                    keep = _best(col, score, held.column("id"), k, len(q))
-                    state[corpus] = (col[keep], score[keep], held.take(pa.array(keep)))
+                    least = kth_so_far[a:a + step]
+                    reach = sims >= least[None, :]
+                    if np.count_nonzero(reach) > k * reach.shape[1] and len(rows) > k:
+                        reach &= sims >= np.partition(sims, len(rows) - k, axis=0)[len(rows) - k][None, :]
+                    r, c = np.nonzero(reach)
+                    if not len(r):
+                        continue
+                    waiting.setdefault(corpus, []).append((asked[a:a + step][c], sims[r, c], table.take(pa.array(rows[r]))))
+                    if sum(len(part[0]) for part in waiting[corpus]) > max(MERGE_ROWS, len(state[corpus][0]) if corpus in state else 0):
+                        merge(corpus)
+        for corpus in list(waiting):
+            merge(corpus)
         for col, score, held in state.values():
             yield from held.append_column("q", pa.array(col, pa.int64())).append_column("cosine", pa.array(score)).combine_chunks().to_batches()
     return run
@@ -195,11 +209,13 @@ def search(index: BallIndex, queries: DataFrame, k: int = 3, query_id_col: str =
     report = {"blocks": blocks, "rounds": 0, "read": 0, "full": int(index.n.sum()) * blocks}
     parts = []
     rows = spark.read.schema(T.StructType([*asked.schema.fields, T.StructField("block", T.IntegerType())])).parquet(staged)
+    # Its files are listed once, not for every round.
+    vectors = spark.read.schema(index.schema).parquet(f"{index.path}/vectors")
     for b in range(blocks):
         block = rows.where(F.col("block") == b).select("query_id", "vec").toArrow().combine_chunks()  # about ``size`` rows
         if not block.num_rows:
             continue
-        hits = _search_block(spark, index, _unit(_chunk(block["vec"]), index.width), k, fields, decimals, report)
+        hits = _search_block(spark, index, vectors, _unit(_chunk(block["vec"]), index.width), k, fields, decimals, report)
         ids = _chunk(block["query_id"]).take(hits["q"].combine_chunks())
         out = stage_path(spark, "hits")
         spark.createDataFrame(hits.drop_columns(["q"]).add_column(0, "query_id", ids), schema).write.parquet(out)
@@ -214,7 +230,7 @@ def _chunk(column) -> pa.Array:
     return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
 
 
-def _search_block(spark, index: BallIndex, q: np.ndarray, k: int, fields: list, decimals: int, report: dict) -> pa.Table:
+def _search_block(spark, index: BallIndex, vectors: DataFrame, q: np.ndarray, k: int, fields: list, decimals: int, report: dict) -> pa.Table:
     bound = _bounds(index, q)
     names = sorted({str(c) for c in index.corpus if c is not None})
     number = np.array([names.index(str(c)) if c is not None else len(names) for c in index.corpus])
@@ -237,9 +253,12 @@ def _search_block(spark, index: BallIndex, q: np.ndarray, k: int, fields: list,
         seen |= need
         report["rounds"] += 1
         report["read"] += int(index.n[np.isin(index.cell, index.cell[used])].sum())
-        visits = {f"{index.cell[u]}\0{index.corpus[u]}" if index.corpus[u] is not None else f"{index.cell[u]}": np.flatnonzero(need[:, u]) for u in used}
+        visits = {}
+        for u in used:
+            asked = np.flatnonzero(need[:, u])
+            visits[f"{index.cell[u]}\0{index.corpus[u]}" if index.corpus[u] is not None else f"{index.cell[u]}"] = asked, kth[asked, number[u]]
         shared = spark.sparkContext.broadcast((q, visits))
-        rows = spark.read.schema(index.schema).parquet(f"{index.path}/vectors").where(F.col("cell").isin([int(c) for c in np.unique(index.cell[used])])).drop("near")
+        rows = vectors.where(F.col("cell").isin([int(c) for c in np.unique(index.cell[used])])).drop("near")
         found = rows.select(*[f.name for f in fields], "vec", "cell").mapInArrow(_visitor(shared, k, index.width, decimals), hit_schema)
         w = Window.partitionBy("q", "corpus").orderBy(F.desc("cosine"), "id")
         got = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r").toArrow()  # queries x corpora x k rows

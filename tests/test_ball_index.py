@@ -1,6 +1,9 @@
 """The pruned search gives what the full one gives, and reads less."""
 
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +60,29 @@ def test_edges(spark, tmpdir_fresh):
         bi.search(index, spark.createDataFrame([(None, [1.0])], "query_id long, embedding array<double>"))
     with pytest.raises(ValueError):
         bi.search(index, q, 0)
+
+
+def test_small_balls_are_merged_together_and_ruled_out_rows_left(monkeypatch):
+    """Many balls of few rows each: the best so far are not sorted again for every ball."""
+    rng = np.random.default_rng(5)
+    x, q = np.round(rng.normal(size=(900, 8)), 3), np.round(rng.normal(size=(40, 8)), 3)
+    batches = [pa.RecordBatch.from_pydict({"id": list(range(a, a + 6)), "corpus": ["news" if c % 2 else None] * 6, "vec": x[a:a + 6].tolist(), "cell": [c] * 6})
+               for c, a in enumerate(range(0, 900, 6))]
+    calls, best = [], bi._best
+    monkeypatch.setattr(bi, "_best", lambda *a: calls.append(1) or best(*a))
+
+    def found(kth):
+        visits = {f"{c}\0news" if c % 2 else f"{c}": (np.arange(40), kth) for c in range(150)}
+        parts = list(bi._visitor(SimpleNamespace(value=(q, visits)), 3, 8, 9)(iter(batches)))
+        return sorted((r["q"], str(r["corpus"]), -r["cosine"], r["id"]) for p in parts for r in p.to_pylist())
+
+    scores = np.round(x @ q.T, 9)
+    own = np.arange(900) // 6 % 2 == 1
+    want = sorted((j, name, -scores[i, j], i) for name, some in (("news", own), ("None", ~own)) for j in range(40)
+                  for i in sorted(np.flatnonzero(some).tolist(), key=lambda i: (-scores[i, j], i))[:3])
+    assert found(np.full(40, -np.inf)) == want
+    assert len(calls) <= 4
+    kth = np.sort(scores, axis=0)[-2]  # ruled out: all but the two best of both corpora
+    assert found(kth) == [r for r in want if -r[2] >= kth[r[0]]]
+    monkeypatch.setattr(bi, "MERGE_ROWS", 1)
+    assert found(np.full(40, -np.inf)) == want
