@@ -34,94 +34,248 @@ MISMATCH = 2.0  # what a differing word costs when an end is extended
 MILDER = (MISMATCH, 1.0, 0.5)  # tried in turn until a span is long enough
 REACH = 64  # words that an end is extended by, about
 SKIP = 24  # words past which an extension looks for agreement again
+_RUN = np.array([0x9E3779B97F4A7C15], np.uint64)
 
 
-def seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the winnowed k-mers of one text."""
+def seeds(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the winnowed k-mers of texts that lie one after the
+    other in ``h``, text k from ``at[k]`` to ``at[k + 1]``."""
     g = W.combine(h, K)
-    if not len(g):
-        return np.empty(0, np.int64), g
-    w = min(WINNOW, len(g))
-    low = np.lib.stride_tricks.sliding_window_view(g, w).argmin(axis=1) + np.arange(len(g) - w + 1)
-    at = np.unique(low)
+    count = np.diff(at) - K + 1  # k-mers of each text
+    taken = np.zeros(len(g), bool)
+    for k in np.flatnonzero((count > 0) & (count < WINNOW)):
+        taken[at[k] + g[at[k]:at[k] + count[k]].argmin()] = True
+    windows = np.zeros(len(h) + 1, np.int64)
+    long = count >= WINNOW
+    windows[at[:-1][long]] = 1
+    windows[at[:-1][long] + count[long] - WINNOW + 1] = -1
+    begin = np.flatnonzero(np.cumsum(windows))
+    low, least = begin.copy(), g[begin]
+    for k in range(1, WINNOW):
+        less = g[begin + k] < least
+        low[less] = begin[less] + k
+        least[less] = g[low[less]]
+    taken[low] = True
+    at = np.flatnonzero(taken)
     fresh = np.ones(len(at), bool)  # of a run of one repeated k-mer the first is enough
     fresh[1:] = (np.diff(at) > 1) | (g[at[1:]] != g[at[:-1]])
     at = at[fresh]
     return at, g[at]
 
 
-def _turns(h: np.ndarray) -> np.ndarray:
-    """For each value how often it stood before."""
-    order = np.argsort(h, kind="stable")
-    sorted_h = h[order]
-    out = np.empty(len(h), np.int32)
-    out[order] = np.arange(len(h)) - np.searchsorted(sorted_h, sorted_h)
-    return out
+def _runs_of(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words, put together from runs of 1, 2, 4 ... words."""
+    out, length = None, 0
+    part, size = h, 1
+    base = _RUN
+    while k:
+        if k & 1:
+            n = len(h) - length - size + 1
+            if n <= 0:
+                return np.empty(0, np.uint64)
+            # the run of the power of two follows the words so far
+            out = part[:n].copy() if out is None else out[:n] * base + part[length:length + n]
+            length += size
+        k >>= 1
+        if k:
+            n = max(len(h) - 2 * size + 1, 0)
+            part = part[:n] * base + part[size:size + n]
+            size, base = 2 * size, base * base
+    return W.mix(out)
+
+
+_SEED = "rk long, h long, place long"
 
 
 def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The seeds of each text; ``place`` is a seed's position and, in the lower
+    half, a hash of the ``MIN_WORDS`` words from there on (0: there are fewer)."""
     for batch in batches:
         rk = batch.column("rk").to_numpy()
         for i, j, h, d, _, _ in W.words(batch.column("text")):
-            at = W.bounds(d, j - i)
-            found = [seeds(h[at[k]:at[k + 1]]) for k in range(j - i)]
-            pos = np.concatenate([f[0] for f in found])
-            at = np.repeat(at[:-1], [len(f[0]) for f in found]) + pos  # among the words of all
+            begin = W.bounds(d, j - i)
+            at, seed = seeds(h, begin)
             whole = at + MIN_WORDS <= len(h)
             whole[whole] = d[at[whole] + MIN_WORDS - 1] == d[at[whole]]
-            wide = np.zeros(len(pos), np.uint64)
-            wide[whole] = W.combine(h, MIN_WORDS)[at[whole]]
+            wide = np.zeros(len(at), np.int64)
+            wide[whole] = np.maximum(_runs_of(h, MIN_WORDS)[at[whole]] >> np.uint64(32), 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([f[1] for f in found]).view(np.int64)),
-                 pa.array(np.repeat(rk[i:j], [len(f[0]) for f in found])), pa.array(pos.astype(np.int32)),
-                 pa.array(np.concatenate([_turns(f[1]) for f in found])), pa.array(wide.view(np.int64), mask=~whole)],
-                names=["h", "rk", "pos", "turn", "wide"])
+                [pa.array(rk[i:j][d[at]]), pa.array(seed.view(np.int64)), pa.array(at - begin[d[at]] << 32 | wide)],
+                names=["rk", "h", "place"])
+
 
+# What ``mark`` says of a seed: its first place in the document, once in each of its documents, two documents at all.
+FIRST, ONCE, TWO = 1, 2, 4
+_HELD = "h long, rk long, pos int, hub long, hpos int, wpos int, wide long, mark byte"
 
-def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, rk, pos, hub) for every seed of a document and each hub, other than
-    its own, that a seed within ``MIN_WORDS`` words has; a document's seeds
-    arrive together, by position."""
-    for rk, (h, pos, hub) in _documents(batches, ("h", "pos", "hub")):
+
+def _hubbed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Seeds that several documents hold, with their hub; a seed's rows arrive
+    together, by document and position, so those of its hub come first.
+
+    ``hpos``: the first is matched with the hub's first, the second with its
+    second, all further ones with its last.  ``wpos``: where the hub has the
+    same ``MIN_WORDS`` words first, if it has but not at ``hpos``; ``wide`` is
+    a hash of them if the hub has them nowhere and another document may.  Of a seed that goes on in the next
+    batch only the rows of its hub and of its last document are held; it is
+    marked as if it were repeated.
+    """
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        rk, h, place = (batch.column(c).to_numpy() for c in ("rk", "h", "place"))
+        done = np.zeros(len(h), bool)
+        if held is not None:
+            rk, h, place, done = (np.concatenate(c) for c in zip(held, (rk, h, place, done)))
+        new = np.ones(len(h), bool)  # equal rows are of equal documents
+        new[1:] = (h[1:] != h[:-1]) | (rk[1:] != rk[:-1]) | (place[1:] != place[:-1])
+        rk, h, place, done = rk[new], h[new], place[new], done[new]
+        begins = np.ones(len(h), bool)
+        begins[1:] = h[1:] != h[:-1]
+        opens = begins.copy()
+        opens[1:] |= rk[1:] != rk[:-1]
+        begin, opened = np.flatnonzero(begins), np.flatnonzero(opens)
+        group, own = np.cumsum(begins) - 1, np.cumsum(opens) - 1
+        turn = np.arange(len(h)) - opened[own]
+        size = np.diff(np.append(opened, len(h)))[own[begin]]  # rows of the hub
+        several = np.diff(np.append(begin, len(h))) > size
+        last = begin[-1]
+        keep = np.arange(len(h)) >= last
+        if several[-1]:
+            keep &= (own == own[last]) | (own == own[-1])
+        out = several[group] & ~done
+        held = [x[keep] for x in (rk, h, place, done | out)]
+        if not out.any():
+            continue
+        is_hub = own == own[begin][group]
+        pos, wide = place >> 32, place & 0xFFFFFFFF
+        key = group << 32 | wide
+        hubs = np.flatnonzero(is_hub & several[group] & (wide > 0))
+        hubs = hubs[np.argsort(key[hubs], kind="stable")]
+        take = np.flatnonzero(out)
+        found = np.searchsorted(key[hubs], key[take])
+        same = np.zeros(len(take), bool)
+        there = found < len(hubs)
+        same[there] = key[hubs[found[there]]] == key[take[there]]
+        wpos = np.zeros(len(take), np.int64)
+        wpos[same] = pos[hubs[found[same]]]
+        g = group[take]
+        at = begin[g] + np.minimum(turn[take], size[g] - 1)
+        hpos = pos[at]
+        same &= ~is_hub[take]
+        whole = np.arange(len(begin)) < len(begin) - 1  # all rows of the seed are at hand
+        whole[group[done]] = False
+        holders = np.diff(np.append(np.searchsorted(opened, begin), len(opened)))
+        once = whole & (np.diff(np.append(begin, len(h))) == holders)
+        mark = FIRST * (turn[take] == 0) + ONCE * once[g] + TWO * (once & (holders == 2))[g]
+        apart = np.flatnonzero((wide[take] > 0) & ~same & ~is_hub[take])
+        apart = apart[np.argsort(key[take[apart]], kind="stable")]
+        shared = ~whole[g[apart]]
+        if len(apart):
+            k, r = key[take[apart]], rk[take[apart]]
+            one = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            end = np.append(one[1:], len(k))
+            shared |= np.repeat(r[one] != r[end - 1], end - one)
+        alone = np.ones(len(take), bool)
+        alone[apart[shared]] = False
+        both = W.mix(W.mix(~h[take].view(np.uint64)) + wide[take].view(np.uint64)).view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(h[take]), pa.array(rk[take]), pa.array(pos[take].astype(np.int32)), pa.array(rk[begin[g]]),
+             pa.array(hpos.astype(np.int32)), pa.array(wpos.astype(np.int32), mask=~same | (wide[at] == wide[take])),
+             pa.array(both, mask=alone), pa.array(mark.astype(np.int8))],
+            names=["h", "rk", "pos", "hub", "hpos", "wpos", "wide", "mark"])
+
+
+_ASKED = "key long, asks boolean, named boolean, rk long, pos int, pos2 int, known long"
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the seeds of a document share besides their own hubs, under keys;
+    a document's seeds arrive together, by position.
+
+    - Every two seeds within ``MIN_WORDS`` words that have unequal hubs: their
+      hub is the first document of that key.  Where each document holds both
+      but once, a hub of one of them is ``known``: its matches are found by
+      the seeds' own hubs and by the questions, and if only two documents hold
+      one of them, there is no other hub.
+    - A seed and another hub that a seed within ``MIN_WORDS`` words has (it
+      follows the seed's own, or doesn't hold the seed): the row asks where
+      that hub holds the seed first, the hub's own row answers.
+    """
+    def rows(key, asks, named, pos, pos2=None, known=None):
+        n = len(key)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key.view(np.int64)), pa.array(np.full(n, asks)), pa.array(np.full(n, named)),
+             pa.array(np.full(n, rk)), pa.array(pos), pa.nulls(n, pa.int32()) if pos2 is None else pa.array(pos2),
+             pa.nulls(n, pa.int64()) if known is None else known],
+            names=["key", "asks", "named", "rk", "pos", "pos2", "known"])
+
+    for rk, (h, pos, hub, mark) in _documents(batches, ("h", "pos", "hub", "mark")):
+        h, mine = h.view(np.uint64), hub == rk
+        if mine.any():
+            at = (mark & FIRST > 0) & ~mine
+            if at.any():
+                yield rows(W.mix(W.mix(h[at]) ^ hub.dtype.type(rk).view(np.uint64)), False, True, pos[at])
         if (hub == hub[0]).all():
             continue
         for cut in range(0, len(pos), 1 << 16):
             at = np.arange(cut, min(cut + (1 << 16), len(pos)))
-            lo = np.searchsorted(pos, pos[at] - MIN_WORDS)
-            count = np.searchsorted(pos, pos[at] + MIN_WORDS, side="right") - lo
+            count = np.searchsorted(pos, pos[at] + MIN_WORDS, side="right") - at - 1
             i = np.repeat(at, count)
-            other = hub[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())]
-            i, other = i[other != hub[i]], other[other != hub[i]]
+            j = np.repeat(at + 1 - np.cumsum(count) + count, count) + np.arange(count.sum())
+            differ = hub[i] != hub[j]
+            i, j = i[differ], j[differ]
+            if not len(i):
+                continue
+            once = mark[i] & mark[j] & ONCE > 0
+            crossed = (pos[i] != pos[j]) & ~(once & ((mark[i] | mark[j]) & TWO > 0))
+            a, b, once = i[crossed], j[crossed], once[crossed]
+            if len(a):
+                yield rows(W.mix(W.mix(h[a]) + h[b]), False, False, pos[a], pos[b],
+                           pa.array(np.maximum(hub[a], hub[b]), mask=~once))
+            i, j = np.where(hub[i] < hub[j], i, j), np.where(hub[i] < hub[j], j, i)
+            theirs = ~mine[i] & ~mine[j]
+            i, other = i[theirs], hub[j[theirs]]
             order = np.lexsort((other, i))
             i, other = i[order], other[order]
             new = np.ones(len(i), bool)
             new[1:] = (i[1:] != i[:-1]) | (other[1:] != other[:-1])
             i, other = i[new], other[new]
             if len(i):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[i]), pa.array(np.full(len(i), rk)), pa.array(pos[i]), pa.array(other)],
-                    names=["h", "rk", "pos", "hub"])
+                yield rows(W.mix(W.mix(h[i]) ^ other.view(np.uint64)), True, True, pos[i])
 
 
-def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(wide, rk, pos, pos2) for every two seeds of a document within
-    ``MIN_WORDS`` words that have unequal hubs; ``wide`` is a hash of both."""
-    for rk, (h, pos, hub) in _documents(batches, ("h", "pos", "hub")):
-        if (hub == hub[0]).all():
+_MATCH = "rk long, hub long, pos int, hpos int"
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The matches of each key with its first row, but for known ones; a key's rows arrive
+    together, answers before questions, by document and position."""
+    held = None
+    for batch in batches:
+        if not len(batch):
             continue
-        h = h.view(np.uint64)
-        for cut in range(0, len(pos), 1 << 16):
-            at = np.arange(cut, min(cut + (1 << 16), len(pos)))
-            count = np.searchsorted(pos, pos[at] + MIN_WORDS, side="right") - at - 1
-            i = np.repeat(at, count)
-            j = np.repeat(at + 1 - np.cumsum(count) + count, count) + np.arange(count.sum())
-            apart = (hub[i] != hub[j]) & (pos[i] != pos[j])
-            i, j = i[apart], j[apart]
-            if len(i):
-                wide = W.mix(W.mix(h[i]) + h[j])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(wide.view(np.int64)), pa.array(np.full(len(i), rk)), pa.array(pos[i]), pa.array(pos[j])],
-                    names=["wide", "rk", "pos", "pos2"])
+        key, asks, named, rk, pos = (batch.column(c).to_numpy(zero_copy_only=False)
+                                     for c in ("key", "asks", "named", "rk", "pos"))
+        known = batch.column("known")
+        known = known.is_valid().to_numpy(zero_copy_only=False), known.fill_null(0).to_numpy()
+        cols = key, asks, rk, pos, batch.column("pos2").fill_null(-1).to_numpy(), named, *known
+        if held is not None:
+            cols = [np.concatenate(c) for c in zip(held, cols)]
+        key, asks, rk, pos, pos2, named, has, known = cols
+        begins = np.ones(len(key), bool)
+        begins[1:] = key[1:] != key[:-1]
+        begin = np.flatnonzero(begins)
+        top = begin[np.cumsum(begins) - 1]
+        held = [c[begin[-1]:begin[-1] + 1] for c in cols]
+        out = np.flatnonzero((rk != rk[top]) & ~asks[top] & (asks == named) & ~(has & (known == rk[top])))
+        two = out[pos2[out] >= 0]
+        if len(out):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([x[out], x[two]])) for x in (rk, rk[top])]
+                + [pa.array(np.concatenate([x[out], y[two]])) for x, y in ((pos, pos2), (pos[top], pos2[top]))],
+                names=["rk", "hub", "pos", "hpos"])
 
 
 def _documents(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]):
@@ -272,19 +426,23 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield table(out)
 
 
-def _hashes(text: str) -> np.ndarray:
-    parts = [x[2] for x in W.words(pa.array([text], pa.large_string()))]
-    return (np.concatenate(parts) >> np.uint64(32)).astype(np.uint32)
+def _hashes(key: pa.Array, text: pa.Array) -> Iterator[np.ndarray]:
+    """The hashed words of each row's text; rows of one key have one text."""
+    key = key.to_numpy()
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    found = []
+    for i, j, h, d, _, _ in W.words(text.filter(pa.array(new))):
+        found += np.split((h >> np.uint64(32)).astype(np.uint32), W.bounds(d, j - i)[1:-1])
+    return (found[k] for k in (np.cumsum(new) - 1).tolist())
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The hub's words that a chain needs, with their first position."""
-    last, h = None, None
     for batch in batches:
         first, part = [], []
-        for hub, text, y, n in zip(*(batch.column(c).to_pylist() for c in ("hub", "hub_text", "y", "n"))):
-            if hub != last:
-                last, h = hub, _hashes(text)
+        for h, y, n in zip(_hashes(batch.column("hub"), batch.column("hub_text")),
+                           *(batch.column(c).to_pylist() for c in ("y", "n"))):
             a = max(0, y[0] - 2 * REACH)
             first.append(a)
             part.append(h[a:y[-1] + n[-1] + 2 * REACH].tobytes())
@@ -295,15 +453,28 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _edits(a: np.ndarray, b: np.ndarray) -> int:
     """Word edit distance."""
-    if not len(a) or not len(b):
+    for _ in range(2):  # equal words at the begin and at the end cost nothing
+        n = min(len(a), len(b))
+        equal = a[:n] == b[:n]
+        k = n if equal.all() else int(equal.argmin())
+        a, b = a[k:][::-1], b[k:][::-1]
+    if len(a) < 2 and len(b) < 2 or not len(a) or not len(b):
         return max(len(a), len(b))
-    step = np.arange(len(b) + 1)
-    row = step.copy()
-    for i, w in enumerate(a, 1):
-        best = np.minimum(row[1:] + 1, row[:-1] + (b != w))
-        # insertions: a running minimum of (value - position)
-        row = np.minimum.accumulate(np.concatenate([[i], best]) - step) + step
-    return int(row[-1])
+    where: dict[int, int] = {}
+    for i, w in enumerate(a.tolist()):
+        where[w] = where.get(w, 0) | 1 << i
+    # a column of the table at a time, as the bits of where its values go up and down (Myers 1999)
+    every, top, total = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    up, down = every, 0
+    for w in b.tolist():
+        equal = where.get(w, 0)
+        flat = equal | down
+        right = ((equal & up) + up ^ up) | equal
+        more, less = down | every & ~(right | up), up & right
+        total += (more & top > 0) - (less & top > 0)
+        more, less = (more << 1 | 1) & every, less << 1 & every
+        up, down = less | every & ~(flat | more), more & flat
+    return total
 
 
 def _straight(a: np.ndarray, b: np.ndarray, cost: float) -> tuple[int, int]:
@@ -397,14 +568,12 @@ def spans(a: np.ndarray, b: np.ndarray, x: list[int], y: list[int], n: list[int]
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, h = None, None
     seen = np.zeros(1 << 16, bool)
     for batch in batches:
         rows, cols = [], [[] for _ in range(5)]
-        for r, (rk, text, x, y, n, first, part) in enumerate(zip(*(
-                batch.column(c).to_pylist() for c in ("rk", "text", "x", "y", "n", "first", "part")))):
-            if rk != last:
-                last, h = rk, _hashes(text)
+        for r, (h, x, y, n, first, part) in enumerate(zip(
+                _hashes(batch.column("rk"), batch.column("text")),
+                *(batch.column(c).to_pylist() for c in ("x", "y", "n", "first", "part")))):
             b = np.frombuffer(part, np.uint32)
             if not _alike(h[max(0, x[0] - 2 * REACH):x[-1] + n[-1] + 2 * REACH], b, seen):
                 continue
@@ -440,31 +609,18 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.withColumn("rk", F.xxhash64("id", F.xxhash64("text"), F.length("text")))
-    found = texts.select("rk", "text").mapInArrow(_seeded, "h long, rk long, pos int, turn int, wide long")
-    hubs = (found.groupBy("h").agg(F.min("rk").alias("hub"), F.max("rk").alias("other"))
-            .where("hub <> other").select("h", "hub"))
-    held = stage(found.join(hubs, "h"))
-    # the first to the first, the second to the second, all further ones to the last
-    at = held.where("rk = hub").select("h", "turn", F.col("pos").alias("hpos")).distinct()
-    last = at.groupBy("h").agg(F.max("turn").alias("last"))
-    own = stage(held.where("rk <> hub").distinct().join(last, "h").withColumn("turn", F.least("turn", "last"))
-                .join(at, ["h", "turn"]).select("h", "rk", "hub", "pos", "hpos"))
-    beside = own.repartition("rk").sortWithinPartitions("rk", "pos").select("h", "rk", "pos", "hub").mapInArrow(
-        _beside, "h long, rk long, pos int, hub long")
-    other = held.groupBy("h", F.col("rk").alias("hub")).agg(F.min("pos").alias("hpos"))
-    columns = ["rk", "hub", "pos", "hpos"]
-    crossed = held.distinct().repartition("rk").sortWithinPartitions("rk", "pos").select("h", "rk", "pos", "hub").mapInArrow(
-        _crossed, "wide long, rk long, pos int, pos2 int")
-    wide = stage(held.where("wide is not null").select("wide", "rk", "pos", F.lit(None).cast("int").alias("pos2"))
-                 .union(crossed))
-    first = (wide.groupBy("wide").agg(F.min("rk").alias("hub"), F.max("rk").alias("last")).where("hub <> last")
-             .select("wide", "hub"))
-    both = stage(wide.join(first, "wide"))
-    at = both.where("rk = hub").groupBy("wide").agg(F.min(F.struct("pos", "pos2")).alias("at"))
-    both = both.where("rk <> hub").join(at, "wide")
-    matches = (own.select(columns).union(beside.distinct().join(other, ["h", "hub"]).select(columns))
-               .union(both.select("rk", "hub", "pos", F.col("at.pos").alias("hpos")))
-               .union(both.where("pos2 is not null").select("rk", "hub", "pos2", F.col("at.pos2").alias("hpos"))))
+    found = texts.select("rk", "text").mapInArrow(_seeded, _SEED)
+    held = stage(found.repartition("h").sortWithinPartitions("h", "rk", "place").mapInArrow(_hubbed, _HELD))
+    near = (held.select("rk", "hub", "h", "pos", "mark").repartition("rk").sortWithinPartitions("rk", "pos", "h")
+            .mapInArrow(_near, _ASKED))
+    no = F.lit(False)
+    further = held.where("wide is not null").select("wide", no, no, "rk", "pos", F.lit(None).cast("int"),
+                                                           F.lit(None).cast("long"))
+    own = held.where("rk <> hub")
+    matches = (own.select("rk", "hub", "pos", "hpos")
+               .union(own.where("wpos is not null").select("rk", "hub", "pos", F.col("wpos").alias("hpos")))
+               .union(near.union(further).repartition("key").sortWithinPartitions("key", "asks", "rk", "pos", "pos2")
+                      .mapInArrow(_answered, _MATCH)))
     linked = stage(matches.repartition("rk").sortWithinPartitions("rk", "hub", "pos").mapInArrow(_chained, _CHAIN))
     once = texts.dropDuplicates(["rk"])
     hub = once.select(F.col("rk").alias("hub"), F.col("id").alias("hub_id"), F.col("text").alias("hub_text"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm import passages as ps
 
@@ -167,3 +168,65 @@ def test_edges(docs):
     assert {str(x) for r in got for x in (r.id, r.ref_id)} == {"4", "None", "5", "6"}
     assert all(r.end - r.start >= 60 for r in got)
     assert _got(docs(rows).limit(0)) == [] and _got(docs([(1, part), (1, part)])) == []
+
+
+def test_edit_distance_is_the_smallest():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        a, b = (rng.integers(0, rng.choice([2, 4, 30]), rng.integers(0, 90)).astype(np.uint32) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a.tolist(), 1):
+            last, row = row, [i]
+            for j, y in enumerate(b.tolist(), 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        assert ps._edits(a, b) == row[-1]
+
+
+def test_texts_are_seeded_once(docs, monkeypatch, tmp_path):
+    """The seeds, most of what is shuffled, are made and dealt out once."""
+    seeded, log = ps._seeded, str(tmp_path / "log")
+
+    def counted(batches):
+        for batch in batches:
+            with open(log, "a") as f:
+                f.write("x" * len(batch))
+            yield from seeded(iter([batch]))
+
+    monkeypatch.setattr(ps, "_seeded", counted)
+    part = " ".join(f"p{i}" for i in range(60))
+    assert len(_got(docs([(i, f"{part} own{i}") for i in range(20)]))) == 19
+    assert len(open(log).read()) == 20
+
+
+def test_repeated_words_are_one_passage(docs):
+    """Two words 300 times over: not one more passage for every place of theirs."""
+    rnd = random.Random(12)
+    rows = [(i, " ".join(_voc(rnd, 30) + ["is", "one."] * 300 + _voc(rnd, 30))) for i in range(8)]
+    got = _got(docs(rows))
+    assert len({r.id for r in got}) == 7 and len(got) <= 21
+    assert all(max(r.end - r.start for r in got if r.id == i) >= 600 for i in {r.id for r in got})
+
+
+def test_seeds_in_several_batches():
+    """However the rows of a seed are dealt over batches, it has the same hub and matches."""
+    rng = np.random.default_rng(5)
+    rows = sorted({(int(h), int(rk), int(pos) << 32 | int(wide)) for h, rk, pos, wide in zip(
+        rng.integers(0, 9, 400), rng.integers(-5, 5, 400), rng.integers(0, 12, 400), rng.integers(0, 3, 400))})
+    rows = [r for k, r in enumerate(rows) if not k or (r[0], r[1], r[2] >> 32) != (*rows[k - 1][:2], rows[k - 1][2] >> 32)]
+    rows = sorted([*rows, *rows[::7]])  # rows of equal documents
+    want = None
+    for size in (len(rows), 1, 2, 3, 7, 50):
+        batches = [pa.RecordBatch.from_pydict({"h": [r[0] for r in part], "rk": [r[1] for r in part],
+                                               "place": [r[2] for r in part]})
+                   for part in (rows[i:i + size] for i in range(0, len(rows), size))]
+        got = [r for b in ps._hubbed(iter(batches)) for r in b.to_pylist()]
+        plain = sorted((r["h"], r["rk"], r["pos"], r["hub"], r["hpos"], -1 if r["wpos"] is None else r["wpos"]) for r in got)
+        want = want or plain
+        assert plain == want
+    held = {}
+    for h, rk, place in sorted(set(rows)):
+        held.setdefault(h, {}).setdefault(rk, []).append(place >> 32)
+    assert len(want) == sum(len(p) for d in held.values() if len(d) > 1 for p in d.values())
+    for h, rk, pos, hub, hpos, _ in want:
+        own, theirs = held[h][rk], held[h][min(held[h])]
+        assert hub == min(held[h]) and hpos == theirs[min(own.index(pos), len(theirs) - 1)]
