@@ -605,7 +605,8 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null, empty and short texts share nothing; rows equal in id and text are
     one document; rows with one id and different texts, and null ids, are
     documents of their own; a passage repeated within one document only is not
-    reported.  Other columns play no part.
+    reported, and of one repeated within both the first places are matched with
+    each other, the second ones, and so on, further ones with the last.  Other columns play no part.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.withColumn("rk", F.xxhash64("id", F.xxhash64("text"), F.length("text")))
