@@ -116,7 +116,8 @@ def minibatch_centres(df: DataFrame, id_col: str, vec_col: str, width: int, k: i
         if waited >= PATIENCE:
             break
     n, sums, cost = _sums(every, centres)
-    at = int(cost.sum(1).argmin())
+    totals = cost.sum(1)
+    at = int((totals <= totals.min() * (1 + 1e-9)).argmax())  # the first of equals, whatever the order of the sums
     one, total = centres[at:at + 1], float(cost[at].sum())
     n, sums = n[at:at + 1], sums[at:at + 1]
     for _ in range(POLISH):
