@@ -33,27 +33,35 @@ SLICES = 2
 _TINY = 1e-100
 
 
+def _six_steps(x: np.ndarray) -> np.ndarray:
+    """x (x + 1) ... (x + 5), from the pairs (x + i) (x + 5 - i)."""
+    y = x * (x + 5)
+    return y * (y + 4) * (y + 6)
+
+
+def _below_log(x: np.ndarray) -> np.ndarray:
+    """log(x + 6) - digamma(x): six steps of the recurrence, as one fraction, and the asymptotic series."""
+    y, z = x * (x + 5), x + 6
+    r = 1 / (z * z)
+    return ((2 * x + 5) * ((3 * y + 20) * y + 24) / _six_steps(x) + 0.5 / z
+            + r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132)))))
+
+
 def digamma(x: np.ndarray) -> np.ndarray:
-    """Derivative of log gamma: six steps of the recurrence, then the asymptotic series."""
-    x = np.array(x, float)
-    out = -1 / x
-    for i in range(1, 6):
-        out -= 1 / (x + i)
-    x += 6
-    r = 1 / (x * x)
-    return out + np.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
+    """Derivative of log gamma."""
+    return np.log(x + 6) - _below_log(x)
+
+
+def exp_digamma(x: np.ndarray) -> np.ndarray:
+    """exp(digamma(x)), without a logarithm."""
+    return (x + 6) * np.exp(-_below_log(x))
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Log gamma: recurrence up to 6, then Stirling's series."""
-    x = np.array(x, float)
-    out = np.zeros_like(x)
-    for _ in range(6):
-        low = x < 6
-        out[low] -= np.log(x[low])
-        x[low] += 1
-    r = 1 / (x * x)
-    return out + (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / x
+    """Log gamma: six steps of the recurrence, then Stirling's series."""
+    z = x + 6
+    r = 1 / (z * z)
+    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / z - np.log(_six_steps(x))
 
 
 def _log_shares(dirichlet: np.ndarray) -> np.ndarray:
@@ -66,26 +74,26 @@ def fit_documents(terms: np.ndarray, counts: np.ndarray, topics: np.ndarray, alp
     the expected log term shares, k x terms); a row of ``terms`` and ``counts``
     is a document, filled up with counts of zero."""
     k = len(topics)
-    gamma = np.full((len(counts), k), alpha) + counts.sum(1)[:, None] / k
-    share = np.exp(_log_shares(gamma))
+    now = np.full((len(counts), k), alpha) + counts.sum(1)[:, None] / k
+    gamma, mean = np.empty_like(now), np.full(k, 1 / k)
     # Documents in work, some of which may have ended; these are left out once they are many.
     at, open_ = np.arange(len(counts)), np.ones(len(counts), bool)
-    weight, now, theta = topics.T[terms].transpose(0, 2, 1).copy(), gamma.copy(), share.copy()
-    for _ in range(DOC_ROUNDS):
-        norm = np.matmul(theta[:, None, :], weight)[:, 0] + _TINY
-        new = alpha + theta * np.matmul(weight, (counts / norm)[:, :, None])[:, :, 0]
-        moved = np.abs(new - now).mean(1)
-        now[open_] = new[open_]
-        theta[open_] = np.exp(_log_shares(new[open_]))
-        open_ &= moved > DOC_CHANGE
-        left = np.flatnonzero(open_)
-        if len(left) < 0.75 * len(at) or not len(left):
-            gamma[at], share[at] = now, theta
-            if not len(left):
-                return gamma, share
-            at, weight, counts, now, theta, open_ = (v[left] for v in (at, weight, counts, now, theta, open_))
-    gamma[at], share[at] = now, theta
-    return gamma, share
+    weight = topics[:, terms].transpose(1, 0, 2).copy()
+    for left in reversed(range(DOC_ROUNDS)):
+        theta = exp_digamma(now)  # shares but for a factor of the document, which cancels
+        part = counts / (np.matmul(theta[:, None, :], weight)[:, 0] + _TINY)
+        new = alpha + theta * np.matmul(weight, part[:, :, None])[:, :, 0]
+        ended = np.flatnonzero(open_ & ~(np.abs(new - now) @ mean > DOC_CHANGE) if left else open_)
+        now = new
+        if len(ended):
+            gamma[at[ended]], open_[ended] = now[ended], False
+            n = np.count_nonzero(open_)
+            if not n:
+                break
+            if n < 0.75 * len(at):
+                at, weight, counts, now = (v[open_] for v in (at, weight, counts, now))
+                open_ = np.ones(n, bool)
+    return gamma, exp_digamma(gamma) / exp_digamma(gamma.sum(1))[:, None]
 
 
 def _padded(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -108,6 +116,14 @@ def _padded(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.Array, np.ndarra
         yield batch.column("id").take(pa.array(part)), t, c
 
 
+def _groups(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The groups of ``_padded``, one a row, as the bytes of their terms and counts."""
+    for batch in batches:
+        for _, terms, counts in _padded(batch, k):
+            yield pa.RecordBatch.from_arrays([pa.array([len(terms)], pa.int32()), pa.array([terms.tobytes()]), pa.array([counts.tobytes()])],
+                                             ["docs", "terms", "counts"])
+
+
 @dataclass
 class TopicModel:
     """Terms, topics (k x terms, Dirichlet), the bound per word after each
@@ -177,7 +193,8 @@ def fit_topics(df: DataFrame, id_col: str, text_col: str, k: int = 8, max_iter:
     rows = bag_of_words(df, id_col, text_col, vocab, stop_words)
     # The counts are a small part of the texts: read as they lie, they would be few slices, some far larger than others.
     model.fitted = stage_table(rows, "bag").repartition(SLICES * spark.sparkContext.defaultParallelism)
-    held = model.fitted.persist()
+    # Documents don't change from one iteration to the next, so they are laid out for the fit once.
+    held = model.fitted.mapInArrow(lambda batches: _groups(batches, k), "docs int, terms binary, counts binary").persist()
     names = [f"s{t}" for t in range(k)]
     schema = "term int, " + ", ".join(f"{n} double" for n in names)
     try:
@@ -189,11 +206,13 @@ def fit_topics(df: DataFrame, id_col: str, text_col: str, k: int = 8, max_iter:
                 topics = shared.value
                 sums, bound, n = np.zeros_like(topics), 0.0, 0.0
                 for batch in batches:
-                    for _, terms, x in _padded(batch, len(topics)):
+                    for docs, *packed in zip(*(c.to_pylist() for c in batch.columns)):
+                        terms, x = (np.frombuffer(v, t).reshape(docs, -1) for v, t in zip(packed, (np.int32, float)))
                         gamma, theta = fit_documents(terms, x, topics, prior)
                         norm = np.einsum("dk,kdm->dm", theta, topics[:, terms]) + _TINY
+                        part = x / norm
                         for t, own in enumerate(theta.T):
-                            sums[t] += np.bincount(terms.ravel(), (x / norm * own[:, None]).ravel(), topics.shape[1])
+                            sums[t] += np.bincount(terms.ravel(), (part * own[:, None]).ravel(), topics.shape[1])
                         shares = _log_shares(gamma)
                         bound += (x * np.log(norm)).sum() + ((prior - gamma) * shares).sum() + (log_gamma(gamma) - log_gamma(np.array(prior))).sum()
                         bound += (log_gamma(np.array(prior * len(topics))) - log_gamma(gamma.sum(1))).sum()

@@ -15,6 +15,8 @@ def test_special_functions():
     assert np.allclose(tp.log_gamma(x), [math.lgamma(v) for v in x], atol=1e-9)
     h = 1e-6
     assert np.allclose(tp.digamma(x), [(math.lgamma(v + h * v) - math.lgamma(v - h * v)) / (2 * h * v) for v in x], rtol=1e-5)
+    y = np.array([0.01, 0.125, 1.0, 4.2, 77.0, 1e4])
+    assert np.allclose(tp.exp_digamma(y), np.exp(tp.digamma(y)), rtol=1e-12, atol=0)
 
 
 def _planted(n, seed):
@@ -86,6 +88,20 @@ def test_documents_are_fitted_to_their_own_terms():
         assert np.allclose(seen[i], gamma, atol=1e-8), i
 
 
+def test_groups_hold_every_document(spark, monkeypatch):
+    df = spark.createDataFrame([*_planted(40, 8), (40, None), (41, "unseen")], "id long, t string").repartition(2)
+    model = tp.fit_topics(df, "id", "t", k=3, max_iter=1, stop_words=[], max_df=1.0)
+    monkeypatch.setattr(tp, "FIT_CELLS", 1 << 10)
+    rows = pa.Table.from_batches(list(tp._groups(iter(model.fitted.toArrow().to_batches()), 3))).to_pylist()
+    assert len(rows) > 5
+    laid = []
+    for r in rows:
+        terms, counts = (np.frombuffer(r[c], t).reshape(r["docs"], -1) for c, t in (("terms", np.int32), ("counts", float)))
+        assert terms.shape == counts.shape and (r["docs"] == 1 or terms.size * 3 <= 1 << 10)
+        laid += [sorted((int(a), float(b)) for a, b in zip(p, q) if b) for p, q in zip(terms, counts)]
+    assert sorted(laid) == sorted(sorted(zip(r.v.indices.tolist(), r.v.values.tolist())) for r in model.fitted.collect())
+
+
 def test_every_core_fits_documents(spark):
     df = spark.createDataFrame(_planted(90, 6), "id long, t string").coalesce(1)
     model = tp.fit_topics(df, "id", "t", k=3, max_iter=4, stop_words=[], max_df=1.0)
