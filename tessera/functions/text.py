@@ -24,9 +24,14 @@ def empty_if_null(c: ColumnOrName) -> Column:
     return F.coalesce(_c(c), F.lit(""))
 
 
+#: The characters of ``(?U)\\s``: Unicode's White_Space.
+WHITE_SPACE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip_ws(c: ColumnOrName) -> Column:
-    """Python ``str.strip()``: remove leading and trailing Unicode whitespace."""
-    return F.regexp_replace(F.regexp_replace(_c(c), r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    """Python ``str.strip()``: remove leading and trailing Unicode whitespace,
+    reading no further than that (a pattern would try every place of the text)."""
+    return F.trim(_c(c), F.lit(WHITE_SPACE))
 
 
 def is_blank(c: ColumnOrName) -> Column:

@@ -8,9 +8,11 @@ executor loss.  Inference outside the JVM goes through
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (IDF, PCA, CountVectorizerModel, HashingTF, Normalizer,
@@ -27,6 +29,8 @@ from tessera.schemas import EMBEDDING_WIDTH
 from tessera.session import stage_table
 
 TOKEN_PATTERN = r"(?U)\b\w\w+\b"
+#: The same matches, found without looking at both sides of every character.
+_TOKEN_RUNS = r"(?U)\w{2,}"
 TEXT = "_text"
 
 
@@ -170,12 +174,33 @@ def pca_minibatch(df: DataFrame, vec_col: str, id_col: str, width: int, k: int =
 
 def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
     """Lower-cased word tokens of two or more characters, stop words removed."""
-    toks = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0)
+    toks = F.regexp_extract_all(F.lower(text), F.lit(_TOKEN_RUNS), 0)
     if stop_words:
         toks = F.filter(toks, lambda t: ~t.isin(stop_words))
     return toks
 
 
+#: Tokens whose terms are counted at once, in whole documents.
+COUNT_TOKENS = 1 << 20
+
+
+def _term_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n, docs) of some documents at a time, from a column of their tokens."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(0)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = begin = 0
+        while at < len(ends):
+            end = max(at + 1, int(np.searchsorted(ends, begin + COUNT_TOKENS, side="right")))
+            found = batch.column(0).slice(at, end - at).flatten().dictionary_encode()
+            code = found.indices.to_numpy().astype(np.int64)
+            # Sorted pairs of term and document: a term is in as many documents as it has distinct pairs.
+            pair = np.sort(code * (end - at) + np.repeat(np.arange(end - at), np.diff(ends[at:end], prepend=begin)))
+            own = pair[np.flatnonzero(np.diff(pair, prepend=-1))] // (end - at)
+            yield pa.RecordBatch.from_arrays([found.dictionary, *(pa.array(np.bincount(c, minlength=len(found.dictionary))) for c in (code, own))],
+                                             ["term", "n", "docs"])
+            at, begin = end, ends[end - 1]
+
+
 def vocabulary(df: DataFrame, id_col: str, text_col: str, stop_words: list[str] | None = None,
                max_terms: int = 500, min_df: int = 3, max_df: float = 0.5) -> DataFrame:
     """Vocabulary as the bag-of-words vectoriser builds it: terms in at least
@@ -184,18 +209,18 @@ def vocabulary(df: DataFrame, id_col: str, text_col: str, stop_words: list[str]
     if stop_words is None:
         stop_words = StopWordsRemover.loadDefaultStopWords("english")
     n_docs = df.count()
-    # A document is one row: its terms follow each other, then its distinct terms,
-    # so one scan counts both and only one row per term and task is shuffled.
+    # Most terms are counted where they lie: only one row per term and some documents is aggregated by Spark.
     ts = df.select(tokens(F.col(text_col)).alias("ts"))
-    rows = ts.select(F.size("ts").alias("m"), F.posexplode(F.concat("ts", F.array_distinct("ts"))).alias("pos", "term"))
-    word = F.col("pos") < F.col("m")
-    g = rows.where(~F.col("term").isin(stop_words)).groupBy("term").agg(
-        F.sum(word.cast("long")).alias("n"), F.sum((~word).cast("long")).alias("docs"))
+    rows = ts.mapInArrow(_term_numbers, "term string, n long, docs long")
+    g = rows.where(~F.col("term").isin(stop_words)).groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     keep = g.where((F.col("docs") >= min_df) & (F.col("docs") <= F.lit(max_df * n_docs)))
     return keep.orderBy(F.desc("n"), F.asc("term")).limit(max_terms)
 
 
 def term_counts(df: DataFrame, text_col: str, vocab: list[str], stop_words: list[str] | None,
                 out: str = "features") -> DataFrame:
+    """``df`` with sparse vectors of how often each term of ``vocab`` occurs;
+    stop words count as absent (those outside ``vocab`` are never counted)."""
     model = CountVectorizerModel.from_vocabulary(vocab, inputCol="_tok", outputCol=out)
+    stop_words = sorted({*vocab}.intersection(stop_words or []))
     return model.transform(df.withColumn("_tok", tokens(F.col(text_col), stop_words))).drop("_tok")

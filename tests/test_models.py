@@ -64,3 +64,34 @@ def test_batch_scores_and_chunks(spark):
     assert s[1] == [3.0, 7.0] and s[3] is None and not calls
     got = sorted(tuple(r) for r in md.chunked_scores(d, "id", "t", make, ["long", "short"], size=3).collect())
     assert got == [(1, 0, "short", 7.0), (2, 0, "long", 5.0), (2, 1, "long", 5.0), (2, 2, "short", 9.0)]
+
+
+def test_terms_are_counted_where_they_lie(spark, monkeypatch):
+    texts = ["One one two", None, "", "two three three", "x two_2 one", "deux, DEUX"] * 3
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)
+    want = {"one": (9, 6), "two": (6, 6), "three": (6, 3), "two_2": (3, 3), "deux": (6, 3)}
+    got = {r.term: (r.n, r.docs) for r in md.vocabulary(d, "id", "t", [], min_df=1, max_df=1.0).collect()}
+    assert got == want
+    rows = d.select(md.tokens(F.col("t")).alias("ts")).toArrow().to_batches()
+    for limit in (1, 4, 1 << 20):  # a document at a time, some, all
+        monkeypatch.setattr(md, "COUNT_TOKENS", limit)
+        found, blocks = {}, 0
+        for b in md._term_numbers(iter(rows)):
+            blocks += 1
+            for r in b.to_pylist():
+                n, docs = found.get(r["term"], (0, 0))
+                found[r["term"]] = n + r["n"], docs + r["docs"]
+        assert found == want and (blocks == len(rows)) == (limit == 1 << 20)
+
+
+def test_token_runs_are_the_matches_of_the_pattern(spark):
+    odd = ["a", "_", "1", " ", "-", "́", "ͅ", "‍", "Ⓐ", "Ⅷ", "・", "\U0001d49c", "\U0001f44d", "é"]
+    d = spark.createDataFrame([(f"ab{x}cd {x}x {x}{y} y{x}\n{x}",) for x in odd for y in odd], "t string")
+    same = d.select((F.regexp_extract_all(F.lower("t"), F.lit(md.TOKEN_PATTERN), 0) == md.tokens(F.col("t"))).alias("same"))
+    assert same.where("same").count() == len(odd) ** 2
+
+
+def test_stop_words_within_the_terms_are_not_counted(spark):
+    d = spark.createDataFrame([(1, "the cat the dog cat")], "id long, t string")
+    v = md.term_counts(d, "t", ["the", "cat"], ["the", "a"], "v").first().v
+    assert dict(zip(v.indices.tolist(), v.values.tolist())) == {1: 2.0}

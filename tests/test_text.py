@@ -146,3 +146,12 @@ def test_chunking_is_linear(spark):
         return min(took)
     seconds(10_000)
     assert seconds(400_000) < 30 * seconds(50_000) + 1
+
+
+def test_strip_ws_takes_every_white_space_and_nothing_else(spark):
+    points = [i for i in range(0x3100) if not 0xD800 <= i < 0xE000]
+    d = spark.createDataFrame([(i, chr(i)) for i in points], "i int, c string")
+    bare = F.concat("c", "c", F.lit("a"), "c", F.lit("b\n"), "c")
+    got = {r.i for r in d.where(tx.strip_ws(bare) == F.concat(F.lit("a"), "c", F.lit("b"))).collect()}
+    assert got == {ord(c) for c in tx.WHITE_SPACE} == {r.i for r in d.where(F.col("c").rlike(r"(?U)^\s$") | (F.col("c") == "\n")).collect()}
+    assert d.select(tx.strip_ws(F.lit(None).cast("string")).alias("s")).first().s is None
